@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilflow.llm import mixing, sharding
+from vigilflow.llm import decontaminate, mixing, near_dedup, sharding
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,13 @@ FROM f LEFT JOIN g ON f.doc_id = g.doc_id AND f.done = g.done AND f.source_rank
 @_query
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents"))
