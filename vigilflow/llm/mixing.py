@@ -89,6 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     order = [F.col(c) for c in ("shuffle_key", "id", "size")]
     slim = running(slim, ["source_rank"], F.substring("shuffle_key", 1, digits), order, "size", "finish_words")
     # Rows that repeat a document in full share a key; their finish times still differ where they have words.
+    slim = written(slim, "mix-order")
     copies = (
         slim.filter((F.col("size") > 0) & (F.col("target") > 0))
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
@@ -96,10 +97,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("all", F.lit(0))
         .select("all", "id", "size", "source_rank", "source_size", "total", "target", "shuffle_key", "epoch", "finish_words", "finish")
     )
+    # Where the copies that finish by some time already fill the budget, none that finishes later is read.
+    times = [2.0**i for i in range(1, 21)]
+    by_time = copies.agg(F.max("total").alias("total"), *[F.sum(F.when(F.col("finish") <= t, F.col("size"))).alias(f"by_{i}") for i, t in enumerate(times)]).first()
+    horizon = next((t for i, t in enumerate(times) if (by_time[f"by_{i}"] or 0) >= (by_time["total"] or 0)), None)
+    if horizon is not None:
+        copies = copies.withColumn("late", F.col("finish") > horizon)
+    else:
+        copies = copies.withColumn("late", F.lit(False))
     # Words come evenly over finish time, so buckets of equal time have about equal words.
-    at = F.least(F.floor(F.col("finish") * n_buckets), F.lit(4 * n_buckets)).cast("long")
     order = [F.col(c) for c in ("finish", "source_rank", "epoch", "shuffle_key", "id")]
-    mixed = running(copies, ["all"], at, order, "size", "mixed_words")
+    mixed = running(copies.filter(~F.col("late")), ["all"], F.floor(F.col("finish") * n_buckets).cast("long"), order, "size", "mixed_words")
+    kept = mixed.select("id", "size", "source_rank", "source_size", "total", "target", "shuffle_key", "finish_words", "finish", "mixed_words")
+    unread = copies.filter("late").select(*[c for c in kept.columns if c != "mixed_words"], (F.col("total") + 1).alias("mixed_words"))
+    mixed = kept.unionByName(unread)
     in_mix = F.col("mixed_words") <= F.col("total")
     with_words = mixed.groupBy("id", "size", "source_rank", "source_size", "target", "shuffle_key", "finish_words").agg(
         F.sum(F.when(in_mix, F.col("size")).otherwise(0)).alias("taken"), F.min(F.when(in_mix, F.col("finish"))).alias("first_finish")
