@@ -68,7 +68,7 @@ def running(df: DataFrame, groups: list[str], bucket: Column, order: list[Column
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """One row a document: id, size, source_size, target, taken, first_finish (finish time of its first copy in the mix).
+    """One row a document: id, size, source_rank, source_size, target, taken, first_finish (of its first copy in the mix).
 
     taken is size times the copies that the mix reads, 0 to repeats; the mix reads them in order of finish time.
     """
@@ -115,6 +115,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     with_words = mixed.groupBy("id", "size", "source_rank", "source_size", "target", "shuffle_key", "finish_words").agg(
         F.sum(F.when(in_mix, F.col("size")).otherwise(0)).alias("taken"), F.min(F.when(in_mix, F.col("finish"))).alias("first_finish")
     )
-    columns = ["id", "size", "source_size", "target", "taken", "first_finish"]
+    columns = ["id", "size", "source_rank", "source_size", "target", "taken", "first_finish"]
     without = slim.filter((F.col("size") == 0) | (F.col("target") <= 0)).withColumns({"taken": F.lit(0).cast("long"), "first_finish": F.lit(None).cast("double")})
     return with_words.select(columns).unionByName(without.select(columns)).withColumnRenamed("id", id_col)
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """The mix itself: the rows of docs, all columns, each as often as the mix reads it (0 to repeats times).
+
+    Rows that repeat an id and a size share what the mix reads of them evenly, rounded up.
+    """
+    taken = mix(docs, id_col, text_col, source_col, weights, repeats).filter("taken > 0")
+    copies = taken.groupBy(F.col(id_col).alias("__id"), F.col("size").alias("__size")).agg(F.ceil(F.sum(F.col("taken") / F.col("size")) / F.count("*")).cast("int").alias("__copies"))
+    columns = docs.columns
+    sized = docs.withColumn("__size_of", word_count(F.col(text_col)))
+    chosen = sized.join(copies, sized[id_col].eqNullSafe(copies["__id"]) & (sized["__size_of"] == copies["__size"]))
+    return chosen.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)

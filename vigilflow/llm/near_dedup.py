@@ -155,8 +155,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return with_both.withColumn("similarity", _similarity()("norm_a", "norm_b")).filter(F.col("similarity") >= similarity).select("a", "b")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """(id, class_id, class_size), one row for each row of docs."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, bands: int, rows: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs as (id, node), and (node, label, low, n): each node's component, smallest id and rows."""
     limit_batches(docs.sparkSession)
     text = F.col(text_col)
     normed = docs.select(F.col(id_col).alias("id"), text.alias("text"), normalized(text).alias("norm"))
@@ -197,9 +197,31 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
             edges = edges.union(found)
             labels = _labels(edges)
         in_bucket = written(still.select("bucket", "node"), "dart-open") if turn < rounds else in_bucket
-    # Row counts and smallest ids: first by node, then by component.
+    # Row counts and smallest ids: first by node, then (where they are asked for) by component.
     by_node = members.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("n"))
-    by_node = written(by_node.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "dart-nodes")
+    return members, written(by_node.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "dart-nodes")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+    """(id, class_id, class_size), one row for each row of docs."""
+    members, by_node = _grouped(docs, id_col, text_col, similarity, bands, rows, rounds)
     by_label = by_node.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
     named = by_node.select("node", "label").join(by_label, "label").select("node", "class_id", "class_size")
     return members.join(named, "node").select(F.col("id").alias(id_col), "class_id", "class_size")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+    """The rows of docs, all columns, less all but one of each class: the one of the smallest id (a null id comes last)."""
+    members, by_node = _grouped(docs, id_col, text_col, similarity, bands, rows, rounds)
+    first = F.min(F.struct(F.col("low").isNull().alias("no_id"), "low", "node")).alias("first")
+    chosen = by_node.groupBy("label").agg(first).select(F.col("first.node").alias("__node"), F.col("first.low").alias("__low"))
+    columns = docs.columns
+    marked = docs.withColumn("__node", _node(F.col(text_col), normalized(F.col(text_col))))
+    kept = marked.join(chosen, (marked["__node"] == chosen["__node"]) & marked[id_col].eqNullSafe(chosen["__low"]), "left_semi")
+    # Rows that repeat a chosen id and text: only these few ids need another look.
+    rows_of = members.withColumnRenamed("node", "__node").join(chosen, "__node").filter(F.col("id").eqNullSafe(F.col("__low")))
+    repeated = written(rows_of.groupBy("__node").agg(F.count("*").alias("n")).filter("n > 1").select("__node"), "dart-repeats")
+    if repeated.isEmpty():
+        return kept.select(*columns)
+    once = kept.join(repeated, "__node", "left_anti")
+    return once.unionByName(kept.join(repeated, "__node", "left_semi").dropDuplicates(["__node"])).select(*columns)

@@ -171,3 +171,25 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         (F.col("first") + F.col("rn") - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
+    """The rows of docs, all columns, with their shard, slot and size_bytes; these replace columns of the same names.
+
+    Rows are matched to their places by id, text hash and, among equal ones, a number; one shuffle moves the rows.
+    """
+    named = F.col(id_col)
+    places = shard(docs, id_col, text_col, shards)
+    one = Window.partitionBy("__id", "__crc", "__bytes")
+    places = places.select(named.alias("__id"), F.col("text_crc32").alias("__crc"), F.col("size").alias("__bytes"), "shard", "slot")
+    places = places.withColumn("__turn", F.row_number().over(one.orderBy("shard", "slot")))
+    text = F.col(text_col)
+    crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long")
+    rows = docs.select(*[c for c in docs.columns if c not in ("shard", "slot", "size_bytes")], named.alias("__id"), crc.alias("__crc"), size.alias("__bytes"))
+    rows = rows.withColumn("__turn", F.row_number().over(one.orderBy("__id")))
+    p = places.select(*[F.col(c).alias(f"{c}_p") for c in ("__id", "__crc", "__bytes", "__turn")], "shard", "slot")
+    match = F.col("__id").eqNullSafe(F.col("__id_p")) & (F.col("__crc") == F.col("__crc_p")) & (F.col("__bytes") == F.col("__bytes_p")) & (F.col("__turn") == F.col("__turn_p"))
+    joined = rows.join(p, match)
+    kept = [c for c in rows.columns if not c.startswith("__")]
+    return joined.select(*kept, F.col("__bytes").alias("size_bytes"), "shard", "slot")
