@@ -10,9 +10,11 @@ a chance of (1 - 0.8**5)**25 = 5e-5.
 
 Texts that are equal after normalisation are one node, found by hash before any comparison. Nodes of a
 band bucket aren't paired with each other: each is compared with one leader of its bucket, exactly, and
-links make components. What differs from its leader is compared again while a bucket holds nodes of more
-than one component: with another leader in each round, at last (after ROUNDS) with all nodes of the
-bucket's other components, so no cap loses a link. Nothing but row counts reaches the driver.
+links make components. A bucket that then holds nodes of more than one component is still open. In a small
+one (SMALL nodes or fewer) the nodes of different components are compared. Large ones that overlap make a
+group, and a group is compared in full, in blocks of bounded size: a block counts the shared shingles of all
+its texts by a matrix product and returns a spanning forest of the links, not the pairs. So no cap loses
+a link. Nothing but row counts reaches the driver.
 
 Defined results: a null or empty text, or one without words, forms a class with the rows of equal text
 (null with null); texts of one to four words compare as one shingle; a class's id is its smallest doc_id
@@ -34,8 +36,10 @@ from vigilflow.llm.common import limit_batches, normalized, written
 BANDS, ROWS = 25, 5
 K = BANDS * ROWS
 SIMILARITY = 0.8
-#: Rounds in which a bucket with more than one component takes a new leader, before all its open pairs are compared.
-ROUNDS = 2
+#: Nodes in a bucket up to which the pairs of an open bucket are listed.
+SMALL = 8
+#: Shingles and nodes that a chunk of a group holds on average; a block compares two chunks.
+CHUNK_SHINGLES, CHUNK_NODES = 1 << 20, 1024
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -155,7 +159,65 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return with_both.withColumn("similarity", _similarity()("norm_a", "norm_b")).filter(F.col("similarity") >= similarity).select("a", "b")
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, bands: int, rows: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+def _forest(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric table of links, the smallest row of its component."""
+    root = np.arange(len(near))
+    for start in range(len(near)):
+        if root[start] < start or not near[start].any():
+            continue
+        front = np.array([start])
+        while len(front):
+            reached = np.flatnonzero(near[front].any(axis=0) & (root > start))
+            root[reached] = start
+            front = reached
+    return root
+
+
+def linked_block(nodes: np.ndarray, sets: list[np.ndarray], similarity: float, columns: int = 4096) -> list[tuple[int, int]]:
+    """(root, node) links that join each component of the texts of a block; exact weighted Jaccard of all pairs."""
+    owners = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    hashes = np.concatenate(sets)
+    with np.errstate(over="ignore"):
+        # An occurrence is an element: shared elements count as the smaller of two weights.
+        elements = shingles.mix(hashes + shingles.occurrences(hashes, owners).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    _, element, times = np.unique(elements, return_inverse=True, return_counts=True)
+    common = times[element] > 1
+    dense = np.cumsum(times > 1) - 1
+    element, owner = dense[element[common]], owners[common]
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(element[-1]) + 1 if len(element) else 0, columns):
+        i, j = np.searchsorted(element, [low, low + columns])
+        held = np.zeros((len(sets), columns), np.float32)
+        held[owner[i:j], element[i:j] - low] = 1
+        shared += held @ held.T
+    sizes = np.array([len(x) for x in sets], np.float32)
+    near = shared >= similarity * (sizes[:, None] + sizes[None, :] - shared) - 1e-3
+    np.fill_diagonal(near, False)
+    root = _forest(near)
+    return [(int(nodes[r]), int(nodes[i])) for i, r in enumerate(root) if r != i]
+
+
+def _block_links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) inside groups: members has rows (node, label), label naming the group."""
+    weighed = texts.join(members, "node").withColumn("size", F.length("norm") / 6)
+    sums = weighed.groupBy("label").agg(F.greatest(F.ceil(F.sum("size") / CHUNK_SHINGLES), F.ceil(F.count("*") / CHUNK_NODES)).cast("int").alias("chunks"))
+    rows = weighed.join(sums, "label").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")))
+    # A chunk meets every other once; alone in its group it meets itself.
+    others = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    dealt = rows.select("label", "node", "norm", "chunk", "chunks", others).filter((F.col("chunk") != F.col("other")) | (F.col("chunks") == 1))
+    dealt = dealt.select("label", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node", "norm")
+
+    def links(table: pa.Table) -> pa.Table:
+        nodes, texts_of = table.column("node").to_numpy(), table.column("norm").combine_chunks()
+        found = linked_block(nodes, list(_each(texts_of)), similarity)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    return dealt.groupBy("label", "low", "high").applyInArrow(links, "a long, b long")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """The rows of docs as (id, node), and (node, label, low, n): each node's component, smallest id and rows."""
     limit_batches(docs.sparkSession)
     text = F.col(text_col)
@@ -166,53 +228,48 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, ban
     nodes = signed.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"))
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1")
-    open_rows = written(buckets.join(shared.select("bucket", "leader"), "bucket"), "dart-buckets")
+    in_bucket = written(buckets.join(shared, "bucket"), "dart-buckets")
     # Texts of the nodes that share any bucket, once each.
-    wanted = open_rows.select("node").distinct()
+    wanted = in_bucket.select("node").distinct()
     texts = normed.select(_node(F.col("text"), F.col("norm")).alias("node"), "norm").filter(F.col("norm") != "")
     texts = written(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "dart-texts")
 
-    pairs = open_rows.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    tried = written(pairs, "dart-pairs")
+    tried = written(in_bucket.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "dart-pairs")
     edges = written(_verified(tried, texts, similarity), "dart-links")
     labels = _labels(edges)
-    in_bucket = open_rows.select("bucket", "node")
-    for turn in range(rounds + 1):
-        labelled = in_bucket.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("lead")).filter("low <> high")
-        still = labelled.join(mixed.select("bucket", "lead"), "bucket")
-        if turn < rounds:
-            met = still.filter(F.col("label") != F.col("lead.label")).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
-        else:
-            other = labelled.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
-            met = still.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a")).join(other, "bucket").filter("a < b and label_a <> label_b").select("a", "b")
-        fresh = written(met.distinct().join(tried, ["a", "b"], "left_anti"), "dart-pairs")
-        if fresh.isEmpty():
-            if turn >= rounds:
-                break
-            continue
-        found = written(_verified(fresh, texts, similarity), "dart-links")
-        tried = tried.union(fresh)
-        if not found.isEmpty():
-            edges = edges.union(found)
-            labels = _labels(edges)
-        in_bucket = written(still.select("bucket", "node"), "dart-open") if turn < rounds else in_bucket
+    labelled = in_bucket.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("bucket")
+    still = written(labelled.join(mixed, "bucket"), "dart-open")
+
+    few = still.filter(F.col("n") <= SMALL)
+    left = few.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"))
+    right = few.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
+    pairs = left.join(right, "bucket").filter("a < b and label_a <> label_b").select("a", "b").distinct()
+    untried = pairs.join(tried, ["a", "b"], "left_anti")
+    many = still.filter(F.col("n") > SMALL).select(F.col("leader").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
+    many = written(many, "dart-groups")
+    more = _verified(untried, texts, similarity)
+    if not many.isEmpty():
+        more = more.union(_block_links(_labels(many), texts, similarity))
+    more = written(more, "dart-links")
+    if not more.isEmpty():
+        labels = _labels(edges.union(more))
     # Row counts and smallest ids: first by node, then (where they are asked for) by component.
     by_node = members.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("n"))
     return members, written(by_node.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "dart-nodes")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, class_id, class_size), one row for each row of docs."""
-    members, by_node = _grouped(docs, id_col, text_col, similarity, bands, rows, rounds)
+    members, by_node = _grouped(docs, id_col, text_col, similarity, bands, rows)
     by_label = by_node.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
     named = by_node.select("node", "label").join(by_label, "label").select("node", "class_id", "class_size")
     return members.join(named, "node").select(F.col("id").alias(id_col), "class_id", "class_size")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of docs, all columns, less all but one of each class: the one of the smallest id (a null id comes last)."""
-    members, by_node = _grouped(docs, id_col, text_col, similarity, bands, rows, rounds)
+    members, by_node = _grouped(docs, id_col, text_col, similarity, bands, rows)
     first = F.min(F.struct(F.col("low").isNull().alias("no_id"), "low", "node")).alias("first")
     chosen = by_node.groupBy("label").agg(first).select(F.col("first.node").alias("__node"), F.col("first.low").alias("__low"))
     columns = docs.columns
