@@ -51,29 +51,42 @@ class HammingIndex:
     """Fingerprints by the values of their blocks; a lookup returns all within the radius."""
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS):
-        self.prints, self.radius = prints, radius
+        self.prints, self.radius, self.most = prints, radius, radius // BLOCKS
         flips = [0]
-        for r in range(1, radius // BLOCKS + 1):
+        for r in range(1, self.most + 1):
             flips += [sum(1 << b for b in c) for c in combinations(range(_BITS), r)]
         self.flips = np.array(flips, np.uint64)
         self.blocks = []
         for b in range(BLOCKS):
-            value = (prints >> np.uint64(_BITS * b)) & np.uint64((1 << _BITS) - 1)
+            value = self._block(prints, b)
             order = np.argsort(value, kind="stable")
-            self.blocks.append((np.searchsorted(value[order], np.arange((1 << _BITS) + 1)), order))
-
-    def near(self, fingerprint: np.uint64) -> np.ndarray:
-        found = []
-        for b, (bounds, order) in enumerate(self.blocks):
-            value = ((fingerprint >> np.uint64(_BITS * b)) & np.uint64((1 << _BITS) - 1)) ^ self.flips
-            value = value.astype(np.int64)
-            first, last = bounds[value], bounds[value + 1]
-            full = last > first
-            found += [order[i:j] for i, j in zip(first[full], last[full], strict=True)]
-        if not found:
-            return np.zeros(0, np.int64)
-        ids = np.unique(np.concatenate(found))
-        return ids[np.bitwise_count(self.prints[ids] ^ fingerprint) <= self.radius]
+            distinct, first = np.unique(value[order], return_index=True)
+            self.blocks.append((distinct, np.append(first, len(order)), order))
+
+    @staticmethod
+    def _block(prints: np.ndarray, b: int) -> np.ndarray:
+        return (prints >> np.uint64(_BITS * b)) & np.uint64((1 << _BITS) - 1)
+
+    def near(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of marks, which fingerprint), each pair within the radius once."""
+        size, found = len(self.prints), [np.zeros(0, np.int64)]
+        for b, (distinct, bounds, order) in enumerate(self.blocks):
+            values = self._block(marks, b)
+            if len(distinct) <= len(self.flips):
+                # Fewer values than flips: hold each against all of them.
+                mark, at = np.nonzero(np.bitwise_count(values[:, None] ^ distinct[None, :]) <= self.most)
+            else:
+                tried = values[:, None] ^ self.flips[None, :]
+                place = np.minimum(np.searchsorted(distinct, tried), len(distinct) - 1)
+                mark, flip = np.nonzero(distinct[place] == tried)
+                at = place[mark, flip]
+            n = bounds[at + 1] - bounds[at]
+            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            found.append(np.repeat(mark, n) * size + order[np.repeat(bounds[at], n) + within])
+        pairs = np.unique(np.concatenate(found))
+        mark, item = pairs // max(size, 1), pairs % max(size, 1)
+        close = np.bitwise_count(self.prints[item] ^ marks[mark]) <= self.radius
+        return mark[close], item[close]
 
 
 class Benchmark:
@@ -84,31 +97,29 @@ class Benchmark:
         self.items = []
         for first, last, hashes, bounds, _ in shingles.text_shingles(pa.array(texts, pa.string())):
             self.items += [hashes[bounds[i] : bounds[i + 1]] for i in range(last - first)]
-        self.full = [i for i, h in enumerate(self.items) if len(h)]
-        prints = np.array([simhash(self.items[i], np.zeros(1, np.int64), len(self.items[i]))[0] for i in self.full], np.uint64)
-        self.index = HammingIndex(prints, radius)
         self.known = KnownShingles(np.concatenate([np.zeros(0, np.uint64), *self.items]))
-        self.sizes = sorted({len(self.items[i]) for i in self.full})
+        # A window meets the items of its own size only: one index for each size.
+        self.sizes: dict[int, tuple[list[int], HammingIndex]] = {}
+        for m in sorted({len(h) for h in self.items if len(h)}):
+            own = [i for i, h in enumerate(self.items) if len(h) == m]
+            prints = np.concatenate([simhash(self.items[i], np.zeros(1, np.int64), m) for i in own])
+            self.sizes[m] = own, HammingIndex(prints, radius)
 
     def matches(self, hashes: np.ndarray, hit: np.ndarray) -> dict[int, tuple[float, int]]:
         """Item -> (best similarity, first window that has it), for one text."""
         best: dict[int, tuple[float, int]] = {}
-        seen: dict[tuple[int, int], np.ndarray] = {}
-        for m in self.sizes:
+        for m, (own, index) in self.sizes.items():
             length = min(m, len(hashes))
             # Of a window of length and an item of m, the shared shingles are (m + length) s / (1 + s) at least.
             least = int(np.ceil((m + length) * self.similarity / (1 + self.similarity) - 1e-9))
             starts = windows(hit, length, least) if least <= length else np.zeros(0, np.int64)
             if not len(starts):
                 continue
-            for start, mark in zip(starts, simhash(hashes, starts, length), strict=True):
-                if (key := (int(mark), m)) not in seen:
-                    near = self.index.near(mark)
-                    seen[key] = [self.full[i] for i in near if len(self.items[self.full[i]]) == m]
-                for item in seen[key]:
-                    value = shingles.weighted_jaccard(hashes[start : start + length], self.items[item])
-                    if value >= self.similarity and value > best.get(item, (0.0, 0))[0]:
-                        best[item] = (value, int(start))
+            for w, i in zip(*index.near(simhash(hashes, starts, length)), strict=True):
+                item, start = own[i], int(starts[w])
+                value = shingles.weighted_jaccard(hashes[start : start + length], self.items[item])
+                if value >= self.similarity and value > best.get(item, (0.0, 0))[0]:
+                    best[item] = (value, start)
         return best
 
 
