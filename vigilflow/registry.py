@@ -22,3 +22,11 @@ def query(name: str, oracle: str | None = None):
         return function
 
     return register
+
+
+def load() -> None:
+    """Import the plan modules, which register their queries."""
+    from vigilflow.plans import enrichment, serving, stores  # noqa: F401
+
+
+load()
