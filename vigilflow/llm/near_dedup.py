@@ -134,22 +134,23 @@ def _node(text: Column, norm: Column) -> Column:
 
 
 def _labels(edges: DataFrame) -> DataFrame:
-    """(node, label): each linked node with the smallest node of its component.
+    """(node, label): each linked node with a node that stands for its component.
 
-    Each round, nodes take the smallest label around them, then that label's own (pointer jumping), so rounds
-    grow with the logarithm of a component's length. Every round is written out; the driver sees one count.
+    Rounds of contraction: each vertex takes the smallest vertex around it, and that one's own choice at once;
+    links are renamed, those inside a vertex go, equal ones become one. The links shrink each round, and so do the
+    joins; rounds grow with the logarithm of a component's length. Each round is written out.
     """
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
-    labels = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        taken = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
-        up = taken.select(F.col("node").alias("next"), F.col("next").alias("jump"))
-        jumped = taken.join(up, "next", "left").select("node", "label", F.least("next", F.coalesce("jump", "next")).alias("next"))
-        jumped = written(jumped, "labels")
-        labels = jumped.select("node", F.col("next").alias("label"))
-        if jumped.filter("next <> label").isEmpty():
-            return labels
+    links = edges
+    labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node"))
+    while not links.isEmpty():
+        both = links.select(F.col("a").alias("vertex"), F.col("b").alias("other")).union(links.select("b", "a"))
+        least = written(both.groupBy("vertex").agg(F.least(F.col("vertex"), F.min("other")).alias("to")), "labels")
+        up = least.select(F.col("vertex").alias("to"), F.col("to").alias("next"))
+        moves = written(least.join(up, "to").select("vertex", "next"), "labels")
+        of_a, of_b = moves.select(F.col("vertex").alias("a"), F.col("next").alias("to_a")), moves.select(F.col("vertex").alias("b"), F.col("next").alias("to_b"))
+        labels = written(labels.join(moves.withColumnRenamed("vertex", "label"), "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+        links = written(links.join(of_a, "a").join(of_b, "b").filter("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct(), "links")
+    return labels
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
