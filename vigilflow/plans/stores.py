@@ -1,0 +1,99 @@
+"""Queries of keyed stores: merges, retention, deletes, differences and fall-back reads over seeded stores."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vigilflow.operators import store
+from vigilflow.plans import seeded
+from vigilflow.plans.common import news, with_sql
+from vigilflow.plans.seeded import ITEMS_SQL
+from vigilflow.registry import query
+from vigilflow.session import table
+from vigilflow.sources.news import NEWS_SQL
+
+KEPT = ("fingerprint", "doc_id", "title", "language", "category", "threat_score", "tags", "actionability_level", "actionability_score", "source_credibility_score", "source_tier", "affected_platforms", "audience_targets", "published_at")
+
+
+def _old(spark, sf_dir):
+    """Two thirds of the items are stored already."""
+    return seeded.items(spark, sf_dir).filter("doc_id % 3 <> 0").select(*KEPT)
+
+
+def _new(spark, sf_dir):
+    """Half of the items come again, with other scores, tags and classes."""
+    d = F.col("doc_id")
+    rows = seeded.items(spark, sf_dir).filter(d % 2 == 0).select(*KEPT)
+    return rows.withColumns({"threat_score": (d * 13 % 101).cast("double"), "tags": F.array(F.concat(F.lit("t"), (d % 4).cast("string")), F.lit("new")), "category": F.lit("scam"), "actionability_score": d % 83 / 83.0})
+
+
+STORES_SQL = f"""{ITEMS_SQL},
+old AS (SELECT {', '.join(KEPT)} FROM items WHERE doc_id % 3 <> 0),
+fresh AS (SELECT {', '.join(KEPT)} REPLACE (CAST(doc_id * 13 % 101 AS DOUBLE) AS threat_score, ['t' || (doc_id % 4), 'new'] AS tags, 'scam' AS category, doc_id % 83 / 83.0::DOUBLE AS actionability_score) FROM items WHERE doc_id % 2 = 0)""".replace(f"SELECT {', '.join(KEPT)} REPLACE", "SELECT * REPLACE")
+_TAGS = "array_to_string(list_sort(list_distinct(list_concat(coalesce(o.tags, []), coalesce(n.tags, [])))), '|') AS tags"
+tags = F.array_join("tags", "|").alias("tags")
+
+
+@query("new_items_antijoin", with_sql(STORES_SQL, "SELECT fingerprint, doc_id FROM fresh WHERE fingerprint NOT IN (SELECT fingerprint FROM old)"))
+def new_items_antijoin(spark, sf_dir):
+    return store.fresh(_new(spark, sf_dir), _old(spark, sf_dir)).select("fingerprint", "doc_id")
+
+
+@query("upsert_merge_file", with_sql(STORES_SQL, f"SELECT fingerprint, coalesce(o.category, n.category) AS category, greatest(o.threat_score, n.threat_score) AS threat_score, {_TAGS}, o.fingerprint IS NULL AS is_new FROM old o FULL JOIN fresh n USING (fingerprint)"))
+def upsert_merge_file(spark, sf_dir):
+    return store.merge_file(_old(spark, sf_dir), _new(spark, sf_dir)).select("fingerprint", "category", "threat_score", tags, "is_new")
+
+
+@query("upsert_merge_db", with_sql(STORES_SQL, f"SELECT fingerprint, coalesce(n.category, o.category) AS category, greatest(o.threat_score, n.threat_score) AS threat_score, greatest(o.actionability_score, n.actionability_score) AS actionability_score, {_TAGS} FROM old o FULL JOIN fresh n USING (fingerprint)"))
+def upsert_merge_db(spark, sf_dir):
+    return store.merge_database(_old(spark, sf_dir), _new(spark, sf_dir)).select("fingerprint", "category", "threat_score", "actionability_score", tags)
+
+
+@query("batch_premerge", with_sql(NEWS_SQL, "SELECT fingerprint, max(doc_id) AS doc_id, arg_max(title, doc_id) AS title FROM news GROUP BY 1"))
+def batch_premerge(spark, sf_dir):
+    return store.premerged(news(spark, sf_dir).select("fingerprint", "doc_id", "title")).select("fingerprint", "doc_id", "title")
+
+
+@query("retention_topn", with_sql(ITEMS_SQL, "SELECT fingerprint, published_at FROM items ORDER BY published_at DESC, fingerprint LIMIT 200"))
+def retention_topn(spark, sf_dir):
+    return store.newest(seeded.items(spark, sf_dir), 200).select("fingerprint", "published_at")
+
+
+@query("keep_newest", with_sql(ITEMS_SQL, "SELECT p.fingerprint, p.locale FROM posts p WHERE p.fingerprint IN (SELECT fingerprint FROM items ORDER BY published_at DESC, fingerprint LIMIT 100)"))
+def keep_newest(spark, sf_dir):
+    """The posts of the newest 100 items; all others go."""
+    return store.only_keys(seeded.posts(spark, sf_dir), store.newest(seeded.items(spark, sf_dir), 100)).select("fingerprint", "locale")
+
+
+@query("delete_keys", with_sql(ITEMS_SQL, "SELECT fingerprint, locale FROM posts WHERE fingerprint NOT IN (SELECT fingerprint FROM items WHERE doc_id % 10 = 4)"))
+def delete_keys(spark, sf_dir):
+    return store.without_keys(seeded.posts(spark, sf_dir), seeded.items(spark, sf_dir).filter("doc_id % 10 = 4")).select("fingerprint", "locale")
+
+
+@query("store_diff_keys", with_sql(STORES_SQL, "SELECT fingerprint, CASE WHEN o.doc_id IS NULL THEN 'right' WHEN n.doc_id IS NULL THEN 'left' ELSE 'both' END AS side FROM old o FULL JOIN fresh n USING (fingerprint)"))
+def store_diff_keys(spark, sf_dir):
+    return store.key_difference(_old(spark, sf_dir), _new(spark, sf_dir), ["fingerprint"])
+
+
+@query("store_diff_fields", with_sql(STORES_SQL, """SELECT fingerprint, unnest(list_filter([CASE WHEN abs(o.threat_score - n.threat_score) > 1e-9 THEN 'threat_score' END, CASE WHEN list_sort(o.tags) <> list_sort(n.tags) THEN 'tags' END, CASE WHEN o.category <> n.category THEN 'category' END,
+  CASE WHEN abs(o.actionability_score - n.actionability_score) > 1e-9 THEN 'actionability_score' END], lambda x: x IS NOT NULL)) AS field FROM old o JOIN fresh n USING (fingerprint)"""))
+def store_diff_fields(spark, sf_dir):
+    return store.field_difference(_old(spark, sf_dir), _new(spark, sf_dir), ["fingerprint"])
+
+
+@query("dual_read", with_sql(STORES_SQL, "SELECT fingerprint, category FROM old UNION ALL SELECT fingerprint, category FROM fresh WHERE fingerprint NOT IN (SELECT fingerprint FROM old)"))
+def dual_read(spark, sf_dir):
+    return store.read_through(_old(spark, sf_dir), _new(spark, sf_dir)).select("fingerprint", "category")
+
+
+@query("denormalize_posts", with_sql(ITEMS_SQL, "SELECT p.fingerprint, p.locale, i.published_at, i.category, i.actionability_level FROM posts p LEFT JOIN (SELECT * FROM items WHERE doc_id % 9 <> 0) i USING (fingerprint)"))
+def denormalize_posts(spark, sf_dir):
+    """Items that were pruned leave nulls."""
+    return store.denormalized(seeded.posts(spark, sf_dir), seeded.items(spark, sf_dir).filter("doc_id % 9 <> 0")).select("fingerprint", "locale", "published_at", "category", "actionability_level")
+
+
+@query("segment_diff", "SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 'left' ELSE 'both' END AS side FROM customer")
+def segment_diff(spark, sf_dir):
+    """Key difference on a table of many rows: accounts against those up to 5000."""
+    c = table(spark, sf_dir, "customer")
+    return store.key_difference(c.select("c_custkey"), c.filter("c_acctbal <= 5000").select("c_custkey"), ["c_custkey"])
