@@ -82,26 +82,33 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
-def pieces(ends: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(token, start, end) in bytes: where tokens that end at ends overlap the sorted spans."""
-    starts, out = np.concatenate(([0], ends[:-1])), []
+def pieces(ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Rows (token, start, end) in bytes: where tokens that end at ends overlap the sorted spans."""
+    starts, out = np.concatenate(([0], ends[:-1])), [np.zeros((0, 3), np.int64)]
     for low, high in spans:
         if low == high:
             continue
         first, last = np.searchsorted(ends, low, side="right"), np.searchsorted(starts, high, side="left")
-        out += [(t, max(low, int(starts[t])), min(high, int(ends[t]))) for t in range(first, last)]
-    return out
+        out.append(np.stack((np.arange(first, last), np.maximum(low, starts[first:last]), np.minimum(high, ends[first:last])), axis=1))
+    return np.concatenate(out)
 
 
-def masked_text(rendered: str, masked: list[tuple[int, int, int]]) -> list[str]:
+def masked_text(rendered: str, masked: np.ndarray) -> list[str]:
     """The unescaped runs of text under the mask."""
-    data, runs = rendered.encode(), []
-    for _, start, end in masked:
-        if runs and runs[-1][1] == start:
-            runs[-1][1] = end
-        else:
-            runs.append([start, end])
-    return [unescape(data[a:b].decode()) for a, b in runs]
+    if not len(masked):
+        return []
+    data = rendered.encode()
+    fresh = np.flatnonzero(np.concatenate(([True], masked[1:, 1] != masked[:-1, 2])))
+    last = np.append(fresh[1:], len(masked)) - 1
+    return [unescape(data[a:b].decode()) for a, b in zip(masked[fresh, 1], masked[last, 2], strict=True)]
+
+
+def _lists(parts: list[np.ndarray], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(p) for p in parts]))), pa.int32()), values)
+
+
+def _structs(rows: np.ndarray, names: list[str], kinds: list[pa.DataType]) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(rows[:, i]).cast(k) for i, k in enumerate(kinds)], names=names)
 
 
 _SCHEMA = "conv_id {id}, formatted string, token_ids array<int>, token_ends array<int>, loss_mask array<boolean>, turn_spans array<struct<start:int,end:int,loss:boolean>>, loss_pieces array<struct<token:int,start:int,end:int>>"
@@ -118,26 +125,32 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", template: Te
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("formatted", "token_ids", "token_ends", "loss_mask", "turn_spans", "loss_pieces")}
-            for rows in batch.column(1).to_pylist():
-                text, spans = template.render([(r["role"], r["text"]) for r in rows])
-                ids, ends = tokens.encode(text, vocabulary)
+            texts, ids, ends, masks, turn_spans, masked = [], [], [], [], [], []
+            for rows in batch.column(1):
+                own = rows.as_py()
+                text, spans = template.render([(r["role"], r["text"]) for r in own])
+                token, end = tokens.encode(text, vocabulary)
                 data = np.frombuffer(text.encode(), np.uint8)
                 at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-                loss = [r["role"] in loss_roles for r in rows]
-                masked = pieces(ends, [(int(at[a]), int(at[b])) for (a, b), own in zip(spans, loss, strict=True) if own])
-                mask = np.zeros(len(ids), bool)
-                mask[[t for t, _, _ in masked]] = True
-                out["formatted"].append(text)
-                out["token_ids"].append(ids.astype(np.int32))
-                out["token_ends"].append(ends.astype(np.int32))
-                out["loss_mask"].append(mask)
-                out["turn_spans"].append([{"start": a, "end": b, "loss": own} for (a, b), own in zip(spans, loss, strict=True)])
-                out["loss_pieces"].append([{"token": t, "start": a, "end": b} for t, a, b in masked])
-            part = pa.struct([("token", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-            span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("loss", pa.bool_())])
-            kinds = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(span), pa.list_(part)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]], names=["conv_id", *out])
+                loss = np.array([r["role"] in loss_roles for r in own], bool)
+                part = pieces(end, [(int(at[a]), int(at[b])) for (a, b), chosen in zip(spans, loss, strict=True) if chosen])
+                mask = np.zeros(len(token), bool)
+                mask[part[:, 0]] = True
+                texts.append(text)
+                ids.append(token)
+                ends.append(end)
+                masks.append(mask)
+                turn_spans.append(np.column_stack((np.array(spans, np.int64).reshape(-1, 2), loss)))
+                masked.append(part)
+            if not texts:
+                continue
+            whole = lambda parts: np.concatenate(parts)
+            int32 = pa.int32()
+            columns = [
+                pa.array(texts, pa.string()), _lists(ids, pa.array(whole(ids)).cast(int32)), _lists(ends, pa.array(whole(ends)).cast(int32)), _lists(masks, pa.array(whole(masks))),
+                _lists(turn_spans, _structs(whole(turn_spans), ["start", "end", "loss"], [int32, int32, pa.bool_()])), _lists(masked, _structs(whole(masked), ["token", "start", "end"], [int32] * 3)),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["conv_id", "formatted", "token_ids", "token_ends", "loss_mask", "turn_spans", "loss_pieces"])
 
     return grouped.mapInArrow(render, _SCHEMA.format(id=turns.schema[id_col].dataType.simpleString()))
 
@@ -150,8 +163,12 @@ def digests(formatted: DataFrame, template: Template | None = None) -> DataFrame
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, masked in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                turns, said = template.parse(text), "".join(masked_text(text, [(m["token"], m["start"], m["end"]) for m in masked]))
+            lists = batch.column(2)
+            flat = lists.flatten()
+            every_piece = np.stack([flat.field(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
+            bounds = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                turns, said = template.parse(text), "".join(masked_text(text, every_piece[bounds[i] : bounds[i + 1]]))
                 every = "".join(f"{role}\n{content}\n" for role, content in turns)
                 rows.append((len(turns), hashlib.sha256(every.encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest(), len(text)))
             names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
