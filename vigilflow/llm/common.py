@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +39,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def limit_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows and bytes, so that long texts can't fill a worker's memory."""
+    """Bound the Arrow batches by rows and bytes, so that long texts can't fill a worker's memory.
+
+    Also tells Python workers where this package lies, for sessions that weren't started beside it.
+    """
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, environment.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from vigilflow.llm.common import limit_batches
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS = 8
+MAX_TOKENS = 12
 
 # The base patterns. Possessive repeats and a look-behind keep failing scans linear; they match the same
 # spans, as a match that fails from the first character of such a run fails from the others too.
