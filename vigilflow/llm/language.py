@@ -38,7 +38,7 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 SIZE = 1 << 12
-ROWS_PER_LANGUAGE, SAMPLE_ROWS = 800, 6000
+ROWS_PER_LANGUAGE, SAMPLE_ROWS = 500, 4000
 #: Steepness of the score: how sure a margin of one is.
 SLOPE = 3.0
 
