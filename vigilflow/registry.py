@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Import the plan modules, which register their queries."""
-    from vigilflow.plans import enrichment, serving, stores  # noqa: F401
+    from vigilflow.plans import editorial, enrichment, serving, stores  # noqa: F401
 
 
 load()
