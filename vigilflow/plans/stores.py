@@ -31,7 +31,9 @@ STORES_SQL = f"""{ITEMS_SQL},
 old AS (SELECT {', '.join(KEPT)} FROM items WHERE doc_id % 3 <> 0),
 fresh AS (SELECT {', '.join(KEPT)} REPLACE (CAST(doc_id * 13 % 101 AS DOUBLE) AS threat_score, ['t' || (doc_id % 4), 'new'] AS tags, 'scam' AS category, doc_id % 83 / 83.0::DOUBLE AS actionability_score) FROM items WHERE doc_id % 2 = 0)""".replace(f"SELECT {', '.join(KEPT)} REPLACE", "SELECT * REPLACE")
 _TAGS = "array_to_string(list_sort(list_distinct(list_concat(coalesce(o.tags, []), coalesce(n.tags, [])))), '|') AS tags"
-tags = F.array_join("tags", "|").alias("tags")
+def tags():
+    return F.array_join("tags", "|").alias("tags")
+
 
 
 @query("new_items_antijoin", with_sql(STORES_SQL, "SELECT fingerprint, doc_id FROM fresh WHERE fingerprint NOT IN (SELECT fingerprint FROM old)"))
@@ -41,12 +43,12 @@ def new_items_antijoin(spark, sf_dir):
 
 @query("upsert_merge_file", with_sql(STORES_SQL, f"SELECT fingerprint, coalesce(o.category, n.category) AS category, greatest(o.threat_score, n.threat_score) AS threat_score, {_TAGS}, o.fingerprint IS NULL AS is_new FROM old o FULL JOIN fresh n USING (fingerprint)"))
 def upsert_merge_file(spark, sf_dir):
-    return store.merge_file(_old(spark, sf_dir), _new(spark, sf_dir)).select("fingerprint", "category", "threat_score", tags, "is_new")
+    return store.merge_file(_old(spark, sf_dir), _new(spark, sf_dir)).select("fingerprint", "category", "threat_score", tags(), "is_new")
 
 
 @query("upsert_merge_db", with_sql(STORES_SQL, f"SELECT fingerprint, coalesce(n.category, o.category) AS category, greatest(o.threat_score, n.threat_score) AS threat_score, greatest(o.actionability_score, n.actionability_score) AS actionability_score, {_TAGS} FROM old o FULL JOIN fresh n USING (fingerprint)"))
 def upsert_merge_db(spark, sf_dir):
-    return store.merge_database(_old(spark, sf_dir), _new(spark, sf_dir)).select("fingerprint", "category", "threat_score", "actionability_score", tags)
+    return store.merge_database(_old(spark, sf_dir), _new(spark, sf_dir)).select("fingerprint", "category", "threat_score", "actionability_score", tags())
 
 
 @query("batch_premerge", with_sql(NEWS_SQL, "SELECT fingerprint, max(doc_id) AS doc_id, arg_max(title, doc_id) AS title FROM news GROUP BY 1"))
