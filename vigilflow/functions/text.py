@@ -69,16 +69,18 @@ def _count(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, ""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, wherever the optimizer puts the whole."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def detect_language(text: Column) -> Column:
     """en, ua, other (Cyrillic without Ukrainian letters) or unknown (under four letters)."""
-    text = F.coalesce(text, F.lit(""))
-    cyrillic, latin = _count(text, r"[^Ѐ-ӿ]"), _count(text, "[^A-Za-z]")
-    return (
-        F.when(cyrillic + latin < 4, "unknown")
-        .when(cyrillic / (cyrillic + latin) < 0.3, "en")
-        .when(text.rlike("[їєґіЇЄҐІ]"), "ua")
-        .otherwise("other")
-    )
+    def decide(t: Column) -> Column:
+        counts = F.struct(_count(t, r"[^Ѐ-ӿ]").alias("cyrillic"), _count(t, "[^A-Za-z]").alias("latin"))
+        return let(counts, lambda c: F.when(c["cyrillic"] + c["latin"] < 4, "unknown").when(c["cyrillic"] / (c["cyrillic"] + c["latin"]) < 0.3, "en").when(t.rlike("[їєґіЇЄҐІ]"), "ua").otherwise("other"))
+
+    return let(F.coalesce(text, F.lit("")), decide)
 
 
 def wrong_script(text: Column, language: Column) -> Column:
