@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from vigilflow.functions import editorial as ed
 from vigilflow.functions import editorial_vocab as ev
-from vigilflow.operators import render
+from vigilflow.functions import copy_vocab as cv
+from vigilflow.operators import copy, render
 from vigilflow.plans import seeded
 from vigilflow.plans.common import news, with_sql
 from vigilflow.plans.seeded import ITEMS_SQL
 from vigilflow.registry import query
 from vigilflow.session import table
-from vigilflow.sources.news import NEWS_SQL, array_sql
+from vigilflow.sources.news import NEWS_SQL, array_sql, quoted
 
 
 @query("strip_fluff")
@@ -135,3 +136,30 @@ def validate_post(spark, sf_dir):
     })
     rows = render.with_tokens(rows, summary_tokens=F.col("short_summary"), source_tokens=F.lit("another body with other words in it"))
     return rows.select("fingerprint", "locale", render.failure_reason(F.col("locale")).alias("reason"))
+
+
+_POOL = {"phishing": ["Do not click links", "Do not reply", "Do not pay"], "scam": ["Do not call back", "Do not share codes", "Do not hurry"]}
+_TABLES = copy.CopyTables(avoids=_POOL, hints={"windows": ["Run Windows Update", "Open Windows Security"]}, why={"default|fyi": ["Worth knowing."], "default|urgent": ["Act now.", "It spreads."], "scam|soon": ["Money is at stake."]})
+_SEED = "(('0x' || substr(fingerprint, 1, 8))::BIGINT + {})"
+_NOUN = "CASE category " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in cv.NOUNS_EN.items()) + f" ELSE {quoted(cv.NOUNS_EN['default'])} END"
+
+
+@query("editorial_brief", with_sql(ITEMS_SQL, f"""SELECT fingerprint, source || ' ' || CASE WHEN actionability_level = 'urgent_action' THEN {quoted(cv.URGENT_VERB_EN)} ELSE {array_sql(cv.VERBS_EN)}[{_SEED.format(42 * 0x9E3779B9)} % {len(cv.VERBS_EN)} + 1] END
+  || ' ' || {_NOUN} || replace({quoted(cv.PLATFORM_PHRASE_EN)}, '{{platforms}}', array_to_string(affected_platforms, ' and ')) || '.' AS brief FROM items"""))
+def editorial_brief(spark, sf_dir):
+    return seeded.items(spark, sf_dir).select("fingerprint", copy.brief("en").alias("brief"))
+
+
+@query("card_lists", with_sql(ITEMS_SQL, f"""SELECT fingerprint,
+  CASE WHEN category IN ('phishing', 'scam') THEN array_to_string(list_concat(p, p)[{_SEED.format(0x9E3779B9)} % 3 + 1 : {_SEED.format(0x9E3779B9)} % 3 + 2], '|') ELSE '' END AS avoid,
+  CASE WHEN category = 'scam' AND bucket = 'soon' THEN 'Money is at stake.' WHEN bucket = 'urgent' THEN ['Act now.', 'It spreads.'][{_SEED.format(0)} % 2 + 1] ELSE 'Worth knowing.' END AS why
+  FROM (SELECT *, CASE WHEN category = 'phishing' THEN {array_sql(_POOL['phishing'])} ELSE {array_sql(_POOL['scam'])} END AS p,
+    CASE WHEN actionability_level = 'urgent_action' THEN 'urgent' WHEN actionability_level = 'recommended_action' OR threat_score >= 50 THEN 'soon' ELSE 'fyi' END AS bucket FROM items)"""))
+def card_lists(spark, sf_dir):
+    return seeded.items(spark, sf_dir).select("fingerprint", F.array_join(copy.what_not_to_do(_TABLES), "|").alias("avoid"), copy.why_it_matters(_TABLES).alias("why"))
+
+
+@query("rule_based_cards")
+def rule_based_cards(spark, sf_dir):
+    """Whole cards; their parts have oracles of their own."""
+    return copy.cards(seeded.items(spark, sf_dir), _TABLES)
