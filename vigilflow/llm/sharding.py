@@ -187,7 +187,9 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long")
     rows = docs.select(*[c for c in docs.columns if c not in ("shard", "slot", "size_bytes")], named.alias("__id"), crc.alias("__crc"), size.alias("__bytes"))
-    rows = rows.withColumn("__turn", F.row_number().over(one.orderBy("__id")))
+    # Rows that repeat a document are numbered by all they hold, so that a task that is run again agrees.
+    hashable = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = rows.withColumn("__turn", F.row_number().over(one.orderBy(F.xxhash64(*[F.col(c) for c in hashable if c in rows.columns]))))
     p = places.select(*[F.col(c).alias(f"{c}_p") for c in ("__id", "__crc", "__bytes", "__turn")], "shard", "slot")
     match = F.col("__id").eqNullSafe(F.col("__id_p")) & (F.col("__crc") == F.col("__crc_p")) & (F.col("__bytes") == F.col("__bytes_p")) & (F.col("__turn") == F.col("__turn_p"))
     joined = rows.join(p, match)
