@@ -12,7 +12,7 @@ from vigilflow.plans import seeded
 from vigilflow.plans.common import news, with_sql
 from vigilflow.plans.seeded import ITEMS_SQL
 from vigilflow.registry import query
-from vigilflow.session import table
+from vigilflow.session import spread, table
 from vigilflow.sources.news import NEWS_SQL, array_sql, quoted
 
 
@@ -25,7 +25,7 @@ def strip_fluff(spark, sf_dir):
 @query("cliche_probe", f"SELECT doc_id, list_filter({array_sql((*ev.CLICHES_EN, *ev.CLICHES_UA))}, lambda k: contains(lower(text || CASE WHEN doc_id % 3 = 0 THEN ' {ev.CLICHES_EN[2].replace(chr(39), chr(39) * 2)}' ELSE '' END), k))[1] AS cliche FROM documents")
 def cliche_probe(spark, sf_dir):
     seeded_text = F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.lit(" " + ev.CLICHES_EN[2])).otherwise(""))
-    return table(spark, sf_dir, "documents").select("doc_id", ed.cliche(seeded_text).alias("cliche"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", ed.cliche(seeded_text).alias("cliche"))
 
 
 @query("russism_probe", with_sql(NEWS_SQL, f"SELECT doc_id, list_filter({array_sql(ev.RUSSISMS)}, lambda k: contains(lower(title || CASE WHEN doc_id % 4 = 0 THEN ' {ev.RUSSISMS[1]}' ELSE '' END), k))[1] AS stem FROM news"))
@@ -36,7 +36,7 @@ def russism_probe(spark, sf_dir):
 
 @query("foreign_character", "SELECT doc_id, nullif(regexp_extract(text || CASE WHEN doc_id % 5 = 0 THEN ' 漢字' ELSE '' END, '([^\\x{0000}-\\x{007F}\\x{00A0}-\\x{024F}\\x{0300}-\\x{036F}\\x{0400}-\\x{04FF}\\x{2000}-\\x{20CF}\\x{2190}-\\x{22FF}\\x{2500}-\\x{257F}\\x{2600}-\\x{27BF}])', 1), '') AS found FROM documents")
 def foreign_character(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", ed.foreign_character(F.concat("text", F.when(F.col("doc_id") % 5 == 0, " 漢字").otherwise(""))).alias("found"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", ed.foreign_character(F.concat("text", F.when(F.col("doc_id") % 5 == 0, " 漢字").otherwise(""))).alias("found"))
 
 
 @query("ukrainian_glossary")
@@ -50,7 +50,7 @@ def ukrainian_glossary(spark, sf_dir):
   FROM (SELECT doc_id, text, length(regexp_extract(substr(text, 1, 1200), '(?s)^(.*)\n\n', 1)) AS p, length(regexp_extract(substr(text, 1, 1200), '(?s)^(.*)\. ', 1)) AS a, length(regexp_extract(substr(text, 1, 1200), '(?s)^(.*)! ', 1)) AS b,
     length(regexp_extract(substr(text, 1, 1200), '(?s)^(.*)\? ', 1)) AS c, length(regexp_extract(substr(text, 1, 1200), '(?s)^(.*)\.\n', 1)) AS d FROM documents)""")
 def source_excerpt(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", ed.source_excerpt(F.col("text")).alias("excerpt"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", ed.source_excerpt(F.col("text")).alias("excerpt"))
 
 
 @query("post_title", with_sql(NEWS_SQL, f"""SELECT doc_id, array_to_string(list_transform(string_split(upper(title), ' '), lambda w: CASE WHEN regexp_matches(w, '[0-9]') OR list_contains({array_sql(ev.ACRONYMS)}, w) OR NOT regexp_matches(w, '\\p{{L}}') THEN w ELSE upper(substr(w, 1, 1)) || lower(substr(w, 2)) END), ' ') AS title FROM news"""))
@@ -61,7 +61,7 @@ def post_title(spark, sf_dir):
 @query("proxy_url", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://proxy.example/?u=' || url_encode(u) ELSE u END AS url FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://ain.ua/a%20b?x=' ELSE 'https://other.example/' END || page_id AS u FROM pages)")
 def proxy_url(spark, sf_dir):
     url = F.concat(F.when(F.col("page_id") % 2 == 0, "https://ain.ua/a%20b?x=").otherwise("https://other.example/"), F.col("page_id").cast("string"))
-    return table(spark, sf_dir, "pages").select("page_id", ed.proxied(url, "https://proxy.example/?u=").alias("url"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", ed.proxied(url, "https://proxy.example/?u=").alias("url"))
 
 
 @query("entry_time", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN TIMESTAMP '2024-02-01' ELSE date_trunc('day', ts) END AS at FROM events")

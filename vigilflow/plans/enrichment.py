@@ -9,7 +9,7 @@ from vigilflow.functions import vocab
 from vigilflow.operators import enrich
 from vigilflow.plans.common import CLASSIFIED_SQL, RELEVANCE_SQL, SCORED_SQL, SIGNALS_SQL, STORIES_SQL, TEXT_SQL, news, with_sql
 from vigilflow.registry import query
-from vigilflow.session import table
+from vigilflow.session import spread, table
 from vigilflow.sources.news import NEWS_SQL, NOW, hits_sql, language_sql, title_tokens_sql, tokens_sql
 
 
@@ -24,13 +24,13 @@ def fingerprint(spark, sf_dir):
 
 @query("strip_html", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM pages")
 def strip_html(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.strip_html(F.col("html")).alias("body"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", tx.strip_html(F.col("html")).alias("body"))
 
 
 @query("tokens", f"SELECT doc_id, CAST(len({tokens_sql('text')}) AS BIGINT) AS n_tokens, list_aggregate(list_sort({tokens_sql('text')}), 'string_agg', ' ') AS tokens FROM documents")
 def tokens(spark, sf_dir):
     toks = tx.tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(toks).cast("long").alias("n_tokens"), F.array_join(F.array_sort(toks), " ").alias("tokens"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.size(toks).cast("long").alias("n_tokens"), F.array_join(F.array_sort(toks), " ").alias("tokens"))
 
 
 @query("title_tokens", with_sql(NEWS_SQL, f"SELECT doc_id, list_aggregate(list_sort({title_tokens_sql('title')}), 'string_agg', ' ') AS tokens FROM news"))

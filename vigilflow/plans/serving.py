@@ -10,7 +10,7 @@ from vigilflow.plans import seeded
 from vigilflow.plans.common import CLASSIFIED_SQL, SCORED_SQL, SIGNALS_SQL, news, with_sql
 from vigilflow.plans.seeded import ITEMS_SQL
 from vigilflow.registry import query
-from vigilflow.session import table
+from vigilflow.session import spread, table
 from vigilflow.sources.news import NEWS_SQL, NOW, array_sql
 
 LEVEL_SQL = "CASE {} WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END"
@@ -172,7 +172,7 @@ def translations(spark, sf_dir):
 
 @query("wrong_script", f"SELECT doc_id, {wrong_script_sql('text', chr(39) + 'en' + chr(39))} AS not_en, {wrong_script_sql('text', chr(39) + 'ua' + chr(39))} AS not_ua FROM documents")
 def wrong_script(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.wrong_script(F.col("text"), F.lit("en")).alias("not_en"), tx.wrong_script(F.col("text"), F.lit("ua")).alias("not_ua"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", tx.wrong_script(F.col("text"), F.lit("en")).alias("not_en"), tx.wrong_script(F.col("text"), F.lit("ua")).alias("not_ua"))
 
 
 _URGENCY = "CASE WHEN actionability_level = 'urgent_action' THEN {} WHEN actionability_level = 'recommended_action' THEN {} ELSE {} END"
@@ -194,7 +194,7 @@ _WORDS = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''
 
 @query("reading_time", f"SELECT doc_id, CAST(greatest(15, least(45, {_WORDS} // 3)) AS INTEGER) AS seconds, CAST(greatest(5, round_even({_WORDS} / 3.0::DOUBLE / 5, 0) * 5) AS INTEGER) AS card_seconds FROM documents")
 def reading_time(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", render.reading_seconds(F.col("text")).alias("seconds"), render.card_seconds(F.col("text")).alias("card_seconds"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", render.reading_seconds(F.col("text")).alias("seconds"), render.card_seconds(F.col("text")).alias("card_seconds"))
 
 
 POOL = ["Update the app", "Change the password", "Enable two-factor login", "Check bank statements", "Report the message"]
@@ -272,7 +272,7 @@ def quality_counters(spark, sf_dir):
 
 def _messages(spark, sf_dir):
     d = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(F.element_at(tx.literal_array(_MESSAGES), (d * d % 6 + 1).cast("int")).alias("message"))
+    return spread(table(spark, sf_dir, "documents")).select(F.element_at(tx.literal_array(_MESSAGES), (d * d % 6 + 1).cast("int")).alias("message"))
 
 
 @query("top_failures", f"SELECT message, count(*) AS n FROM (SELECT {array_sql(_MESSAGES)}[doc_id * doc_id % 6 + 1] AS message FROM documents) GROUP BY 1 ORDER BY n DESC, message LIMIT 3")
@@ -294,7 +294,7 @@ _SH = r"list_distinct(list_transform(range(1, len({0}) - 3), lambda i: array_to_
   SELECT doc_id, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE round(len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE), 6) END AS ratio FROM t""")
 def near_copy(spark, sf_dir):
     """How near the first 400 characters (a summary that copies) come to the whole."""
-    rows = render.with_tokens(table(spark, sf_dir, "documents"), head=F.substring("text", 1, 400), whole=F.col("text"))
+    rows = render.with_tokens(spread(table(spark, sf_dir, "documents")), head=F.substring("text", 1, 400), whole=F.col("text"))
     return rows.select("doc_id", F.round(render.near_copy(F.col("head"), F.col("whole")), 6).alias("ratio"))
 
 

@@ -29,3 +29,13 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the input tables of a data folder."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df):
+    """Rows over all cores where a small input comes as fewer partitions (a file of one row group is one task).
+
+    Text functions cost far more than moving such an input; an input of as many splits as cores stays as it is,
+    so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
