@@ -15,11 +15,11 @@ TEMPLATES = (("en", "default", "general"), ("en", "phishing", "normal_users"), (
 
 def sentences(text: Column) -> Column:
     parts = F.split(F.coalesce(text, F.lit("")), r"(?U)(?<=[.!?])\s+(?=[A-ZА-ЯЇІЄҐ])")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n{2,}"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n{2,}"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def _any(patterns) -> str:

@@ -42,8 +42,8 @@ def merged_counters(*parts: DataFrame) -> DataFrame:
 
 # Prefixes of rejections, in order, and the counters that they raise.
 REJECTIONS = (
-    ("near-copy", "plagiarism_rejects"), ("short_summary reads as a near-copy", "plagiarism_rejects"), ("why_it_matters reads as a near-copy", "plagiarism_rejects"),
-    ("AI cliché", "cliche_rejects"), ("empty", "empty_field_rejects"), ("duplicate", "dup_rec_rejects"), ("summary echoes title", "title_echo_rejects"), ("hallucinated threat_level", "hallucinated_threat_level"),
+    ("near-copy", "plagiarism_rejects"), ("AI cliché", "cliche_rejects"), ("empty", "empty_field_rejects"), ("duplicate entries", "dup_rec_rejects"),
+    ("summary echoes title", "title_echo_rejects"), ("hallucinated threat_level", "hallucinated_threat_level"),
 )
 
 
@@ -55,5 +55,11 @@ def rejection_counter(message: Column) -> Column:
     return found
 
 
+def rejection_counters(messages: DataFrame) -> DataFrame:
+    """(name, value): every rejection raises the general counter, and its own where its prefix is known."""
+    both = F.array(F.lit("ai_validation_rejects"), rejection_counter(F.trim("message")))
+    return messages.select(F.explode(F.filter(both, lambda c: c.isNotNull())).alias("name")).groupBy("name").agg(F.count("*").alias("value"))
+
+
 def top_messages(messages: DataFrame, n: int = 10) -> DataFrame:
     return messages.groupBy("message").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "message").limit(n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilflow.functions import editorial as ed
 from vigilflow.functions import text as tx
 
 # Labels of quick facts.
@@ -119,15 +120,31 @@ def with_tokens(rows: DataFrame, **columns: Column) -> DataFrame:
 
 
 def failure_reason(language: Column) -> Column:
-    """The first check that a post fails, else null; needs title, short_summary, why_it_matters, threat_level, lists, source_title, summary_tokens, source_tokens."""
+    """The first check that a post fails, else null; cheap checks first.
+
+    Rows need title, short_summary, why_it_matters, detail_body, threat_level, the lists affected_users, what_to_do and
+    what_not_to_do, source_title, and the tokens (with_tokens) summary_tokens, why_tokens, source_tokens.
+    """
     norm = lambda c: F.regexp_replace(F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " "))), "[.!?…]+$", "")
+    full = lambda c: F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
+    quoted = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
     title, summary, why = F.trim("title"), F.trim("short_summary"), F.trim("why_it_matters")
+    do, avoid, users = full("what_to_do"), full("what_not_to_do"), full("affected_users")
     own, said = norm(F.col("source_title")), norm(summary)
     echo = (F.length("source_title") >= 30) & (own != "") & F.contains(said, own) & (F.length(said) <= F.length(own) + 25)
+    blob = F.lower(F.concat_ws(" ", title, summary, why, F.array_join(do, " "), F.array_join(avoid, " "), F.array_join(users, " ")))
+    fluffy = lambda c: F.when(language == "ua", ed.contains_fluff(c, "ua")).when(language == "en", ed.contains_fluff(c, "en")).otherwise(False)
+    copied = lambda c: near_copy(F.col(c), F.col("source_tokens")) >= 0.25
+    in_ua = language == "ua"
     return F.coalesce(
         F.when(title == "", "empty title"), F.when(summary == "", "empty short_summary"), F.when(why == "", "empty why_it_matters"),
-        F.when(tx.wrong_script(title, language), "title is not in target language"), F.when(tx.wrong_script(summary, language), "short_summary is not in target language"),
-        F.when(~F.col("threat_level").isin("Critical", "High", "Medium", "Low"), "hallucinated threat_level"), F.when(F.size("what_to_do") == 0, "empty what_to_do list"),
-        F.when(F.size("affected_users") == 0, "empty affected_users list"), F.when(echo, "summary echoes title verbatim"), F.when(has_duplicates(F.col("what_to_do")), "duplicate entries in what_to_do"),
-        F.when(near_copy(F.col("summary_tokens"), F.col("source_tokens")) >= 0.25, "short_summary reads as a near-copy of source"),
+        F.when(tx.wrong_script(title, language), F.concat(F.lit("title is not in target language "), quoted(language), F.lit(": "), quoted(F.substring(title, 1, 80)))),
+        F.when(tx.wrong_script(summary, language), F.concat(F.lit("short_summary is not in target language "), quoted(language))),
+        F.when(~F.trim("threat_level").isin("Critical", "High", "Medium", "Low"), F.concat(F.lit("hallucinated threat_level: "), quoted(F.trim("threat_level")))),
+        F.when(F.size(do) == 0, "empty what_to_do list"), F.when(F.size(users) == 0, "empty affected_users list"), F.when(echo, "summary echoes title verbatim"),
+        F.when(has_duplicates(do), "duplicate entries in what_to_do"), F.when(has_duplicates(avoid), "duplicate entries in what_not_to_do"),
+        F.concat(F.lit("AI cliché detected: "), quoted(ed.cliche(blob))),
+        F.when(in_ua, F.concat(F.lit("Russism stem in UA output: "), quoted(ed.russism(blob)))), F.when(in_ua, F.concat(F.lit("Foreign-script character in UA output: "), quoted(ed.foreign_character(blob)))),
+        *[F.when(fluffy(F.col(c)), f"editorial fluff persisted in {c}") for c in ("short_summary", "why_it_matters", "detail_body")],
+        F.when(copied("summary_tokens"), "short_summary reads as a near-copy of source"), F.when(copied("why_tokens"), "why_it_matters reads as a near-copy of source"),
     )

@@ -127,14 +127,14 @@ def platform_names(spark, sf_dir):
     return seeded.items(spark, sf_dir).select("fingerprint", render.platform_list(F.col("affected_platforms")).alias("names"))
 
 
-@query("validate_post", with_sql(ITEMS_SQL, """SELECT fingerprint, locale, CASE WHEN doc_id % 8 = 0 THEN 'empty title' WHEN doc_id % 8 = 1 THEN 'hallucinated threat_level' WHEN len(what_to_do) = 0 THEN 'empty what_to_do list' WHEN doc_id % 8 = 2 THEN 'duplicate entries in what_to_do' END AS reason FROM posts WHERE locale = 'en'"""))
+@query("validate_post", with_sql(ITEMS_SQL, f"""SELECT fingerprint, locale, CASE WHEN doc_id % 8 = 0 THEN 'empty title' WHEN doc_id % 8 = 1 THEN 'hallucinated threat_level: ''Severe''' WHEN len(what_to_do) = 0 THEN 'empty what_to_do list' WHEN doc_id % 8 = 2 THEN 'duplicate entries in what_to_do' WHEN doc_id % 8 = 6 THEN 'AI cliché detected: ' || chr(39) || {quoted(ev.CLICHES_EN[2])} || chr(39) WHEN doc_id % 8 = 4 THEN 'why_it_matters reads as a near-copy of source' END AS reason FROM posts WHERE locale = 'en'"""))
 def validate_post(spark, sf_dir):
     d = F.col("doc_id") % 8
     rows = seeded.posts(spark, sf_dir).filter("locale = 'en'").withColumns({
-        "title": F.when(d == 0, " ").otherwise(F.lit("A plain title")), "threat_level": F.when(d == 1, "Severe").otherwise(F.col("threat_level")), "why_it_matters": F.lit("Because it spreads"),
+        "title": F.when(d == 0, " ").otherwise(F.lit("A plain title")), "threat_level": F.when(d == 1, "Severe").otherwise(F.col("threat_level")), "why_it_matters": F.when(d == 6, ev.CLICHES_EN[2]).when(d == 4, "one two three four five six seven").otherwise("Because it spreads"), "detail_body": F.lit(""), "what_not_to_do": F.array(F.lit("Wait")),
         "what_to_do": F.when((d == 2) & (F.size("what_to_do") > 0), F.array(F.lit("Update now."), F.lit("update  NOW"))).otherwise(F.col("what_to_do")), "affected_users": F.array(F.lit("Everyone")), "source_title": F.col("title"),
     })
-    rows = render.with_tokens(rows, summary_tokens=F.col("short_summary"), source_tokens=F.lit("another body with other words in it"))
+    rows = render.with_tokens(rows, summary_tokens=F.col("short_summary"), why_tokens=F.col("why_it_matters"), source_tokens=F.lit("Zero one two three four five six seven eight"))
     return rows.select("fingerprint", "locale", render.failure_reason(F.col("locale")).alias("reason"))
 
 

@@ -264,10 +264,11 @@ def event_rates(spark, sf_dir):
 _MESSAGES = ("empty title", "AI cliché detected: 'x'", "duplicate entries in what_to_do", "summary echoes title verbatim", "near-copy of the body", "something new")
 
 
-@query("quality_counters", f"""SELECT CASE WHEN m LIKE 'near-copy%' THEN 'plagiarism_rejects' WHEN m LIKE 'ai clich%' THEN 'cliche_rejects' WHEN m LIKE 'empty%' THEN 'empty_field_rejects' WHEN m LIKE 'duplicate%' THEN 'dup_rec_rejects' WHEN m LIKE 'summary echoes title%' THEN 'title_echo_rejects' ELSE 'ai_validation_rejects' END AS name, count(*) AS value
-  FROM (SELECT lower({array_sql(_MESSAGES)}[doc_id * doc_id % 6 + 1]) AS m FROM documents) GROUP BY 1""")
+@query("quality_counters", f"""WITH m AS (SELECT lower({array_sql(_MESSAGES)}[doc_id * doc_id % 6 + 1]) AS m FROM documents)
+  SELECT 'ai_validation_rejects' AS name, count(*) AS value FROM m UNION ALL SELECT * FROM (SELECT CASE WHEN m LIKE 'near-copy%' THEN 'plagiarism_rejects' WHEN m LIKE 'ai clich%' THEN 'cliche_rejects' WHEN m LIKE 'empty%' THEN 'empty_field_rejects'
+    WHEN m LIKE 'duplicate entries%' THEN 'dup_rec_rejects' WHEN m LIKE 'summary echoes title%' THEN 'title_echo_rejects' END AS name, count(*) AS value FROM m GROUP BY 1) WHERE name IS NOT NULL""")
 def quality_counters(spark, sf_dir):
-    return _messages(spark, sf_dir).groupBy(F.coalesce(health.rejection_counter(F.col("message")), F.lit("ai_validation_rejects")).alias("name")).agg(F.count("*").alias("value"))
+    return health.rejection_counters(_messages(spark, sf_dir))
 
 
 def _messages(spark, sf_dir):
