@@ -172,7 +172,7 @@ def test_language_families_split_by_pairs():
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "conversations"):
+    for table in ("documents", "embeddings", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = sorted(map(tuple, con.sql(f"SELECT {', '.join(sorted(queries.QUERIES[name](spark, SF).columns))} FROM ({queries.ORACLES[name]})").fetchall()))
     frame = queries.QUERIES[name](spark, SF)

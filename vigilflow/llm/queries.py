@@ -144,6 +144,52 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+
+
+_SHINGLES = "CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END"
+_WORDS = r"list_filter(string_split(regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
+#: Every window of every text that shares a shingle with a template, compared directly.
+ORACLES["op5_license_scan"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), s AS (SELECT doc_id, {_SHINGLES} AS sh FROM d),
+t0 AS (SELECT template, license, {_WORDS.format("body")} AS w FROM (VALUES {_values((i, n, t) for i, (n, t) in enumerate(licenses.TEMPLATES))}) v(template, license, body)),
+t AS (SELECT template, license, list_distinct({_SHINGLES}) AS ts, len(list_distinct({_SHINGLES})) AS m FROM t0),
+p AS (SELECT *, len(sh) AS n, greatest(1, m // 2) AS stride, least(m + greatest(1, m // 2) - 1, len(sh)) AS length FROM s JOIN t ON list_has_any(sh, ts)),
+w AS (SELECT *, unnest(list_distinct(list_append(range(0, n - length + 1, stride), n - length))) AS start FROM p),
+c AS (SELECT doc_id, license, template, start, len(list_intersect(list_distinct(sh[start + 1 : start + length]), ts)) / CAST(m AS DOUBLE) AS containment FROM w)
+SELECT doc_id, license, CAST(template AS INTEGER) AS template, containment, CAST(start AS INTEGER) AS word_start
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, template ORDER BY containment DESC, start) AS place FROM c WHERE containment >= 0.8) WHERE place = 1
+"""
+
+
+#: Every item-sized window of every text that shares a shingle with the item, compared directly.
+ORACLES["op4_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), s AS (SELECT doc_id, len(w) AS words, {_SHINGLES} AS sh FROM d),
+i0 AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark), i AS (SELECT item_id, {_SHINGLES} AS ish FROM i0),
+p AS (SELECT *, len(sh) AS n, least(len(ish), len(sh)) AS length FROM s JOIN i ON list_has_any(sh, ish)),
+w AS (SELECT doc_id, item_id, words, ish, start, sh[start + 1 : start + length] AS win FROM (SELECT *, unnest(range(0, n - length + 1)) AS start FROM p)),
+c AS (SELECT doc_id, item_id, words, start, len(win) + len(ish) AS total, len(ish) AS m,
+  list_sum(list_transform(list_distinct(ish), lambda x: least(len(list_filter(win, lambda y: y = x)), len(list_filter(ish, lambda y: y = x))))) AS same FROM w),
+r AS (SELECT *, CAST(same AS DOUBLE) / (total - same) AS similarity FROM c)
+SELECT doc_id, item_id, similarity, CAST(start AS INTEGER) AS word_start, CAST(least(m + 4, words) AS INTEGER) AS n_words
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS place FROM r WHERE similarity >= 0.8) WHERE place = 1
+"""
+
+#: Weighted Jaccard of all pairs that share a shingle, and what the links reach.
+ORACLES["op10_near_dedup"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, text, {_WORDS.format("text")} AS w FROM documents), s AS (SELECT doc_id, text, w, {_SHINGLES} AS sh FROM d),
+c AS (SELECT doc_id, sh, count(*) AS n FROM (SELECT doc_id, unnest(sh) AS sh FROM s) GROUP BY ALL),
+z AS (SELECT doc_id, sum(n) AS size FROM c GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS same FROM c a JOIN c b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN z x ON x.doc_id = p.a JOIN z y ON y.doc_id = p.b WHERE same / CAST(x.size + y.size - same AS DOUBLE) >= 0.8
+  UNION SELECT a.doc_id, b.doc_id FROM s a JOIN s b ON a.text IS NOT DISTINCT FROM b.text AND len(a.w) = 0 AND len(b.w) = 0),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b)
+SELECT a AS doc_id, min(b) AS class_id, count(*) AS class_size FROM reach GROUP BY 1
+"""
+
+
 @_query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(_table(spark, sf_dir, "documents")))
