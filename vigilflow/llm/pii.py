@@ -90,7 +90,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 # Zones that the field reads: digit groups with single separators, and spelled-out addresses.
-_NUMBERS = re.compile(r"(?<![\w@.])\(?[0-9][0-9]*+(?:[\x20().,/-]{1,2}[0-9]++){0,11}+(?![\w@])")
+_NUMBERS = re.compile(r"(?<![\w@.])\+?\(?[0-9][0-9]*+(?:[\x20().,/-]{1,2}[0-9]++){0,11}+(?![\w@])")
 _SPELLED = re.compile(r"(?<![\w.])[A-Za-z0-9_]++(?:[._%+-][A-Za-z0-9_]++)*+[ ]?[\[({][ ]?at[ ]?[\])}][ ]?[A-Za-z0-9-]++(?:[ ]?(?:[\[({][ ]?dot[ ]?[\])}]|\.)[ ]?[A-Za-z0-9-]++)+", re.IGNORECASE)
 _TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")
 _CUES = {
@@ -99,7 +99,7 @@ _CUES = {
     "ip": re.compile(r"(?:ip|ipv4|host|address|server|addr)\W{0,6}(?:is )?\W{0,3}$", re.IGNORECASE),
     "email": re.compile(r"(?:e-?mail|mail|contact|write|reach)\W{0,6}(?:me |us )?(?:at |to )?\W{0,3}$", re.IGNORECASE),
 }
-N_FEATURES = 24
+N_FEATURES = 25
 
 
 def features(span: str, before: str) -> np.ndarray:
@@ -126,9 +126,10 @@ def features(span: str, before: str) -> np.ndarray:
     f[16] = any(c.isalpha() for c in span)
     f[17] = bool(_SPELLED.fullmatch(span))
     f[18] = len(groups) == 1
-    f[19] = not (span[:1].isalnum() or span[:1] == "(") or not span[-1:].isalnum()
+    f[19] = not (span[:1].isalnum() or span[:1] in ("(", "+")) or not span[-1:].isalnum()
     for i, kind in enumerate(KINDS):
         f[20 + i] = bool(_CUES[kind].search(before))
+    f[24] = span[:1] == "+"
     return f
 
 
@@ -224,6 +225,10 @@ def _examples(n: int = 240) -> list[tuple[str, list[tuple[str, str]]]]:
             out.append((f"{word()} {cue}{span} {word()}", [(span, kind)]))
         else:
             out.append((f"{word()} {word()} {plain[i // 2 % len(plain)]()} {word()}", []))
+    for i in range(n // 4):
+        phone = r.choice([f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"+{d(2)}-{d(2)}-{d(4)}-{d(3)}"])
+        sign = r.choice([f"+{d(r.randint(1, 6))}", f"+{r.randint(1, 99)}.{d(2)}", f"+{r.randint(1, 99)},{d(3)}", f"+{d(2)}, {d(2)}, {d(1)}"])
+        out.append((f"{word()} {phone if i % 2 else sign} {word()}", [(phone, "phone")] if i % 2 else []))
     return out
 
 
@@ -269,18 +274,32 @@ def fitted(steps: int = 120) -> SemiMarkovField:
     return field
 
 
+def _free(tokens: list[tuple[int, int]], taken: list[tuple[int, int, str]]) -> Iterator[list[tuple[int, int]]]:
+    """The runs of tokens between the spans, which come by start."""
+    piece, reach, s = [], 0, 0
+    for start, end in tokens:
+        while s < len(taken) and taken[s][0] < end:
+            reach = max(reach, taken[s][1])
+            s += 1
+        if start >= reach:
+            piece.append((start, end))
+        elif piece:
+            yield piece
+            piece = []
+    if piece:
+        yield piece
+
+
 def all_spans(text: str, field: SemiMarkovField, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The base spans and those that the field adds where no base span is."""
-    out = list(base)
+    """The base spans and those that the field adds where no base span is: it reads each piece of a zone between them."""
+    added: list[tuple[int, int, str]] = []
     for start, end in _zones(text):
-        if any(a < end and start < b for a, b, _ in base):
-            continue
-        tokens = _tokens(text, start, end)
-        for i, j, kind in field.best(tokens, text):
-            a, b = tokens[i][0], tokens[j - 1][1]
-            if not any(x < b and a < y for x, y, _ in out):
-                out.append((a, b, KINDS[kind]))
-    return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+        for tokens in _free(_tokens(text, start, end), base):
+            for i, j, kind in field.best(tokens, text):
+                a, b = tokens[i][0], tokens[j - 1][1]
+                if not any(x < b and a < y for x, y, _ in added):
+                    added.append((a, b, KINDS[kind]))
+    return sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
