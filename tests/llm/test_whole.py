@@ -19,3 +19,23 @@ def spans(text):
 )
 def test_field_reads_beside_base_spans(text, want):
     assert spans(text) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("call 415-555-1234 2nd floor", ["415-555-1234"]),
+        ("phone: 415-555-1234 24h", ["415-555-1234"]),
+        ("fax: (415) 555-1234 3rd", ["(415) 555-1234"]),
+        ("call " + ", ".join(f"415-555-{i:04d}" for i in range(700)), [f"415-555-{i:04d}" for i in range(700)]),
+        ("rows " + ", ".join(f"415-555-{i:04d}" for i in range(700)), []),
+        ("call 415-555-1234, 2024-05-17 now", ["415-555-1234"]),
+    ],
+)
+def test_field_reads_numbers_before_letters_and_long_lists(text, want):
+    assert spans(text) == [(w, "phone") for w in want]
+
+
+def test_zones_are_whole():
+    text = "7 415-555-1230, 415-555-1231, 415-555-1232, 415-555-1233, 415-555-1234"
+    assert list(pii._zones(text)) == [(0, len(text))]

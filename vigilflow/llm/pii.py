@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,6 +33,8 @@ from vigilflow.llm.common import limit_batches
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 12
+#: Tokens whose segments are scored at a time, so that memory doesn't grow with a zone's length.
+BLOCK = 512
 
 # The base patterns. Possessive repeats and a look-behind keep failing scans linear; they match the same
 # spans, as a match that fails from the first character of such a run fails from the others too.
@@ -89,21 +92,27 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-# Zones that the field reads: digit groups with single separators, and spelled-out addresses.
-_NUMBERS = re.compile(r"(?<![\w@.])\+?\(?[0-9][0-9]*+(?:[\x20().,/-]{1,2}[0-9]++){0,11}+(?![\w@])")
+# Zones that the field reads: digit groups with one or two separators, as many as there are, and spelled-out
+# addresses. A group that a letter follows isn't part of a zone; the groups before it are.
+_NUMBERS = re.compile(r"(?<![\w@.])\+?\(?[0-9]++(?![\w@])(?:[\x20().,/-]{1,2}[0-9]++(?![\w@]))*+")
 _SPELLED = re.compile(r"(?<![\w.])[A-Za-z0-9_]++(?:[._%+-][A-Za-z0-9_]++)*+[ ]?[\[({][ ]?at[ ]?[\])}][ ]?[A-Za-z0-9-]++(?:[ ]?(?:[\[({][ ]?dot[ ]?[\])}]|\.)[ ]?[A-Za-z0-9-]++)+", re.IGNORECASE)
 _TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")
 _CUES = {
-    "phone": re.compile(r"(?:phone|call|tel|telephone|mobile|cell|fax|dial|whatsapp|sms)\W{0,6}(?:me |us )?(?:at |on |no\.? |number )?\W{0,3}$", re.IGNORECASE),
+    "phone": re.compile(r"(?:phones?|call|tel|telephone|mobile|cell|fax|dial|whatsapp|sms)\W{0,6}(?:me |us )?(?:at |on |no\.? |number )?\W{0,3}$", re.IGNORECASE),
     "card": re.compile(r"(?:card|visa|mastercard|amex|credit|debit|cc)\W{0,6}(?:no\.? |number )?(?:is )?\W{0,3}$", re.IGNORECASE),
     "ip": re.compile(r"(?:ip|ipv4|host|address|server|addr)\W{0,6}(?:is )?\W{0,3}$", re.IGNORECASE),
     "email": re.compile(r"(?:e-?mail|mail|contact|write|reach)\W{0,6}(?:me |us )?(?:at |to )?\W{0,3}$", re.IGNORECASE),
 }
-N_FEATURES = 25
+N_FEATURES = 29
 
 
-def features(span: str, before: str) -> np.ndarray:
-    """Of a whole candidate span and the text before it."""
+def cues(before: str) -> list[bool]:
+    """Which kinds the words before a place announce."""
+    return [bool(_CUES[kind].search(before)) for kind in KINDS]
+
+
+def features(span: str, near: list[bool], head: list[bool]) -> np.ndarray:
+    """Of a whole candidate span, the cues before it, and those before the first token that is read with it (of a list)."""
     digits, groups = _only_digits(span), re.findall(r"[0-9]+", span)
     n, sizes = len(digits), [len(g) for g in groups]
     f = np.zeros(N_FEATURES)
@@ -127,9 +136,9 @@ def features(span: str, before: str) -> np.ndarray:
     f[17] = bool(_SPELLED.fullmatch(span))
     f[18] = len(groups) == 1
     f[19] = not (span[:1].isalnum() or span[:1] in ("(", "+")) or not span[-1:].isalnum()
-    for i, kind in enumerate(KINDS):
-        f[20 + i] = bool(_CUES[kind].search(before))
+    f[20:24] = near
     f[24] = span[:1] == "+"
+    f[25:29] = head
     return f
 
 
@@ -141,25 +150,28 @@ class SemiMarkovField:
         self.outside = 0.0
 
     @staticmethod
-    def segments(tokens: list[tuple[int, int]], text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
-        """All runs of tokens (from, to) up to MAX_TOKENS, and their features."""
-        runs = [(i, j) for j in range(1, len(tokens) + 1) for i in range(max(0, j - MAX_TOKENS), j)]
-        rows = [features(text[tokens[i][0] : tokens[j - 1][1]], text[max(0, tokens[i][0] - 24) : tokens[i][0]]) for i, j in runs]
+    def segments(tokens: list[tuple[int, int]], text: str, first: int = 1, last: int | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """All runs of tokens (from, to) up to MAX_TOKENS that end at token first to last, and their features."""
+        runs = [(i, j) for j in range(first, (last or len(tokens)) + 1) for i in range(max(0, j - MAX_TOKENS), j)]
+        near = {i: cues(text[max(0, tokens[i][0] - 24) : tokens[i][0]]) for i in {0, *(i for i, _ in runs)}}
+        rows = [features(text[tokens[i][0] : tokens[j - 1][1]], near[i], near[0]) for i, j in runs]
         return runs, np.array(rows)
 
     def best(self, tokens: list[tuple[int, int]], text: str) -> list[tuple[int, int, int]]:
         """The best segmentation: (from token, to token, kind) of its segments."""
-        runs, rows = self.segments(tokens, text)
-        scores = rows @ self.weights.T
         top, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
-        at = 0
-        for j in range(1, len(tokens) + 1):
-            top[j] = top[j - 1] + self.outside
-            while at < len(runs) and runs[at][1] == j:
-                i, kind = runs[at][0], int(scores[at].argmax())
-                if top[i] + scores[at][kind] > top[j]:
-                    top[j], back[j] = top[i] + scores[at][kind], (i, j, kind)
-                at += 1
+        for first in range(1, len(tokens) + 1, BLOCK):
+            last = min(first + BLOCK - 1, len(tokens))
+            runs, rows = self.segments(tokens, text, first, last)
+            scores = rows @ self.weights.T
+            at = 0
+            for j in range(first, last + 1):
+                top[j] = top[j - 1] + self.outside
+                while at < len(runs) and runs[at][1] == j:
+                    i, kind = runs[at][0], int(scores[at].argmax())
+                    if top[i] + scores[at][kind] > top[j]:
+                        top[j], back[j] = top[i] + scores[at][kind], (i, j, kind)
+                    at += 1
         out, j = [], len(tokens)
         while j:
             if back[j]:
@@ -229,19 +241,37 @@ def _examples(n: int = 240) -> list[tuple[str, list[tuple[str, str]]]]:
         phone = r.choice([f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"+{d(2)}-{d(2)}-{d(4)}-{d(3)}"])
         sign = r.choice([f"+{d(r.randint(1, 6))}", f"+{r.randint(1, 99)}.{d(2)}", f"+{r.randint(1, 99)},{d(3)}", f"+{d(2)}, {d(2)}, {d(1)}"])
         out.append((f"{word()} {phone if i % 2 else sign} {word()}", [(phone, "phone")] if i % 2 else []))
+    for i in range(n // 3):  # lists: of phone numbers after a cue, of other numbers, of both
+        shape = r.choice([(3, 3, 4), (3, 3, 4), (3, 4), (4, 4), (2, 3, 4)])
+        sep, between = r.choice("-.-"), r.choice([", ", ", ", " "])
+        numbers = [sep.join(d(k) for k in shape) for _ in range(3)]
+        date = f"{d(4)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}"
+        if i % 2:
+            phones = [sep.join((d(3), d(3), d(4))) for _ in range(3)]
+            out.append((f"{word()} {r.choice(['call ', 'phones: ', 'phone: ', 'tel. ', 'fax: '])}{between.join([*phones[: r.randint(2, 3)], *r.choice([[], [date], [d(2)]])])} {word()}", [(p, "phone") for p in phones]))
+        else:
+            out.append((f"{word()} {word()} {between.join([*r.choice([[], [d(1)], [date]]), *numbers])} {word()}", []))
     return out
 
 
-def _zones(text: str) -> Iterator[tuple[int, int]]:
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
     lower = text.lower() if "at" in text or "AT" in text else ""
     if any(x in lower for x in ("(at", "[at", "{at", "( at", "[ at", "{ at")):
         yield from (m.span() for m in _SPELLED.finditer(text))
+
+
+def _numbers(text: str) -> Iterator[tuple[int, int]]:
     if _DIGIT.search(text):
         for m in _NUMBERS.finditer(text):
             if sum(c.isdigit() for c in m[0]) >= 4:
                 yield m.span()
 
 
+def _zones(text: str) -> Iterator[tuple[int, int]]:
+    yield from _spelled(text)
+    yield from _numbers(text)
+
+
 def _tokens(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return [m.span() for m in _TOKEN.finditer(text, start, end)]
 
@@ -257,7 +287,8 @@ def fitted(steps: int = 120) -> SemiMarkovField:
                 continue
             gold = set()
             for span, kind in spans:
-                a = text.index(span)
+                if (a := text.find(span)) < 0:
+                    continue
                 inside = [t for t, (i, j) in enumerate(tokens) if i >= a and j <= a + len(span)]
                 if inside and tokens[inside[0]][0] == a and tokens[inside[-1]][1] == a + len(span) and len(inside) <= MAX_TOKENS:
                     gold.add((inside[0], inside[-1] + 1, KINDS.index(kind)))
@@ -274,14 +305,26 @@ def fitted(steps: int = 120) -> SemiMarkovField:
     return field
 
 
-def _free(tokens: list[tuple[int, int]], taken: list[tuple[int, int, str]]) -> Iterator[list[tuple[int, int]]]:
-    """The runs of tokens between the spans, which come by start."""
-    piece, reach, s = [], 0, 0
+def _union(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover together."""
+    starts, ends = [], []
+    for a, b, _ in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _free(tokens: list[tuple[int, int]], starts: list[int], ends: list[int]) -> Iterator[list[tuple[int, int]]]:
+    """The runs of tokens that nothing covers."""
+    piece: list[tuple[int, int]] = []
+    s = bisect_right(ends, tokens[0][0]) if tokens else 0
     for start, end in tokens:
-        while s < len(taken) and taken[s][0] < end:
-            reach = max(reach, taken[s][1])
+        while s < len(ends) and ends[s] <= start:
             s += 1
-        if start >= reach:
+        if s == len(ends) or starts[s] >= end:
             piece.append((start, end))
         elif piece:
             yield piece
@@ -292,14 +335,13 @@ def _free(tokens: list[tuple[int, int]], taken: list[tuple[int, int, str]]) -> I
 
 def all_spans(text: str, field: SemiMarkovField, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """The base spans and those that the field adds where no base span is: it reads each piece of a zone between them."""
-    added: list[tuple[int, int, str]] = []
-    for start, end in _zones(text):
-        for tokens in _free(_tokens(text, start, end), base):
-            for i, j, kind in field.best(tokens, text):
-                a, b = tokens[i][0], tokens[j - 1][1]
-                if not any(x < b and a < y for x, y, _ in added):
-                    added.append((a, b, KINDS[kind]))
-    return sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+    out = list(base)
+    for zones in (_spelled, _numbers):
+        covered = _union(out)
+        for start, end in zones(text):
+            for tokens in _free(_tokens(text, start, end), *covered):
+                out += [(tokens[i][0], tokens[j - 1][1], KINDS[kind]) for i, j, kind in field.best(tokens, text)]
+    return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
