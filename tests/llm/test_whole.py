@@ -2,7 +2,7 @@
 
 import pytest
 
-from vigilflow.llm import pii
+from vigilflow.llm import licenses, pii
 
 
 def spans(text):
@@ -39,3 +39,44 @@ def test_field_reads_numbers_before_letters_and_long_lists(text, want):
 def test_zones_are_whole():
     text = "7 415-555-1230, 415-555-1231, 415-555-1232, 415-555-1233, 415-555-1234"
     assert list(pii._zones(text)) == [(0, len(text))]
+
+
+FILL = " ".join(f"filler{i}" for i in range(60))
+
+
+@pytest.fixture(scope="module")
+def licensed(spark):
+    """License names found in texts, all at once: (text, names)."""
+    whole = dict(licenses.WHOLE)
+    cases = [
+        *((f"{FILL} {text} {FILL}", {name}) for name, text in licenses.WHOLE),
+        ("// SPDX-License-Identifier: MIT\nint x;", {"MIT"}),
+        (f"{FILL}\n# SPDX-License-Identifier: (GPL-2.0-or-later OR BSD-3-Clause) WITH thing\n{FILL}", {"GPL-2.0-or-later", "BSD-3-Clause"}),
+        ("Distributed under the MIT License. See LICENSE.", {"MIT"}),
+        ("Licensed under the BSD 3-Clause License", {"BSD-3-Clause"}),
+        ("Licensed under the Eclipse Public License 2.0.", {"EPL-2.0"}),
+        ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
+        ("This work is licensed under the GNU General Public License, version 3.", {"GPL-3.0"}),
+        (f"{FILL} you can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or later", {"GPL-2.0"}),
+        (f"{whole['GPL-2.0']} {FILL} This work is licensed under the GNU General Public License, version 3.", {"GPL-2.0", "GPL-3.0"}),
+        ("the license identifier of a spdx file is the identifier", set()),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    found = {}
+    for r in licenses.scan(docs).collect():
+        found.setdefault(r["doc_id"], set()).add(r["license"])
+    return [(text[:40], found.get(i, set()), want) for i, (text, want) in enumerate(cases)]
+
+
+def test_license_texts_tags_and_versions(licensed):
+    #: An opening sentence is a template too, BSD without a number of clauses.
+    assert [(t, got - {"BSD"} if any(n.startswith("BSD-") for n in want) else got) for t, got, want in licensed] == [(t, want) for t, _, want in licensed]
+
+
+@pytest.mark.parametrize("before", range(12))
+def test_one_version_a_notice(spark, before):
+    """Wherever windows begin, a notice is found once and in its own version."""
+    texts = [(v, " ".join(f"w{i}" for i in range(before)) + f" This work is licensed under the GNU General Public License, version {v}. And so on it goes.") for v in (1, 2, 3)]
+    texts += [(v, " ".join(f"w{i}" for i in range(before)) + f" Distributed under the GNU General Public License, version {v}. And so on it goes.") for v in (1, 2, 3)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["license"]) for r in licenses.scan(docs).collect()) == [(i, f"GPL-{v}.0") for i, (v, _) in enumerate(texts)]
