@@ -4,8 +4,8 @@ The base patterns (e-mail, IPv4, card and phone numbers) are matched per kind, l
 by scans that are linear in the text. Their spans always stay.
 
 What they don't take is read by the field: zones around other digit runs, and around spelled-out addresses
-("name at host dot com"), are cut into tokens, and every run of at most MAX_TOKENS tokens is a candidate
-segment of each kind. A segment's score is a weighted sum of features of the whole span (digits, groups,
+("name at host dot com", with or without brackets), are cut into tokens, and every run of at most MAX_TOKENS
+tokens, and a spelled-out address of any length, is a candidate segment of each kind. A segment's score is a weighted sum of features of the whole span (digits, groups,
 separators, Luhn check, cue words before it); dynamic programming chooses segments and kinds jointly. The
 weights are fitted here, by gradient ascent on the log-likelihood (forward and backward sums over all
 segmentations) of sentences that are generated with known spans. A segment is added only if it overlaps no
@@ -95,7 +95,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # Zones that the field reads: digit groups with one or two separators, as many as there are, and spelled-out
 # addresses. A group that a letter follows isn't part of a zone; the groups before it are.
 _NUMBERS = re.compile(r"(?<![\w@.])\+?\(?[0-9]++(?![\w@])(?:[\x20().,/-]{1,2}[0-9]++(?![\w@]))*+")
-_SPELLED = re.compile(r"(?<![\w.])[A-Za-z0-9_]++(?:[._%+-][A-Za-z0-9_]++)*+[ ]?[\[({][ ]?at[ ]?[\])}][ ]?[A-Za-z0-9-]++(?:[ ]?(?:[\[({][ ]?dot[ ]?[\])}]|\.)[ ]?[A-Za-z0-9-]++)+", re.IGNORECASE)
+_AT, _DOT = r"[ ]?[\[({][ ]?at[ ]?[\])}][ ]?", r"(?:[ ]?[\[({][ ]?dot[ ]?[\])}][ ]?|[ ]dot[ ])"
+_HOST = r"[A-Za-z0-9-]++"
+_SPELLED = re.compile(
+    rf"(?<![\w.])(?<![ ]dot[ ])[A-Za-z0-9_]++(?:(?:[._%+-]|{_DOT})[A-Za-z0-9_]++)*+(?:{_AT}{_HOST}(?:(?:{_DOT}|\.|(?-i:[ ]?\.[ ]?(?=[a-z0-9]))){_HOST})+|[ ]at[ ]{_HOST}(?:\.{_HOST})*+{_DOT}{_HOST}(?:(?:{_DOT}|\.){_HOST})*)", re.IGNORECASE
+)
+_BARE_AT = re.compile(r"([A-Za-z0-9_]+)[ ]at[ ]", re.IGNORECASE)
+#: Words before a bare "at" that are no mailbox: "visit us at example dot com".
+_PROSE = frozenset("us me him her them it look visit available found find more read here online hosted published live located see meet meeting start starts based site website page is are be was were arrive stay posted shop join and or out up down back there stop sold buy".split())
 _TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")
 _CUES = {
     "phone": re.compile(r"(?:phones?|call|tel|telephone|mobile|cell|fax|dial|whatsapp|sms)\W{0,6}(?:me |us )?(?:at |on |no\.? |number )?\W{0,3}$", re.IGNORECASE),
@@ -103,7 +110,7 @@ _CUES = {
     "ip": re.compile(r"(?:ip|ipv4|host|address|server|addr)\W{0,6}(?:is )?\W{0,3}$", re.IGNORECASE),
     "email": re.compile(r"(?:e-?mail|mail|contact|write|reach)\W{0,6}(?:me |us )?(?:at |to )?\W{0,3}$", re.IGNORECASE),
 }
-N_FEATURES = 29
+N_FEATURES = 31
 
 
 def cues(before: str) -> list[bool]:
@@ -111,8 +118,8 @@ def cues(before: str) -> list[bool]:
     return [bool(_CUES[kind].search(before)) for kind in KINDS]
 
 
-def features(span: str, near: list[bool], head: list[bool]) -> np.ndarray:
-    """Of a whole candidate span, the cues before it, and those before the first token that is read with it (of a list)."""
+def features(span: str, near: list[bool], head: list[bool], address: bool) -> np.ndarray:
+    """Of a whole candidate span, the cues before it, those before the first token that is read with it (of a list), and whether it is a whole spelled-out address."""
     digits, groups = _only_digits(span), re.findall(r"[0-9]+", span)
     n, sizes = len(digits), [len(g) for g in groups]
     f = np.zeros(N_FEATURES)
@@ -133,12 +140,15 @@ def features(span: str, near: list[bool], head: list[bool]) -> np.ndarray:
     f[14] = "." in span or "," in span
     f[15] = "/" in span
     f[16] = any(c.isalpha() for c in span)
-    f[17] = bool(_SPELLED.fullmatch(span))
+    f[17] = address
     f[18] = len(groups) == 1
     f[19] = not (span[:1].isalnum() or span[:1] in ("(", "+")) or not span[-1:].isalnum()
     f[20:24] = near
     f[24] = span[:1] == "+"
     f[25:29] = head
+    bare = _BARE_AT.search(span)
+    f[29] = bare is not None
+    f[30] = bare is not None and bare[1].lower() in _PROSE
     return f
 
 
@@ -151,10 +161,13 @@ class SemiMarkovField:
 
     @staticmethod
     def segments(tokens: list[tuple[int, int]], text: str, first: int = 1, last: int | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
-        """All runs of tokens (from, to) up to MAX_TOKENS that end at token first to last, and their features."""
+        """All runs of tokens (from, to) up to MAX_TOKENS that end at token first to last, and a spelled-out address as a whole; their features."""
         runs = [(i, j) for j in range(first, (last or len(tokens)) + 1) for i in range(max(0, j - MAX_TOKENS), j)]
+        whole = (0, len(tokens)) if runs[-1][1] == len(tokens) and _SPELLED.fullmatch(text, tokens[0][0], tokens[-1][1]) else None
+        if whole and len(tokens) > MAX_TOKENS:
+            runs.append(whole)
         near = {i: cues(text[max(0, tokens[i][0] - 24) : tokens[i][0]]) for i in {0, *(i for i, _ in runs)}}
-        rows = [features(text[tokens[i][0] : tokens[j - 1][1]], near[i], near[0]) for i, j in runs]
+        rows = [features(text[tokens[i][0] : tokens[j - 1][1]], near[i], near[0], (i, j) == whole) for i, j in runs]
         return runs, np.array(rows)
 
     def best(self, tokens: list[tuple[int, int]], text: str) -> list[tuple[int, int, int]]:
@@ -241,6 +254,15 @@ def _examples(n: int = 240) -> list[tuple[str, list[tuple[str, str]]]]:
         phone = r.choice([f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"+{d(2)}-{d(2)}-{d(4)}-{d(3)}"])
         sign = r.choice([f"+{d(r.randint(1, 6))}", f"+{r.randint(1, 99)}.{d(2)}", f"+{r.randint(1, 99)},{d(3)}", f"+{d(2)}, {d(2)}, {d(1)}"])
         out.append((f"{word()} {phone if i % 2 else sign} {word()}", [(phone, "phone")] if i % 2 else []))
+    for i in range(n // 2):  # addresses with a bare "at", and prose that reads like them
+        host = f"{word()}{r.choice([' dot ', ' (dot) '])}{r.choice(['com', 'org', 'net'])}"
+        address = f"{word()} at {host}"
+        if i % 4 == 3:
+            at, dot = r.choice([(" (at) ", " (dot) "), (" [at] ", " [dot] "), (" at ", " dot ")])
+            address = f"{word()}{r.choice(['.', dot])}{word()}{at}{word()}{r.choice(['.', dot])}{word()}{dot}{r.choice(['com', 'org', 'net'])}"
+        cue = r.choice(["", "mail ", "contact ", "email: "])
+        prose = f"{word()} {r.choice(sorted(_PROSE))} at {host}"
+        out.append((f"{cue}{address} {word()}", [(address, "email")]) if i % 4 else (f"{prose} {word()}", []))
     for i in range(n // 3):  # lists: of phone numbers after a cue, of other numbers, of both
         shape = r.choice([(3, 3, 4), (3, 3, 4), (3, 4), (4, 4), (2, 3, 4)])
         sep, between = r.choice("-.-"), r.choice([", ", ", ", " "])
@@ -256,7 +278,7 @@ def _examples(n: int = 240) -> list[tuple[str, list[tuple[str, str]]]]:
 
 def _spelled(text: str) -> Iterator[tuple[int, int]]:
     lower = text.lower() if "at" in text or "AT" in text else ""
-    if any(x in lower for x in ("(at", "[at", "{at", "( at", "[ at", "{ at")):
+    if any(x in lower for x in ("(at", "[at", "{at", "( at", "[ at", "{ at")) or (" at " in lower and "dot" in lower):
         yield from (m.span() for m in _SPELLED.finditer(text))
 
 
@@ -290,7 +312,7 @@ def fitted(steps: int = 120) -> SemiMarkovField:
                 if (a := text.find(span)) < 0:
                     continue
                 inside = [t for t, (i, j) in enumerate(tokens) if i >= a and j <= a + len(span)]
-                if inside and tokens[inside[0]][0] == a and tokens[inside[-1]][1] == a + len(span) and len(inside) <= MAX_TOKENS:
+                if inside and tokens[inside[0]][0] == a and tokens[inside[-1]][1] == a + len(span) and (len(inside) <= MAX_TOKENS or kind == "email" and len(inside) == len(tokens)):
                     gold.add((inside[0], inside[-1] + 1, KINDS.index(kind)))
             zones.append((*field.segments(tokens, text), gold, len(tokens)))
     for step in range(steps):
