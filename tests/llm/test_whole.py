@@ -41,6 +41,21 @@ def test_zones_are_whole():
     assert list(pii._zones(text)) == [(0, len(text))]
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("mail jane at example dot com", ["jane at example dot com"]),
+        ("jane (at) example dot com", ["jane (at) example dot com"]),
+        ("first.last (at) mail.company (dot) com", ["first.last (at) mail.company (dot) com"]),
+        ("mail first.last [at] mail [dot] company [dot] co [dot] uk now", ["first.last [at] mail [dot] company [dot] co [dot] uk"]),
+        ("visit us at example dot com", []),
+        ("look at the dot com boom", []),
+    ],
+)
+def test_field_reads_spelled_out_addresses(text, want):
+    assert spans(text) == [(w, "email") for w in want]
+
+
 FILL = " ".join(f"filler{i}" for i in range(60))
 
 

@@ -110,7 +110,7 @@ _CUES = {
     "ip": re.compile(r"(?:ip|ipv4|host|address|server|addr)\W{0,6}(?:is )?\W{0,3}$", re.IGNORECASE),
     "email": re.compile(r"(?:e-?mail|mail|contact|write|reach)\W{0,6}(?:me |us )?(?:at |to )?\W{0,3}$", re.IGNORECASE),
 }
-N_FEATURES = 31
+N_FEATURES = 32
 
 
 def cues(before: str) -> list[bool]:
@@ -137,7 +137,7 @@ def features(span: str, near: list[bool], head: list[bool], address: bool) -> np
     f[11] = sizes in ([4, 4, 4, 4], [4, 6, 5])
     f[12] = span.count("(") == span.count(")") == 1
     f[13] = len({c for c in span if c in " -./,"}) > 1
-    f[14] = "." in span or "," in span
+    f[14] = not address and ("." in span or "," in span)
     f[15] = "/" in span
     f[16] = any(c.isalpha() for c in span)
     f[17] = address
@@ -149,6 +149,7 @@ def features(span: str, near: list[bool], head: list[bool], address: bool) -> np
     bare = _BARE_AT.search(span)
     f[29] = bare is not None
     f[30] = bare is not None and bare[1].lower() in _PROSE
+    f[31] = address and bare is None
     return f
 
 
