@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vigilflow.functions import editorial as ed
 from vigilflow.functions import text as tx
 from vigilflow.functions import vocab
-from vigilflow.operators import enrich, feed, health, render, store
+from vigilflow.operators import copy, enrich, feed, health, render, store
 
 NOW = "2026-05-11 12:00:00"
 
@@ -178,3 +178,11 @@ def test_cards(spark):
 
 def test_filters():
     assert feed.FilterState().active() == 0 and feed.FilterState(categories=("scam",), query=" x ").active() == 2
+
+
+def test_copy_tables_above_the_bound_raise(spark):
+    rows = spark.createDataFrame([("why", "default|fyi", 1, "b"), ("why", "default|fyi", 0, "a"), ("actions", "scam", 0, "c")], "kind string, key string, position int, text string")
+    whole = copy.CopyTables.from_rows(rows, most=3)
+    assert whole.why == {"default|fyi": ["a", "b"]} and whole.actions == {"scam": ["c"]}
+    with pytest.raises(ValueError):
+        copy.CopyTables.from_rows(rows, most=2)

@@ -71,3 +71,9 @@ def test_sinks(spark, tmp_path):
     assert cycle.publish(rows, lambda *_: True, str(tmp_path / "ledger")) == 1 and not (tmp_path / "ledger").exists()
     assert cycle.publish(rows, lambda *_: False, str(tmp_path / "ledger"), dry_run=False) == 0
     assert cycle.publish(rows, lambda *_: True, str(tmp_path / "ledger"), dry_run=False) == 1 and spark.read.json(str(tmp_path / "ledger")).count() == 1
+
+
+def test_publish_takes_the_first_of_an_order(spark, tmp_path):
+    rows, sent = spark.createDataFrame([("en", f"{i:03d}", f"m{i}") for i in range(9, -1, -1)], "locale string, fingerprint string, message string"), []
+    assert cycle.publish(rows, lambda _, m: not sent.append(m), str(tmp_path / "ledger"), dry_run=False, most=3) == 3
+    assert sent == ["m0", "m1", "m2"]

@@ -32,10 +32,13 @@ class CopyTables:
     hints: dict[str, list[str]] = field(default_factory=dict)
 
     @staticmethod
-    def from_rows(rows: DataFrame) -> CopyTables:
-        """From a dimension table (kind, key, position, text): a few hundred lines of copy."""
+    def from_rows(rows: DataFrame, most: int = 10_000) -> CopyTables:
+        """From a dimension table (kind, key, position, text): a few hundred lines of copy; a table above the bound is an error."""
         pools: dict[str, dict[str, list[str]]] = {"actions": {}, "avoids": {}, "why": {}, "hints": {}}
-        for r in rows.orderBy("kind", "key", "position").limit(10_000).collect():
+        lines = rows.orderBy("kind", "key", "position").limit(most + 1).collect()
+        if len(lines) > most:
+            raise ValueError(f"a copy table of more than {most} rows")
+        for r in lines:
             pools[r["kind"]].setdefault(r["key"], []).append(r["text"])
         return CopyTables(**{k: v for k, v in pools.items() if v})
 

@@ -81,9 +81,9 @@ def write_both(rows: DataFrame, primary: Callable[[DataFrame], None], secondary:
 
 
 def publish(selection: DataFrame, send: Callable[[str, str], bool], ledger_path: str, dry_run: bool = True, most: int = 100) -> int:
-    """Send a bounded selection (locale, fingerprint, message); what was sent is written to the ledger, so a failure is tried again next time."""
+    """Send a bounded selection (locale, fingerprint, message), in the order of fingerprint and locale; what was sent is written to the ledger, so a failure is tried again next time."""
     sent = []
-    for row in selection.select("locale", "fingerprint", "message").limit(most).collect():
+    for row in selection.select("locale", "fingerprint", "message").orderBy("fingerprint", "locale", "message").limit(most).collect():
         if dry_run or send(row["locale"], row["message"]):
             sent.append((row["fingerprint"], row["locale"]))
     if sent and not dry_run:
