@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vigilflow.functions import text as tx
 from vigilflow.functions import vocab
-from vigilflow.operators import enrich
+from vigilflow.operators import enrich, store
 from vigilflow.plans.common import CLASSIFIED_SQL, RELEVANCE_SQL, SCORED_SQL, SIGNALS_SQL, STORIES_SQL, TEXT_SQL, news, with_sql
 from vigilflow.registry import query
 from vigilflow.session import spread, table
@@ -173,9 +173,27 @@ def feed_by_category(spark, sf_dir):
 @query("ingest_cycle", with_sql(SCORED_SQL, f"""SELECT fingerprint, title, category, source_tier, actionability_level, round(threat_score, 6) AS threat_score FROM scored
   WHERE language <> 'other' AND {RELEVANCE_SQL} >= 3 AND doc_id IN (SELECT min(doc_id) FROM news GROUP BY fingerprint) AND doc_id % 4 <> 1"""))
 def ingest_cycle(spark, sf_dir):
-    """New rows (those of doc_id mod 4 = 1 are in the store already), first sight of each, filtered and scored."""
+    """First sight of each fingerprint, filtered and scored, without the ids of doc_id mod 4 = 1; no store is read (ingest_cycle_store does)."""
     from vigilflow.plans.common import one_per_fingerprint
 
     rows = enrich.scored(news(spark, sf_dir), NOW)
     rows = one_per_fingerprint(rows).filter("doc_id % 4 <> 1").withColumn("score", enrich.relevance_score(F.col("txt"), F.col("line")))
     return rows.filter("language <> 'other' and score >= 3").select("fingerprint", "title", "category", "source_tier", "actionability_level", F.round("threat_score", 6).alias("threat_score"))
+
+
+_ROWS = "fingerprint, doc_id, title, category, source_tier, threat_score"
+
+
+@query("ingest_cycle_store", with_sql(f"""{SCORED_SQL},
+relevant AS (SELECT {_ROWS} FROM scored WHERE language <> 'other' AND {RELEVANCE_SQL} >= 3),
+old AS (SELECT * FROM relevant WHERE doc_id % 4 = 1),
+fresh AS (SELECT * FROM relevant r WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.fingerprint = r.fingerprint))""", """
+  SELECT fingerprint, arg_min(title, doc_id) AS title, arg_min(category, doc_id) AS category, arg_min(source_tier, doc_id) AS source_tier, round(max(threat_score), 6) AS threat_score, is_new
+  FROM (SELECT *, false AS is_new FROM old UNION ALL SELECT *, true FROM fresh) GROUP BY fingerprint, is_new"""))
+def ingest_cycle_store(spark, sf_dir):
+    """The cycle against a store (seeded: the relevant rows of doc_id mod 4 = 1): rows whose fingerprint it lacks, merged into it."""
+    rows = enrich.scored(news(spark, sf_dir), NOW).withColumn("score", enrich.relevance_score(F.col("txt"), F.col("line"))).filter("language <> 'other' and score >= 3")
+    rows = rows.select("fingerprint", "doc_id", "title", "category", "source_tier", "threat_score", F.array("category").alias("tags"))
+    known = rows.filter("doc_id % 4 = 1")
+    merged = store.merge_file(known, store.fresh(rows, known))
+    return merged.select("fingerprint", "title", "category", "source_tier", F.round("threat_score", 6).alias("threat_score"), "is_new")
