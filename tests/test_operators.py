@@ -55,7 +55,7 @@ def test_category(spark, title, category):
 ])
 def test_relevance(spark, title, kept):
     rows = enrich.with_text(items(spark, [(title, "x", 0, "")]))
-    assert (rows.select(enrich.relevance_score(F.col("txt"), F.col("line"))).first()[0] >= 3) == kept
+    assert (rows.select(enrich.relevance_score(F.col("hits"))).first()[0] >= 3) == kept
 
 
 def test_platforms(spark):
@@ -186,3 +186,32 @@ def test_copy_tables_above_the_bound_raise(spark):
     assert whole.why == {"default|fyi": ["a", "b"]} and whole.actions == {"scam": ["c"]}
     with pytest.raises(ValueError):
         copy.CopyTables.from_rows(rows, most=2)
+
+
+def test_lexicon_is_the_plain_definition(spark):
+    """Whole tokens, stems, phrases and words, against the definition by token sets and searches."""
+    import random
+    import re
+
+    from vigilflow.functions import lexicon as lx
+
+    terms = ["ab", "ab-c", "b", "a b", "b*", "ab-*", "c a", "ba-b", "б*"]
+    r = random.Random(8)
+    texts = ["".join(r.choice("aabbc -_1.б") for _ in range(r.randrange(25))) for _ in range(400)] + ["", None]
+    words = lx.lexicon(lx.keys(terms), lx.aliases(["ab", "a b", "b.c"]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("hits", words.hits(F.col("t")))
+    got = {x["i"]: x for x in rows.select("i", lx.count(F.col("hits"), lx.keys(terms)).alias("n"), lx.any_of(F.col("hits"), lx.aliases(["ab", "b.c"])).alias("any")).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        toks = set(re.findall(r"[^\W_]+(?:-[^\W_]+)*", t))
+        n = sum(any(x.startswith(k[:-1]) for x in toks) if k.endswith("*") else k in t if " " in k or "-" in k else k in toks for k in terms)
+        assert (got[i]["n"], got[i]["any"]) == (n, bool(re.search(r"(?<!\w)(?:ab|b\.c)(?!\w)", t))), t
+
+
+def test_a_token_of_every_title_pairs_nothing(spark):
+    """The most frequent tokens are never joined: titles that share only one of them make no candidates."""
+    rows = spark.createDataFrame([(f"common shared w{i} x{i} y{i} z{i}", ["common", "shared", f"w{i}", f"x{i}", f"y{i}", f"z{i}"], i) for i in range(3000)], "title string, toks array<string>, told long")
+    pairs = enrich.similar_titles(rows, 0.25)
+    assert pairs.filter("left.title <> right.title").count() == 0 and pairs.count() == 3000
+    near = enrich.similar_titles(rows.limit(40).union(spark.createDataFrame([("common shared w1 x1", ["common", "shared", "w1", "x1"], -1)], rows.schema)), 0.5)
+    assert {tuple(sorted(p)) for p in near.filter("left.title < right.title").select("left.title", "right.title").collect()} == {("common shared w1 x1", "common shared w1 x1 y1 z1")}

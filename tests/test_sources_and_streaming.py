@@ -65,15 +65,73 @@ def test_cycle_is_idempotent(spark, configs, tmp_path):
     assert seen["A"]["cycles_seen"] == 2 and seen["A"]["total_fetched"] == 4 and seen["A"]["total_relevant"] == 2
 
 
+def test_a_batch_that_is_run_again_counts_once(spark, configs, tmp_path):
+    rows, _ = feeds.fetch_all(spark, configs[:2], NOW)
+    fetched = rows.withColumn("doc_id", F.monotonically_increasing_id())
+    for _ in range(2):
+        cycle.run_cycle(fetched, tables.VersionedTable(spark, str(tmp_path / "items")), NOW, health_table=tables.VersionedTable(spark, str(tmp_path / "health")), number=7)
+    seen = {r["source"]: r for r in tables.VersionedTable(spark, str(tmp_path / "health")).read(cycle.HEALTH).collect()}
+    assert seen["A"]["cycles_seen"] == 1 and seen["A"]["total_fetched"] == 2 and seen["A"]["last_batch"] == 7
+
+
+def test_now_is_asked_for_each_batch(spark, configs, tmp_path):
+    rows, _ = feeds.fetch_all(spark, configs[:1], NOW)
+    rows.withColumn("doc_id", F.monotonically_increasing_id()).write.parquet(str(tmp_path / "in"))
+    asked = []
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    cycle.start(stream, str(tmp_path / "items"), str(tmp_path / "checkpoint"), lambda: asked.append(1) or NOW).awaitTermination()
+    assert asked
+
+
+def test_what_isnt_relevant_doesnt_corroborate(spark):
+    """Normalise, filter, then corroborate: a twin that the filter rejects lends no credibility, a relevant one does."""
+    import datetime as dt
+
+    title = "Hospital systems hit by new wave in capital"
+    def batch(body):
+        data = [(0, "a", title, "Some Blog", "https://a.test/0", dt.datetime(2024, 1, 31), "Ransomware &amp; malware  found.\n Tags: x"), (1, "b", title, "BleepingComputer", "https://a.test/1", dt.datetime(2024, 1, 31), body)]
+        return spark.createDataFrame(data, "doc_id long, fingerprint string, title string, source string, url string, published_at timestamp, raw_content string")
+
+    alone = cycle.enriched(batch("Weather stays mild."), NOW).collect()
+    both = {r["doc_id"]: r for r in cycle.enriched(batch("Ransomware and malware there too."), NOW).collect()}
+    assert [r["doc_id"] for r in alone] == [0] and set(both) == {0, 1}
+    assert both[0]["source_credibility_score"] > alone[0]["source_credibility_score"] and both[0]["threat_score"] > alone[0]["threat_score"]
+
+
 def test_sinks(spark, tmp_path):
     rows, kept = spark.createDataFrame([("en", "f", "hi")], "locale string, fingerprint string, message string"), []
     assert not cycle.write_both(rows, lambda r: kept.append(r.count()), lambda r: 1 / 0) and kept == [1]
-    assert cycle.publish(rows, lambda *_: True, str(tmp_path / "ledger")) == 1 and not (tmp_path / "ledger").exists()
-    assert cycle.publish(rows, lambda *_: False, str(tmp_path / "ledger"), dry_run=False) == 0
-    assert cycle.publish(rows, lambda *_: True, str(tmp_path / "ledger"), dry_run=False) == 1 and spark.read.json(str(tmp_path / "ledger")).count() == 1
+    assert cycle.publish(rows, lambda *_: True, str(tmp_path / "ledger"))["sent"] == 1 and not (tmp_path / "ledger").exists()
+    assert cycle.publish(rows, lambda *_: False, str(tmp_path / "ledger"), dry_run=False)["sent"] == 0
+    assert cycle.publish(rows, lambda *_: True, str(tmp_path / "ledger"), dry_run=False)["sent"] == 1 and spark.read.json(str(tmp_path / "ledger")).count() == 1
 
 
 def test_publish_takes_the_first_of_an_order(spark, tmp_path):
     rows, sent = spark.createDataFrame([("en", f"{i:03d}", f"m{i}") for i in range(9, -1, -1)], "locale string, fingerprint string, message string"), []
-    assert cycle.publish(rows, lambda _, m: not sent.append(m), str(tmp_path / "ledger"), dry_run=False, most=3) == 3
+    assert cycle.publish(rows, lambda _, m: not sent.append(m), str(tmp_path / "ledger"), dry_run=False, most=3)["sent"] == 3
     assert sent == ["m0", "m1", "m2"]
+
+
+def test_publish_records_what_was_sent(spark, tmp_path):
+    """An error leaves the other messages, a fatal one ends its channel, an interrupt loses nothing that went out."""
+    rows = spark.createDataFrame([(locale, f"f{i}", f"{locale}{i}") for locale in ("en", "ua") for i in range(4)], "locale string, fingerprint string, message string")
+
+    def send(locale, message):
+        if message == "en1":
+            raise OSError("time-out")
+        if message == "ua2":
+            raise cycle.ChannelFatal("chat not found")
+        return True
+
+    assert cycle.publish(rows, send, str(tmp_path / "ledger"), dry_run=False) == {"sent": 5, "errors": 2, "closed": 1}
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "ledger")).select("locale", "fingerprint").collect())) == [("en", "f0"), ("en", "f2"), ("en", "f3"), ("ua", "f0"), ("ua", "f1")]
+
+    def stopped(locale, message):
+        if message == "ua0":
+            raise KeyboardInterrupt
+        return True
+
+    with pytest.raises(KeyboardInterrupt):
+        cycle.publish(rows, stopped, str(tmp_path / "other"), dry_run=False)
+    assert spark.read.json(str(tmp_path / "other")).count() == 1
+    assert cycle.channel_fatal(401) and cycle.channel_fatal(400, "Bad Request: chat not found") and not cycle.channel_fatal(400, "message is too long") and not cycle.channel_fatal(500)

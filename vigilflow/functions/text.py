@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilflow.functions import vocab
 
 TOKEN = r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"
 MAX_BODY = 3000
+SEPARATOR = "\x1f"
 
 
 def literal_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """A constant array of strings. It is split from one literal, which the optimizer folds: a literal for each value takes longer to plan than to run."""
+    values = list(values)
+    if not values:
+        return F.array().cast("array<string>")
+    if any(SEPARATOR in v for v in values):
+        return F.array(*[F.lit(v) for v in values])
+    return F.split(F.lit(SEPARATOR.join(values)), SEPARATOR)
 
 
 def strip_html(text: Column) -> Column:
@@ -26,11 +33,6 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)))
 
 
-def token_line(toks: Column) -> Column:
-    """Tokens between blanks: a whole token, or the head of one, is then a plain substring."""
-    return F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
-
-
 def title_tokens(title: Column) -> Column:
     """Tokens of three letters or more that aren't stop words."""
     stop = literal_array(vocab.STOPWORDS)
@@ -45,26 +47,6 @@ def term_classes(terms) -> tuple[list[str], list[str], list[str]]:
     return [t for t in rest if t not in phrases], phrases, stems
 
 
-def _contained(needles: list[str], text: Column) -> Column:
-    if not needles:
-        return F.lit(0)
-    return F.size(F.filter(literal_array(needles), lambda k: F.contains(text, k)))
-
-
-def keyword_hits(terms, text_lower: Column, line: Column) -> Column:
-    """How many terms occur, each once: tokens whole, phrases as substrings, stems as heads of tokens."""
-    whole, phrases, stems = term_classes(terms)
-    return _contained([f" {t} " for t in whole], line) + _contained(phrases, text_lower) + _contained([f" {s}" for s in stems], line)
-
-
-def substring_hits(phrases, text_lower: Column) -> Column:
-    return _contained(list(phrases), text_lower)
-
-
-def contains_any(phrases, text_lower: Column) -> Column:
-    return F.exists(literal_array(phrases), lambda p: F.contains(text_lower, p))
-
-
 def _count(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, ""))
 
@@ -75,10 +57,11 @@ def let(value: Column, body) -> Column:
 
 
 def detect_language(text: Column) -> Column:
-    """en, ua, other (Cyrillic without Ukrainian letters) or unknown (under four letters)."""
+    """en, ua, other (Cyrillic without Ukrainian letters) or unknown (under four letters). Only texts with Cyrillic letters are counted out."""
     def decide(t: Column) -> Column:
-        counts = F.struct(_count(t, r"[^Ѐ-ӿ]").alias("cyrillic"), _count(t, "[^A-Za-z]").alias("latin"))
-        return let(counts, lambda c: F.when(c["cyrillic"] + c["latin"] < 4, "unknown").when(c["cyrillic"] / (c["cyrillic"] + c["latin"]) < 0.3, "en").when(t.rlike("[їєґіЇЄҐІ]"), "ua").otherwise("other"))
+        counts = F.struct(_count(t, r"[^Ѐ-ӿ]+").alias("cyrillic"), _count(t, "[^A-Za-z]+").alias("latin"))
+        share = let(counts, lambda c: F.when(c["cyrillic"] + c["latin"] < 4, "unknown").when(c["cyrillic"] / (c["cyrillic"] + c["latin"]) < 0.3, "en").when(t.rlike("[їєґіЇЄҐІ]"), "ua").otherwise("other"))
+        return F.when(t.rlike("[Ѐ-ӿ]"), share).when(t.rlike("(?:[A-Za-z][^A-Za-z]*+){4}"), "en").otherwise("unknown")
 
     return let(F.coalesce(text, F.lit("")), decide)
 
@@ -86,7 +69,7 @@ def detect_language(text: Column) -> Column:
 def wrong_script(text: Column, language: Column) -> Column:
     """Four letters or more, under 30 % of them in the language's script."""
     text = F.coalesce(text, F.lit(""))
-    cyrillic, latin = _count(text, r"[^Ѐ-ӿ]"), _count(text, r"[^A-Za-zÀ-ɏ]")
+    cyrillic, latin = _count(text, r"[^Ѐ-ӿ]+"), _count(text, r"[^A-Za-zÀ-ɏ]+")
     total = cyrillic + latin
     share = F.when(language == "ua", cyrillic).when(language == "en", latin) / total
     return F.coalesce((total >= 4) & (share < 0.30), F.lit(False))
@@ -103,25 +86,62 @@ def clean_body(text: Column) -> Column:
     return F.when(F.length(text) <= MAX_BODY, text).when(at > MAX_BODY * 0.75, F.substring(text, F.lit(1), at + 1)).otherwise(head)
 
 
+def _safe(value: str | None) -> str:
+    import html
+    import re
+    import unicodedata
+
+    value = html.unescape(unicodedata.normalize("NFC", value or ""))
+    if not value.isprintable():
+        value = re.sub("[\x00-\x1f\x7f-\x9f]", " ", re.sub("[\ud800-\udfff]", "", value))
+    return re.sub(r"\s+", " ", value).strip()
+
+
 def safe_text(text: Column) -> Column:
     """NFC, HTML entities, control characters to blanks, white space collapsed. Spark has no NFC: one Arrow function."""
     @F.arrow_udf("string")
     def of(texts: pa.Array) -> pa.Array:
-        import html
+        return pa.array([_safe(v) for v in texts.to_pylist()], pa.string())
+
+    return of(text)
+
+
+def safe_body(text: Column) -> Column:
+    """clean_body() of safe_text(), in one Arrow function: a junk pattern is tried only on texts that hold a word that it needs."""
+    @F.arrow_udf("string")
+    def of(texts: pa.Array) -> pa.Array:
         import re
-        import unicodedata
+
+        rules = [(needs, re.compile(pattern, re.IGNORECASE | re.MULTILINE)) for needs, pattern in zip(vocab.JUNK_NEEDS, vocab.JUNK, strict=True)]
 
         def one(value: str | None) -> str:
-            value = html.unescape(unicodedata.normalize("NFC", value or ""))
-            value = "".join(c for c in value if not 0xD800 <= ord(c) <= 0xDFFF)
-            value = "".join(" " if unicodedata.category(c) == "Cc" else c for c in value) if not value.isprintable() else value
-            return re.sub(r"\s+", " ", value).strip()
+            body = _safe(value)
+            lower = body.lower()
+            for needs, pattern in rules:
+                if any(all(word in lower for word in n.split("&")) for n in needs):
+                    body = pattern.sub(" ", body)
+            body = re.sub(r"\s+", " ", body).strip()
+            if len(body) <= MAX_BODY:
+                return body
+            head = body[:MAX_BODY]
+            at = head.rfind(". ")
+            return head[: at + 1] if at > MAX_BODY * 0.75 else head
 
         return pa.array([one(v) for v in texts.to_pylist()], pa.string())
 
     return of(text)
 
 
+def normalized_news(news: DataFrame) -> DataFrame:
+    """Rows with title and body cleaned, and the language of both; original_language where it isn't known yet."""
+    rows = news.withColumns({"title": safe_text(F.col("title")), "raw_content": safe_body(F.col("raw_content"))})
+    rows = rows.withColumn("language", detect_language(F.concat_ws("\n", "title", "raw_content")))
+    if "original_language" in news.columns:
+        known = F.nullif(F.nullif(F.col("original_language"), F.lit("")), F.lit("unknown"))
+        return rows.withColumn("original_language", F.coalesce(known, F.col("language")))
+    return rows.withColumn("original_language", F.col("language"))
+
+
 def trim_at_word(text: Column, limit: int) -> Column:
     """At most limit characters, cut at a blank past 60 % of it; trailing ,.:;- go."""
     head = F.substring(text, 1, limit)
@@ -137,8 +157,12 @@ def url_fingerprint(url: Column, title: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Of two lists without repeats."""
+    def of(p: Column) -> Column:
+        n, m, both = F.size(p["a"]), F.size(p["b"]), F.size(F.array_intersect(p["a"], p["b"]))
+        return F.when((n == 0) | (m == 0), 0.0).otherwise(both / (n + m - both))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def word_shingles(toks: Column, n: int = 5) -> Column:

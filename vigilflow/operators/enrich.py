@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilflow.functions import lexicon as lx
 from vigilflow.functions import text as tx
 from vigilflow.functions import vocab
 
@@ -17,18 +16,44 @@ SIGNALS = (
 )
 
 
-def with_text(news: DataFrame) -> DataFrame:
-    """Adds txt (lower-case title and body) and line (its tokens), once for all that follows.
+RELEVANCE = (lx.keys(vocab.STRONG), lx.keys(vocab.MEDIUM), lx.keys(vocab.WEAK), lx.keys(vocab.NEGATIVE))
+ACTIONS = (lx.keys(vocab.URGENT), lx.keys(vocab.RECOMMENDED), lx.keys(vocab.INFORMATIONAL))
+CATEGORIES = {name: lx.keys(terms) for name, terms in vocab.CATEGORIES.items()}
+PLATFORMS = {name: lx.aliases(terms) for name, terms in vocab.PLATFORMS.items()}
+AUDIENCES = {name: lx.keys(profile["keywords"]) for name, profile in vocab.AUDIENCES.items()}
+SEVERITY = {key: weight for phrase, weight in vocab.SEVERITY.items() for key in lx.phrases([phrase])}
+SENSATIONAL = lx.phrases(vocab.SENSATIONAL)
+SIGNAL_PHRASES = {name: lx.phrases(getattr(vocab, f"PHRASES_{name}")) for name in ("ACTIVE_EXPLOIT", "FINANCIAL", "ENTERPRISE", "EMAIL", "SESSION", "DATA_EXPOSURE", "MALWARE_DELIVERY")}
+SIGNAL_WORDS = lx.phrases(("credential", "password", "mfa", "bypass"))
+
+#: What each kind of question needs; a text is read for all that a query asks, at once.
+FOR_RELEVANCE = lx.lexicon(*RELEVANCE)
+FOR_CATEGORY = lx.lexicon(*CATEGORIES.values())
+FOR_PLATFORMS = lx.lexicon(*PLATFORMS.values())
+EVERYTHING = lx.lexicon(
+    *RELEVANCE, *ACTIONS, *CATEGORIES.values(), *PLATFORMS.values(), *AUDIENCES.values(), SEVERITY, SENSATIONAL, *SIGNAL_PHRASES.values(), SIGNAL_WORDS
+)
+
 
-    The generator around line is a fence: a filter on what derives from it can't be pushed below and so
-    put the tokenising regular expression in place of each mention of line.
+def with_text(news: DataFrame, words: lx.Lexicon = EVERYTHING) -> DataFrame:
+    """Adds txt (lower-case title and body) and hits (the terms that it holds), once for all that follows.
+
+    The generator around hits is a fence: a filter on what derives from them can't be pushed below and so
+    put the reading of the text in place of each mention.
     """
     rows = news.withColumn("txt", F.lower(F.concat_ws("\n", "title", "raw_content")))
-    return rows.withColumn("line", F.explode(F.array(tx.token_line(tx.tokens(F.col("txt"))))))
+    return rows.withColumn("hits", F.explode(F.array(words.hits(F.col("txt")))))
+
 
+def relevance_score(hits: Column) -> Column:
+    strong, medium, weak, negative = (lx.count(hits, keys) for keys in RELEVANCE)
+    return (3 * strong + 2 * medium + weak - 2 * negative).cast("long")
 
-def relevance_score(txt: Column, line: Column) -> Column:
-    return (3 * tx.keyword_hits(vocab.STRONG, txt, line) + 2 * tx.keyword_hits(vocab.MEDIUM, txt, line) + tx.keyword_hits(vocab.WEAK, txt, line) - 2 * tx.keyword_hits(vocab.NEGATIVE, txt, line)).cast("long")
+
+def relevant(news: DataFrame, words: lx.Lexicon = EVERYTHING) -> DataFrame:
+    """with_text() of the rows that the rules keep, and their relevance: a feed language and a score of 3 or more."""
+    rows = with_text(news.filter("language <> 'other'"), words).withColumn("relevance", relevance_score(F.col("hits")))
+    return rows.filter("relevance >= 3")
 
 
 def decision(language: Column, score: Column, cached: Column | None = None) -> Column:
@@ -42,44 +67,37 @@ def accepted(path: Column, score: Column, cached: Column | None = None) -> Colum
     return F.when(path == "rules-accept", True).when(path == "ai-cached", known).when(path == "ai-disabled", score >= 3).otherwise(False)
 
 
-def category(txt: Column, line: Column) -> Column:
+def category(hits: Column) -> Column:
     """struct<category, confidence, total>: most hits, ties by priority."""
-    rows = [F.struct(tx.keyword_hits(terms, txt, line).alias("hits"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, terms) in enumerate(vocab.CATEGORIES.items())]
-    every = F.array(*rows)
-    total = F.aggregate(every, F.lit(0), lambda a, r: a + r["hits"])
-    best = F.array_max(every)
-    return F.struct(F.when(total > 0, best["name"]).otherwise("other").alias("category"), F.when(total > 0, best["hits"] / total).otherwise(0.0).alias("category_confidence"))
+    rows = [F.struct(lx.count(hits, keys).alias("hits"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, keys) in enumerate(CATEGORIES.items())]
+
+    def decide(every: Column) -> Column:
+        total = F.aggregate(every, F.lit(0), lambda a, r: a + r["hits"])
+        best = F.array_max(every)
+        return F.struct(F.when(total > 0, best["name"]).otherwise("other").alias("category"), F.when(total > 0, best["hits"] / total).otherwise(0.0).alias("category_confidence"))
 
+    return tx.let(F.array(*rows), decide)
 
-def platforms(txt: Column) -> Column:
+
+def platforms(hits: Column) -> Column:
     """Sorted names whose alias occurs: single words at word bounds, phrases anywhere."""
-    found = []
-    for name, aliases in vocab.PLATFORMS.items():
-        words = "|".join(re.escape(a) for a in aliases if " " not in a)
-        tests = [F.contains(txt, F.lit(a)) for a in aliases if " " in a]
-        if words:
-            tests.insert(0, txt.rlike(rf"(?U)(?<!\w)(?:{words})(?!\w)"))
-        test = tests[0]
-        for t in tests[1:]:
-            test = test | t
-        found.append(F.when(test, name))
-    return F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull()))
-
-
-def audience_scores(txt: Column, line: Column, names: Column, label: Column) -> Column:
+    return F.array_sort(F.array_compact(F.array(*[F.when(lx.any_of(hits, keys), name) for name, keys in PLATFORMS.items()])))
+
+
+def audience_scores(hits: Column, names: Column, label: Column) -> Column:
     """array<struct<score, name>>: raw / (raw + 2) of keyword, platform and category matches."""
     out = []
     for name, profile in vocab.AUDIENCES.items():
         own = tx.literal_array(profile["platforms"]) if profile["platforms"] else F.array().cast("array<string>")
-        raw = tx.keyword_hits(profile["keywords"], txt, line) + 1.5 * F.size(F.array_intersect(names, own)) + (1.5 * label.isin(*profile["categories"]).cast("int") if profile["categories"] else F.lit(0.0))
+        raw = lx.count(hits, AUDIENCES[name]) + 1.5 * F.size(F.array_intersect(names, own)) + (1.5 * label.isin(*profile["categories"]).cast("int") if profile["categories"] else F.lit(0.0))
         out.append(F.struct((raw / (raw + 2)).alias("score"), F.lit(name).alias("name")))
     return F.array(*out)
 
 
-def actionability_score(txt: Column, line: Column, label: Column) -> Column:
-    hits = lambda terms: F.least(F.lit(2), tx.keyword_hits(terms, txt, line))
+def actionability_score(hits: Column, label: Column) -> Column:
+    urgent, recommended, informational = (F.least(F.lit(2), lx.count(hits, keys)) for keys in ACTIONS)
     bias = F.create_map(*[F.lit(x) for pair in vocab.CATEGORY_BIAS.items() for x in pair])
-    raw = hits(vocab.URGENT) * 4.0 + hits(vocab.RECOMMENDED) * 1.5 - hits(vocab.INFORMATIONAL) * 1.0 + F.coalesce(bias[label], F.lit(0.0))
+    raw = urgent * 4.0 + recommended * 1.5 - informational * 1.0 + F.coalesce(bias[label], F.lit(0.0))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (raw + 1.5) / 7.0))
 
 
@@ -97,8 +115,8 @@ def with_profile(news: DataFrame) -> DataFrame:
     return found.withColumns({"base_score": F.coalesce("base_score", F.lit(0.35)), "declared_tier": F.coalesce("declared_tier", F.lit("unverified"))})
 
 
-def credibility(base: Column, txt: Column, corroborating: Column) -> Column:
-    penalty = F.least(F.lit(0.30), tx.substring_hits(vocab.SENSATIONAL, txt) * 0.10)
+def credibility(base: Column, hits: Column, corroborating: Column) -> Column:
+    penalty = F.least(F.lit(0.30), lx.count(hits, SENSATIONAL) * 0.10)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), base - penalty + F.least(F.lit(0.15), corroborating * 0.05)))
 
 
@@ -107,46 +125,73 @@ def tier(score: Column) -> Column:
 
 
 def classified(news: DataFrame) -> DataFrame:
-    """with_text() and category, platforms, audiences and actionability."""
-    txt, line = F.col("txt"), F.col("line")
-    rows = with_text(news).withColumn("_c", category(txt, line)).select("*", "_c.*").drop("_c")
-    rows = rows.withColumn("affected_platforms", platforms(txt)).withColumn("_a", audience_scores(txt, line, F.col("affected_platforms"), F.col("category")))
+    """Category, platforms, audiences and actionability of rows; with_text() where they lack its hits."""
+    hits = F.col("hits")
+    rows = (news if "hits" in news.columns else with_text(news)).withColumn("_c", category(hits)).select("*", "_c.*").drop("_c")
+    rows = rows.withColumn("affected_platforms", platforms(hits)).withColumn("_a", audience_scores(hits, F.col("affected_platforms"), F.col("category")))
     fit = F.filter("_a", lambda a: a["score"] >= 0.33)
     rows = rows.withColumns({"audience_targets": F.array_sort(F.transform(fit, lambda a: a["name"])), "audience_relevance_score": F.when(F.size(fit) > 0, F.array_max("_a")["score"]).otherwise(0.0)})
-    rows = rows.withColumn("actionability_score", actionability_score(txt, line, F.col("category")))
+    rows = rows.withColumn("actionability_score", actionability_score(hits, F.col("category")))
     return rows.withColumn("actionability_level", action_level(F.col("actionability_score"))).drop("_a")
 
 
-def corroboration(news: DataFrame, least_jaccard: float, trusted_only: bool = False, least_shared: int = 2) -> DataFrame:
-    """(doc_id, sources): other sources that tell the same story, in order of their first row.
+#: Tokens of titles whose frequency is counted: those of most titles.
+FREQUENT = 1000
+
 
-    Stories are compared by title, once for each distinct title: an inverted index of title tokens pairs
-    those that share any (a pair needs two), the shared tokens are counted and the Jaccard similarity follows.
-    No token is left out for being frequent.
+def similar_titles(titles: DataFrame, least_jaccard: float, least_shared: int = 2) -> DataFrame:
+    """Pairs of rows of titles (title, toks, told) that are similar enough, as (left, right, jaccard); left and right are structs of these.
+
+    A prefix filter: tokens of a title go in one order, those of most titles last. A partner shares at least
+    o = max(least_shared, least_jaccard * n) of n tokens, so it has one of the first n - o + 1 of each title among its
+    own first ones. Only these are joined, so a token of every title never is; a pair counts at its first common token
+    alone and is then compared exactly. Pairs are passed on as they are found, never shuffled. Any order is right;
+    the FREQUENT most frequent tokens, a fixed number, are what is fetched to make this one quick.
+    """
+    often = titles.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "t").limit(FREQUENT).collect()
+    known = tx.literal_array(r["t"] for r in reversed(often))
+    ranked = titles.withColumn("toks", F.transform(F.array_sort(F.transform("toks", lambda t: F.struct(F.array_position(known, t).alias("often"), t.alias("tok")))), lambda r: r["tok"]))
+    need = F.greatest(F.lit(least_shared), F.ceil(F.size("toks") * least_jaccard - 1e-9))
+    index = ranked.filter(F.size("toks") >= least_shared).select(F.struct("title", "toks", "told").alias("row"), F.explode(F.slice("toks", F.lit(1), (F.size("toks") - need + 1).cast("int"))).alias("tok"))
+    pairs = index.withColumnRenamed("row", "left").join(index.withColumnRenamed("row", "right"), "tok")
+    pairs = pairs.withColumn("_both", F.array_intersect("left.toks", "right.toks")).filter((F.get("_both", F.lit(0)) == F.col("tok")) & (F.size("_both") >= least_shared))
+    pairs = pairs.withColumn("jaccard", F.size("_both") / (F.size("left.toks") + F.size("right.toks") - F.size("_both")))
+    return pairs.filter(F.col("jaccard") >= least_jaccard).select("left", "right", "jaccard")
+
+
+def stories(news: DataFrame, wide: float = 0.2, narrow: float = 0.25) -> DataFrame:
+    """(title, told): for each title the other titles' sources, as array<struct<first, other, trusted_first>>.
+
+    first is the first row by which a source tells a story of similarity wide, trusted_first the one of similarity
+    narrow if the source is a trusted one. Distinct titles carry their sources, one row of each: what is joined and
+    summed grows with titles and their sources, not with rows.
     """
-    titles = news.select("title").distinct().withColumn("toks", tx.title_tokens(F.col("title"))).withColumn("n", F.size("toks"))
-    posted = titles.select("title", "n", F.explode("toks").alias("tok"))
-    other = posted.select(F.col("title").alias("title_b"), F.col("n").alias("n_b"), "tok")
-    shared = posted.join(other, "tok").groupBy("title", "n", "title_b", "n_b").agg(F.count("*").alias("shared"))
-    near = shared.filter((F.col("shared") >= least_shared) & (F.col("shared") / (F.col("n") + F.col("n_b") - F.col("shared")) >= least_jaccard)).select("title", "title_b")
-    by = with_profile(news).filter("declared_tier = 'trusted'") if trusted_only else news
-    told = by.groupBy(F.col("title").alias("title_b"), F.col("source").alias("other")).agg(F.min("doc_id").alias("first"))
-    found = near.join(told, "title_b").groupBy("title", "other").agg(F.min("first").alias("first"))
-    lists = found.groupBy("title").agg(F.array_sort(F.collect_list(F.struct("first", "other"))).alias("_all"))
-    own = news.select("doc_id", "title", "source").join(lists, "title", "left")
-    rest = F.filter(F.coalesce("_all", F.array().cast("array<struct<first:bigint,other:string>>")), lambda s: s["other"] != F.col("source"))
-    return own.select("doc_id", F.transform(rest, lambda s: s["other"]).alias("sources"))
-
-
-def keyword_component(txt: Column, line: Column) -> Column:
+    trusted = F.col("source").isin(*[name for name, (_, tier) in vocab.SOURCES.items() if tier == "trusted"])
+    by_source = news.groupBy("title", "source", trusted.alias("trusted")).agg(F.min("doc_id").alias("first"))
+    titles = by_source.groupBy("title").agg(F.collect_list(F.struct("first", F.col("source").alias("other"), "trusted")).alias("told"))
+    titles = titles.withColumn("toks", tx.title_tokens(F.col("title")))
+    found = similar_titles(titles, wide).select(F.col("left.title").alias("title"), "jaccard", F.explode("right.told").alias("t"))
+    found = found.groupBy("title", "t.other").agg(F.min("t.first").alias("first"), F.min(F.when((F.col("jaccard") >= narrow) & F.col("t.trusted"), F.col("t.first"))).alias("trusted_first"))
+    return found.groupBy("title").agg(F.collect_list(F.struct("first", "other", "trusted_first")).alias("told"))
+
+
+def corroboration(news: DataFrame) -> DataFrame:
+    """(doc_id, n_sources, corroborating_sources): how many other sources tell the same story, and the trusted ones, in order of their first row."""
+    rest = F.filter(F.coalesce("told", F.array().cast("array<struct<first:bigint,other:string,trusted_first:bigint>>")), lambda s: s["other"] != F.col("source"))
+    sure = F.transform(F.filter(rest, lambda s: s["trusted_first"].isNotNull()), lambda s: F.struct(s["trusted_first"].alias("first"), s["other"].alias("other")))
+    own = news.select("doc_id", "title", "source").join(stories(news), "title", "left")
+    return own.select("doc_id", F.size(rest).cast("long").alias("n_sources"), F.transform(F.array_sort(sure), lambda s: s["other"]).alias("corroborating_sources"))
+
+
+def keyword_component(hits: Column) -> Column:
     """15 ln(1 + hits) over all relevance terms; stems don't count here."""
-    return 15.0 * F.log1p(tx.keyword_hits([t for t in ALL_TERMS if not (t.endswith("*") and " " not in t and "-" not in t)], txt, line).cast("double"))
+    return 15.0 * F.log1p(lx.count(hits, lx.keys(t for t in ALL_TERMS if not (t.endswith("*") and " " not in t and "-" not in t))).cast("double"))
 
 
-def severity_component(txt: Column) -> Column:
+def severity_component(hits: Column) -> Column:
     total = F.lit(0.0)
-    for phrase, weight in vocab.SEVERITY.items():
-        total = total + F.when(F.contains(txt, F.lit(phrase)), float(weight)).otherwise(0.0)
+    for key, weight in SEVERITY.items():
+        total = total + F.when(F.array_contains(hits, key), float(weight)).otherwise(0.0)
     return total * 4.0
 
 
@@ -160,38 +205,35 @@ def bonus(n: Column) -> Column:
 
 
 def scored(news: DataFrame, now: str, half_life: float = 12.0) -> DataFrame:
-    """classified() with credibility, corroboration and threat_score."""
-    rows = with_profile(classified(news))
-    wide = corroboration(news, 0.2).select("doc_id", F.size("sources").alias("n_sources"))
-    trusted = corroboration(news, 0.25, trusted_only=True).withColumnRenamed("sources", "corroborating_sources")
-    rows = rows.join(wide, "doc_id").join(trusted, "doc_id")
-    rows = rows.withColumn("source_credibility_score", credibility(F.col("base_score"), F.col("txt"), F.size("corroborating_sources")))
+    """classified() with credibility, corroboration and threat_score. The rows of news are one batch: all of them count as told."""
+    hits = F.col("hits")
+    rows = with_profile(classified(news)).join(corroboration(news), "doc_id")
+    rows = rows.withColumn("source_credibility_score", credibility(F.col("base_score"), hits, F.size("corroborating_sources")))
     rows = rows.withColumn("source_tier", tier(F.col("source_credibility_score")))
-    raw = (keyword_component(F.col("txt"), F.col("line")) + severity_component(F.col("txt"))) * recency(F.col("published_at"), F.to_timestamp(F.lit(now)), half_life) + bonus(F.col("n_sources"))
+    raw = (keyword_component(hits) + severity_component(hits)) * recency(F.col("published_at"), F.to_timestamp(F.lit(now)), half_life) + bonus(F.col("n_sources"))
     return rows.withColumn("threat_score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)))
 
 
 def signals(rows: DataFrame) -> DataFrame:
     """Adds the ten boolean signals to classified rows."""
-    txt, label = F.col("txt"), F.col("category")
-    has = lambda phrases: tx.contains_any(phrases, txt)
+    txt, hits, label = F.col("txt"), F.col("hits"), F.col("category")
+    has = lambda name: lx.any_of(hits, SIGNAL_PHRASES[name])
     on = lambda *names: F.arrays_overlap(F.transform("affected_platforms", F.lower), tx.literal_array(names))
     to = lambda *names: F.arrays_overlap("audience_targets", tx.literal_array(names))
-    word = lambda w: F.contains(txt, F.lit(w))
+    word = lambda w: F.array_contains(hits, lx.phrases([w])[0])
     urgent = F.col("actionability_level") == "urgent_action"
-    active = urgent | has(vocab.PHRASES_ACTIVE_EXPLOIT)
-    money = txt.rlike(r"(?U)\b(?:bank(?:ing)?|fraud|fraudulent|payment card|crypto(?:currenc(?:y|ies))?|wallet)\b")
+    active = urgent | has("ACTIVE_EXPLOIT")
     return rows.withColumns({
         "active_exploitation": active,
         "credential_theft_risk": label.isin("phishing", "breach", "data leak") | word("credential") | (word("password") & label.isin("phishing", "scam", "breach")),
-        "financial_risk": (label == "scam") | has(vocab.PHRASES_FINANCIAL) | (money & label.isin("scam", "malware", "phishing", "breach")) | to("crypto_users"),
-        "enterprise_risk": to("sysadmins", "enterprise") | has(vocab.PHRASES_ENTERPRISE) | on("vmware", "kubernetes", "exchange server", "active directory", "azure", "okta", "windows server"),
+        "financial_risk": (label == "scam") | has("FINANCIAL") | to("crypto_users") | (label.isin("scam", "malware", "phishing", "breach") & txt.rlike(vocab.MONEY)),
+        "enterprise_risk": to("sysadmins", "enterprise") | has("ENTERPRISE") | on("vmware", "kubernetes", "exchange server", "active directory", "azure", "okta", "windows server"),
         "consumer_risk": to("normal_users", "mobile_users", "crypto_users") | label.isin("phishing", "scam", "social engineering", "spyware"),
         "requires_immediate_action": active,
-        "affects_email_accounts": has(vocab.PHRASES_EMAIL) | on("microsoft 365", "m365", "outlook", "gmail", "exchange"),
-        "steals_sessions": has(vocab.PHRASES_SESSION) | (word("mfa") & word("bypass")),
-        "data_exposure_risk": label.isin("breach", "data leak") | has(vocab.PHRASES_DATA_EXPOSURE),
-        "malware_delivery": label.isin("malware", "ransomware", "spyware", "botnet") | has(vocab.PHRASES_MALWARE_DELIVERY),
+        "affects_email_accounts": has("EMAIL") | on("microsoft 365", "m365", "outlook", "gmail", "exchange"),
+        "steals_sessions": has("SESSION") | (word("mfa") & word("bypass")),
+        "data_exposure_risk": label.isin("breach", "data leak") | has("DATA_EXPOSURE"),
+        "malware_delivery": label.isin("malware", "ransomware", "spyware", "botnet") | has("MALWARE_DELIVERY"),
     })
 
 
@@ -204,7 +246,7 @@ def who_should_care(language: str = "en") -> Column:
     """First platform with a label, else first audience, else what the signals say."""
     ua = language == "ua"
     audiences = vocab.AUDIENCE_LABELS_UA if ua else vocab.AUDIENCE_LABELS_EN
-    rest = F.when(F.col("enterprise_risk"), audiences["enterprise"]).when(F.col("consumer_risk"), audiences["normal_users"]).otherwise("Фахівці з кібербезпеки" if ua else "Cybersecurity professionals")
+    rest = F.when(F.col("enterprise_risk"), audiences["enterprise"]).when(F.col("consumer_risk"), audiences["normal_users"]).otherwise(vocab.ANYONE_UA if ua else vocab.ANYONE_EN)
     return F.coalesce(_first_label(F.transform("affected_platforms", F.lower), vocab.PLATFORM_LABELS_UA if ua else vocab.PLATFORM_LABELS_EN), _first_label(F.col("audience_targets"), audiences), rest)
 
 

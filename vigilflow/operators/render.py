@@ -20,18 +20,18 @@ def references(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     all_of = lambda pattern, group: F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
     ref = lambda kind, label, url: F.struct(F.lit(kind).alias("type"), label.alias("label"), url.alias("url"))
-    cve = F.transform(all_of(r"(?i)\bCVE-(\d{4}-\d{4,7})\b", 1), lambda x: ref("cve", F.concat(F.lit("CVE-"), x), F.concat(F.lit("https://nvd.nist.gov/vuln/detail/CVE-"), x)))
-    cert = F.transform(all_of(r"(?i)\bCERT-UA#(\d+)\b", 1), lambda x: ref("cert", F.concat(F.lit("CERT-UA#"), x), F.concat(F.lit("https://cert.gov.ua/article/"), x)))
-    cisa = F.transform(all_of(r"\b(AA\d{2}-\d{2,3}[A-Za-z]?)\b", 1), lambda x: ref("advisory", F.concat(F.lit("CISA "), x), F.concat(F.lit("https://www.cisa.gov/news-events/cybersecurity-advisories/"), F.lower(x))))
-    msrc = F.transform(all_of(r"(?i)\b(ADV\d{6})\b", 1), lambda x: ref("vendor", F.upper(x), F.concat(F.lit("https://msrc.microsoft.com/update-guide/vulnerability/"), F.upper(x))))
+    cve = F.transform(all_of(r"(?=[Cc][Vv][Ee]-\d)\b...-(\d{4}-\d{4,7})\b", 1), lambda x: ref("cve", F.concat(F.lit("CVE-"), x), F.concat(F.lit("https://nvd.nist.gov/vuln/detail/CVE-"), x)))
+    cert = F.transform(all_of(r"(?=[Cc][Ee][Rr][Tt]-[Uu][Aa]#)\b.{7}#(\d+)\b", 1), lambda x: ref("cert", F.concat(F.lit("CERT-UA#"), x), F.concat(F.lit("https://cert.gov.ua/article/"), x)))
+    cisa = F.transform(all_of(r"(?=AA\d)\b(AA\d{2}-\d{2,3}[A-Za-z]?)\b", 1), lambda x: ref("advisory", F.concat(F.lit("CISA "), x), F.concat(F.lit("https://www.cisa.gov/news-events/cybersecurity-advisories/"), F.lower(x))))
+    msrc = F.transform(all_of(r"(?=[Aa][Dd][Vv]\d)\b(...\d{6})\b", 1), lambda x: ref("vendor", F.upper(x), F.concat(F.lit("https://msrc.microsoft.com/update-guide/vulnerability/"), F.upper(x))))
     return merge_references(F.concat(cve, cert, cisa, msrc))
 
 
 def merge_references(refs: Column) -> Column:
     """The first of each (type, lower-case label), in order."""
     key = lambda r: F.concat(r["type"], F.lit("|"), F.lower(r["label"]))
-    keys = F.transform(refs, key)
-    return F.filter(refs, lambda r, i: F.array_position(keys, key(r)) == i + 1)
+    first = lambda p: F.filter(p["refs"], lambda r, i: F.array_position(p["keys"], key(r)) == i + 1)
+    return tx.let(refs, lambda own: tx.let(F.struct(own.alias("refs"), F.transform(own, key).alias("keys")), first))
 
 
 def drop_source_refs(refs: Column, source_url: Column) -> Column:

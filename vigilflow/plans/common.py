@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilflow.functions import vocab
 from vigilflow.operators import enrich
 from vigilflow.session import spread, table
 from vigilflow.sources import news as nw
-from vigilflow.sources.news import NEWS_SQL, NOW, any_sql, array_sql, hits_sql, quoted, title_tokens_sql, tokens_sql
+from vigilflow.sources.news import NEWS_SQL, NOW, any_sql, array_sql, hits_sql, language_sql, quoted, title_tokens_sql, tokens_sql
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +17,9 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_per_fingerprint(rows: DataFrame) -> DataFrame:
-    """The row of the smallest doc_id of each fingerprint: what a store keeps of its first sight."""
-    first = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    return rows.join(first, ["fingerprint", "doc_id"], "left_semi")
+    """The row of the smallest doc_id of each fingerprint: what a store keeps of its first sight. One shuffle; rows that can't be the first stay behind (a group limit)."""
+    order = Window.partitionBy("fingerprint").orderBy("doc_id")
+    return rows.withColumn("_first", F.row_number().over(order)).filter("_first = 1").drop("_first")
 
 
 def _map_sql(pairs: dict, key: str, default: str = "NULL") -> str:
@@ -53,7 +53,8 @@ def _capped(terms) -> str:
 TEXT_SQL = f"{NEWS_SQL},\nnews_t AS (SELECT *, lower(title || chr(10) || raw_content) AS txt, {tokens_sql('(title || chr(10) || raw_content)')} AS toks FROM news)"
 RELEVANCE_SQL = f"CAST(3 * {hits_sql(vocab.STRONG)} + 2 * {hits_sql(vocab.MEDIUM)} + {hits_sql(vocab.WEAK)} - 2 * {hits_sql(vocab.NEGATIVE)} AS BIGINT)"
 _HITS = ", ".join(f"{{'hits': {hits_sql(terms)}, 'o': {-i}, 'name': {quoted(name)}}}" for i, (name, terms) in enumerate(vocab.CATEGORIES.items()))
-CLASSIFIED_SQL = f"""{TEXT_SQL},
+#: From news_t on.
+CLASSES_SQL = f"""
 cat0 AS (SELECT *, list_sort([{_HITS}], 'DESC') AS cats FROM news_t),
 cat AS (SELECT * EXCLUDE (cats), CASE WHEN cats[1].hits > 0 THEN cats[1].name ELSE 'other' END AS category,
   CASE WHEN cats[1].hits > 0 THEN cats[1].hits / CAST(list_sum(list_transform(cats, lambda c: c.hits)) AS DOUBLE) ELSE 0.0 END AS category_confidence,
@@ -65,6 +66,7 @@ aud2 AS (SELECT * EXCLUDE (aud), list_sort(list_transform(list_filter(aud, lambd
   FROM aud),
 classified AS (SELECT *, CASE WHEN actionability_score >= 0.7 THEN 'urgent_action' WHEN actionability_score >= 0.4 THEN 'recommended_action' ELSE 'informational' END AS actionability_level FROM aud2)"""
 
+CLASSIFIED_SQL = f"{TEXT_SQL},{CLASSES_SQL}"
 _TRUSTED = [n for n, (_, t) in vocab.SOURCES.items() if t == "trusted"]
 
 
@@ -80,8 +82,7 @@ wide AS ({pairs_sql(0.2, False)}),
 trusted AS ({pairs_sql(0.25, True)})"""
 _SEVERITY = " + ".join(f"CASE WHEN contains(txt, {quoted(p)}) THEN {float(w)} ELSE 0.0 END" for p, w in vocab.SEVERITY.items())
 _TERMS = [t for t in enrich.ALL_TERMS if not (t.endswith("*") and " " not in t and "-" not in t)]
-SCORED_SQL = f"""{CLASSIFIED_SQL},
-{STORIES_SQL},
+SCORES_SQL = f"""{STORIES_SQL},
 scored0 AS (
   SELECT c.*, coalesce(w.n, 0) AS n_sources, coalesce(t.sources, []) AS corroborating_sources,
     greatest(0.0, least(1.0, CAST({_map_sql({k: float(v[0]) for k, v in vocab.SOURCES.items()}, 'c.source', '0.35')} AS DOUBLE)
@@ -93,6 +94,36 @@ scored AS (SELECT *, CASE WHEN source_credibility_score >= 0.70 THEN 'trusted' W
     * greatest(pow(0.5::DOUBLE, greatest(0.0, epoch_us(TIMESTAMP '{NOW}') - epoch_us(published_at)) / 3.6e9 / 12.0), 0.2)
     + CASE WHEN n_sources > 0 THEN 20.0 * (1.0 - exp(-0.6::DOUBLE * n_sources)) ELSE 0.0 END)) AS threat_score FROM scored0)"""
 
+SCORED_SQL = f"{CLASSIFIED_SQL},\n{SCORES_SQL}"
+
+
+def _clean_sql() -> str:
+    """Normalisation of a body: NFC, white space, feed junk, the cut near 3000 characters. (The seeded texts hold no HTML entities.)"""
+    space = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+    text = f"trim(regexp_replace(regexp_replace(nfc_normalize(raw_content), '[\\x00-\\x08\\x0E-\\x1F\\x7F-\\x9F]', ' ', 'g'), '{space}', ' ', 'g'))"
+    for pattern in vocab.JUNK:
+        # RE2 bounds words by ASCII letters: the Ukrainian patterns get bounds of their own.
+        own = pattern if pattern.isascii() or "©" in pattern else r"(^|[^\p{L}\p{N}_])" + pattern.removeprefix(r"\b").replace(r"\w", r"[\p{L}\p{N}_]").replace(r"\b", r"($|[^\p{L}\p{N}_])")
+        text = f"regexp_replace({text}, {quoted('(?m)' + own)}, '{' ' if own == pattern else chr(92) + '1 '}', 'gi')"
+    return f"trim(regexp_replace({text}, '{space}', ' ', 'g'))"
+
+
+def clean_sql(table: str) -> str:
+    """The rows of a table with cleaned bodies."""
+    return f"""(SELECT * EXCLUDE (cut) REPLACE (CASE WHEN length(raw_content) <= 3000 THEN raw_content WHEN cut > 2250 THEN substr(raw_content, 1, cut + 1) ELSE substr(raw_content, 1, 3000) END AS raw_content)
+  FROM (SELECT *, CASE WHEN contains(substr(raw_content, 1, 3000), '. ') THEN length(regexp_extract(substr(raw_content, 1, 3000), '(?s)^(.*)\\. ', 1)) ELSE -1 END AS cut FROM (SELECT * REPLACE ({_clean_sql()} AS raw_content) FROM {table})))"""
+
+
+def cycle_sql(known: str) -> str:
+    """The ingest cycle up to scored rows: rows that the store lacks, normalised, relevant, scored as one batch. known: a select of stored fingerprints."""
+    fetched = NEWS_SQL.replace("news AS (", "fetched AS (", 1)
+    return f"""{fetched},
+fresh AS (SELECT * REPLACE ({language_sql("(title || chr(10) || raw_content)")} AS language) FROM {clean_sql(f"(SELECT * FROM fetched WHERE fingerprint NOT IN ({known}))")}),
+fresh_t AS (SELECT *, lower(title || chr(10) || raw_content) AS txt, {tokens_sql("(title || chr(10) || raw_content)")} AS toks FROM fresh),
+news_t AS MATERIALIZED (SELECT * FROM fresh_t WHERE language <> 'other' AND {RELEVANCE_SQL} >= 3),
+news AS (SELECT * FROM news_t),{CLASSES_SQL},
+{SCORES_SQL}"""
+
 
 def _has(*words: str) -> str:
     return "(" + " OR ".join(f"contains(txt, {quoted(w)})" for w in words) + ")"

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigilflow.functions import lexicon as lx
 from vigilflow.functions import text as tx
 from vigilflow.functions import vocab
 from vigilflow.operators import enrich, store
-from vigilflow.plans.common import CLASSIFIED_SQL, RELEVANCE_SQL, SCORED_SQL, SIGNALS_SQL, STORIES_SQL, TEXT_SQL, news, with_sql
+from vigilflow.plans.common import CLASSIFIED_SQL, RELEVANCE_SQL, SCORED_SQL, SIGNALS_SQL, STORIES_SQL, TEXT_SQL, clean_sql, cycle_sql, news, with_sql
 from vigilflow.registry import query
 from vigilflow.session import spread, table
+from vigilflow.streaming import cycle
 from vigilflow.sources.news import NEWS_SQL, NOW, hits_sql, language_sql, title_tokens_sql, tokens_sql
 
 
@@ -38,6 +40,12 @@ def title_tokens(spark, sf_dir):
     return news(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(tx.title_tokens(F.col("title"))), " ").alias("tokens"))
 
 
+@query("normalize_news", with_sql(NEWS_SQL, f"SELECT doc_id, title, raw_content, language, language AS original_language FROM (SELECT * REPLACE ({language_sql('(title || chr(10) || raw_content)')} AS language) FROM {clean_sql('news')})"))
+def normalize_news(spark, sf_dir):
+    """Title and body as the cycle cleans them, and the language that is then found."""
+    return tx.normalized_news(news(spark, sf_dir)).select("doc_id", "title", "raw_content", "language", "original_language")
+
+
 @query("detect_language", with_sql(NEWS_SQL, f"SELECT doc_id, {language_sql('title')} AS title_language, language FROM news"))
 def detect_language(spark, sf_dir):
     return news(spark, sf_dir).select("doc_id", tx.detect_language(F.col("title")).alias("title_language"), "language")
@@ -45,13 +53,13 @@ def detect_language(spark, sf_dir):
 
 @query("keyword_hits", with_sql(TEXT_SQL, "SELECT doc_id, " + ", ".join(f"CAST({hits_sql(getattr(vocab, n.upper()))} AS BIGINT) AS {n}" for n in ("strong", "medium", "weak", "negative")) + " FROM news_t"))
 def keyword_hits(spark, sf_dir):
-    rows = enrich.with_text(news(spark, sf_dir))
-    return rows.select("doc_id", *[tx.keyword_hits(getattr(vocab, n.upper()), F.col("txt"), F.col("line")).cast("long").alias(n) for n in ("strong", "medium", "weak", "negative")])
+    rows = enrich.with_text(news(spark, sf_dir), enrich.FOR_RELEVANCE)
+    return rows.select("doc_id", *[lx.count(F.col("hits"), keys).cast("long").alias(n) for n, keys in zip(("strong", "medium", "weak", "negative"), enrich.RELEVANCE, strict=True)])
 
 
 def _relevance(spark, sf_dir):
-    rows = enrich.with_text(news(spark, sf_dir))
-    return rows.withColumn("score", enrich.relevance_score(F.col("txt"), F.col("line")))
+    rows = enrich.with_text(news(spark, sf_dir), enrich.FOR_RELEVANCE)
+    return rows.withColumn("score", enrich.relevance_score(F.col("hits")))
 
 
 @query("relevance_score", with_sql(TEXT_SQL, f"SELECT doc_id, {RELEVANCE_SQL} AS score FROM news_t"))
@@ -61,7 +69,7 @@ def relevance_score(spark, sf_dir):
 
 @query("relevance_filter", with_sql(TEXT_SQL, f"SELECT doc_id, title FROM news_t WHERE language <> 'other' AND {RELEVANCE_SQL} >= 3"))
 def relevance_filter(spark, sf_dir):
-    return _relevance(spark, sf_dir).filter("language <> 'other' and score >= 3").select("doc_id", "title")
+    return enrich.relevant(news(spark, sf_dir), enrich.FOR_RELEVANCE).select("doc_id", "title")
 
 
 DECIDED_SQL = f"""{TEXT_SQL},
@@ -90,13 +98,13 @@ def filter_stats(spark, sf_dir):
 
 @query("classify_category", with_sql(CLASSIFIED_SQL, "SELECT doc_id, category, round(category_confidence, 6) AS category_confidence FROM classified"))
 def classify_category(spark, sf_dir):
-    rows = enrich.with_text(news(spark, sf_dir)).withColumn("c", enrich.category(F.col("txt"), F.col("line")))
+    rows = enrich.with_text(news(spark, sf_dir), enrich.FOR_CATEGORY).withColumn("c", enrich.category(F.col("hits")))
     return rows.select("doc_id", "c.category", F.round("c.category_confidence", 6).alias("category_confidence"))
 
 
 @query("extract_platforms", with_sql(CLASSIFIED_SQL, "SELECT doc_id, array_to_string(affected_platforms, '|') AS affected_platforms FROM classified"))
 def extract_platforms(spark, sf_dir):
-    return enrich.with_text(news(spark, sf_dir)).select("doc_id", F.array_join(enrich.platforms(F.col("txt")), "|").alias("affected_platforms"))
+    return enrich.with_text(news(spark, sf_dir), enrich.FOR_PLATFORMS).select("doc_id", F.array_join(enrich.platforms(F.col("hits")), "|").alias("affected_platforms"))
 
 
 @query("classify_audience", with_sql(CLASSIFIED_SQL, "SELECT doc_id, array_to_string(audience_targets, '|') AS audience_targets, round(audience_relevance_score, 6) AS audience_relevance_score FROM classified"))
@@ -111,13 +119,13 @@ def actionability(spark, sf_dir):
 
 @query("cross_source_bonus", with_sql(f"{NEWS_SQL}, {STORIES_SQL}", "SELECT n.doc_id, count(w.other) AS n_sources, CASE WHEN count(w.other) > 0 THEN round(20.0 * (1.0 - exp(-0.6::DOUBLE * count(w.other))), 6) ELSE 0.0 END AS bonus FROM news n LEFT JOIN wide w USING (doc_id) GROUP BY 1"))
 def cross_source_bonus(spark, sf_dir):
-    rows = enrich.corroboration(news(spark, sf_dir), 0.2).withColumn("n_sources", F.size("sources").cast("long"))
+    rows = enrich.corroboration(news(spark, sf_dir))
     return rows.select("doc_id", "n_sources", F.round(enrich.bonus(F.col("n_sources")), 6).alias("bonus"))
 
 
 @query("corroboration", with_sql(f"{NEWS_SQL}, {STORIES_SQL}", "SELECT n.doc_id, coalesce(string_agg(t.other, '|' ORDER BY t.first, t.other), '') AS corroborating_sources FROM news n LEFT JOIN trusted t USING (doc_id) GROUP BY 1"))
 def corroboration(spark, sf_dir):
-    return enrich.corroboration(news(spark, sf_dir), 0.25, trusted_only=True).select("doc_id", F.array_join("sources", "|").alias("corroborating_sources"))
+    return enrich.corroboration(news(spark, sf_dir)).select("doc_id", F.array_join("corroborating_sources", "|").alias("corroborating_sources"))
 
 
 @query("credibility", with_sql(SCORED_SQL, "SELECT doc_id, source_tier, round(source_credibility_score, 6) AS source_credibility_score FROM scored"))
@@ -163,37 +171,47 @@ def who_should_care(spark, sf_dir):
     return enrich.signals(enrich.classified(news(spark, sf_dir))).select("doc_id", enrich.who_should_care().alias("label"))
 
 
+FEED_WORDS = lx.lexicon(*enrich.RELEVANCE, *enrich.CATEGORIES.values())
+
+
 @query("feed_by_category", with_sql(CLASSIFIED_SQL, f"SELECT doc_id, title, category, published_at FROM classified WHERE language <> 'other' AND {RELEVANCE_SQL} >= 3 ORDER BY published_at DESC, doc_id LIMIT 50"))
 def feed_by_category(spark, sf_dir):
     """Flagship: the newest relevant stories with their categories."""
-    rows = _relevance(spark, sf_dir).filter("language <> 'other' and score >= 3").withColumn("c", enrich.category(F.col("txt"), F.col("line")))
+    rows = enrich.relevant(news(spark, sf_dir), FEED_WORDS).withColumn("c", enrich.category(F.col("hits")))
     return rows.select("doc_id", "title", "c.category", "published_at").orderBy(F.desc("published_at"), "doc_id").limit(50)
 
 
-@query("ingest_cycle", with_sql(SCORED_SQL, f"""SELECT fingerprint, title, category, source_tier, actionability_level, round(threat_score, 6) AS threat_score FROM scored
-  WHERE language <> 'other' AND {RELEVANCE_SQL} >= 3 AND doc_id IN (SELECT min(doc_id) FROM news GROUP BY fingerprint) AND doc_id % 4 <> 1"""))
-def ingest_cycle(spark, sf_dir):
-    """First sight of each fingerprint, filtered and scored, without the ids of doc_id mod 4 = 1; no store is read (ingest_cycle_store does)."""
-    from vigilflow.plans.common import one_per_fingerprint
+_KNOWN_SQL = "SELECT fingerprint FROM fetched WHERE doc_id % 4 = 1"
+CYCLE_SQL = cycle_sql(_KNOWN_SQL)
 
-    rows = enrich.scored(news(spark, sf_dir), NOW)
-    rows = one_per_fingerprint(rows).filter("doc_id % 4 <> 1").withColumn("score", enrich.relevance_score(F.col("txt"), F.col("line")))
-    return rows.filter("language <> 'other' and score >= 3").select("fingerprint", "title", "category", "source_tier", "actionability_level", F.round("threat_score", 6).alias("threat_score"))
 
+def _stored(rows):
+    """SEEDED: a store that knows the fingerprints of the rows of doc_id mod 4 = 1, by the smallest id of each."""
+    d = F.col("doc_id")
+    known = rows.filter("doc_id % 4 = 1").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.min_by("title", "doc_id").alias("title"))
+    return known.select("fingerprint", "doc_id", "title", F.lit("other").alias("category"), F.lit("unverified").alias("source_tier"), (d * 7 % 101).cast("double").alias("threat_score"), F.array(F.lit("stored")).alias("tags"))
 
-_ROWS = "fingerprint, doc_id, title, category, source_tier, threat_score"
+
+def _cycle(spark, sf_dir):
+    """(stored rows, scored new rows): anti-join, normalise, filter, then classify, corroborate and score what is left."""
+    rows = news(spark, sf_dir)
+    known = _stored(rows)
+    return known, cycle.enriched(store.fresh(rows, known), NOW)
+
+
+@query("ingest_cycle", with_sql(CYCLE_SQL, "SELECT doc_id, fingerprint, title, category, source_tier, actionability_level, round(source_credibility_score, 6) AS source_credibility_score, round(threat_score, 6) AS threat_score FROM scored"))
+def ingest_cycle(spark, sf_dir):
+    """The new rows of one cycle, in the order of its stages; rows that repeat a new fingerprint all stay."""
+    _, rows = _cycle(spark, sf_dir)
+    return rows.select("doc_id", "fingerprint", "title", "category", "source_tier", "actionability_level", F.round("source_credibility_score", 6).alias("source_credibility_score"), F.round("threat_score", 6).alias("threat_score"))
 
 
-@query("ingest_cycle_store", with_sql(f"""{SCORED_SQL},
-relevant AS (SELECT {_ROWS} FROM scored WHERE language <> 'other' AND {RELEVANCE_SQL} >= 3),
-old AS (SELECT * FROM relevant WHERE doc_id % 4 = 1),
-fresh AS (SELECT * FROM relevant r WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.fingerprint = r.fingerprint))""", """
+@query("ingest_cycle_store", with_sql(CYCLE_SQL, """
   SELECT fingerprint, arg_min(title, doc_id) AS title, arg_min(category, doc_id) AS category, arg_min(source_tier, doc_id) AS source_tier, round(max(threat_score), 6) AS threat_score, is_new
-  FROM (SELECT *, false AS is_new FROM old UNION ALL SELECT *, true FROM fresh) GROUP BY fingerprint, is_new"""))
+  FROM (SELECT fingerprint, doc_id, title, category, source_tier, threat_score, true AS is_new FROM scored
+    UNION ALL SELECT fingerprint, doc_id, title, 'other', 'unverified', CAST(doc_id * 7 % 101 AS DOUBLE), false FROM fetched f WHERE doc_id % 4 = 1 AND doc_id = (SELECT min(doc_id) FROM fetched g WHERE g.fingerprint = f.fingerprint AND g.doc_id % 4 = 1)) GROUP BY fingerprint, is_new"""))
 def ingest_cycle_store(spark, sf_dir):
-    """The cycle against a store (seeded: the relevant rows of doc_id mod 4 = 1): rows whose fingerprint it lacks, merged into it."""
-    rows = enrich.scored(news(spark, sf_dir), NOW).withColumn("score", enrich.relevance_score(F.col("txt"), F.col("line"))).filter("language <> 'other' and score >= 3")
-    rows = rows.select("fingerprint", "doc_id", "title", "category", "source_tier", "threat_score", F.array("category").alias("tags"))
-    known = rows.filter("doc_id % 4 = 1")
-    merged = store.merge_file(known, store.fresh(rows, known))
+    """The store after the cycle: its rows and the new ones, merged."""
+    known, rows = _cycle(spark, sf_dir)
+    merged = store.merge_file(known, rows.select("fingerprint", "doc_id", "title", "category", "source_tier", "threat_score", "tags"))
     return merged.select("fingerprint", "title", "category", "source_tier", F.round("threat_score", 6).alias("threat_score"), "is_new")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vigilflow.operators import enrich, feed, health, render
 from vigilflow.functions import text as tx
 from vigilflow.plans import seeded
-from vigilflow.plans.common import CLASSIFIED_SQL, SCORED_SQL, SIGNALS_SQL, news, with_sql
+from vigilflow.plans.common import CLASSIFIED_SQL, SCORED_SQL, SIGNALS_SQL, clean_sql, news, with_sql
 from vigilflow.plans.seeded import ITEMS_SQL
 from vigilflow.registry import query
 from vigilflow.session import spread, table
@@ -221,7 +221,7 @@ def quick_facts(spark, sf_dir):
   list_transform(u(regexp_extract_all(raw_content, '\bADV\d{6}\b')), lambda x: 'vendor:' || x)), '|') AS refs FROM news""".replace("u(", "list_sort(list_distinct(").replace(", 1)), l", ", 1))), l").replace("')), lambda", "'))), lambda")))
 def extract_references(spark, sf_dir):
     refs = F.transform(render.references(F.col("raw_content")), lambda r: F.concat(r["type"], F.lit(":"), r["label"]))
-    kinds = F.concat(*[_of_kind(refs, k) for k in ("cve:", "cert:", "advisory:", "vendor:")])
+    kinds = tx.let(refs, lambda own: F.concat(*[_of_kind(own, k) for k in ("cve:", "cert:", "advisory:", "vendor:")]))
     return news(spark, sf_dir).select("doc_id", F.array_join(kinds, "|").alias("refs"))
 
 
@@ -299,6 +299,6 @@ def near_copy(spark, sf_dir):
     return rows.select("doc_id", F.round(render.near_copy(F.col("head"), F.col("whole")), 6).alias("ratio"))
 
 
-@query("clean_body")
+@query("clean_body", with_sql(NEWS_SQL, f"SELECT doc_id, raw_content AS body FROM {clean_sql('news')}"))
 def clean_body(spark, sf_dir):
     return news(spark, sf_dir).select("doc_id", tx.clean_body(tx.safe_text(F.col("raw_content"))).alias("body"))

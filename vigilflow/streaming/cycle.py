@@ -1,4 +1,4 @@
-"""The ingest cycle as a micro-batch: new rows against the store, enrichment, filter, merge, health.
+"""The ingest cycle as a micro-batch: new rows against the store, normalisation, filter, enrichment, merge, health.
 
 State lies in the store and not in the stream, so a batch that is run again changes nothing: its rows are
 known by then, and scores only grow. (A watermark would forget; the cycle never does.)
@@ -9,6 +9,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,19 +20,26 @@ from vigilflow.sources.tables import VersionedTable
 log = logging.getLogger(__name__)
 STORED = "fingerprint string, doc_id bigint, title string, source string, url string, published_at timestamp, language string, category string, affected_platforms array<string>, audience_targets array<string>, actionability_level string, actionability_score double, source_tier string, source_credibility_score double, threat_score double, tags array<string>"
 COLUMNS = [c.split(" ")[0] for c in STORED.split(", ")]
-HEALTH = "source string, cycles_seen bigint, cycles_empty bigint, total_fetched bigint, total_relevant bigint, cred_n bigint, cred_sum double, last_published_at timestamp"
+HEALTH = "source string, cycles_seen bigint, cycles_empty bigint, total_fetched bigint, total_relevant bigint, cred_n bigint, cred_sum double, last_published_at timestamp, last_batch bigint, last_stream string"
 
 
 def enriched(fresh: DataFrame, now: str) -> DataFrame:
-    """Scored and relevant rows, in the store's columns. Rows need doc_id, the order in which they came."""
-    rows = enrich.scored(fresh, now).withColumn("relevance", enrich.relevance_score(F.col("txt"), F.col("line")))
-    return rows.filter("language <> 'other' and relevance >= 3").withColumn("tags", F.array("category")).select(*COLUMNS)
+    """Rows that the store lacks, through the stages in order: normalised, filtered, then classified, corroborated and
+    scored among what is left, in the store's columns. So a row that isn't relevant never corroborates one that is.
 
+    Rows need doc_id, the order in which they came. What the filter keeps is read twice (as rows and as titles), so it is kept.
+    """
+    kept = enrich.relevant(tx.normalized_news(fresh)).select("doc_id", "fingerprint", "title", "source", "url", "published_at", "language", "txt", "hits").persist(StorageLevel.MEMORY_AND_DISK)
+    return enrich.scored(kept, now).withColumn("tags", F.array("category")).select(*COLUMNS)
 
-def run_cycle(batch: DataFrame, items: VersionedTable, now: str, retention: int = 200, health_table: VersionedTable | None = None, after: tuple[Callable[[DataFrame], None], ...] = ()) -> dict[str, int]:
-    """One cycle over fetched rows; the counters of what it did. Hooks see the new rows; what they raise stays theirs."""
-    if "language" not in batch.columns:
-        batch = batch.withColumn("language", tx.detect_language(F.concat_ws("\n", "title", "raw_content")))
+
+def run_cycle(
+    batch: DataFrame, items: VersionedTable, now: str, retention: int = 200, health_table: VersionedTable | None = None, after: tuple[Callable[[DataFrame], None], ...] = (), number: int | None = None, stream: str = ""
+) -> dict[str, int]:
+    """One cycle over fetched rows; the counters of what it did. Hooks see the new rows; what they raise stays theirs.
+
+    number is that of the batch in its stream: the health table remembers the last one that it took in, so a batch that is run again isn't counted again.
+    """
     known = items.read(STORED)
     fresh = store.fresh(batch, known)
     new = enriched(fresh, now).persist()
@@ -43,10 +51,14 @@ def run_cycle(batch: DataFrame, items: VersionedTable, now: str, retention: int
             F.count_if(F.col("actionability_level") != "informational").alias("actionable"), F.count_if(F.col("source_tier") == "trusted").alias("trusted"),
         ).first()
         if health_table is not None:
-            relevant = new.select("doc_id", F.lit(True).alias("relevant"), F.col("source_credibility_score").alias("credibility"))
-            seen = batch.select("doc_id", "source", "published_at").join(relevant, "doc_id", "left").withColumns({"relevant": F.coalesce("relevant", F.lit(False)), "credibility": F.coalesce("credibility", F.lit(0.0))})
-            part = health.cycle(seen, seen.select("source").distinct())
-            health_table.replace(health.merged(health_table.read(HEALTH).unionByName(part, allowMissingColumns=True)))
+            seen_before = health_table.read(HEALTH)
+            last = seen_before.filter(F.col("last_stream") == stream).agg(F.max("last_batch")).first()[0] if number is not None else None
+            if last is None or number > last:
+                relevant = new.select("doc_id", F.lit(True).alias("relevant"), F.col("source_credibility_score").alias("credibility"))
+                seen = batch.select("doc_id", "source", "published_at").join(relevant, "doc_id", "left").withColumns({"relevant": F.coalesce("relevant", F.lit(False)), "credibility": F.coalesce("credibility", F.lit(0.0))})
+                part = health.cycle(seen, seen.select("source").distinct())
+                whole = health.merged(seen_before.drop("last_batch", "last_stream").unionByName(part, allowMissingColumns=True))
+                health_table.replace(whole.withColumns({"last_batch": F.lit(number).cast("long"), "last_stream": F.lit(stream)}))
         for hook in after:
             try:
                 hook(new)
@@ -57,12 +69,13 @@ def run_cycle(batch: DataFrame, items: VersionedTable, now: str, retention: int
         new.unpersist()
 
 
-def start(stream: DataFrame, items_path: str, checkpoint: str, now: str, every: str | None = None, health_path: str | None = None):
-    """The cycle over a stream of fetched rows: at an interval, or once over what is there."""
+def start(stream: DataFrame, items_path: str, checkpoint: str, now: str | Callable[[], str], every: str | None = None, health_path: str | None = None):
+    """The cycle over a stream of fetched rows: at an interval, or once over what is there. now may be a function: each batch asks it for its own time."""
     spark: SparkSession = stream.sparkSession
 
     def each(batch: DataFrame, number: int) -> None:
-        counts = run_cycle(batch, VersionedTable(spark, items_path), now, health_table=VersionedTable(spark, health_path) if health_path else None)
+        time = now() if callable(now) else now
+        counts = run_cycle(batch, VersionedTable(spark, items_path), time, health_table=VersionedTable(spark, health_path) if health_path else None, number=number, stream=checkpoint)
         log.info("cycle %s: %s", number, counts)
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
@@ -80,12 +93,43 @@ def write_both(rows: DataFrame, primary: Callable[[DataFrame], None], secondary:
         return False
 
 
-def publish(selection: DataFrame, send: Callable[[str, str], bool], ledger_path: str, dry_run: bool = True, most: int = 100) -> int:
-    """Send a bounded selection (locale, fingerprint, message), in the order of fingerprint and locale; what was sent is written to the ledger, so a failure is tried again next time."""
-    sent = []
-    for row in selection.select("locale", "fingerprint", "message").orderBy("fingerprint", "locale", "message").limit(most).collect():
-        if dry_run or send(row["locale"], row["message"]):
-            sent.append((row["fingerprint"], row["locale"]))
-    if sent and not dry_run:
-        selection.sparkSession.createDataFrame(sent, "fingerprint string, locale string").coalesce(1).write.mode("append").json(ledger_path)
-    return len(sent)
+class ChannelFatal(Exception):
+    """A sender's error that concerns a whole channel: a wrong chat, a missing right, a bad token."""
+
+
+def channel_fatal(status: int, description: str = "") -> bool:
+    """Whether an answer of a channel's service means that no other message will go through either."""
+    told = description.lower()
+    return status in (401, 403) or (status == 400 and ("chat not found" in told or "chat_id is empty" in told))
+
+
+def publish(selection: DataFrame, send: Callable[[str, str], bool], ledger_path: str, dry_run: bool = True, most: int = 100) -> dict[str, int]:
+    """Send a bounded selection (locale, fingerprint, message), newest first where it has published_at; what was done, as counts.
+
+    A message that fails leaves the others: it is sent again next time, as the ledger lacks it. A sender that raises
+    ChannelFatal ends its locale. The ledger gets what was sent whatever happens, also an interrupt.
+    """
+    order = [F.desc("published_at")] if "published_at" in selection.columns else []
+    rows = selection.orderBy(*order, "fingerprint", "locale", "message").select("locale", "fingerprint", "message").limit(most).collect()
+    sent, errors, closed = [], 0, set()
+    try:
+        for row in rows:
+            if row["locale"] in closed:
+                continue
+            try:
+                done = dry_run or send(row["locale"], row["message"])
+            except ChannelFatal:
+                log.error("channel %s takes nothing", row["locale"], exc_info=True)
+                closed.add(row["locale"])
+                done = False
+            except Exception:
+                log.warning("%s/%s could not be sent", row["fingerprint"], row["locale"], exc_info=True)
+                done = False
+            if done:
+                sent.append((row["fingerprint"], row["locale"]))
+            else:
+                errors += 1
+    finally:
+        if sent and not dry_run:
+            selection.sparkSession.createDataFrame(sent, "fingerprint string, locale string").coalesce(1).write.mode("append").json(ledger_path)
+    return {"sent": len(sent), "errors": errors, "closed": len(closed)}
