@@ -127,3 +127,24 @@ def test_topk(spark):
     assert got == [(0, 1, 1, 32768), (0, 2, 2, 32768), (0, 3, 2, 32768), (0, 4, None, 32768), (0, 5, 5, -65536)]
     assert topk.search(vectors.limit(0)).count() == 0
     assert [tuple(r) for r in topk.search(vectors, block_queries=1).orderBy("query_id", "rank").collect()] == got
+
+
+def test_near_dedup_tells_texts_of_one_hash_apart(spark, docs, monkeypatch):
+    """With a first hash of seven values, the second one still keeps different texts apart, in classes and among representatives."""
+    from vigilflow.llm import near_dedup as nd
+
+    node = nd._node
+    monkeypatch.setattr(nd, "_node", lambda text, norm, seed=0: F.pmod(node(text, norm, 0), F.lit(7)) if seed == 0 else node(text, norm, seed))
+    of = {r["doc_id"]: r["class_id"] for r in nd.classes(docs).collect() if r["doc_id"] is not None}
+    assert of == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7, 8: 6, 9: 9}
+    assert sorted((r["doc_id"] for r in nd.representatives(docs).collect()), key=str) == [1, 2, 3, 5, 6, 7, 9, None, None]
+
+
+def test_near_dedup_drops_ids_where_they_are_whole(spark, docs, monkeypatch):
+    from vigilflow.llm import near_dedup as nd
+
+    whole = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    want = [1, 2, 3, 5, 6, 7, 9]
+    assert sorted(r["doc_id"] for r in nd.representatives(whole).collect()) == want
+    monkeypatch.setattr(nd, "BROADCAST_IDS", 0)
+    assert sorted(r["doc_id"] for r in nd.representatives(whole).collect()) == want

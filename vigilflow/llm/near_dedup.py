@@ -8,13 +8,15 @@ coordinate stays empty it waits twice as long. Two texts agree in a coordinate w
 weighted Jaccard similarity. BANDS of ROWS coordinates: at similarity 0.8 a pair shares no band with
 a chance of (1 - 0.8**5)**25 = 5e-5.
 
-Texts that are equal after normalisation are one node, found by hash before any comparison. Nodes of a
+Texts that are equal after normalisation are one node, found by two 64-bit hashes before any comparison. Nodes of a
 band bucket aren't paired with each other: each is compared with one leader of its bucket, exactly, and
 links make components. A bucket that then holds nodes of more than one component is still open. In a small
 one (SMALL nodes or fewer) the nodes of different components are compared. Large ones that overlap make a
 group, and a group is compared in full, in blocks of bounded size: a block counts the shared shingles of all
 its texts by a matrix product and returns a spanning forest of the links, not the pairs. So no cap loses
-a link. Nothing but row counts reaches the driver.
+a link; a group of n texts is sent to n / CHUNK_NODES blocks each. Joins by a node or a leader with very many
+rows are plain joins that adaptive execution splits; sums by them are taken in each task first. Nothing but row
+counts reaches the driver.
 
 Defined results: a null or empty text, or one without words, forms a class with the rows of equal text
 (null with null); texts of one to four words compare as one shingle; a class's id is its smallest doc_id
@@ -128,9 +130,9 @@ def _each(texts: pa.Array) -> Iterator[np.ndarray]:
             yield hashes[bounds[i] : bounds[i + 1]]
 
 
-def _node(text: Column, norm: Column) -> Column:
-    """A 64-bit hash of the normalised text; of the raw text where no word is left."""
-    return F.when(norm != "", F.xxhash64(norm)).otherwise(F.xxhash64(text, text.isNull()))
+def _node(text: Column, norm: Column, seed: int = 0) -> Column:
+    """A 64-bit hash of the normalised text; of the raw text where no word is left. Seeds give hashes that collide independently."""
+    return F.when(norm != "", F.xxhash64(F.lit(seed), norm)).otherwise(F.xxhash64(F.lit(seed), text.isNull(), text))
 
 
 def _labels(edges: DataFrame) -> DataFrame:
@@ -218,22 +220,40 @@ def _block_links(members: DataFrame, texts: DataFrame, similarity: float) -> Dat
     return dealt.groupBy("label", "low", "high").applyInArrow(links, "a long, b long")
 
 
+def _apart(signed: DataFrame, twins: DataFrame) -> DataFrame:
+    """signed, where different texts that share a node get nodes of their own, by their second hash."""
+    marked = signed.join(twins.select("node", F.lit(True).alias("twin")), "node", "left")
+    return written(marked.withColumn("node", F.when(F.col("twin"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("twin"), "dart-apart")
+
+
+def _signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(id, node, check, bands, norm) of each row, and (node, bands) of each node with words.
+
+    Texts are normalised once, here. Two 64-bit hashes tell texts apart: where one node holds two values of the
+    second, its texts differ (about one such node in 10**10 texts) and it is split.
+    """
+    text = F.col(text_col)
+    normed = docs.select(F.col(id_col).alias("id"), text.alias("text"), normalized(text).alias("norm"))
+    node, check = (_node(F.col("text"), F.col("norm"), seed) for seed in (0, 1))
+    signed = written(normed.select("id", node.alias("node"), check.alias("check"), _bands_of(bands, rows)("norm").alias("bands"), "norm"), "dart-bands")
+    sides = written(signed.groupBy("node").agg(F.min("check").alias("c0"), F.max("check").alias("c1")).filter("c0 <> c1"), "dart-twins")
+    if not sides.isEmpty():
+        signed = _apart(signed, sides)
+    return signed, signed.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"))
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """The rows of docs as (id, node), and (node, label, low, n): each node's component, smallest id and rows."""
     limit_batches(docs.sparkSession)
-    text = F.col(text_col)
-    normed = docs.select(F.col(id_col).alias("id"), text.alias("text"), normalized(text).alias("norm"))
-    signed = normed.select("id", _node(F.col("text"), F.col("norm")).alias("node"), _bands_of(bands, rows)("norm").alias("bands"))
-    signed = written(signed, "dart-bands")
+    signed, nodes = _signed(docs, id_col, text_col, bands, rows)
     members = signed.select("id", "node")
-    nodes = signed.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"))
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1")
     in_bucket = written(buckets.join(shared, "bucket"), "dart-buckets")
-    # Texts of the nodes that share any bucket, once each.
+    # Texts of the nodes that share any bucket, once each; each task sends one of a node's copies.
     wanted = in_bucket.select("node").distinct()
-    texts = normed.select(_node(F.col("text"), F.col("norm")).alias("node"), "norm").filter(F.col("norm") != "")
-    texts = written(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "dart-texts")
+    texts = signed.filter("norm <> ''").groupBy("node").agg(F.first("norm").alias("norm"))
+    texts = written(texts.join(wanted, "node", "left_semi"), "dart-texts")
 
     tried = written(in_bucket.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "dart-pairs")
     edges = written(_verified(tried, texts, similarity), "dart-links")
@@ -268,13 +288,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     return members.join(named, "node").select(F.col("id").alias(id_col), "class_id", "class_size")
 
 
+#: Ids (of a numeric type) up to which the rows to drop go to every task: 16 MB. More are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """The rows of docs, all columns, less all but one of each class: the one of the smallest id (a null id comes last)."""
+    """The rows of docs, all columns, less all but one of each class: the one of the smallest id (a null id comes last).
+
+    Where ids are whole, the ids to drop are taken out of docs. Where some are null or repeated, rows are told by id and text.
+    """
     members, by_node = _grouped(docs, id_col, text_col, similarity, bands, rows)
     first = F.min(F.struct(F.col("low").isNull().alias("no_id"), "low", "node")).alias("first")
-    chosen = by_node.groupBy("label").agg(first).select(F.col("first.node").alias("__node"), F.col("first.low").alias("__low"))
+    chosen = written(by_node.groupBy("label").agg(first).select(F.col("first.node").alias("__node"), F.col("first.low").alias("__low")), "dart-chosen")
     columns = docs.columns
-    marked = docs.withColumn("__node", _node(F.col(text_col), normalized(F.col(text_col))))
+    if members.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").isEmpty():
+        lost = members.join(chosen, (members["node"] == chosen["__node"]) & (members["id"] == chosen["__low"]), "left_anti").select(F.col("id").alias(id_col))
+        lost = written(lost, "dart-lost")
+        few = dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint") and lost.count() <= BROADCAST_IDS
+        return docs.join(F.broadcast(lost) if few else lost, id_col, "left_anti").select(*columns)
+    marked = docs.withColumn("__node", _node(F.col(text_col), normalized(F.col(text_col)))).withColumn("__check", _node(F.col(text_col), normalized(F.col(text_col)), 1))
+    # A node that was split goes by its texts' second hash.
+    known = chosen.select("__node").withColumn("__plain", F.lit(True))
+    marked = marked.join(known, "__node", "left").withColumn("__node", F.when(F.col("__plain"), F.col("__node")).otherwise(F.xxhash64("__node", "__check"))).drop("__plain")
     kept = marked.join(chosen, (marked["__node"] == chosen["__node"]) & marked[id_col].eqNullSafe(chosen["__low"]), "left_semi")
     # Rows that repeat a chosen id and text: only these few ids need another look.
     rows_of = members.withColumnRenamed("node", "__node").join(chosen, "__node").filter(F.col("id").eqNullSafe(F.col("__low")))
