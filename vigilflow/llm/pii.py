@@ -105,7 +105,7 @@ _BARE_AT = re.compile(r"([A-Za-z0-9_]+)[ ]at[ ]", re.IGNORECASE)
 _PROSE = frozenset("us me him her them it look visit available found find more read here online hosted published live located see meet meeting start starts based site website page is are be was were arrive stay posted shop join and or out up down back there stop sold buy".split())
 _TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")
 _CUES = {
-    "phone": re.compile(r"(?:phones?|call|tel|telephone|mobile|cell|fax|dial|whatsapp|sms)\W{0,6}(?:me |us )?(?:at |on |no\.? |number )?\W{0,3}$", re.IGNORECASE),
+    "phone": re.compile(r"(?:phones?|call|tel|telephone|mobile|cell|fax|dial|whatsapp|sms)\W{0,6}(?:me |us )?(?:at |on |no\.? |number )?(?:is |are )?\W{0,3}$", re.IGNORECASE),
     "card": re.compile(r"(?:card|visa|mastercard|amex|credit|debit|cc)\W{0,6}(?:no\.? |number )?(?:is )?\W{0,3}$", re.IGNORECASE),
     "ip": re.compile(r"(?:ip|ipv4|host|address|server|addr)\W{0,6}(?:is )?\W{0,3}$", re.IGNORECASE),
     "email": re.compile(r"(?:e-?mail|mail|contact|write|reach)\W{0,6}(?:me |us )?(?:at |to )?\W{0,3}$", re.IGNORECASE),
@@ -221,9 +221,9 @@ class SemiMarkovField:
         return (observed - chance).T @ rows, (n - covered) - expected
 
 
-def _examples(n: int = 240) -> list[tuple[str, list[tuple[str, str]]]]:
+def _examples(n: int = 480, seed: int = 5) -> list[tuple[str, list[tuple[str, str]]]]:
     """Generated sentences with the spans that they hold; also numbers that aren't personal."""
-    r = random.Random(5)
+    r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
 
     def card() -> str:
@@ -234,7 +234,7 @@ def _examples(n: int = 240) -> list[tuple[str, list[tuple[str, str]]]]:
 
     word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 7)))
     makers = {
-        "phone": lambda: (r.choice(["call ", "phone: ", "tel. ", "mobile ", "fax: "]), r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"1-{d(3)}-{d(3)}-{d(4)}"])),
+        "phone": lambda: (r.choice(["call ", "phone: ", "tel. ", "mobile ", "fax: ", "phone is ", "phone number is "]), r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"1-{d(3)}-{d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}"])),
         "card": lambda: (r.choice(["card number ", "visa ", "credit card: "]), card()),
         "ip": lambda: (r.choice(["ip ", "host ", "server ip: "]), ", ".join(str(r.randint(0, 255)) for _ in range(4))),
         "email": lambda: (r.choice(["", "mail ", "contact "]), f"{word()} {r.choice(['(at)', '[at]', '{at}'])} {word()} {r.choice(['(dot)', '[dot]'])} {r.choice(['com', 'org', 'net'])}"),
