@@ -10,7 +10,7 @@ hash buckets (or of finish-time buckets), a running total over those few rows, t
 each bucket.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; a null id
-hashes as the empty string; repeated rows are documents of their own; no rows, no result. Columns of
+hashes as its text; repeated rows are documents of their own; no rows, no result. Columns of
 the input other than id, text and source are ignored, so their names can't clash.
 """
 
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("shuffle_key"),
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit(""))).alias("shuffle_key"),
     )
     slim = written(slim, "mix-sizes")
     goals = written(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats), "mix-targets")

@@ -203,14 +203,19 @@ def linked_block(nodes: np.ndarray, sets: list[np.ndarray], similarity: float, c
 
 
 def _block_links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) inside groups: members has rows (node, label), label naming the group."""
-    weighed = texts.join(members, "node").withColumn("size", F.length("norm") / 6)
+    """Links (a, b) inside groups: members has rows (node, label), label naming the group.
+
+    Blocks are planned on rows without texts, as a group may hold very many; texts join last, by node. Each block
+    is a group of its own for the shuffle, whatever group it belongs to.
+    """
+    weighed = written(texts.select("node", (F.length("norm") / 6).alias("size")).join(members, "node"), "dart-sizes")
     sums = weighed.groupBy("label").agg(F.greatest(F.ceil(F.sum("size") / CHUNK_SHINGLES), F.ceil(F.count("*") / CHUNK_NODES)).cast("int").alias("chunks"))
     rows = weighed.join(sums, "label").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")))
     # A chunk meets every other once; alone in its group it meets itself.
     others = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    dealt = rows.select("label", "node", "norm", "chunk", "chunks", others).filter((F.col("chunk") != F.col("other")) | (F.col("chunks") == 1))
-    dealt = dealt.select("label", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node", "norm")
+    dealt = rows.select("label", "node", "chunk", "chunks", others).filter((F.col("chunk") != F.col("other")) | (F.col("chunks") == 1))
+    dealt = written(dealt.select("label", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node"), "dart-blocks")
+    dealt = dealt.join(texts, "node").select("label", "low", "high", "node", "norm")
 
     def links(table: pa.Table) -> pa.Table:
         nodes, texts_of = table.column("node").to_numpy(), table.column("norm").combine_chunks()

@@ -28,7 +28,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op3_mixing"] = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS k,
          CAST(coalesce(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')), 0) AS BIGINT) AS size
   FROM documents
 ), s AS (
@@ -125,7 +125,7 @@ WITH t AS (
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS every,
     string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text) AS said,
     -- a backslash more for each backslash and each control string; markers of 12, 1 and 11 characters
-    sum(24 + length(role) + length(text) + length(text) - length(replace(text, '', '')) + {_CONTROL_CHARS}) AS formatted_chars
+    sum(24 + length(role) + length(text) + length(text) - length(replace(text, chr(92), '')) + {_CONTROL_CHARS}) AS formatted_chars
   FROM t GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(every) AS turns_sha256, length(said) AS loss_chars, sha256(said) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g

@@ -4,8 +4,9 @@ The key is a 64-bit hash of the text, so equal texts are neighbours. A sample of
 chance in proportion to its size, gives splitters at its quantiles; these cut the keys into many small
 ranges (RANGES for each shard). Measured in full, a range above twice its share is overfull: its large
 groups of equal texts leave it as units of their own, and a group above a shard's fair size is cut
-again by a hash of the id. Those few units (at most a few thousand rows of totals, whatever the input)
-are dealt to the emptiest shards, largest first, and the ranges fill what is left of each shard in key
+again by a hash of the id. Those units (totals of ranges and of groups above a range's share: SHARDS * 4096
+each at most, 98,304 for 24 shards, whatever the input) are planned on the driver: they are
+dealt to the emptiest shards, largest first, and the ranges fill what is left of each shard in key
 order. So equal texts stay in one shard unless they alone exceed it, and sizes differ by about one range.
 
 Slots are numbered by range totals and a window inside each piece of a range.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ def _cell(key: Column, cells: int) -> Column:
 
 
 def splitters(slim: DataFrame, total: int, n_ranges: int) -> list[int]:
-    """Quantiles of a size-weighted key sample of about n_ranges * PER_RANGE keys; one row of totals bounds it."""
+    """Quantiles of a size-weighted key sample of about n_ranges * PER_RANGE keys, fewer than n_ranges of them."""
     rate = n_ranges * PER_RANGE / max(total, 1)
     draw = (F.pmod(F.xxhash64("key", "id", F.lit(7)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     # A document of several shares counts as often as it holds one.
@@ -51,13 +53,22 @@ def splitters(slim: DataFrame, total: int, n_ranges: int) -> list[int]:
         .groupBy("key")
         .agg(F.sum("times").alias("times"))
     )
-    rows = sorted((r["key"], r["times"]) for r in sample.toLocalIterator())
-    everything, seen, found = sum(t for _, t in rows), 0, []
-    for key, times in rows:
-        seen += times
-        while len(found) < n_ranges - 1 and seen * n_ranges >= everything * (len(found) + 1):
-            found.append(key)
-    return sorted(set(found))
+    # Quantiles are cut where the keys are: running totals of blocks of keys, then inside each; the driver gets n_ranges keys at most.
+    keys = written(sample, "shard-sample").withColumn("block", F.shiftright("key", 56))
+    blocks = keys.groupBy("block").agg(F.sum("times").alias("n"))
+    first = blocks.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("first"), F.sum("n").over(Window.partitionBy()).alias("everything"))
+    seen = keys.join(F.broadcast(first), "block").withColumn("seen", F.col("first") + F.sum("times").over(Window.partitionBy("block").orderBy("key")))
+    cut = lambda total: F.floor(total * n_ranges / F.col("everything"))
+    found = seen.filter((cut(F.col("seen")) > cut(F.col("seen") - F.col("times"))) & (F.col("seen") < F.col("everything"))).select("key")
+    return sorted(r["key"] for r in found.collect())
+
+
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A plan's rows as a table: Arrow data that the JVM reads itself, so no Python worker starts."""
+    kinds = {"int": pa.int32(), "long": pa.int64()}
+    names, types = zip(*(c.split(" ") for c in schema.split(", ")), strict=True)
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return spark.createDataFrame(pa.table({n: pa.array(c, kinds[t]) for n, t, c in zip(names, types, columns, strict=True)}), schema)
 
 
 def _range_table(spark: SparkSession, bounds: list[int], cells: int) -> DataFrame:
@@ -65,7 +76,7 @@ def _range_table(spark: SparkSession, bounds: list[int], cells: int) -> DataFram
     low = [-(1 << 63) - 1, *bounds]
     high = [*bounds, (1 << 63) - 1]
     rows = [(i, None if i == 0 else low[i], high[i]) for i in range(len(high))]
-    table = spark.createDataFrame(rows, "range int, low long, high long")
+    table = _table(spark, rows, "range int, low long, high long")
     first = F.coalesce(_cell(F.col("low"), cells), F.lit(0))
     return table.withColumn("cell", F.explode(F.sequence(first, _cell(F.col("high"), cells))))
 
@@ -113,13 +124,13 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     large: dict[int, tuple[int, int, int]] = {}
     if overfull:
         # The ranges above twice their share; of their groups, those above one share: at most n_ranges.
-        some = F.broadcast(spark.createDataFrame([(r,) for r in overfull], "range int"))
+        some = F.broadcast(_table(spark, [(r,) for r in overfull], "range int"))
         groups = ranged.join(some, "range", "left_semi").groupBy("range", "key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).filter(F.col("bytes") > share)
         large = {r["key"]: (r["range"], r["bytes"], r["rows"]) for r in groups.collect()}
     # A group above a shard's fair size is cut into cuts of about one share by a hash of the id.
     fair = total / shards
     cuts = {k: (-(-b // share) if b > fair else 1) for k, (_, b, _) in large.items()}
-    cut_rows = spark.createDataFrame([(k, int(c)) for k, c in cuts.items()], "key long, cuts int")
+    cut_rows = _table(spark, [(k, int(c)) for k, c in cuts.items()], "key long, cuts int")
     part = F.when(F.col("cuts") > 1, F.pmod(F.xxhash64("id", F.lit(11)), F.col("cuts"))).otherwise(0).cast("int")
     parted = ranged.join(F.broadcast(cut_rows), "key", "left").withColumn("group", F.when(F.col("cuts").isNotNull(), F.col("key"))).withColumn("part", part)
     units: list[tuple] = []
@@ -130,7 +141,9 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     units += [((k, 0), large[k][1]) for k, c in cuts.items() if c == 1]
     to, held = _deal(units, total, shards)
     # The ranges, less their large groups, fill each shard up to an even level, in key order.
-    light = {r: b - sum(x[1] for x in large.values() if x[0] == r) for r, (b, _) in sums.items()}
+    light = {r: b for r, (b, _) in sums.items()}
+    for r, b, _ in large.values():
+        light[r] -= b
     rest = sum(light.values())
     level = total / shards
     for _ in range(shards):
@@ -147,7 +160,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         homes.append((r, None, 0, at))
         seen += light[r]
     homes += [(None, k, p, s) for (k, p), s in to.items()]
-    plan = spark.createDataFrame(homes, "p_range int, p_group long, p_part int, shard int")
+    plan = _table(spark, homes, "p_range int, p_group long, p_part int, shard int")
     light_plan = F.broadcast(plan.filter("p_range is not null").select(F.col("p_range").alias("range"), F.col("shard").alias("light_shard")))
     large_plan = F.broadcast(plan.filter("p_range is null").select(F.col("p_group").alias("group"), F.col("p_part").alias("part"), F.col("shard").alias("large_shard")))
     placed = parted.join(large_plan, ["group", "part"], "left").join(light_plan, "range", "left").withColumn("shard", F.coalesce("large_shard", "light_shard"))
