@@ -13,7 +13,7 @@ from vigilflow.llm.common import written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, whose language can't be known, go."""
+    """Documents in no language that the labels tell of go: without a letter, or unlike the language that is predicted."""
     return language.keep_known(docs, language.fit(docs))
 
 
@@ -45,7 +45,7 @@ STAGES = [
     ("shard", sharded),
 ]
 
-#: The language model and the signatures can't be put in SQL; tests/llm compares the stages with brute force.
+#: The language model and the signatures can't be put in SQL; tests/llm compares each stage with brute force.
 ORACLE_SQL = None
 
 
