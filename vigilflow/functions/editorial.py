@@ -60,6 +60,37 @@ def distinct_paragraphs(body: Column, against: list[Column], language: str = "en
     return F.array_join(F.filter(paragraphs(body), lambda p: ~repeats(p)), "\n\n")
 
 
+def refined(rows: DataFrame, language: str = "en") -> DataFrame:
+    """Posts as an editor leaves them: sentences without content go, then advice that fits everything, then paragraphs of
+    the detail that say again what title, summary or reason say. Paragraphs stay apart."""
+    detail = F.array_join(F.filter(F.transform(paragraphs(F.col("detail_body")), lambda p: strip_fluff(p, language)), lambda p: F.trim(p) != ""), "\n\n")
+    rows = rows.withColumns({
+        "short_summary": strip_fluff(F.col("short_summary"), language), "why_it_matters": strip_fluff(F.col("why_it_matters"), language), "detail_body": detail,
+        "what_to_do": strip_generic(F.col("what_to_do"), language), "what_not_to_do": strip_generic(F.col("what_not_to_do"), language),
+    })
+    return rows.withColumn("detail_body", distinct_paragraphs(F.col("detail_body"), [F.col("title"), F.col("short_summary"), F.col("why_it_matters")], language))
+
+
+def lead(body: Column, most: int = 220) -> Column:
+    """The first sentence of a body that is no byline, with the second where it is under 100 characters; cut at a word."""
+    parts = F.filter(F.split(F.trim(body), r"(?U)(?<=[.!?])\s+"), lambda s: s != "")
+    starts = F.transform(parts, lambda s: ~s.rlike(ev.BYLINE))
+    at = F.array_position(starts, F.lit(True)).cast("int")
+
+    def cut(rest: Column) -> Column:
+        one = F.trim(F.get(rest, F.lit(0)))
+        both = F.when((F.length(one) < 100) & (F.size(rest) > 1), F.trim(F.concat(one, F.lit(" "), F.trim(F.get(rest, F.lit(1)))))).otherwise(one)
+        return F.concat(trim_at_word(both, most), F.when(F.length(both) > most, "…").otherwise(""))
+
+    return F.when((F.size(parts) == 0) | (at == 0), "").otherwise(cut(F.slice(parts, at, F.greatest(F.size(parts), F.lit(1)))))
+
+
+def pick_audience(targets: Column, preferred: str | None = None) -> Column:
+    """The preferred audience where it is among the targets, else the first of them, else general."""
+    first = F.coalesce(F.get(targets, F.lit(0)), F.lit("general"))
+    return first if preferred is None else F.when(F.array_contains(targets, preferred), preferred).otherwise(first)
+
+
 def first_of(needles, text: Column) -> Column:
     """The first of the needles that the text holds, else null."""
     return F.get(F.filter(literal_array(needles), lambda n: F.contains(text, n)), F.lit(0))
@@ -81,20 +112,19 @@ def foreign_character(text: Column) -> Column:
 
 def ukrainian(text: Column) -> Column:
     """Each Cyrillic word by the longest glossary stem that it begins with; the first letter keeps its case. One Arrow function."""
-    stems = sorted(((k, v) for k, v in ev.GLOSSARY.items() if k.isalpha()), key=lambda x: -len(x[0]))
+    stems = {k: v for k, v in ev.GLOSSARY.items() if k.isalpha()}
 
     @F.arrow_udf("string")
     def of(texts: pa.Array) -> pa.Array:
         import re
 
-        def one(m):
-            word = m[0]
-            for stem, new in stems:
-                if word.lower().startswith(stem):
-                    return (new[:1].upper() + new[1:] if word[0].isupper() else new) + word[len(stem) :]
-            return word
+        # One alternation, the longest stem first, at the beginning of a word.
+        pattern = re.compile(f"(?<![{CYRILLIC}])(?:{'|'.join(sorted(stems, key=len, reverse=True))})", re.IGNORECASE)
+
+        def one(m: re.Match) -> str:
+            new = stems[m[0].lower()]
+            return new[:1].upper() + new[1:] if m[0][0].isupper() else new
 
-        pattern = re.compile(f"[{CYRILLIC}]+")
         return pa.array([None if t is None else pattern.sub(one, t) for t in texts.to_pylist()], pa.string())
 
     return of(text)
@@ -170,6 +200,27 @@ def json_object(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
+def isolated_json(text: Column) -> Column:
+    """The first whole object in free text: from its brace to the one that closes it; braces in strings don't count. Null without one."""
+    @F.arrow_udf("string")
+    def of(texts: pa.Array) -> pa.Array:
+        import re
+
+        piece = re.compile(r'"(?:\\.|[^"\\])*"|[{}]', re.DOTALL)
+
+        def one(value: str | None) -> str | None:
+            start, depth = (value or "").find("{"), 0
+            for m in piece.finditer(value, start) if start >= 0 else ():
+                depth += {"{": 1, "}": -1}.get(m[0], 0)
+                if depth == 0:
+                    return value[start : m.end()]
+            return None
+
+        return pa.array([one(t) for t in texts.to_pylist()], pa.string())
+
+    return of(text)
+
+
 def with_template(rows: DataFrame, templates=TEMPLATES) -> DataFrame:
     """Adds template: the most specific of (language, category, audience) down to the English default.
 

@@ -187,3 +187,6 @@ ACRONYMS = (
 # Hosts that are read through a proxy.
 PROXIED_HOSTS = ('www.cisa.gov', 'ain.ua', 'dev.ua')
 
+
+# Fixed value: how a byline begins.
+BYLINE = r"(?iU)^\s*(?:by\s+\S+|posted\s+by\s+\S+|on\s+\w+\s+\d{1,2},?\s*\d{4})\b"

@@ -28,8 +28,8 @@ def in_window(published_at: Column, now: str, locale: str | None = None, languag
 
 
 def covered(items: DataFrame, posts: DataFrame, locale: str) -> DataFrame:
-    """Items with a post in the locale, and its title and level."""
-    own = posts.filter(F.col("locale") == locale).select("fingerprint", F.col("title").alias("post_title"), "threat_level")
+    """Items with a post in the locale, and its title, summary and level."""
+    own = posts.filter(F.col("locale") == locale).select("fingerprint", F.col("title").alias("post_title"), "short_summary", "threat_level")
     return items.join(own, "fingerprint")
 
 
@@ -78,7 +78,8 @@ class FilterState:
             if values:
                 test = test & F.arrays_overlap(column, tx.literal_array(values))
         if self.query.strip():
-            test = test & F.contains(F.lower("post_title"), F.lit(self.query.strip().lower()))
+            # Title and summary as the reader sees them; a search may reach over the line end between them.
+            test = test & F.contains(F.lower(F.concat(F.coalesce("post_title", F.lit("")), F.lit("\n"), F.coalesce("short_summary", F.lit("")))), F.lit(self.query.strip().lower()))
         return test
 
     def active(self) -> int:
@@ -87,6 +88,63 @@ class FilterState:
         return sum(len(x) for x in lists) + bool(self.query.strip())
 
 
+# Ready-made filters, each from an empty state.
+PRESETS = {
+    "most_relevant": FilterState(),
+    "critical": FilterState(threat_levels=("Critical", "High")),
+    "scams_phishing": FilterState(categories=("phishing", "scam", "social engineering")),
+    "normal_users": FilterState(audiences=("normal_users", "mobile_users", "crypto_users")),
+    "enterprise": FilterState(audiences=("enterprise", "sysadmins")),
+    "mobile": FilterState(audiences=("mobile_users",), platforms=("Android", "iOS")),
+    "account_security": FilterState(categories=("phishing", "breach", "data leak")),
+}
+
+# Signals as chips, the most telling first.
+CHIP_ORDER = (
+    "active_exploitation", "affects_email_accounts", "credential_theft_risk", "steals_sessions", "financial_risk", "data_exposure_risk", "malware_delivery", "enterprise_risk", "consumer_risk",
+)
+
+
+def preset_counts(rows: DataFrame) -> DataFrame:
+    """(preset, n): how many rows each ready-made filter leaves; one pass over the rows."""
+    counts = rows.agg(*[F.count_if(state.predicate()).alias(name) for name, state in PRESETS.items()])
+    return counts.unpivot([], list(PRESETS), "preset", "n")
+
+
+def chips(most: int = 3) -> Column:
+    """The first signals that are on, in the order of the chips."""
+    return F.slice(F.array_compact(F.array(*[F.when(F.col(name), name) for name in CHIP_ORDER])), 1, most)
+
+
+def relative_time(then: Column, now: Column) -> Column:
+    """just now, and then whole minutes, hours or days as 5m, 3h, 2d; a time to come is just now, none is a dash."""
+    minutes = F.greatest(F.lit(0), F.floor((F.unix_micros(now) - F.unix_micros(then)) / 60_000_000)).cast("long")
+    text = lambda n, unit: F.concat(F.floor(n).cast("string"), F.lit(unit))
+    return F.when(then.isNull(), "—").when(minutes < 1, "just now").when(minutes < 60, text(minutes, "m")).when(minutes < 1440, text(minutes / 60, "h")).otherwise(text(minutes / 1440, "d"))
+
+
+def quality_problem(title: Column, summary: Column, locale: Column) -> Column:
+    """Why a post may not be sent in a locale, else null. A null title means that there is no translation."""
+    named = lambda text, after: F.concat(F.lit(text), F.lit("'"), locale, F.lit(f"'{after}"))
+    head, body = F.trim(title), F.trim(F.coalesce(summary, F.lit("")))
+    return (
+        F.when(title.isNull(), named("no ", " translation"))
+        .when(head == "", "empty title")
+        .when(tx.wrong_script(head, locale), named("title in wrong script for ", ""))
+        .when((body != "") & tx.wrong_script(body, locale), named("summary in wrong script for ", ""))
+    )
+
+
+def top_threats(items: DataFrame, n: int = 10) -> DataFrame:
+    """The n items of the highest scores; equal scores by fingerprint."""
+    return items.orderBy(F.desc("threat_score"), "fingerprint").limit(n)
+
+
+def latest_of_locale(posts: DataFrame, locale: str, n: int = 15) -> DataFrame:
+    """The newest posts of a locale by the time of their items; those without one come last."""
+    return posts.filter(F.col("locale") == locale).orderBy(F.col("published_at").desc_nulls_last(), "fingerprint").limit(n)
+
+
 def facets(rows: DataFrame) -> DataFrame:
     """(facet, value) of all values that occur; one pass over the rows, merged before the shuffle."""
     pair = lambda name, values: F.transform(values, lambda v: F.struct(F.lit(name).alias("facet"), v.alias("value")))
@@ -95,12 +153,19 @@ def facets(rows: DataFrame) -> DataFrame:
 
 
 def related(pool: DataFrame, most: int = 4) -> DataFrame:
-    """Each item's most alike items of a bounded pool: same category 3, shared platforms and audiences up to 2 each."""
-    a = pool.select("fingerprint", "category", "affected_platforms", "audience_targets")
-    b = pool.select(*[F.col(c).alias(f"o_{c}") for c in ("fingerprint", "category", "affected_platforms", "audience_targets", "published_at")])
+    """Each item's most alike items of a pool: same category 3, shared platforms and audiences up to 2 each.
+
+    Items meet through what they share (an index of categories, platforms and audiences), so a pool of any size is
+    joined by keys; a pair counts at the first thing that it shares.
+    """
+    tag = lambda kind, values: F.transform(values, lambda v: F.concat(F.lit(kind), v))
+    keys = F.array_distinct(F.concat(tag("c:", F.array("category")), tag("p:", F.col("affected_platforms")), tag("a:", F.col("audience_targets"))))
+    fields = ("fingerprint", "category", "affected_platforms", "audience_targets", "published_at")
+    a = pool.select(*fields, keys.alias("keys")).withColumn("key", F.explode("keys"))
+    b = a.select(*[F.col(c).alias(f"o_{c}") for c in (*fields, "keys")], "key")
     share = lambda c: F.least(F.lit(2), F.size(F.array_intersect(c, f"o_{c}")))
     score = F.when(F.col("category") == F.col("o_category"), 3).otherwise(0) + share("affected_platforms") + share("audience_targets")
-    pairs = a.join(F.broadcast(b), F.col("fingerprint") != F.col("o_fingerprint")).withColumn("score", score).filter("score > 0")
+    pairs = a.join(b, "key").filter((F.col("fingerprint") != F.col("o_fingerprint")) & (F.get(F.array_intersect("keys", "o_keys"), F.lit(0)) == F.col("key"))).withColumn("score", score).filter("score > 0")
     order = Window.partitionBy("fingerprint").orderBy(F.desc("score"), F.desc("o_published_at"), "o_fingerprint")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("fingerprint", "o_fingerprint", "score", "rank")
 

@@ -95,6 +95,18 @@ def quick_facts() -> Column:
     return F.slice(F.array_distinct(F.filter(facts, lambda x: x.isNotNull())), 1, 4)
 
 
+def clamped(rows: DataFrame) -> DataFrame:
+    """Posts of a provider within the bounds of a card: trimmed texts, a title of 160 characters, lists without blanks of
+    3, 2 and 5 entries, a weight of 0 to 1, 10 to 120 seconds."""
+    full = lambda c: F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
+    return rows.withColumns({
+        "title": F.substring(F.trim("title"), 1, 160), **{c: F.trim(F.coalesce(c, F.lit(""))) for c in ("short_summary", "why_it_matters", "detail_body")},
+        "affected_users": full("affected_users"), "what_to_do": F.slice(full("what_to_do"), 1, 3), "what_not_to_do": F.slice(full("what_not_to_do"), 1, 2), "quick_facts": F.slice(full("quick_facts"), 1, 5),
+        "emotional_weight": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("emotional_weight"))),
+        "reading_time_seconds": F.greatest(F.lit(10), F.least(F.lit(120), F.col("reading_time_seconds").cast("int"))),
+    })
+
+
 def platform_list(names: Column) -> Column:
     """A, A and B, or A, B and C."""
     head = F.array_join(F.slice(names, F.lit(1), F.greatest(F.size(names) - 1, F.lit(1))), ", ")

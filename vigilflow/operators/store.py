@@ -9,11 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Columns that the newest row decides in the database merge.
-LATEST = ("title", "language", "category", "affected_platforms", "audience_targets", "actionability_level", "source_tier")
-#: Columns that never fall, and columns that only grow.
+#: Columns that the newest row decides in the database merge, nulls included.
+LATEST = (
+    "title", "raw_content", "language", "original_language", "category", "category_confidence", "affected_platforms", "audience_targets", "audience_relevance_score", "actionability_level", "source_tier", "fetched_at",
+)
+#: Columns that never fall, and columns that only grow; all others stay as first stored.
 GREATEST = ("threat_score", "actionability_score", "source_credibility_score")
-UNION = ("tags",)
+UNION = ("tags", "corroborating_sources")
+#: Columns that posts take from their items.
+FROM_ITEMS = ("published_at", "category", "actionability_level")
 
 
 def fresh(fetched: DataFrame, known: DataFrame, key: str = "fingerprint") -> DataFrame:
@@ -42,8 +46,8 @@ def premerged(rows: DataFrame, key: str = "fingerprint", order: str = "doc_id")
 
 def merge_database(old: DataFrame, new: DataFrame, key: str = "fingerprint") -> DataFrame:
     """The database's upsert: greatest scores, union of list columns, newest classification, the rest as first stored."""
-    n = new.select(F.col(key), *[F.col(c).alias(f"n_{c}") for c in new.columns if c != key])
-    both = old.join(n, key, "full_outer")
+    n = new.select(F.col(key), F.lit(True).alias("n_"), *[F.col(c).alias(f"n_{c}") for c in new.columns if c != key])
+    both = old.withColumn("o_", F.lit(True)).join(n, key, "full_outer")
     out = [F.col(key)]
     for c in old.columns:
         if c == key:
@@ -54,9 +58,9 @@ def merge_database(old: DataFrame, new: DataFrame, key: str = "fingerprint") ->
         elif c in UNION:
             out.append(F.array_sort(F.array_union(F.coalesce(mine, F.array().cast("array<string>")), F.coalesce(theirs, F.array().cast("array<string>")))).alias(c))
         elif c in LATEST:
-            out.append(F.coalesce(theirs, mine).alias(c))
+            out.append(F.when(F.col("n_"), theirs).otherwise(mine).alias(c))
         else:
-            out.append(F.coalesce(mine, theirs).alias(c))
+            out.append(F.when(F.col("o_"), mine).otherwise(theirs).alias(c))
     return both.select(*out)
 
 
@@ -105,3 +109,35 @@ def read_through(primary: DataFrame, secondary: DataFrame, key: str = "fingerpri
 def denormalized(posts: DataFrame, items: DataFrame) -> DataFrame:
     """Posts with three columns of their items, null where there is none."""
     return posts.join(items.select("fingerprint", "published_at", "category", "actionability_level"), "fingerprint", "left")
+
+
+def merge_posts(old: DataFrame, new: DataFrame, now: Column, keys: tuple[str, ...] = ("fingerprint", "locale")) -> DataFrame:
+    """The posts' upsert: the newest row of a key wins, and is marked as updated at now; others keep their time. One row a key in new."""
+    rest = [c for c in old.columns if c not in (*keys, "updated_at")]
+    n = new.select(*keys, F.lit(True).alias("n_"), *[F.col(c).alias(f"n_{c}") for c in rest])
+    both = old.join(n, list(keys), "full_outer")
+    return both.select(*keys, *[F.when(F.col("n_"), F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in rest], F.when(F.col("n_"), now).otherwise(F.col("updated_at")).alias("updated_at"))
+
+
+def backfilled(posts: DataFrame, items: DataFrame) -> DataFrame:
+    """Posts with the columns of their items where any of them is distinct from it, and whether that was so; posts without an item stay."""
+    theirs = items.select("fingerprint", F.lit(True).alias("i_"), *[F.col(c).alias(f"i_{c}") for c in FROM_ITEMS])
+    differs = F.lit(False)
+    for c in FROM_ITEMS:
+        differs = differs | ~F.col(c).eqNullSafe(F.col(f"i_{c}"))
+    rows = posts.join(theirs, "fingerprint", "left").withColumn("updated", F.coalesce("i_", F.lit(False)) & differs)
+    taken = {c: F.when(F.col("updated"), F.col(f"i_{c}")).otherwise(F.col(c)) for c in FROM_ITEMS}
+    return rows.withColumns(taken).select(*posts.columns, "updated")
+
+
+def backfill(old: DataFrame, rows: DataFrame, valid: Column, keys: tuple[str, ...], order: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows to merge, report): the first limit rows in order, less malformed ones. The report tells read, skipped, known and new rows.
+
+    Nothing is written: what merges the rows may be left out, which makes it a dry run.
+    """
+    read = rows.orderBy(order).limit(limit) if limit else rows
+    known = old.select(*keys, F.lit(True).alias("known_")).distinct()
+    marked = read.withColumn("valid_", F.coalesce(valid, F.lit(False))).join(known, list(keys), "left")
+    ok = F.col("valid_")
+    report = marked.agg(F.count("*").alias("read"), F.count_if(~ok).alias("skipped"), F.count_if(ok & F.col("known_").isNotNull()).alias("known"), F.count_if(ok & F.col("known_").isNull()).alias("new"))
+    return marked.filter(ok).select(*rows.columns), report

@@ -16,12 +16,95 @@ from vigilflow.session import spread, table
 from vigilflow.sources.news import NEWS_SQL, array_sql, quoted
 
 
-@query("strip_fluff")
+_ENDS = "([.!?])\\s+([A-ZА-ЯЇІЄҐ])"
+
+
+def sentences_sql(text: str) -> str:
+    """Sentences: RE2 can't look behind, so ends are marked first and split then."""
+    return f"list_filter(list_transform(string_split(regexp_replace({text}, '{_ENDS}', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
+
+
+def without_sql(items: str, patterns) -> str:
+    """A list without what any of the patterns matches."""
+    return f"list_filter({items}, lambda s: NOT regexp_matches(s, {quoted('(?i)' + '|'.join(f'(?:{p})' for p in patterns))}))"
+
+
+def fluff_sql(text: str) -> str:
+    return f"array_to_string({without_sql(sentences_sql(text), ev.FLUFF_EN)}, ' ')"
+
+
+@query("strip_fluff", with_sql(NEWS_SQL, "SELECT doc_id, " + fluff_sql("'Stay vigilant. ' || title || '. ' || raw_content") + " AS body FROM news"))
 def strip_fluff(spark, sf_dir):
-    """Looks behind sentence ends, which the oracle's regular expressions can't; tests cover it."""
     return news(spark, sf_dir).select("doc_id", ed.strip_fluff(F.concat(F.lit("Stay vigilant. "), F.col("title"), F.lit(". "), F.col("raw_content"))).alias("body"))
 
 
+_FLUFFY = ("Stay vigilant. Servers were hit.", "Attackers locked servers. This serves as a reminder of risk.")
+_DETAIL = "Stay vigilant. The bank lost files.\n\nAttackers locked servers.\n\nIn today's digital world all is new."
+
+
+@query("refine_posts", with_sql(ITEMS_SQL, f"""SELECT fingerprint, locale, {fluff_sql("CASE WHEN doc_id % 2 = 0 THEN 'Stay vigilant. Servers were hit.' ELSE 'Attackers locked servers. This serves as a reminder of risk.' END")} AS short_summary,
+  CASE WHEN doc_id % 2 = 0 THEN 'The bank lost files.' || chr(10) || chr(10) || 'Attackers locked servers.' ELSE 'The bank lost files.' END AS detail_body, array_to_string({without_sql("what_to_do", ev.ADVICE_EN)}, '|') AS what_to_do FROM posts WHERE locale = 'en'"""))
+def refine_posts(spark, sf_dir):
+    """Fluff, advice that fits everything and paragraphs that repeat the card go."""
+    rows = seeded.posts(spark, sf_dir).filter("locale = 'en'").withColumns({
+        "short_summary": F.when(F.col("doc_id") % 2 == 0, _FLUFFY[0]).otherwise(_FLUFFY[1]), "why_it_matters": F.lit("Money is gone."), "detail_body": F.lit(_DETAIL), "what_not_to_do": F.array(F.lit("Pay")),
+    })
+    return ed.refined(rows).select("fingerprint", "locale", "short_summary", "detail_body", F.array_join("what_to_do", "|").alias("what_to_do"))
+
+
+@query("clamped_posts", with_sql(ITEMS_SQL, "SELECT fingerprint, substr(trim(repeat(title || ' ', 4)), 1, 160) AS title, least(doc_id % 4, 3) AS n_do, least(1.0, doc_id % 30 / 10.0::DOUBLE) AS emotional_weight, CAST(greatest(10, least(120, doc_id % 200)) AS INTEGER) AS reading_time_seconds FROM items"))
+def clamped_posts(spark, sf_dir):
+    """A provider's posts that are too long, too many and out of range."""
+    d, none = F.col("doc_id"), F.array().cast("array<string>")
+    many = F.concat(F.transform(F.sequence(F.lit(0), d % 4), lambda i: F.concat(F.lit(" do "), i.cast("string"))), F.array(F.lit("  ")))
+    rows = seeded.items(spark, sf_dir).withColumns({
+        "title": F.repeat(F.concat("title", F.lit(" ")), F.lit(4)), "short_summary": F.lit(" s "), "why_it_matters": F.lit("w"), "detail_body": F.lit(None).cast("string"), "affected_users": none,
+        "what_to_do": F.slice(many, 2, 9), "what_not_to_do": none, "quick_facts": none, "emotional_weight": d % 30 / 10.0, "reading_time_seconds": d % 200,
+    })
+    return render.clamped(rows).select("fingerprint", "title", F.size("what_to_do").cast("long").alias("n_do"), "emotional_weight", "reading_time_seconds")
+
+
+@query("lead", with_sql(NEWS_SQL, """SELECT doc_id, CASE WHEN length(s) > 220 THEN regexp_replace(CASE WHEN contains(h, ' ') AND pos >= 132.0 THEN substr(h, 1, pos) ELSE h END, '[,.:;-]+$', '') || '…' ELSE s END AS lead FROM (
+  SELECT doc_id, s, substr(s, 1, 220) AS h, length(regexp_extract(substr(s, 1, 220), '(?s)^(.*) ', 1)) AS pos FROM (SELECT doc_id, CASE WHEN length(title) + 1 < 100 THEN title || '. It was found on a Monday.' ELSE title || '.' END AS s FROM news))"""))
+def lead(spark, sf_dir):
+    """Bodies that begin with a byline."""
+    return news(spark, sf_dir).select("doc_id", ed.lead(F.concat(F.lit("By Jane Doe for all. "), F.replace("title", F.lit(":"), F.lit(":")), F.lit(". It was found on a Monday. Nothing else is known."))).alias("lead"))
+
+
+@query("pick_audience", with_sql(ITEMS_SQL, "SELECT fingerprint, CASE WHEN list_contains(audience_targets, 'developers') THEN 'developers' ELSE coalesce(audience_targets[1], 'general') END AS audience FROM (SELECT fingerprint, CASE WHEN doc_id % 4 = 0 THEN [] ELSE list_concat(audience_targets, ['developers'])[1 : CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END] END AS audience_targets FROM items)"))
+def pick_audience(spark, sf_dir):
+    d = F.col("doc_id")
+    targets = F.when(d % 4 == 0, F.array().cast("array<string>")).otherwise(F.slice(F.concat("audience_targets", F.array(F.lit("developers"))), F.lit(1), F.when(d % 3 == 0, 2).otherwise(1)))
+    return seeded.items(spark, sf_dir).select("fingerprint", ed.pick_audience(targets, "developers").alias("audience"))
+
+
+@query("isolated_json", """SELECT event_id, '{"a": "}\\"{", "p": ' || props || '}' AS object FROM events""")
+def isolated_json(spark, sf_dir):
+    """An object with braces in its strings and inside it, between other text with braces."""
+    wrapped = F.concat(F.lit('Sure: {"a": "}\\"{", "p": '), F.col("props"), F.lit("} and {more}"))
+    return table(spark, sf_dir, "events").select("event_id", ed.isolated_json(wrapped).alias("object"))
+
+
+@query("merge_references", with_sql(ITEMS_SQL, "SELECT fingerprint, CASE WHEN doc_id % 2 = 0 THEN 'cve|CVE-2024-1|https://a.test/' || doc_id || ' vendor|ADV1|https://v.test/' ELSE 'cve|cve-2024-1|https://b.test/ vendor|ADV1|https://v.test/' END AS refs FROM items"))
+def merge_references(spark, sf_dir):
+    """The first of each kind and label stays, whatever its case; its url too."""
+    ref = lambda kind, label, url: F.struct(F.lit(kind).alias("type"), F.lit(label).alias("label"), url.alias("url"))
+    own, other = ref("cve", "CVE-2024-1", F.concat(F.lit("https://a.test/"), F.col("doc_id").cast("string"))), ref("cve", "cve-2024-1", F.lit("https://b.test/"))
+    both = F.when(F.col("doc_id") % 2 == 0, F.array(own, other)).otherwise(F.array(other, own))
+    refs = render.merge_references(F.concat(both, F.array(ref("vendor", "ADV1", F.lit("https://v.test/")))))
+    return seeded.items(spark, sf_dir).select("fingerprint", F.array_join(F.transform(refs, lambda r: F.concat_ws("|", r["type"], r["label"], r["url"])), " ").alias("refs"))
+
+
+@query("filter_references", with_sql(ITEMS_SQL, "SELECT fingerprint, CASE WHEN doc_id % 2 = 0 THEN 'CVE-2024-1111' ELSE 'plain' END AS refs FROM items"))
+def filter_references(spark, sf_dir):
+    """References to the source's own host go, and those whose label names an id that the url lacks."""
+    ref = lambda label, url: F.struct(F.lit("cve").alias("type"), F.lit(label).alias("label"), F.lit(url).alias("url"))
+    even = F.array(ref("CVE-2024-1111", "https://n.test/CVE-2024-1111"), ref("CVE-2024-2222", "https://n.test/"), ref("own", "https://www.news.test/x"))
+    refs = F.when(F.col("doc_id") % 2 == 0, even).otherwise(F.array(ref("plain", "https://n.test/")))
+    kept = ed.verified_ids(render.drop_source_refs(refs, F.lit("https://news.test/1")))
+    return seeded.items(spark, sf_dir).select("fingerprint", F.array_join(F.transform(kept, lambda r: r["label"]), "|").alias("refs"))
+
+
 @query("cliche_probe", f"SELECT doc_id, list_filter({array_sql((*ev.CLICHES_EN, *ev.CLICHES_UA))}, lambda k: contains(lower(text || CASE WHEN doc_id % 3 = 0 THEN ' {ev.CLICHES_EN[2].replace(chr(39), chr(39) * 2)}' ELSE '' END), k))[1] AS cliche FROM documents")
 def cliche_probe(spark, sf_dir):
     seeded_text = F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.lit(" " + ev.CLICHES_EN[2])).otherwise(""))
@@ -161,5 +244,5 @@ def card_lists(spark, sf_dir):
 
 @query("rule_based_cards")
 def rule_based_cards(spark, sf_dir):
-    """Whole cards; their parts have oracles of their own."""
+    """Whole cards; their parts have oracles of their own: editorial_brief, card_lists, threat_level, emotional_weight, reading_time, extract_references."""
     return copy.cards(seeded.items(spark, sf_dir), _TABLES)

@@ -11,7 +11,7 @@ from vigilflow.plans.common import CLASSIFIED_SQL, SCORED_SQL, SIGNALS_SQL, clea
 from vigilflow.plans.seeded import ITEMS_SQL
 from vigilflow.registry import query
 from vigilflow.session import spread, table
-from vigilflow.sources.news import NEWS_SQL, NOW, array_sql
+from vigilflow.sources.news import NEWS_SQL, NOW, array_sql, quoted
 
 LEVEL_SQL = "CASE {} WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END"
 _CYR, _LAT = "length(regexp_replace({0}, '[^\\x{{0400}}-\\x{{04FF}}]', '', 'g'))", "length(regexp_replace({0}, '[^A-Za-z\\x{{00C0}}-\\x{{024F}}]', '', 'g'))"
@@ -78,6 +78,15 @@ def facet_filter(spark, sf_dir):
     return _covered(spark, sf_dir).filter(CHOSEN.predicate()).select("fingerprint", "category")
 
 
+SEARCH = feed.FilterState(query=" San Francisco case-0\nSummary ")
+
+
+@query("facet_search", with_sql(ITEMS_SQL, "SELECT i.fingerprint, p.short_summary FROM items i JOIN posts p ON i.fingerprint = p.fingerprint AND p.locale = 'en' WHERE contains(lower(p.title || chr(10) || p.short_summary), 'san francisco case-0' || chr(10) || 'summary')"))
+def facet_search(spark, sf_dir):
+    """A search that reaches from the title into the summary."""
+    return _covered(spark, sf_dir).filter(SEARCH.predicate()).select("fingerprint", "short_summary")
+
+
 @query("facet_values", with_sql(ITEMS_SQL, "SELECT DISTINCT 'category' AS facet, category AS value FROM items UNION SELECT 'platform', unnest(affected_platforms) FROM items UNION SELECT 'audience', unnest(audience_targets) FROM items"))
 def facet_values(spark, sf_dir):
     return feed.facets(seeded.items(spark, sf_dir))
@@ -129,6 +138,52 @@ def _outcomes(spark, sf_dir):
     return feed.publish_outcomes(seeded.items(spark, sf_dir), seeded.posts(spark, sf_dir), seeded.ledger(spark, sf_dir))
 
 
+def _script_reason_sql(what: str) -> str:
+    return f"'{what} in wrong script for ' || chr(39) || locale || chr(39)"
+
+
+@query("quality_problem", with_sql(ITEMS_SQL, f"""SELECT fingerprint, locale, CASE WHEN t IS NULL THEN 'no ' || chr(39) || locale || chr(39) || ' translation' WHEN trim(t) = '' THEN 'empty title' WHEN {wrong_script_sql('trim(t)', 'locale')} THEN {_script_reason_sql('title')}
+  WHEN trim(s) <> '' AND {wrong_script_sql('trim(s)', 'locale')} THEN {_script_reason_sql('summary')} END AS reason FROM (SELECT *, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE title END AS t, CASE WHEN doc_id % 7 = 0 THEN 'Зовсім інша мова тут' ELSE short_summary END AS s FROM posts)"""))
+def quality_problem(spark, sf_dir):
+    """Why posts may not be sent; some lack a translation, a title or the right script."""
+    d = F.col("doc_id") % 5
+    title, summary = F.when(d == 0, F.lit(None)).when(d == 1, "  ").otherwise(F.col("title")), F.when(F.col("doc_id") % 7 == 0, "Зовсім інша мова тут").otherwise(F.col("short_summary"))
+    return seeded.posts(spark, sf_dir).select("fingerprint", "locale", feed.quality_problem(title, summary, F.col("locale")).alias("reason"))
+
+
+def _preset_sql(name: str, state: feed.FilterState) -> str:
+    tests = [f"{c} IN ({', '.join(map(quoted, v))})" for c, v in (("p.threat_level", state.threat_levels), ("category", state.categories)) if v]
+    tests += [f"list_has_any({c}, {array_sql(v)})" for c, v in (("affected_platforms", state.platforms), ("audience_targets", state.audiences)) if v]
+    return f"SELECT '{name}' AS preset, count(*) AS n FROM items i JOIN posts p ON i.fingerprint = p.fingerprint AND p.locale = 'en' WHERE {' AND '.join(tests) or 'true'}"
+
+
+@query("preset_counts", with_sql(ITEMS_SQL, " UNION ALL ".join(_preset_sql(n, s) for n, s in feed.PRESETS.items())))
+def preset_counts(spark, sf_dir):
+    return feed.preset_counts(_covered(spark, sf_dir))
+
+
+@query("top_threats", with_sql(ITEMS_SQL, "SELECT fingerprint, threat_score FROM items ORDER BY threat_score DESC, fingerprint LIMIT 10"))
+def top_threats(spark, sf_dir):
+    return feed.top_threats(seeded.items(spark, sf_dir)).select("fingerprint", "threat_score")
+
+
+_CHIPS = ", ".join(f"CASE WHEN {c} THEN '{c}' END" for c in feed.CHIP_ORDER)
+
+
+@query("signal_chips", with_sql(CLASSIFIED_SQL, f"SELECT doc_id, array_to_string(list_filter([{_CHIPS}], lambda x: x IS NOT NULL)[1:3], '|') AS chips FROM (SELECT doc_id, {SIGNALS_SQL} FROM classified)"))
+def signal_chips(spark, sf_dir):
+    return enrich.signals(enrich.classified(news(spark, sf_dir))).select("doc_id", F.array_join(feed.chips(), "|").alias("chips"))
+
+
+@query("relative_time", """SELECT event_id, CASE WHEN m IS NULL THEN '—' WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm' WHEN m < 1440 THEN (m // 60) || 'h' ELSE (m // 1440) || 'd' END AS since
+  FROM (SELECT event_id, CASE WHEN event_id % 10 <> 9 THEN greatest(0, (epoch_us(TIMESTAMP '2024-01-02') - epoch_us(CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-02' - to_minutes(CAST(event_id % 2000 AS INTEGER)) ELSE ts END)) // 60000000) END AS m FROM events)""")
+def relative_time(spark, sf_dir):
+    """Times against one day; some are still to come, some are missing."""
+    e, now = F.col("event_id"), F.to_timestamp(F.lit("2024-01-02"))
+    then = F.when(e % 10 != 9, F.when(e % 3 == 0, now - F.make_dt_interval(F.lit(0), F.lit(0), (e % 2000).cast("int"))).otherwise(F.col("ts")))
+    return table(spark, sf_dir, "events").select("event_id", feed.relative_time(then, now).alias("since"))
+
+
 @query("publish_counts", with_sql(OUTCOMES_SQL, "SELECT locale, outcome, count(*) AS n FROM outcomes GROUP BY 1, 2"))
 def publish_counts(spark, sf_dir):
     return _outcomes(spark, sf_dir).groupBy("locale", "outcome").agg(F.count("*").alias("n"))
