@@ -148,3 +148,20 @@ def test_near_dedup_drops_ids_where_they_are_whole(spark, docs, monkeypatch):
     assert sorted(r["doc_id"] for r in nd.representatives(whole).collect()) == want
     monkeypatch.setattr(nd, "BROADCAST_IDS", 0)
     assert sorted(r["doc_id"] for r in nd.representatives(whole).collect()) == want
+
+
+def test_topk_keeps_scores_at_a_longs_end(spark):
+    """Fewer candidates than k, all of them far below zero: none is lost."""
+    rows = [(0, [1e17, 1e17]), (1, [-1e17, -1e17]), (2, [-2e17, 0.0])]
+    got = [tuple(r)[:3] for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 2)]
+
+
+def test_shared_folder_is_asked_for_off_local_sessions(monkeypatch):
+    from types import SimpleNamespace
+
+    from vigilflow.llm import common
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        common.work_folder(session)

@@ -19,12 +19,15 @@ _own_folder: str | None = None
 def work_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, a local run) a temporary folder of this process serves.
+    Where that is unset, a local session (tests) gets a temporary folder of this process; any other is an error, as
+    its executors would not see that folder.
     """
     global _own_folder
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="vigilflow-")
     return f"file://{_own_folder}"
@@ -41,7 +44,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def limit_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by rows and bytes, so that long texts can't fill a worker's memory.
 
-    Also tells Python workers where this package lies, for sessions that weren't started beside it.
+    The settings stay in the session, as frames are evaluated later. Also tells Python workers where this package
+    lies, for sessions that weren't started beside it.
     """
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in environment.get("PYTHONPATH", "").split(os.pathsep):

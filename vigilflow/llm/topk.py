@@ -5,8 +5,9 @@ about BLOCK_QUERIES; a block goes to every task, candidates never move. Everythi
 over rather than kept: a first pass counts scores in BINS bins of each query's possible range (plus or minus
 the product of the norms), the counts of all tasks are summed, and the bin that holds the kth best score
 becomes the range of the next pass, until bins are one wide. A last pass keeps the scores that reach the
-kth, and a rank by score and then smaller id settles ties. A task sends only bins, and in the last pass only
-rows, of its own k best of a query (ties by id): no other can be among the k best of all.
+kth, and a rank by score and then smaller id settles ties. A task counts all its scores and sends the bins that hold
+any; a query whose kth score is known is counted no more. In the last pass a task sends its own k best of a query
+(ties by id): no other can be among the k best of all.
 
 Defined results: a vector that is null, or holds a null or non-finite component, takes no part; vectors of
 another length than the query's aren't its candidates; a row with a query's id isn't its candidate; ids
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from vigilflow.llm.common import limit_batches, written
 
 SCALE = 256
-BINS = 4096
+BINS = 1024
 BLOCK_QUERIES = 4096
 #: Scores that are held at a time.
 CELLS = 1 << 22
@@ -86,27 +87,24 @@ class Block:
                 yield numbers, ids[some], null[some], scores, mine
 
 
-def _best(scores: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
-    """For each row, the kth best allowed score, or the least possible if there are fewer."""
-    low = np.iinfo(np.int64).min
-    held = np.where(allowed, scores, low)
-    if held.shape[1] <= k:
-        return np.full(len(held), low)
-    return np.partition(held, held.shape[1] - k, axis=1)[:, held.shape[1] - k]
-
-
-def _histogram(block: Block, low: np.ndarray, width: np.ndarray, k: int, scale: float):
-    """(query, bin, n): scores in bins of the block's ranges; above a range is its last bin."""
+def _histogram(block: Block, low: np.ndarray, width: np.ndarray, open_: np.ndarray, scale: float):
+    """(query, bin, n) of a task's candidates: all scores of the open queries in bins of their ranges; above a range is its last bin, below it nothing."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.cumsum(open_) - 1
+        counts = np.zeros(int(open_.sum()) * (BINS + 1), np.int64)
         for batch in batches:
             for numbers, _, _, scores, mine in block.scored(batch, scale):
-                allowed = ~mine
-                floor = _best(scores, allowed, k)
-                r, c = np.nonzero(allowed & (scores >= np.maximum(floor, low[numbers])[:, None]))
-                at = np.minimum((scores[r, c] - low[numbers][r]) // width[numbers][r], BINS)
-                cell, n = np.unique(numbers[r] * (BINS + 1) + at, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cell // (BINS + 1), pa.int32()), pa.array(cell % (BINS + 1), pa.int32()), pa.array(n, pa.int64())], names=["q", "bin", "n"])
+                todo = np.flatnonzero(open_[numbers])
+                for part in np.array_split(todo, max(1, scores[todo].size >> 20)):
+                    own, some = numbers[part], scores[part]
+                    # A score is at most 2**62 from a range's end, so this can't overflow.
+                    at = np.minimum((np.maximum(some, low[own][:, None]) - low[own][:, None]) // width[own][:, None], BINS)
+                    counted = ~mine[part] & (some >= low[own][:, None])
+                    counts += np.bincount((place[own][:, None] * (BINS + 1) + at)[counted], minlength=len(counts))
+        cell = np.flatnonzero(counts)
+        query = np.flatnonzero(open_)[cell // (BINS + 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(cell % (BINS + 1), pa.int32()), pa.array(counts[cell], pa.int64())], names=["q", "bin", "n"])
 
     return of
 
@@ -131,31 +129,25 @@ def _reaching(block: Block, least: np.ndarray, k: int, scale: float):
 
 
 def _kth(candidates: DataFrame, block: Block, n: int, reach: float, k: int, scale: float) -> np.ndarray:
-    """Each query's kth best score (or below all, if there are fewer)."""
+    """Each query's kth best score (or below all, if there are fewer). A pass over the candidates for each refinement; the driver gets one bin a query."""
     bound = np.zeros(n, np.float64)
     for numbers, _, m in block.parts.values():
         bound[numbers] = np.ceil(np.linalg.norm(m, axis=1) * reach) + 1
     bound = np.minimum(bound, float(1 << 61)).astype(np.int64)
-    low, width, need = -bound, np.maximum(1, -(-(2 * bound + 1) // BINS)), np.full(n, k)
-    done = np.zeros(n, bool)
-    while not done.all():
-        rows = candidates.mapInArrow(_histogram(block, low, width, k, scale), "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).toArrow()
-        q, b, count = (rows.column(i).to_numpy() for i in range(3))
-        order = np.lexsort((-b, q))
-        q, b, count = q[order], b[order], count[order]
-        for i in np.flatnonzero(~done):
-            lo, hi = np.searchsorted(q, [i, i + 1])
-            total = np.cumsum(count[lo:hi])
-            at = int(np.searchsorted(total, need[i]))
-            if at == hi - lo:
-                done[i] = True  # fewer than k: the lowest bound keeps them all
-                low[i] = -bound[i]
-                continue
-            low[i] += int(b[lo + at]) * width[i]
-            if width[i] == 1:
-                done[i] = True
-            else:
-                width[i] = max(1, -(-width[i] // BINS))
+    low, width, least = -bound, np.maximum(1, -(-(2 * bound + 1) // BINS)), np.iinfo(np.int64).min
+    open_ = np.ones(n, bool)
+    best_first = Window.partitionBy("q").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    while open_.any():
+        rows = candidates.mapInArrow(_histogram(block, low, width, open_, scale), "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+        kth = rows.withColumn("seen", F.sum("n").over(best_first)).filter((F.col("seen") >= k) & (F.col("seen") - F.col("n") < k)).select("q", "bin").toArrow()
+        q, at = kth.column("q").to_numpy().astype(np.int64), kth.column("bin").to_numpy().astype(np.int64)
+        # Fewer than k in the range: no score is left out.
+        fewer = open_.copy()
+        fewer[q] = False
+        low[fewer], open_[fewer] = least, False
+        low[q] += at * width[q]
+        open_[q[width[q] == 1]] = False
+        width[q] = np.maximum(1, -(-width[q] // BINS))
     return low
 
 
@@ -165,7 +157,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
     limit_batches(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     queries = rows.filter(F.col("id") % every == 0)
-    facts = rows.agg(F.count(F.when(F.col("id") % every == 0, 1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.coalesce(F.when(F.abs(x) < float("inf"), F.floor(x * scale) * F.floor(x * scale)), F.lit(0.0)).cast("double")))).alias("reach")).first()
+    facts = rows.agg(F.count(F.when(F.col("id") % every == 0, 1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.coalesce(F.when(F.abs(x) < float("inf"), F.pow(F.abs(x * scale) + 1, F.lit(2.0))), F.lit(0.0))))).alias("reach")).first()
     blocks = max(1, -(-facts["n"] // block_queries))
     found = None
     for number in range(blocks):
