@@ -31,6 +31,15 @@ def test_feeds(spark, configs):
         feeds.build([feeds.SourceConfig("X", "gopher", "")])
 
 
+def test_a_source_that_breaks_when_read_leaves_the_others(spark, configs, tmp_path):
+    """A damaged Parquet file passes the analysis of its plan and fails as a task: its source is empty, not the whole."""
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_bytes(b"PAR1 nothing of the kind PAR1")
+    own = [*configs[:2], feeds.SourceConfig("D", "parquet", str(tmp_path / "broken"))]
+    rows, failed = feeds.fetch_all(spark, own, NOW)
+    assert failed == [] and {r["source"]: r["n"] for r in feeds.counts(rows, own).collect()} == {"A": 2, "B": 1, "D": 0}
+
+
 def test_snapshot_log_and_keys(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"items": [{"fingerprint": "f1", "title": "t", "language": "uk"}, {"title": "without"}]}, indent=1))
     row = tables.read_snapshot(spark, str(tmp_path / "s.json")).collect()

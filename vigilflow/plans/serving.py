@@ -78,10 +78,10 @@ def facet_filter(spark, sf_dir):
     return _covered(spark, sf_dir).filter(CHOSEN.predicate()).select("fingerprint", "category")
 
 
-SEARCH = feed.FilterState(query=" San Francisco case-0\nSummary ")
+SEARCH = feed.FilterState(query=" Along the Quay case-0\nSummary ")
 
 
-@query("facet_search", with_sql(ITEMS_SQL, "SELECT i.fingerprint, p.short_summary FROM items i JOIN posts p ON i.fingerprint = p.fingerprint AND p.locale = 'en' WHERE contains(lower(p.title || chr(10) || p.short_summary), 'san francisco case-0' || chr(10) || 'summary')"))
+@query("facet_search", with_sql(ITEMS_SQL, "SELECT i.fingerprint, p.short_summary FROM items i JOIN posts p ON i.fingerprint = p.fingerprint AND p.locale = 'en' WHERE contains(lower(p.title || chr(10) || p.short_summary), 'along the quay case-0' || chr(10) || 'summary')"))
 def facet_search(spark, sf_dir):
     """A search that reaches from the title into the summary."""
     return _covered(spark, sf_dir).filter(SEARCH.predicate()).select("fingerprint", "short_summary")

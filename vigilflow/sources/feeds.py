@@ -1,7 +1,8 @@
 """Feed readers: RSS and Atom files as news rows, behind a registry of kinds; one source's failure leaves the others.
 
 There is no network here: paths are files that Spark reads. A downloader is a reader of another kind,
-registered by name; what it raises is caught for its source alone.
+registered by name; what it raises is caught for its source alone. Reads are lazy, so what breaks only when a file is
+opened (a truncated or missing file) is passed over by the reader itself, and shows as a source without rows (counts()).
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ log = logging.getLogger(__name__)
 NEWS = "fingerprint string, title string, source string, url string, published_at timestamp, raw_content string"
 
 
+TOLERANT = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"}
+
+
 @dataclass(frozen=True)
 class SourceConfig:
     """A source's name, the kind of its reader and where it is."""
@@ -66,20 +70,20 @@ def _rows(entries: DataFrame, config: SourceConfig, title: Column, url: Column,
 def read_rss(spark: SparkSession, config: SourceConfig, now: str) -> DataFrame:
     """Items of RSS files; those without title or link are dropped."""
     schema = "title string, link string, summary string, description string, pubDate string, updated string, created string"
-    items = spark.read.format("xml").option("rowTag", "item").schema(schema).load(config.path)
+    items = spark.read.options(**TOLERANT).format("xml").option("rowTag", "item").schema(schema).load(config.path)
     return _rows(items, config, F.col("title"), F.col("link"), F.coalesce("summary", "description"), [F.col("pubDate"), F.col("updated"), F.col("created")], now)
 
 
 @reader("atom")
 def read_atom(spark: SparkSession, config: SourceConfig, now: str) -> DataFrame:
     schema = "title string, link struct<_href:string>, summary string, content string, published string, updated string"
-    items = spark.read.format("xml").option("rowTag", "entry").schema(schema).load(config.path)
+    items = spark.read.options(**TOLERANT).format("xml").option("rowTag", "entry").schema(schema).load(config.path)
     return _rows(items, config, F.col("title"), F.col("link._href"), F.coalesce("summary", "content"), [F.col("published"), F.col("updated")], now)
 
 
 @reader("parquet")
 def read_parquet(spark: SparkSession, config: SourceConfig, now: str) -> DataFrame:
-    return spark.read.parquet(config.path).select("fingerprint", "title", F.lit(config.name).alias("source"), "url", "published_at", "raw_content")
+    return spark.read.options(**TOLERANT).schema(NEWS).parquet(config.path).select("fingerprint", "title", F.lit(config.name).alias("source"), "url", "published_at", "raw_content")
 
 
 def fetch_all(spark: SparkSession, configs: Iterable[SourceConfig], now: str) -> tuple[DataFrame, list[str]]:
@@ -93,3 +97,9 @@ def fetch_all(spark: SparkSession, configs: Iterable[SourceConfig], now: str) ->
             failed.append(config.name)
     empty = spark.createDataFrame([], NEWS)
     return reduce(DataFrame.unionByName, parts, empty), failed
+
+
+def counts(rows: DataFrame, configs: Iterable[SourceConfig]) -> DataFrame:
+    """(source, n): how many rows each configured source gave, 0 for one that failed or was silent."""
+    names = rows.sparkSession.createDataFrame([(c.name,) for c in configs], "source string")
+    return names.join(rows.groupBy("source").agg(F.count("*").alias("n")), "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n"))

@@ -16,30 +16,30 @@ from vigilflow.functions import vocab
 NOW = "2024-02-01 00:00:00"
 
 HEADLINES = (
-    "New ransomware family discovered hitting hospitals, LockBit suspected",
-    "Zero-day vulnerability in Chrome under active exploitation",
-    "New cafe opens in downtown San Francisco",
-    "Виявлено нову фішингову кампанію проти українських банків",
-    "Acme Inc raises $50M Series B funding round",
-    "Top 10 best antivirus tools for 2026",
-    "After ransomware breach Acme Inc raises $50M to rebuild security",
-    "iPad and iPhone hit by zero-click iOS exploit from Pegasus vendor",
-    "Kubernetes remote code execution flaw exposes Docker hosts",
-    "Oracle breach leaks customer records of Fortune 500 companies",
-    "Phishing campaign abuses Microsoft 365 and steals session tokens",
-    "Android banking trojan drains crypto wallets",
-    "Researchers discovered theoretical attack on encryption",
-    "Cisco and Fortinet firewalls patched, users should update",
-    "Telegram gift card scam targets WhatsApp users",
-    "Russian media говорят о событиях дня",
-    "Botnet launches ddos against online banking",
-    "Malicious npm package delivers infostealer loader",
-    "Shocking truth revealed: click here for the bombshell",
-    "Data leak: exposed database with passwords of Gmail accounts",
-    "Шахраї виманили кошти через підроблені застосунки",
-    "President opens renewable energy conference with wind turbine makers",
-    "VMware ESXi servers actively exploited, CISA issues advisory",
-    "Spyware vendor sold stalkerware through the app store",
+    "Ransomware crew LockBit locks files of two regional clinics",
+    "Zero-day bug in Chrome abused by exploit sellers, fix pending",
+    "Harbour town plants four hundred lime trees along the quay",
+    "Зловмисники розсилають фішингові листи клієнтам банків",
+    "Tooling startup closes Series B funding round of $40M",
+    "Top 10 webinar platforms compared for small offices",
+    "Months after ransomware breach a grocer raises $9M to rebuild",
+    "iPhone owners targeted by zero-click exploit tied to Pegasus",
+    "Remote code execution flaw lets pods escape Kubernetes and Docker",
+    "Oracle customer files exposed in breach at a Fortune 500 supplier",
+    "Phishing kit for Microsoft 365 copies session tokens and mailbox rules",
+    "Banking trojan for Android empties crypto wallet apps",
+    "Researchers discovered weak spot in encryption of old radios",
+    "Cisco and Fortinet patched gateways, admins should restart them",
+    "Gift card scam spreads over Telegram and WhatsApp groups",
+    "Утром открыли новую выставку картин в музее",
+    "Botnet floods online banking portals with ddos traffic",
+    "Poisoned npm package hides infostealer and loader",
+    "Shocking truth about passwords, click here for the bombshell",
+    "Data leak: exposed database held passwords of Gmail users",
+    "Шахраї виманили гроші через підроблений застосунок пошти",
+    "Minister visits wind turbine plant and renewable energy fair",
+    "Advisory: VMware ESXi hosts actively exploited since Monday",
+    "Stalkerware hidden in the app store sold as spyware kit",
 )
 TAILS = (
     "Patch immediately: the flaw CVE-2024-12345 is actively exploited in the wild. See CERT-UA#8421.",
