@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilflow.functions import vocab
+from vigilflow.session import show_workers
 
 TOKEN = r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"
 MAX_BODY = 3000
@@ -134,6 +135,7 @@ def safe_body(text: Column) -> Column:
 
 def normalized_news(news: DataFrame) -> DataFrame:
     """Rows with title and body cleaned, and the language of both; original_language where it isn't known yet."""
+    show_workers(news.sparkSession)
     rows = news.withColumns({"title": safe_text(F.col("title")), "raw_content": safe_body(F.col("raw_content"))})
     rows = rows.withColumn("language", detect_language(F.concat_ws("\n", "title", "raw_content")))
     if "original_language" in news.columns:

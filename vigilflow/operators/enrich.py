@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigilflow.functions import lexicon as lx
 from vigilflow.functions import text as tx
 from vigilflow.functions import vocab
+from vigilflow.session import show_workers
 
 ALL_TERMS = tuple(dict.fromkeys((*vocab.STRONG, *vocab.MEDIUM, *vocab.WEAK)))
 SIGNALS = (
@@ -41,6 +42,7 @@ def with_text(news: DataFrame, words: lx.Lexicon = EVERYTHING) -> DataFrame:
     The generator around hits is a fence: a filter on what derives from them can't be pushed below and so
     put the reading of the text in place of each mention.
     """
+    show_workers(news.sparkSession)
     rows = news.withColumn("txt", F.lower(F.concat_ws("\n", "title", "raw_content")))
     return rows.withColumn("hits", F.explode(F.array(words.hits(F.col("txt")))))
 

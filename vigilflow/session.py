@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -26,8 +29,17 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
+def show_workers(spark: SparkSession) -> None:
+    """Tell Python workers where this package lies, for sessions that weren't started beside it (a cluster has it by --py-files)."""
+    root, environment = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the input tables of a data folder."""
+    show_workers(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
