@@ -1,6 +1,10 @@
 """Readers, tables and the micro-batch cycle on files."""
 
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +148,33 @@ def test_publish_records_what_was_sent(spark, tmp_path):
         cycle.publish(rows, stopped, str(tmp_path / "other"), dry_run=False)
     assert spark.read.json(str(tmp_path / "other")).count() == 1
     assert cycle.channel_fatal(401) and cycle.channel_fatal(400, "Bad Request: chat not found") and not cycle.channel_fatal(400, "message is too long") and not cycle.channel_fatal(500)
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    root = Path(__file__).resolve().parents[1]
+    code = f"""import sys; sys.path.insert(0, {str(root)!r})
+import __spark_entry__ as engine
+from vigilflow.session import local_session
+print("rows", engine.queries()["keyword_hits"](local_session(2), "/root/testdata/sf0.001").count())"""
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=120)
+    assert "rows " in said.stdout, said.stderr[-2000:]
+
+
+def test_second_store_is_optional():
+    def broken():
+        raise RuntimeError("no database")
+
+    assert tables.backends("json", "a", broken) == ["a"] and tables.backends("dual", "a", lambda: "b") == ["a", "b"]
+    assert tables.backends("dual", "a", broken) == ["a"] and tables.backends("other", "a", lambda: "b") == ["a"]
+
+
+def test_jdbc_options():
+    got = tables.jdbc_options("postgres://me:p%40ss@db.test:5432/news?sslmode=require", "items", ("id", 0, 99), parts=4)
+    assert got == {
+        "url": "jdbc:postgresql://db.test:5432/news?sslmode=require", "dbtable": "items", "fetchsize": "1000", "user": "me", "password": "p@ss",
+        "partitionColumn": "id", "lowerBound": "0", "upperBound": "99", "numPartitions": "4",
+    }
+    assert tables.jdbc_options("postgresql+psycopg://db.test/news", "t")["url"] == "jdbc:postgresql://db.test/news"
+    with pytest.raises(ValueError):
+        tables.jdbc_options("mysql://db.test/news", "t")

@@ -190,3 +190,19 @@ PROXIED_HOSTS = ('www.cisa.gov', 'ain.ua', 'dev.ua')
 
 # Fixed value: how a byline begins.
 BYLINE = r"(?iU)^\s*(?:by\s+\S+|posted\s+by\s+\S+|on\s+\w+\s+\d{1,2},?\s*\d{4})\b"
+
+# What a provider is told of an item: characters of the body, what stands behind a cut one, ends of sentences in
+# the order in which they are tried, names of audiences, the last line.
+PROMPT_BODY = 1200
+PROMPT_CUT = "[…truncated]"
+PROMPT_ENDS = (". ", "! ", "? ", ".\n", "!\n", "?\n")
+PROMPT_AUDIENCES = {
+    "normal_users": "Everyday users",
+    "developers": "Developers",
+    "sysadmins": "IT / sysadmins",
+    "enterprise": "Enterprise IT",
+    "mobile_users": "Mobile users",
+    "crypto_users": "Crypto users",
+    "general": "Anyone following cybersecurity",
+}
+PROMPT_CLOSE = "\nProduce the structured threat post."

@@ -117,3 +117,13 @@ def cards(items: DataFrame, tables: CopyTables | None = None, language: str = "e
         F.round(render.emotional_weight(F.col("actionability_score"), F.col("threat_score"), F.col("source_credibility_score")), 3).alias("emotional_weight"),
         render.reading_seconds(F.col("raw_content")).alias("reading_time_seconds"), render.references(F.col("raw_content")).alias("references"), F.lit("rule_based").alias("generated_by"),
     )
+
+
+def with_context(posts: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Posts (category, locale) with context, a map of section to text from a table (category, locale, section, text); an empty map where there is none.
+
+    The table is summed to one row a key first, so no post is repeated; Spark broadcasts it as far as it is small.
+    """
+    sections = contexts.groupBy("category", "locale").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "text")))).alias("context"))
+    none = F.create_map().cast("map<string,string>")
+    return posts.join(sections, ["category", "locale"], "left").withColumn("context", F.coalesce("context", none))

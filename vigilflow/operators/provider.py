@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilflow.functions import editorial as ed
 from vigilflow.operators import copy, enrich, render
 
 #: A factory gives a callable: rows in, one verdict (or None) for each out.
@@ -43,16 +44,33 @@ def with_verdicts(decided: DataFrame, factory: Factory | None = None) -> DataFra
     return rest.unionByName(gray.mapInPandas(ask, schema))
 
 
+#: What a provider may write of a post; the card gives what it leaves out.
+TEXTS = ("title", "short_summary", "why_it_matters", "detail_body")
+LISTS = ("affected_users", "what_to_do", "what_not_to_do", "quick_facts")
+WRITTEN = (*TEXTS, *LISTS, "emotional_weight", "reading_time_seconds")
+POST = ("fingerprint", "locale", "title", "short_summary", "why_it_matters", "generated_by")
+
+
+def edited(written: DataFrame, language: str) -> DataFrame:
+    """Posts of a provider as they are checked: Ukrainian words by the glossary, then without fluff and repeats."""
+    if language == "ua":
+        between = "\x1f"
+        listed = lambda c: F.when(F.size(c) > 0, F.split(ed.ukrainian(F.array_join(c, between)), between)).otherwise(F.col(c))
+        written = written.withColumns({c: ed.ukrainian(F.col(c)) for c in TEXTS} | {c: listed(c) for c in LISTS})
+    return ed.refined(written, language)
+
+
 def generate(items: DataFrame, cached: DataFrame, language: str = "en", provider: Factory | None = None, tables: copy.CopyTables | None = None) -> tuple[DataFrame, DataFrame]:
     """(posts, to_cache) of items in a language: cached ones as they are; else the provider's that pass the checks; else rule-based.
 
-    Only the provider's are cached. It gives title, short_summary and why_it_matters for each row, or None.
+    Only the provider's are cached. It gives title, short_summary and why_it_matters for each row, or None, and any other
+    of WRITTEN. What it gives is edited(), then checked, then brought within a card's bounds; what fails, or raises, is
+    written by the rules.
     """
-    fields = ["fingerprint", "locale", "title", "short_summary", "why_it_matters", "generated_by"]
-    have = cached.filter(F.col("locale") == language).select(*fields)
+    have = cached.filter(F.col("locale") == language).select(*POST)
     missing = items.join(have.select("fingerprint"), "fingerprint", "left_anti")
     cards = copy.cards(missing, tables, language)
-    plain = cards.select(*fields)
+    plain = cards.select(*POST)
     if provider is None:
         return items.select("fingerprint").join(have, "fingerprint").unionByName(plain), plain.limit(0)
 
@@ -63,14 +81,15 @@ def generate(items: DataFrame, cached: DataFrame, language: str = "en", provider
                 texts = write(frame.to_dict("records"))
             except Exception:
                 texts = [None] * len(frame)
-            for name in ("title", "short_summary", "why_it_matters"):
-                frame[name] = [None if t is None else t.get(name) for t in texts]
-            yield frame
+            for name in WRITTEN:
+                needed = name in ("title", "short_summary", "why_it_matters")
+                frame[name] = [None if t is None else t.get(name, None if needed else old) for t, old in zip(texts, frame[name], strict=True)]
+            yield frame[frame["title"].notna() & frame["short_summary"].notna() & frame["why_it_matters"].notna()]
 
     wide = cards.join(missing.select("fingerprint", F.col("title").alias("source_title"), F.col("raw_content").alias("source_body")), "fingerprint")
-    wide = wide.withColumn("detail_body", F.lit("")).drop("references", "generated_by")
-    written = wide.mapInPandas(ask, wide.schema).filter("title is not null and short_summary is not null and why_it_matters is not null")
+    wide = wide.withColumns({"detail_body": F.lit(""), "quick_facts": F.array().cast("array<string>")}).drop("references", "generated_by")
+    written = edited(wide.mapInPandas(ask, wide.schema), language)
     written = render.with_tokens(written, summary_tokens=F.col("short_summary"), why_tokens=F.col("why_it_matters"), source_tokens=F.col("source_body"))
-    good = written.withColumn("reason", render.failure_reason(F.col("locale"))).filter("reason is null").withColumn("generated_by", F.lit("llm")).select(*fields)
+    good = render.clamped(written.withColumn("reason", render.failure_reason(F.col("locale"))).filter("reason is null")).withColumn("generated_by", F.lit("llm")).select(*POST)
     rest = plain.join(good.select("fingerprint"), "fingerprint", "left_anti")
     return items.select("fingerprint").join(have, "fingerprint").unionByName(good).unionByName(rest), good

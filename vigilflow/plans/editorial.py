@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vigilflow.functions import editorial as ed
 from vigilflow.functions import editorial_vocab as ev
 from vigilflow.functions import copy_vocab as cv
-from vigilflow.operators import copy, render
+from vigilflow.operators import copy, prompts, render
 from vigilflow.plans import seeded
 from vigilflow.plans.common import news, with_sql
 from vigilflow.plans.seeded import ITEMS_SQL
@@ -246,3 +246,47 @@ def card_lists(spark, sf_dir):
 def rule_based_cards(spark, sf_dir):
     """Whole cards; their parts have oracles of their own: editorial_brief, card_lists, threat_level, emotional_weight, reading_time, extract_references."""
     return copy.cards(seeded.items(spark, sf_dir), _TABLES)
+
+
+_CONTEXT = [("breach", "en", "why", "Leaked data stays leaked."), ("breach", "en", "who", "Anyone with an account."), ("ransomware", "ua", "why", "Файли втрачено.")]
+
+
+@query("detail_context", with_sql(ITEMS_SQL, f"""SELECT fingerprint, locale, coalesce(sections, '') AS sections FROM (SELECT p.fingerprint, p.locale, i.category FROM posts p JOIN items i USING (fingerprint))
+  LEFT JOIN (SELECT category, locale, string_agg(section || '=' || body, '|' ORDER BY section) AS sections FROM (VALUES {", ".join(str(row) for row in _CONTEXT)}) v(category, locale, section, body) GROUP BY ALL) USING (category, locale)"""))
+def detail_context(spark, sf_dir):
+    contexts = spark.createDataFrame(_CONTEXT, "category string, locale string, section string, text string")
+    rows = seeded.posts(spark, sf_dir).select("fingerprint", "locale").join(seeded.items(spark, sf_dir).select("fingerprint", "category"), "fingerprint")
+    told = F.transform(F.map_entries("context"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return copy.with_context(rows, contexts).select("fingerprint", "locale", F.array_join(told, "|").alias("sections"))
+
+
+_PERSONAS = {"en|default|general": prompts.Persona("You write for all.", "Be brief."), "en|phishing|normal_users": prompts.Persona("You write for families.", "Be kind.", "Name the bait.")}
+_RULES = prompts.Rules("Invent nothing.", "Write English.", "Answer as one JSON object.", "\n\nWrite English.\n")
+_SYSTEM = {name: prompts.system_prompt(name, persona, _RULES, "en") for name, persona in _PERSONAS.items()}
+_PARAGRAPHS = ("First line. ", "Second one! ", "\n\nThird, ", "and no end ")
+
+
+def _body_sql() -> str:
+    """Bodies of up to 2,500 characters, cut after 1,200: the last paragraph, else the last sentence of the last 360 characters, else anywhere."""
+    ends = ", ".join(f"CASE WHEN contains(tail, {mark}) THEN rtrim(substr(head, 1, 1200 - strpos(reverse(tail), reverse({mark})), chr(10) || ' ') || ' […truncated]' END" for mark in ("'. '", "'! '", "'? '", "'.' || chr(10)", "'!' || chr(10)", "'?' || chr(10)"))
+    paragraph = "CASE WHEN contains(tail, chr(10) || chr(10)) THEN rtrim(substr(head, 1, 1200 - strpos(reverse(tail), chr(10) || chr(10)) - 1), chr(10) || ' ') || chr(10) || chr(10) || '[…truncated]' END"
+    return f"CASE WHEN length(body) <= 1200 THEN body ELSE coalesce({paragraph}, {ends}, rtrim(head, chr(10) || ' ') || '… […truncated]') END"
+
+
+@query("provider_prompts", with_sql(ITEMS_SQL, f"""SELECT fingerprint, template, CASE template WHEN 'en|default|general' THEN {quoted(_SYSTEM["en|default|general"])} ELSE {quoted(_SYSTEM["en|phishing|normal_users"])} END AS system,
+  'SOURCE METADATA' || chr(10) || '- source: ' || source || ' (tier: ' || source_tier || ', credibility: ' || printf('%.2f', source_credibility_score) || ')' || chr(10)
+  || '- published: ' || strftime(published_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' || chr(10) || '- category: ' || category || ' (confidence: ' || printf('%.2f', doc_id % 83 / 83.0::DOUBLE) || ')' || chr(10)
+  || '- platforms: ' || array_to_string(affected_platforms, ', ') || chr(10) || '- audiences: ' || audience_targets[1] || chr(10) || '- actionability: ' || actionability_level || ' (' || printf('%.2f', actionability_score) || ')' || chr(10)
+  || '- threat_score: ' || printf('%.1f', threat_score) || '/100' || chr(10) || '- detected_language: ' || coalesce(language, 'unknown') || chr(10)
+  || '- target_audience_label: ' || coalesce(map {{{", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in ev.PROMPT_AUDIENCES.items())}}}[audience_targets[1]], replace(audience_targets[1], '_', ' ')) || chr(10)
+  || chr(10) || 'SOURCE ARTICLE' || chr(10) || 'Title: ' || title || chr(10) || 'Body:' || chr(10) || {_body_sql()} || chr(10)
+  || CASE WHEN coalesce(language, 'en') = 'ua' THEN chr(10) || chr(10) || 'Write English.' || chr(10) ELSE '' END || chr(10) || 'Produce the structured threat post.' AS user
+  FROM (SELECT *, substr(body, 1, 1200) AS head, substr(body, 841, 360) AS tail, CASE WHEN category = 'phishing' AND audience_targets[1] = 'normal_users' THEN 'en|phishing|normal_users' ELSE 'en|default|general' END AS template
+  FROM (SELECT *, title || chr(10) || substr(repeat({array_sql(_PARAGRAPHS)}[doc_id % 4 + 1], 300) || repeat('x', CAST(doc_id % 5 AS INTEGER) * 90), 1, CAST(doc_id * 37 % 2500 AS INTEGER)) AS body FROM items))"""))
+def provider_prompts(spark, sf_dir):
+    """Prompts of items with bodies of all lengths and ends."""
+    d = F.col("doc_id")
+    text = F.concat(F.repeat(F.element_at(F.array(*[F.lit(p) for p in _PARAGRAPHS]), (d % 4 + 1).cast("int")), F.lit(300)), F.repeat(F.lit("x"), (d % 5 * 90).cast("int")))
+    body = F.concat("title", F.lit("\n"), F.substring(text, F.lit(1), (d * 37 % 2500).cast("int")))
+    rows = seeded.items(spark, sf_dir).withColumns({"raw_content": body, "category_confidence": d % 83 / 83.0})
+    return prompts.prompts(rows, _PERSONAS, _RULES)

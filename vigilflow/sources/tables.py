@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+from typing import TypeVar
+from urllib.parse import unquote, urlsplit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+Store = TypeVar("Store")
+
 ITEM = (
     "fingerprint string, title string, source string, url string, published_at timestamp, raw_content string, threat_score double, tags array<string>, fetched_at timestamp, language string, "
     "original_language string, category string, category_confidence double, affected_platforms array<string>, audience_targets array<string>, audience_relevance_score double, "
@@ -85,3 +93,35 @@ def post_keys(keys: DataFrame) -> DataFrame:
 def pending(names: DataFrame, applied: DataFrame) -> DataFrame:
     """Migrations that aren't applied yet, in order of their names."""
     return names.join(applied, "name", "left_anti").orderBy("name")
+
+
+def backends(kind: str, primary: Store, secondary: Callable[[], Store]) -> list[Store]:
+    """The stores that a setting asks for, the primary first: json for it alone, dual for both.
+
+    A secondary that can't be set up, and a setting of another name, leave the primary alone and are logged.
+    """
+    if kind == "dual":
+        try:
+            return [primary, secondary()]
+        except Exception:
+            log.warning("the second store can't be set up; the first serves alone", exc_info=True)
+    elif kind != "json":
+        log.warning("unknown kind of store %r; the first serves alone", kind)
+    return [primary]
+
+
+def jdbc_options(url: str, table: str, split: tuple[str, int, int] | None = None, parts: int = 8, fetch: int = 1000) -> dict[str, str]:
+    """Options of spark.read.format("jdbc") for a PostgreSQL URL in any of its usual forms.
+
+    Name and password leave the URL. split is an integer column and its bounds; rows outside them are read too.
+    """
+    at = urlsplit(url)
+    if at.scheme.split("+")[0] not in ("postgres", "postgresql") or not at.hostname:
+        raise ValueError("not the URL of a PostgreSQL database")
+    host = at.hostname + (f":{at.port}" if at.port else "")
+    options = {"url": f"jdbc:postgresql://{host}{at.path}" + (f"?{at.query}" if at.query else ""), "dbtable": table, "fetchsize": str(fetch)}
+    options |= {name: unquote(value) for name, value in (("user", at.username), ("password", at.password)) if value}
+    if split:
+        column, low, high = split
+        options |= {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+    return options
