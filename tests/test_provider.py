@@ -4,8 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from vigilflow.functions import editorial as ed
 from vigilflow.functions import editorial_vocab as ev
-from vigilflow.operators import enrich, prompts, provider
+from vigilflow.operators import enrich, provider
 
 
 def decided(spark):
@@ -76,7 +77,7 @@ def test_generate_in_ukrainian_uses_the_glossary(spark):
 def test_source_body_is_cut_where_a_text_pauses(spark):
     texts = ["short", None, "a" * 1000 + "\n\n" + "b. " * 90, "a. " * 500, "a" * 1100 + "! " + "b" * 200, "é" * 1300, "a" * 1200]
     frame = spark.createDataFrame(list(enumerate(texts)), "i int, body string")
-    got = {r["i"]: r["cut"] for r in frame.select("i", prompts.source_body(F.col("body")).alias("cut")).collect()}
+    got = {r["i"]: r["cut"] for r in frame.select("i", ed.source_excerpt(F.col("body")).alias("cut")).collect()}
     assert got == {
         0: "short", 1: None, 2: "a" * 1000 + "\n\n[…truncated]", 3: ("a. " * 400).rstrip() + " […truncated]", 4: "a" * 1100 + "! […truncated]", 5: "é" * 1200 + "… […truncated]", 6: "a" * 1200,
     }

@@ -144,14 +144,22 @@ def post_title(title: Column) -> Column:
     return F.concat(trim_at_word(whole, 120), F.when(F.length(whole) > 120, "…").otherwise(""))
 
 
-def source_excerpt(text: Column, limit: int = 1200) -> Column:
-    """A body cut at a paragraph, else a sentence end, in the last 30 % of the limit, else there; and marked."""
-    head, low = F.substring(text, 1, limit), int(limit * 0.7)
-    last = lambda mark: F.when(F.contains(head, F.lit(mark)), F.length(head) - F.locate(mark[::-1], F.reverse(head)) - len(mark) + 1).otherwise(-1)
-    out = F.when(F.length(text) <= limit, text).when(last("\n\n") >= low, F.concat(F.rtrim(F.substring(head, F.lit(1), last("\n\n"))), F.lit("\n\n[…truncated]")))
-    for mark in (". ", "! ", "? ", ".\n", "!\n", "?\n"):
-        out = out.when(last(mark) >= low, F.concat(F.substring(head, F.lit(1), last(mark) + 1), F.lit(" […truncated]")))
-    return out.otherwise(F.concat(F.rtrim(head), F.lit("… […truncated]")))
+def source_excerpt(text: Column, limit: int = ev.PROMPT_BODY) -> Column:
+    """A body of at most limit characters: cut at the last paragraph that ends in its last 30 %, else after the last sentence there
+    (marks in the order of PROMPT_ENDS), else at the limit; cut bodies say so."""
+    head, least = F.substring(text, 1, limit), int(limit * 0.7)
+    tail = F.substring(text, least + 1, limit - least)
+
+    def last(mark: str) -> Column:
+        """Characters of the body before the last of these marks in the tail; null without one."""
+        behind = F.instr(F.reverse(tail), mark[::-1])
+        return F.when(behind > 0, F.lit(limit) - behind - len(mark) + 1)
+
+    trimmed = lambda c: F.regexp_replace(c, r"(?U)\s+$", "")
+    paragraph, sentence = last("\n\n"), F.coalesce(*[last(mark) for mark in ev.PROMPT_ENDS])
+    cut = F.when(paragraph.isNotNull(), F.concat(trimmed(F.substring(head, F.lit(1), paragraph)), F.lit(f"\n\n{ev.PROMPT_CUT}")))
+    cut = cut.when(sentence.isNotNull(), F.concat(F.substring(head, F.lit(1), sentence + 1), F.lit(f" {ev.PROMPT_CUT}")))
+    return F.when(F.length(text) > limit, cut.otherwise(F.concat(trimmed(head), F.lit(f"… {ev.PROMPT_CUT}")))).otherwise(text)
 
 
 def verified_ids(refs: Column) -> Column:

@@ -40,24 +40,6 @@ def system_prompt(template: str, persona: Persona, rules: Rules, language: str)
     return "\n\n".join([p for p in parts if p] + ["\n".join((f"TEMPLATE_ID: {template}", f"OUTPUT_LANGUAGE: {language}", rules.form))])
 
 
-def source_body(body: Column, most: int = ev.PROMPT_BODY) -> Column:
-    """A body of at most so many characters: cut at the last paragraph that ends in its last three tenths, else after the
-    last sentence there (full stops before other marks, blanks before line breaks), else anywhere; cut bodies say so."""
-    head, least = F.substring(body, 1, most), int(most * 0.7)
-    tail = F.substring(body, least + 1, most - least)
-
-    def last(mark: str) -> Column:
-        """Characters before the last of these marks in the tail, counted from the beginning; null without one."""
-        behind = F.instr(F.reverse(tail), mark[::-1])
-        return F.when(behind > 0, F.lit(most) - behind - len(mark) + 1)
-
-    trimmed = lambda c: F.regexp_replace(c, r"(?U)\s+$", "")
-    paragraph, sentence = last("\n\n"), F.coalesce(*[last(mark) for mark in ev.PROMPT_ENDS])
-    cut = F.when(paragraph.isNotNull(), F.concat(trimmed(F.substring(head, F.lit(1), paragraph)), F.lit(f"\n\n{ev.PROMPT_CUT}")))
-    cut = cut.when(sentence.isNotNull(), F.concat(trimmed(F.substring(head, F.lit(1), sentence + 1)), F.lit(f" {ev.PROMPT_CUT}")))
-    return F.when(F.length(body) > most, cut.otherwise(F.concat(trimmed(head), F.lit(f"… {ev.PROMPT_CUT}")))).otherwise(body)
-
-
 def user_prompt(language: str, reminder: str = "") -> Column:
     """What is told of a scored item; rows need audience, the one of its template. A reminder follows texts in another language."""
     listed = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("—")
@@ -73,7 +55,7 @@ def user_prompt(language: str, reminder: str = "") -> Column:
         "target_audience_label": F.coalesce(F.try_element_at(labels, F.col("audience")), F.replace("audience", F.lit("_"), F.lit(" "))),
     }
     told = [part for name, value in facts.items() for part in (F.lit(f"- {name}: "), value, F.lit("\n"))]
-    article = [F.lit("\nSOURCE ARTICLE\nTitle: "), F.col("title"), F.lit("\nBody:\n"), source_body(F.col("raw_content")), F.lit("\n")]
+    article = [F.lit("\nSOURCE ARTICLE\nTitle: "), F.col("title"), F.lit("\nBody:\n"), ed.source_excerpt(F.col("raw_content")), F.lit("\n")]
     return F.concat(F.lit("SOURCE METADATA\n"), *told, *article, F.when(own != language, reminder).otherwise(""), F.lit(ev.PROMPT_CLOSE))
 
 

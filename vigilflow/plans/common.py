@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from vigilflow.functions import vocab
 from vigilflow.operators import enrich
-from vigilflow.session import spread, table
+from vigilflow.session import once, spread, table
 from vigilflow.sources import news as nw
 from vigilflow.sources.news import NEWS_SQL, NOW, any_sql, array_sql, hits_sql, language_sql, quoted, title_tokens_sql, tokens_sql
 
 
+@once
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nw.news_from_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 

@@ -268,7 +268,7 @@ _PARAGRAPHS = ("First line. ", "Second one! ", "\n\nThird, ", "and no end ")
 
 def _body_sql() -> str:
     """Bodies of up to 2,500 characters, cut after 1,200: the last paragraph, else the last sentence of the last 360 characters, else anywhere."""
-    ends = ", ".join(f"CASE WHEN contains(tail, {mark}) THEN rtrim(substr(head, 1, 1200 - strpos(reverse(tail), reverse({mark})), chr(10) || ' ') || ' […truncated]' END" for mark in ("'. '", "'! '", "'? '", "'.' || chr(10)", "'!' || chr(10)", "'?' || chr(10)"))
+    ends = ", ".join(f"CASE WHEN contains(tail, {mark}) THEN rtrim(substr(head, 1, 1200 - strpos(reverse(tail), reverse({mark}))), chr(10) || ' ') || ' […truncated]' END" for mark in ("'. '", "'! '", "'? '", "'.' || chr(10)", "'!' || chr(10)", "'?' || chr(10)"))
     paragraph = "CASE WHEN contains(tail, chr(10) || chr(10)) THEN rtrim(substr(head, 1, 1200 - strpos(reverse(tail), chr(10) || chr(10)) - 1), chr(10) || ' ') || chr(10) || chr(10) || '[…truncated]' END"
     return f"CASE WHEN length(body) <= 1200 THEN body ELSE coalesce({paragraph}, {ends}, rtrim(head, chr(10) || ' ') || '… […truncated]') END"
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigilflow.functions import vocab
 from vigilflow.functions.text import literal_array
 from vigilflow.plans.common import news, one_per_fingerprint
+from vigilflow.session import once
 from vigilflow.sources.news import NEWS_SQL, array_sql
 
 CATEGORIES = (*vocab.CATEGORIES, "other")
@@ -19,6 +20,7 @@ AUDIENCES = tuple(vocab.AUDIENCES)
 UA_TITLES = ("Нова загроза для банків", "A headline that nobody translated")
 
 
+@once
 def items(spark, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     pick = lambda values, i: F.element_at(literal_array(values), (i % len(values) + 1).cast("int"))
@@ -33,6 +35,7 @@ def items(spark, sf_dir: str) -> DataFrame:
     )
 
 
+@once
 def posts(spark, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     rows = items(spark, sf_dir).withColumn("locale", F.explode(F.array(F.lit("en"), F.lit("ua")))).filter(F.when(F.col("locale") == "en", d % 3 != 0).otherwise(d % 4 == 0))
@@ -45,6 +48,7 @@ def posts(spark, sf_dir: str) -> DataFrame:
     )
 
 
+@once
 def ledger(spark, sf_dir: str) -> DataFrame:
     return posts(spark, sf_dir).filter("doc_id % 7 = 0").select("fingerprint", "locale")
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
+from functools import wraps
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import SparkSession
 
@@ -43,6 +46,20 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def once(build: Callable) -> Callable:
+    """A builder of (spark, folder) whose plan, not its rows, is made once a session: planning takes as long as a small query."""
+    made: WeakKeyDictionary = WeakKeyDictionary()
+
+    @wraps(build)
+    def get(spark: SparkSession, sf_dir: str):
+        own = made.setdefault(spark, {})
+        if sf_dir not in own:
+            own[sf_dir] = build(spark, sf_dir)
+        return own[sf_dir]
+
+    return get
+
+
 def spread(df):
     """Rows over all cores where a small input comes as fewer partitions (a file of one row group is one task).
 
