@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vigilflow.functions import editorial as ed
 from vigilflow.functions import editorial_vocab as ev
 from vigilflow.functions import copy_vocab as cv
+from vigilflow.functions import text as tx
 from vigilflow.operators import copy, prompts, render
 from vigilflow.plans import seeded
 from vigilflow.plans.common import news, with_sql
@@ -122,9 +123,22 @@ def foreign_character(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents")).select("doc_id", ed.foreign_character(F.concat("text", F.when(F.col("doc_id") % 5 == 0, " 漢字").otherwise(""))).alias("found"))
 
 
-@query("ukrainian_glossary")
+_STEMS = sorted((k for k in ev.GLOSSARY if k.isalpha()), key=len, reverse=True)
+_GLOSSED = f"concat_ws(' ', title, {array_sql(_STEMS)}[doc_id % {len(_STEMS)} + 1] || 'ий', upper({array_sql(_STEMS)}[doc_id * 7 % {len(_STEMS)} + 1][1]) || {array_sql(_STEMS)}[doc_id * 7 % {len(_STEMS)} + 1][2:] || '.')"
+
+_STEM_OF = f"list_filter({array_sql(_STEMS)}, lambda s: starts_with(lower(p), s))[1]"
+_NEW_WORDS = ", ".join(f"{quoted(k)}: {quoted(ev.GLOSSARY[k])}" for k in _STEMS)
+
+
+@query("ukrainian_glossary", with_sql(NEWS_SQL, f"""SELECT doc_id, array_to_string(list_transform(parts, lambda w: CASE WHEN w.stem IS NULL THEN w.part WHEN upper(w.part[1]) = w.part[1] THEN upper(w.new[1]) || w.new[2:] || w.part[length(w.stem) + 1:] ELSE w.new || w.part[length(w.stem) + 1:] END), '') AS title
+  FROM (SELECT doc_id, list_transform(parts, lambda p: {{'part': p, 'stem': {_STEM_OF}, 'new': map {{{_NEW_WORDS}}}[{_STEM_OF}]}}) AS parts FROM (SELECT doc_id, regexp_extract_all({_GLOSSED}, '[{ed.CYRILLIC}]+|[^{ed.CYRILLIC}]+') AS parts FROM news))"""))
 def ukrainian_glossary(spark, sf_dir):
-    return news(spark, sf_dir).select("doc_id", ed.ukrainian(F.col("title")).alias("title"))
+    """Titles with two glossary words behind them, one inflected and one with a capital."""
+    stems, d = tx.literal_array(_STEMS), F.col("doc_id")
+    at = lambda i: F.element_at(stems, (i % len(_STEMS) + 1).cast("int"))
+    second = at(d * 7)
+    text = F.concat_ws(" ", "title", F.concat(at(d), F.lit("ий")), F.concat(F.upper(F.substring(second, 1, 1)), F.substring(second, F.lit(2), F.length(second)), F.lit(".")))
+    return news(spark, sf_dir).select("doc_id", ed.ukrainian(text).alias("title"))
 
 
 @query("source_excerpt", r"""SELECT doc_id, CASE WHEN length(text) <= 1200 THEN text
