@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilflow.llm import chat, decontaminate, language, licenses, mixing, near_dedup, pii, sharding, token_counts, topk
+from vigilflow.llm import chat, decontaminate, language, licenses, mixing, near_dedup, pii, sharding, token_counts, topk, toxicity, variants, whitening
 from vigilflow.session import spread
 
 QUERIES: dict = {}
@@ -193,3 +193,54 @@ SELECT a AS doc_id, min(b) AS class_id, count(*) AS class_size FROM reach GROUP
 @_query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(_table(spark, sf_dir, "documents")))
+
+
+@_query
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(_table(spark, sf_dir, "documents"))
+
+
+_CRC_STEP = "xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END)"
+
+#: Checksums from their definition, near words by equal remainders after one deletion, forms followed by recursion.
+ORACLES["op11_variants"] = rf"""
+WITH RECURSIVE r AS (
+  SELECT translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]{{7,}}')), '{variants.UPPER}', '{variants.LOWER}') AS run, coalesce(CAST(doc_id AS VARCHAR), '') AS id FROM documents
+), o AS (SELECT run, id, count(*) AS times FROM r GROUP BY ALL), k AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda v, i: {_CRC_STEP})) AS crc
+), h AS (
+  SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(hex(encode(id || ':' || run))), 2), lambda i: CAST('0x' || substr(hex(encode(id || ':' || run)), CAST(i AS INTEGER), 2) AS BIGINT))),
+    lambda v, b: xor(v >> 8, crc[CAST(xor(v & 255, b) AS INTEGER) + 1]))) AS h FROM o, k
+), s AS (
+  SELECT CASE WHEN h % {variants.SLIPS} = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, times FROM h
+), w AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM s WHERE length(word) >= {variants.LEAST_LENGTH} GROUP BY word HAVING sum(times) >= {variants.LEAST_N}
+), x AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w
+), e AS (
+  SELECT word, n, CAST(i AS INTEGER) AS i, substr(word, 1, CAST(i AS INTEGER) - 1) || substr(word, CAST(i AS INTEGER) + 1) AS rest FROM x
+), p AS (
+  SELECT a.word, b.word AS near, b.n FROM e a JOIN e b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM e a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM e a JOIN w b ON a.rest = b.word
+), g AS (
+  SELECT word, count(*) AS n_near, min(CASE WHEN place = 1 THEN near END) AS near, max(n) AS near_n FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, encode(near)) AS place FROM p) GROUP BY word
+), f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {variants.TIMES} * w.n THEN near END AS form, CASE WHEN near_n >= {variants.TIMES} * w.n THEN near_n END AS form_n FROM w LEFT JOIN g USING (word)
+), c AS (
+  SELECT word, form AS root, 1 AS depth FROM f WHERE form IS NOT NULL
+  UNION ALL SELECT c.word, f.form, depth + 1 FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL
+), l AS (SELECT word, arg_max(root, depth) AS root FROM c GROUP BY word)
+SELECT f.word, f.form, coalesce(l.root, f.word) AS root, f.n, f.n_near, f.form_n FROM f LEFT JOIN l USING (word)
+"""
+
+
+@_query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")))
+
+
+@_query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
