@@ -10,7 +10,7 @@ from vigilflow.functions import vocab
 from vigilflow.operators import enrich, store
 from vigilflow.plans.common import CLASSIFIED_SQL, RELEVANCE_SQL, SCORED_SQL, SIGNALS_SQL, STORIES_SQL, TEXT_SQL, clean_sql, cycle_sql, news, with_sql
 from vigilflow.registry import query
-from vigilflow.session import spread, table
+from vigilflow.session import spread, table, written
 from vigilflow.streaming import cycle
 from vigilflow.sources.news import NEWS_SQL, NOW, hits_sql, language_sql, title_tokens_sql, tokens_sql
 
@@ -196,7 +196,7 @@ def _cycle(spark, sf_dir):
     """(stored rows, scored new rows): anti-join, normalise, filter, then classify, corroborate and score what is left."""
     rows = news(spark, sf_dir)
     known = _stored(rows)
-    return known, cycle.enriched(store.fresh(rows, known), NOW)
+    return known, cycle.enriched(store.fresh(rows, known), NOW, lambda kept: written(kept, "cycle"))
 
 
 @query("ingest_cycle", with_sql(CYCLE_SQL, "SELECT doc_id, fingerprint, title, category, source_tier, actionability_level, round(source_credibility_score, 6) AS source_credibility_score, round(threat_score, 6) AS threat_score FROM scored"))

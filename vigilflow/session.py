@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import wraps
 from pathlib import Path
@@ -46,6 +48,33 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_own_folder: str | None = None
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where that is unset, a local session (tests) gets a temporary folder of this process; any other is an error, as
+    its executors would not see that folder.
+    """
+    global _own_folder
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if _own_folder is None:
+        _own_folder = tempfile.mkdtemp(prefix="vigilflow-")
+    return f"file://{_own_folder}"
+
+
+def written(df, name: str):
+    """The rows of df, written once to the shared folder and read back: lineage ends here."""
+    path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def once(build: Callable) -> Callable:
     """A builder of (spark, folder) whose plan, not its rows, is made once a session: planning takes as long as a small query."""
     made: WeakKeyDictionary = WeakKeyDictionary()

@@ -1,4 +1,4 @@
-"""Tables that are replaced as a whole or appended to: versioned folders, JSON snapshots, JSON-lines logs."""
+"""Tables that are replaced as a whole or appended to: versions, JSON snapshots, JSON-lines logs."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from urllib.parse import unquote, urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilflow.sources.commits import Commits
+
 log = logging.getLogger(__name__)
 Store = TypeVar("Store")
 
@@ -25,39 +27,21 @@ DEFAULTS = {
 
 
 class VersionedTable:
-    """A folder of complete versions; readers take the last whole one, a writer adds the next: an atomic replacement.
-
-    Works on any file system that Spark reads; a version counts once its _SUCCESS file is there.
-    """
+    """One table that is replaced as a whole; readers take its last version. Of two writers of a version the second has a Conflict."""
 
     def __init__(self, spark: SparkSession, path: str, keep: int = 2):
-        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._commits = Commits(spark, path, keep)
 
     def versions(self) -> list[int]:
-        if not self._fs.exists(self._path):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path)]
-        found = [int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()]
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(v for v in found if self._fs.exists(path(f"{self.path}/v={v}/_SUCCESS")))
+        return self._commits.numbers()
 
     def read(self, schema: str) -> DataFrame:
         """The last version; an empty table where there is none."""
-        versions = self.versions()
-        if not versions:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.path}/v={versions[-1]}")
+        return self._commits.read(self._commits.last(), "rows", schema)
 
     def replace(self, rows: DataFrame) -> int:
-        versions = self.versions()
-        new = (versions[-1] if versions else 0) + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/v={new}")
-        for old in versions[: -(self.keep - 1) or None]:
-            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={old}"), True)
-        return new
+        base = self._commits.last()
+        return self._commits.commit(base, {"rows": self._commits.stage(rows, "rows")})["number"]
 
 
 def with_defaults(items: DataFrame) -> DataFrame:
