@@ -4,7 +4,7 @@ The key is a 64-bit hash of the text, so equal texts are neighbours. A sample of
 chance in proportion to its size, gives splitters at its quantiles; these cut the keys into many small
 ranges (RANGES for each shard). Measured in full, a range above twice its share is overfull: its large
 groups of equal texts leave it as units of their own, and a group above a shard's fair size is cut
-again by a hash of the id. Those units (totals of ranges and of groups above a range's share: SHARDS * 4096
+again by a number that each row gets once, so null and repeated ids are cut like others. Those units (totals of ranges and of groups above a range's share: SHARDS * 4096
 each at most, 98,304 for 24 shards, whatever the input) are planned on the driver: they are
 dealt to the emptiest shards, largest first, and the ranges fill what is left of each shard in key
 order. So equal texts stay in one shard unless they alone exceed it, and sizes differ by about one range.
@@ -12,7 +12,8 @@ order. So equal texts stay in one shard unless they alone exceed it, and sizes d
 Slots are numbered by range totals and a window inside each piece of a range.
 
 Defined results: null text: size of 8 bytes, crc32 of the empty string, one group of its own; a null id
-sorts first; repeated rows each get a slot; no rows, no result; extra columns are ignored.
+sorts first; repeated rows each get a slot; no rows, no result; extra columns are ignored. Rows are numbered as they
+are read: runs over equal files agree, and rows of one text may be cut elsewhere where files are split differently.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def _cell(key: Column, cells: int) -> Column:
 def splitters(slim: DataFrame, total: int, n_ranges: int) -> list[int]:
     """Quantiles of a size-weighted key sample of about n_ranges * PER_RANGE keys, fewer than n_ranges of them."""
     rate = n_ranges * PER_RANGE / max(total, 1)
-    draw = (F.pmod(F.xxhash64("key", "id", F.lit(7)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    draw = (F.pmod(F.xxhash64("row", F.lit(7)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     # A document of several shares counts as often as it holds one.
     sample = (
         slim.withColumn("share", F.col("size") * rate)
@@ -103,6 +104,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(text, text.isNull()).alias("key"),
+        # A number of each row's own: what is dealt by it is spread whatever the ids are.
+        F.monotonically_increasing_id().alias("row"),
     )
     slim = written(slim, "shard-keys")
     whole = slim.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
@@ -127,11 +130,11 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         some = F.broadcast(_table(spark, [(r,) for r in overfull], "range int"))
         groups = ranged.join(some, "range", "left_semi").groupBy("range", "key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).filter(F.col("bytes") > share)
         large = {r["key"]: (r["range"], r["bytes"], r["rows"]) for r in groups.collect()}
-    # A group above a shard's fair size is cut into cuts of about one share by a hash of the id.
+    # A group above a shard's fair size is cut into cuts of about one share by the rows' numbers.
     fair = total / shards
     cuts = {k: (-(-b // share) if b > fair else 1) for k, (_, b, _) in large.items()}
     cut_rows = _table(spark, [(k, int(c)) for k, c in cuts.items()], "key long, cuts int")
-    part = F.when(F.col("cuts") > 1, F.pmod(F.xxhash64("id", F.lit(11)), F.col("cuts"))).otherwise(0).cast("int")
+    part = F.when(F.col("cuts") > 1, F.pmod(F.xxhash64("row", F.lit(11)), F.col("cuts"))).otherwise(0).cast("int")
     parted = ranged.join(F.broadcast(cut_rows), "key", "left").withColumn("group", F.when(F.col("cuts").isNotNull(), F.col("key"))).withColumn("part", part)
     units: list[tuple] = []
     split = [k for k, c in cuts.items() if c > 1]
@@ -167,12 +170,12 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     # Slots: pieces of bounded rows in each (range, group, part), numbered by totals and then inside.
     biggest = max([rows for _, rows in sums.values()], default=1)
     pieces = max(1, -(-biggest // PIECE_ROWS))
-    placed = placed.withColumn("piece", F.pmod(F.xxhash64("id", F.lit(13)), F.lit(pieces)).cast("int"))
+    placed = placed.withColumn("piece", F.pmod(F.xxhash64("row", F.lit(13)), F.lit(pieces)).cast("int"))
     by = ["shard", "range", "group", "part", "piece"]
     counts = placed.groupBy(*by).agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("range", F.col("group").asc_nulls_first(), "part", "piece").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*[F.col(c).alias(f"c_{c}") for c in by], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    order = Window.partitionBy(*by).orderBy("key", F.col("id").asc_nulls_first(), "size")
+    order = Window.partitionBy(*by).orderBy("key", F.col("id").asc_nulls_first(), "row")
     numbered = placed.withColumn("rn", F.row_number().over(order))
     match = (F.col("group").eqNullSafe(F.col("c_group"))) & (F.col("shard") == F.col("c_shard")) & (F.col("range") == F.col("c_range")) & (F.col("part") == F.col("c_part")) & (F.col("piece") == F.col("c_piece"))
     return numbered.join(counts, match).select(
