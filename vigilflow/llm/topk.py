@@ -98,8 +98,9 @@ def _histogram(block: Block, low: np.ndarray, width: np.ndarray, open_: np.ndarr
                 todo = np.flatnonzero(open_[numbers])
                 for part in np.array_split(todo, max(1, scores[todo].size >> 20)):
                     own, some = numbers[part], scores[part]
-                    # A score is at most 2**62 from a range's end, so this can't overflow.
-                    at = np.minimum((np.maximum(some, low[own][:, None]) - low[own][:, None]) // width[own][:, None], BINS)
+                    # Two longs are less than 2**64 apart: their difference is whole as an unsigned number.
+                    apart = np.maximum(some, low[own][:, None]).astype(np.uint64) - low[own][:, None].astype(np.uint64)
+                    at = np.minimum(apart // width[own][:, None].astype(np.uint64), np.uint64(BINS)).astype(np.int64)
                     counted = ~mine[part] & (some >= low[own][:, None])
                     counts += np.bincount((place[own][:, None] * (BINS + 1) + at)[counted], minlength=len(counts))
         cell = np.flatnonzero(counts)
@@ -131,10 +132,15 @@ def _reaching(block: Block, least: np.ndarray, k: int, scale: float):
 def _kth(candidates: DataFrame, block: Block, n: int, reach: float, k: int, scale: float) -> np.ndarray:
     """Each query's kth best score (or below all, if there are fewer). A pass over the candidates for each refinement; the driver gets one bin a query."""
     bound = np.zeros(n, np.float64)
-    for numbers, _, m in block.parts.values():
-        bound[numbers] = np.ceil(np.linalg.norm(m, axis=1) * reach) + 1
-    bound = np.minimum(bound, float(1 << 61)).astype(np.int64)
-    low, width, least = -bound, np.maximum(1, -(-(2 * bound + 1) // BINS)), np.iinfo(np.int64).min
+    with np.errstate(over="ignore", invalid="ignore"):
+        for numbers, _, m in block.parts.values():
+            size = np.linalg.norm(m, axis=1)
+            bound[numbers] = np.where(size > 0, np.ceil(size * reach) + 1, 1)
+    # A range that could leave the longs is all of them.
+    whole, least = ~(bound < float(1 << 61)), np.iinfo(np.int64).min
+    bound = np.where(whole, 0, bound).astype(np.int64)
+    low = np.where(whole, least, -bound)
+    width = np.where(whole, (1 << 64) // BINS, np.maximum(1, -(-(2 * bound + 1) // BINS)))
     open_ = np.ones(n, bool)
     best_first = Window.partitionBy("q").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     while open_.any():
