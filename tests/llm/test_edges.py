@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names, for each operator."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,38 @@ def test_topk_keeps_scores_at_a_longs_end(spark):
     assert got == [(0, 1, 1), (0, 2, 2)]
 
 
+def test_topk_at_both_ends_of_a_long(spark):
+    """More candidates than k with scores beyond a long at either end, small ones among them, and queries of zeros."""
+    big = [(i, [1e17 * (-1) ** (i // 25), 1e17 * (-1) ** (i // 25)]) for i in range(1, 100)]
+    rows = [(0, [1e17, 1e17]), (100, [-1e17, -1e17]), (150, [0.0, 0.0]), (200, [1e-2, 0.0]), (250, [1e300, 1e300]), *[(i, v) for i, v in big if i % 50], (300, [3.0, -7.0]), *[(300 + i, [i / 7, -i / 3]) for i in range(1, 40)]]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(256 * c)) for c in v] for i, v in rows}
+    clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    want = []
+    for q in (i for i in whole if i % 50 == 0):
+        scored = sorted((-clip(sum(a * b for a, b in zip(whole[q], v, strict=True))), i) for i, v in whole.items() if i != q)
+        want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:5])]
+    assert sorted(tuple(r) for r in topk.search(vectors).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "own"])
+def test_sharding_cuts_a_hot_text_whatever_its_ids(spark, ids):
+    """A third of all rows is one text: with null ids, one id or ids of their own, shards stay about equal and slots gapless."""
+    hot = {"null": F.lit(None).cast("long"), "one": F.lit(7).cast("long"), "own": F.col("id")}[ids]
+    rows = spark.range(6000).repartition(5).select(F.when(F.col("id") % 3 == 0, hot).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("h" * 90)).otherwise(F.concat(F.lit("text number "), F.lpad(F.col("id").cast("string"), 78, "0"))).alias("text"))
+    got = sharding.shard(rows, shards=6).groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("slot").alias("first"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots")).collect()
+    fair = 6000 * 98 / 6
+    assert len(got) == 6 and all(abs(r["bytes"] - fair) < 0.1 * fair and r["first"] == 0 and r["last"] == r["n"] - 1 == r["slots"] - 1 for r in got)
+
+
+def test_mixing_with_many_rows_without_words(spark):
+    """Rows without id and text take no part in the order; reruns agree."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.repeat(F.lit("w "), (F.col("id") % 9).cast("int"))).alias("text"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"))
+    one = sorted(map(str, mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken").collect()))
+    assert len(one) == 3000 and sum("size=0" in r and "taken=0" in r for r in one) >= 1000
+    assert sorted(map(str, mixing.mix(rows.repartition(7)).select("doc_id", "size", "source_size", "target", "taken").collect())) == one
+
+
 def test_shared_folder_is_asked_for_off_local_sessions(monkeypatch):
     from types import SimpleNamespace
 

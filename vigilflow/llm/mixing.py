@@ -87,11 +87,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goal = goals.withColumnRenamed("source", "_s")
     slim = slim.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
     order = [F.col(c) for c in ("shuffle_key", "id", "size")]
+    # Documents without words take no time, and without id and text they all have one key: they stay out of the order.
+    wordless, slim = slim.filter("size = 0"), slim.filter("size > 0")
     slim = running(slim, ["source_rank"], F.substring("shuffle_key", 1, digits), order, "size", "finish_words")
     # Rows that repeat a document in full share a key; their finish times still differ where they have words.
     slim = written(slim, "mix-order")
     copies = (
-        slim.filter((F.col("size") > 0) & (F.col("target") > 0))
+        slim.filter(F.col("target") > 0)
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
         .withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("finish_words")) / F.col("target"))
         .withColumn("all", F.lit(0))
@@ -116,7 +118,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.sum(F.when(in_mix, F.col("size")).otherwise(0)).alias("taken"), F.min(F.when(in_mix, F.col("finish"))).alias("first_finish")
     )
     columns = ["id", "size", "source_rank", "source_size", "target", "taken", "first_finish"]
-    without = slim.filter((F.col("size") == 0) | (F.col("target") <= 0)).withColumns({"taken": F.lit(0).cast("long"), "first_finish": F.lit(None).cast("double")})
+    unread = [c for c in columns if c not in ("taken", "first_finish")]
+    without = wordless.select(unread).unionByName(slim.filter(F.col("target") <= 0).select(unread)).withColumns({"taken": F.lit(0).cast("long"), "first_finish": F.lit(None).cast("double")})
     return with_words.select(columns).unionByName(without.select(columns)).withColumnRenamed("id", id_col)
 
 
