@@ -215,3 +215,18 @@ def test_a_token_of_every_title_pairs_nothing(spark):
     assert pairs.filter("left.title <> right.title").count() == 0 and pairs.count() == 3000
     near = enrich.similar_titles(rows.limit(40).union(spark.createDataFrame([("common shared w1 x1", ["common", "shared", "w1", "x1"], -1)], rows.schema)), 0.5)
     assert {tuple(sorted(p)) for p in near.filter("left.title < right.title").select("left.title", "right.title").collect()} == {("common shared w1 x1", "common shared w1 x1 y1 z1")}
+
+
+def test_related_of_a_large_pool_in_few_signatures(spark):
+    """20,000 items of four signatures: each item gets the newest of its own one, and no pair of items is made."""
+    pool = spark.range(20_000).select(
+        F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("fingerprint"), F.when(F.col("id") % 4 > 0, "malware").otherwise("scam").alias("category"),
+        F.when(F.col("id") % 4 == 1, F.array(F.lit("Windows"))).otherwise(F.array().cast("array<string>")).alias("affected_platforms"), F.array(F.when(F.col("id") % 4 == 2, "developers").otherwise("enterprise")).alias("audience_targets"),
+        F.timestamp_seconds(F.col("id")).alias("published_at"),
+    )
+    got = {}
+    for r in feed.related(pool).filter("fingerprint in ('f000001', 'f019997', 'f000000')").collect():
+        got.setdefault(r["fingerprint"], []).append((r["rank"], r["o_fingerprint"], r["score"]))
+    assert sorted(got["f000001"]) == [(1, "f019997", 5), (2, "f019993", 5), (3, "f019989", 5), (4, "f019985", 5)]
+    assert sorted(got["f019997"]) == [(1, "f019993", 5), (2, "f019989", 5), (3, "f019985", 5), (4, "f019981", 5)]
+    assert sorted(got["f000000"]) == [(1, "f019996", 4), (2, "f019992", 4), (3, "f019988", 4), (4, "f019984", 4)]

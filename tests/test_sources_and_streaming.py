@@ -12,7 +12,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from vigilflow.sources import feeds, tables
+from vigilflow.sources import feeds, fetch, tables
 from vigilflow.sources.commits import Commits, Conflict
 from vigilflow.sources.ledger import Ledger
 from vigilflow.streaming import cycle
@@ -49,6 +49,60 @@ def test_a_source_that_breaks_when_read_leaves_the_others(spark, configs, tmp_pa
     assert failed == [] and {r["source"]: r["n"] for r in feeds.counts(rows, own).collect()} == {"A": 2, "B": 1, "D": 0}
 
 
+def broken_sources(tmp_path):
+    (tmp_path / "a.xml").write_text(RSS)
+    (tmp_path / "b.xml").write_text(ATOM)
+    (tmp_path / "cut.xml").write_text(RSS[: len(RSS) // 2])
+    (tmp_path / "empty.xml").write_text("<rss><channel/></rss>")
+    return [feeds.SourceConfig(n, "rss", str(tmp_path / f)) for n, f in (("A", "a.xml"), ("B", "b.xml"), ("Cut", "cut.xml"), ("Empty", "empty.xml"), ("Gone", "gone.xml"), ("Down", "boom"))]
+
+
+def fetching():
+    """A function of its own, so that it travels to executors by value."""
+
+    def read(path):
+        if path.endswith("boom"):
+            raise TimeoutError("no answer")
+        return fetch.read_bytes(path)
+
+    return read
+
+
+def test_feeds_as_a_data_source(spark, configs, tmp_path):
+    """What breaks on an executor is its source's status row; the others give the rows that Spark's XML reader gives."""
+    fetch.register(spark, fetching())
+    own = broken_sources(tmp_path)
+    raw = spark.read.format("feeds").option("sources", fetch.sources(own)).load()
+    assert raw.rdd.getNumPartitions() == len(own)
+    seen = {r["source"]: (r["ok"], (r["error"] or "").split(":")[0], r["n"]) for r in fetch.statuses(raw).collect()}
+    assert seen == {"A": (True, "", 4), "B": (True, "", 1), "Cut": (False, "ParseError", 0), "Empty": (True, "", 0), "Gone": (False, "FileNotFoundError", 0), "Down": (False, "TimeoutError", 0)}
+    assert {r["source"] for r in fetch.silent(fetch.statuses(raw)).collect()} == {"Cut", "Empty", "Gone", "Down"}
+    news = fetch.news_rows(raw, NOW)
+    want, _ = feeds.fetch_all(spark, configs[:2], NOW)
+    assert sorted(map(tuple, news.drop("doc_id").collect())) == sorted(map(tuple, want.collect()))
+    # Rows feed the cycle as they are.
+    counts = cycle.run_cycle(news, Commits(spark, str(tmp_path / "store")), NOW, configured=[c.name for c in own])
+    _, health = stored(spark, tmp_path / "store")
+    assert counts["fetched"] == counts["new"] == 3 and {s for s, r in health.items() if r["cycles_empty"]} == {"Cut", "Empty", "Gone", "Down"}
+
+
+def test_feeds_as_a_stream(spark, tmp_path):
+    """Two runs of the stream from one checkpoint: each asks all sources once, and the second one's rows are known."""
+    fetch.register(spark, fetching())
+    own = broken_sources(tmp_path)
+    for run in range(2):
+        raw = spark.readStream.format("feeds").option("sources", fetch.sources(own)).load()
+        cycle.start(raw, str(tmp_path / "store"), str(tmp_path / "checkpoint"), NOW, prepare=fetch.news_rows, configured=[c.name for c in own]).awaitTermination()
+        items, health = stored(spark, tmp_path / "store")
+        assert items.count() == 3 and health["A"]["total_fetched"] == 2 * (run + 1) and health["A"]["total_relevant"] == 2 and health["Gone"]["cycles_empty"] == run + 1
+
+
+def test_entries_of_feeds():
+    atom = b"""<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="html">One &amp; two</title><link rel="self" href="https://x.test/self"/><link href="https://x.test/1"/><content>Body</content><published>2024-01-01T00:00:00Z</published><updated>2024-01-02T00:00:00Z</updated></entry></feed>"""
+    assert fetch.entries(atom) == [("One & two", "https://x.test/1", "Body", ["2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z"])]
+    assert fetch.entries(b"<rss><channel><item><title>t</title></item></channel></rss>") == [("t", "", "", [])]
+
+
 def test_snapshot_log_and_keys(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"items": [{"fingerprint": "f1", "title": "t", "language": "uk"}, {"title": "without"}]}, indent=1))
     row = tables.read_snapshot(spark, str(tmp_path / "s.json")).collect()

@@ -153,21 +153,29 @@ def facets(rows: DataFrame) -> DataFrame:
 
 
 def related(pool: DataFrame, most: int = 4) -> DataFrame:
-    """Each item's most alike items of a pool: same category 3, shared platforms and audiences up to 2 each.
+    """Each item's most alike items of a pool: same category 3, shared platforms and audiences up to 2 each; equal scores newest first.
 
-    Items meet through what they share (an index of categories, platforms and audiences), so a pool of any size is
-    joined by keys; a pair counts at the first thing that it shares.
+    The score depends on signatures alone (category, platforms, audiences), so signatures meet and items don't: each signature
+    keeps its newest items, most + 1 of them, as an item isn't related to itself; the best of all signatures like one's own are
+    ranked once a signature, and every item takes that list less itself. Work grows with items and with pairs of distinct
+    signatures that share something. fingerprint is the pool's key.
     """
+    lists = {c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>")))) for c in ("affected_platforms", "audience_targets")}
+    signed = pool.select("fingerprint", "published_at", F.struct(F.col("category"), *[v.alias(c) for c, v in lists.items()]).alias("signature"))
+    newest = Window.partitionBy("signature").orderBy(F.desc("published_at"), "fingerprint")
+    heads = signed.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= most + 1).drop("place")
     tag = lambda kind, values: F.transform(values, lambda v: F.concat(F.lit(kind), v))
-    keys = F.array_distinct(F.concat(tag("c:", F.array("category")), tag("p:", F.col("affected_platforms")), tag("a:", F.col("audience_targets"))))
-    fields = ("fingerprint", "category", "affected_platforms", "audience_targets", "published_at")
-    a = pool.select(*fields, keys.alias("keys")).withColumn("key", F.explode("keys"))
-    b = a.select(*[F.col(c).alias(f"o_{c}") for c in (*fields, "keys")], "key")
-    share = lambda c: F.least(F.lit(2), F.size(F.array_intersect(c, f"o_{c}")))
-    score = F.when(F.col("category") == F.col("o_category"), 3).otherwise(0) + share("affected_platforms") + share("audience_targets")
-    pairs = a.join(b, "key").filter((F.col("fingerprint") != F.col("o_fingerprint")) & (F.get(F.array_intersect("keys", "o_keys"), F.lit(0)) == F.col("key"))).withColumn("score", score).filter("score > 0")
-    order = Window.partitionBy("fingerprint").orderBy(F.desc("score"), F.desc("o_published_at"), "o_fingerprint")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("fingerprint", "o_fingerprint", "score", "rank")
+    keys = F.concat(tag("c:", F.array_compact(F.array("signature.category"))), tag("p:", F.col("signature.affected_platforms")), tag("a:", F.col("signature.audience_targets")))
+    mine = signed.select("signature").distinct().withColumn("keys", keys).withColumn("key", F.explode("keys"))
+    theirs = mine.select(F.col("signature").alias("other"), F.col("keys").alias("o_keys"), "key")
+    share = lambda c: F.least(F.lit(2), F.size(F.array_intersect(f"signature.{c}", f"other.{c}")))
+    score = F.when(F.col("signature.category") == F.col("other.category"), 3).otherwise(0) + share("affected_platforms") + share("audience_targets")
+    alike = mine.join(theirs, "key").filter(F.get(F.array_intersect("keys", "o_keys"), F.lit(0)) == F.col("key")).select("signature", "other", score.alias("score"))
+    best = Window.partitionBy("signature").orderBy(F.desc("score"), F.desc("published_at"), "fingerprint")
+    found = alike.join(heads.withColumnRenamed("signature", "other"), "other").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most + 1)
+    ranked = found.groupBy("signature").agg(F.array_sort(F.collect_list(F.struct("place", F.col("fingerprint").alias("o_fingerprint"), "score"))).alias("found"))
+    others = F.slice(F.filter("found", lambda o: o["o_fingerprint"] != F.col("fingerprint")), 1, most)
+    return signed.join(ranked, "signature").select("fingerprint", F.posexplode(others).alias("at", "o")).select("fingerprint", "o.o_fingerprint", "o.score", (F.col("at") + 1).alias("rank"))
 
 
 def why_trending() -> Column:

@@ -107,6 +107,15 @@ def related_posts(spark, sf_dir):
     return feed.related(pool)
 
 
+@query("related_store", with_sql(ITEMS_SQL, """, s AS (
+  SELECT a.fingerprint, b.fingerprint AS o_fingerprint, b.published_at, (CASE WHEN a.category = b.category THEN 3 ELSE 0 END) + least(2, len(list_intersect(a.affected_platforms, b.affected_platforms))) + least(2, len(list_intersect(a.audience_targets, b.audience_targets))) AS score
+  FROM items a, items b WHERE a.fingerprint <> b.fingerprint)
+  SELECT fingerprint, o_fingerprint, CAST(score AS INTEGER) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY score DESC, published_at DESC, o_fingerprint) AS rank FROM s WHERE score > 0) WHERE rank <= 4"""))
+def related_store(spark, sf_dir):
+    """Every item of the store with its most alike ones."""
+    return feed.related(seeded.items(spark, sf_dir))
+
+
 @query("danger_top5", with_sql(ITEMS_SQL, f"SELECT i.fingerprint, p.threat_level FROM items i JOIN posts p ON i.fingerprint = p.fingerprint AND p.locale = 'en' ORDER BY {LEVEL_SQL.format('p.threat_level')} DESC, actionability_score DESC, published_at DESC, i.fingerprint LIMIT 5"))
 def danger_top5(spark, sf_dir):
     return feed.danger(_covered(spark, sf_dir)).select("fingerprint", "threat_level")

@@ -203,12 +203,17 @@ def run_cycle(
     return mine["counts"]
 
 
-def start(stream: DataFrame, path: str, checkpoint: str, now: str | Callable[[], str], every: str | None = None, **options):
-    """The cycle over a stream of fetched rows: at an interval, or once over what is there. now may be a function: each batch asks it for its own time. options: of run_cycle()."""
+def start(stream: DataFrame, path: str, checkpoint: str, now: str | Callable[[], str], every: str | None = None, prepare: Callable[[DataFrame, str], DataFrame] | None = None, **options):
+    """The cycle over a stream of fetched rows: at an interval, or once over what is there.
+
+    now may be a function: each batch asks it for its own time. prepare makes news rows of a batch (fetch.news_rows for the format
+    "feeds"). options: of run_cycle().
+    """
     spark: SparkSession = stream.sparkSession
 
     def each(batch: DataFrame, number: int) -> None:
-        counts = run_cycle(batch, Commits(spark, path), now() if callable(now) else now, number=number, stream=checkpoint, **options)
+        time = now() if callable(now) else now
+        counts = run_cycle(prepare(batch, time) if prepare else batch, Commits(spark, path), time, number=number, stream=checkpoint, **options)
         log.info("cycle %s: %s", number, counts)
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
