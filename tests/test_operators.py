@@ -1,6 +1,7 @@
 """Single operators on literal rows: the scenarios that fix their semantics."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,13 +209,51 @@ def test_lexicon_is_the_plain_definition(spark):
         assert (got[i]["n"], got[i]["any"]) == (n, bool(re.search(r"(?<!\w)(?:ab|b\.c)(?!\w)", t))), t
 
 
-def test_a_token_of_every_title_pairs_nothing(spark):
-    """The most frequent tokens are never joined: titles that share only one of them make no candidates."""
-    rows = spark.createDataFrame([(f"common shared w{i} x{i} y{i} z{i}", ["common", "shared", f"w{i}", f"x{i}", f"y{i}", f"z{i}"], i) for i in range(3000)], "title string, toks array<string>, told long")
-    pairs = enrich.similar_titles(rows, 0.25)
-    assert pairs.filter("left.title <> right.title").count() == 0 and pairs.count() == 3000
-    near = enrich.similar_titles(rows.limit(40).union(spark.createDataFrame([("common shared w1 x1", ["common", "shared", "w1", "x1"], -1)], rows.schema)), 0.5)
-    assert {tuple(sorted(p)) for p in near.filter("left.title < right.title").select("left.title", "right.title").collect()} == {("common shared w1 x1", "common shared w1 x1 y1 z1")}
+def brute_stories(rows, wide=0.2, narrow=0.25):
+    """Each row's other sources of the same story by comparing all pairs; rows: (doc_id, source, tokens)."""
+    trusted = {name for name, (_, tier) in vocab.SOURCES.items() if tier == "trusted"}
+    out = {}
+    for i, source, toks in rows:
+        n, sure = {}, {}
+        for j, other, o in rows:
+            shared = len(toks & o)
+            if other != source and shared >= 2 and shared / len(toks | o) >= wide:
+                n[other] = 1
+                if other in trusted and shared / len(toks | o) >= narrow:
+                    sure[other] = min(sure.get(other, j), j)
+        out[i] = (len(n), [s for _, s in sorted((j, s) for s, j in sure.items())])
+    return out
+
+
+def test_corroboration_against_all_pairs(spark):
+    """Random titles of few words, families that differ in one word, sets inside others, titles of one word or none."""
+    draw, names = random.Random(6), [*list(vocab.SOURCES)[:6], "Blog A", "Blog B"]
+    words = [f"word{i}" for i in range(14)]
+    families = [[f"fam{k}w{i}" for i in range(7)] for k in range(3)]
+    rows = []
+    for i in range(420):
+        kind = i % 6
+        toks = draw.sample(words, draw.randrange(0, 7)) if kind < 3 else [*draw.choice(families), f"case{draw.randrange(40)}"] if kind < 5 else [*draw.sample(draw.choice(families), draw.randrange(1, 6)), *draw.sample(words, draw.randrange(0, 3)), f"case{draw.randrange(40)}"]
+        rows.append((i, draw.choice(names), frozenset(toks)))
+    news = spark.createDataFrame([(i, s, " ".join(draw.sample(sorted(t), len(t)))) for i, s, t in rows], "doc_id long, source string, title string")
+    got = {r["doc_id"]: (r["n_sources"], list(r["corroborating_sources"])) for r in enrich.corroboration(news).collect()}
+    assert got == brute_stories(rows)
+
+
+def test_a_story_in_many_titles_makes_no_pairs_of_titles(spark):
+    """20,000 titles of four headlines that differ in one number: 16 pairs of cores, and for each title the sets with its number."""
+    heads = ("bank loses files after ransomware attack", "phishing wave hits hospitals across region", "botnet spreads through old routers again", "zero-day flaw found inside mail gateway")
+    n = 20_000
+    news = spark.range(n).select(
+        F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, list(vocab.SOURCES)[:8])), (F.floor(F.col("id") / 4) % 8 + 1).cast("int")).alias("source"),
+        F.concat(F.element_at(F.array(*map(F.lit, heads)), (F.col("id") % 4 + 1).cast("int")), F.lit(" case"), F.floor(F.col("id") / 4).cast("string")).alias("title"),
+    )
+    told = news.select("source", F.lit(False).alias("trusted"), F.col("doc_id").alias("first"), F.array_sort(tx.title_tokens(F.col("title"))).alias("toks"))
+    sets = enrich.token_sets(told)
+    assert enrich.core_pairs(sets, 0.2).count() == 4 and sets.select("core").distinct().count() == 4
+    met = sets.select(F.col("rare").alias("tok")).join(sets.select(F.explode("toks").alias("tok")), "tok").count()
+    assert met == 4 * n
+    assert {r["n_sources"] for r in enrich.corroboration(news).select("n_sources").distinct().collect()} == {7}
 
 
 def test_related_of_a_large_pool_in_few_signatures(spark):

@@ -137,44 +137,73 @@ def classified(news: DataFrame) -> DataFrame:
     return rows.withColumn("actionability_level", action_level(F.col("actionability_score"))).drop("_a")
 
 
-#: Tokens of titles whose frequency is counted: those of most titles.
-FREQUENT = 1000
+def _alike(shared: Column, a: Column, b: Column, least: float, least_shared: int = 2) -> Column:
+    """Whether sets of sizes a and b with so many common tokens are similar enough. More common tokens never make it false."""
+    return (shared >= least_shared) & (shared / (a + b - shared) >= least)
 
 
-def similar_titles(titles: DataFrame, least_jaccard: float, least_shared: int = 2) -> DataFrame:
-    """Pairs of rows of titles (title, toks, told) that are similar enough, as (left, right, jaccard); left and right are structs of these.
+def token_sets(told: DataFrame) -> DataFrame:
+    """(toks, told, rare, core) of rows (toks, source, trusted, first): the distinct token sets of two tokens or more.
 
-    A prefix filter: tokens of a title go in one order, those of most titles last. A partner shares at least
-    o = max(least_shared, least_jaccard * n) of n tokens, so it has one of the first n - o + 1 of each title among its
-    own first ones. Only these are joined, so a token of every title never is; a pair counts at its first common token
-    alone and is then compared exactly. Pairs are passed on as they are found, never shuffled. Any order is right;
-    the FREQUENT most frequent tokens, a fixed number, are what is fetched to make this one quick.
+    told holds the sources that tell a set, with their first rows. rare is the set's token that the fewest sets have, core the
+    others, those of the fewest sets first: one order for all.
     """
-    often = titles.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "t").limit(FREQUENT).collect()
-    known = tx.literal_array(r["t"] for r in reversed(often))
-    ranked = titles.withColumn("toks", F.transform(F.array_sort(F.transform("toks", lambda t: F.struct(F.array_position(known, t).alias("often"), t.alias("tok")))), lambda r: r["tok"]))
-    need = F.greatest(F.lit(least_shared), F.ceil(F.size("toks") * least_jaccard - 1e-9))
-    index = ranked.filter(F.size("toks") >= least_shared).select(F.struct("title", "toks", "told").alias("row"), F.explode(F.slice("toks", F.lit(1), (F.size("toks") - need + 1).cast("int"))).alias("tok"))
-    pairs = index.withColumnRenamed("row", "left").join(index.withColumnRenamed("row", "right"), "tok")
-    pairs = pairs.withColumn("_both", F.array_intersect("left.toks", "right.toks")).filter((F.get("_both", F.lit(0)) == F.col("tok")) & (F.size("_both") >= least_shared))
-    pairs = pairs.withColumn("jaccard", F.size("_both") / (F.size("left.toks") + F.size("right.toks") - F.size("_both")))
-    return pairs.filter(F.col("jaccard") >= least_jaccard).select("left", "right", "jaccard")
+    sets = told.filter(F.size("toks") >= 2).groupBy("toks", "source", "trusted").agg(F.min("first").alias("first"))
+    sets = sets.groupBy("toks").agg(F.collect_list(F.struct("first", F.col("source").alias("other"), "trusted")).alias("told"))
+    each = sets.select("toks", "told", F.explode("toks").alias("tok"))
+    often = each.groupBy("tok").agg(F.count("*").alias("n"))
+    ranked = each.join(often, "tok").groupBy("toks").agg(F.any_value("told").alias("told"), F.array_sort(F.collect_list(F.struct("n", "tok"))).alias("ranked"))
+    names = F.transform("ranked", lambda r: r["tok"])
+    return ranked.select("toks", "told", names[0].alias("rare"), F.slice(names, F.lit(2), F.size(names)).alias("core"))
+
+
+def core_pairs(sets: DataFrame, least: float, least_shared: int = 2) -> DataFrame:
+    """(core, o_core, shared) of cores that are alike without their sets' rare tokens; each with itself where it is.
+
+    A prefix filter: a core's partner has one of its first tokens (those of the fewest sets) among its own first ones, and a pair
+    counts at its first common token alone.
+    """
+    cores = sets.select("core").distinct()
+    size = F.size("core") + 1
+    need = F.greatest(F.lit(least_shared), F.ceil(size * least - 1e-9))
+    index = cores.select("core", F.explode(F.slice("core", F.lit(1), F.greatest(F.lit(0), size - need).cast("int"))).alias("tok"))
+    both = index.join(index.withColumnRenamed("core", "o_core"), "tok").withColumn("_both", F.array_intersect("core", "o_core"))
+    both = both.filter(F.get("_both", F.lit(0)) == F.col("tok")).withColumn("shared", F.size("_both"))
+    return both.filter(_alike(F.col("shared"), size, F.size("o_core") + 1, least, least_shared)).select("core", "o_core", "shared")
 
 
 def stories(news: DataFrame, wide: float = 0.2, narrow: float = 0.25) -> DataFrame:
-    """(title, told): for each title the other titles' sources, as array<struct<first, other, trusted_first>>.
+    """(title, told): for each title the sources that tell its story, as array<struct<first, other, trusted_first>>.
 
     first is the first row by which a source tells a story of similarity wide, trusted_first the one of similarity
-    narrow if the source is a trusted one. Distinct titles carry their sources, one row of each: what is joined and
-    summed grows with titles and their sources, not with rows.
+    narrow if the source is a trusted one.
+
+    Titles don't meet, nor do all their token sets. Sets that differ in their rare token alone share a core, and where two cores are
+    alike already all sets of the one are alike all of the other: each source's first row of a core stands for them. What
+    cores leave open is a rare token of one set in the other: those pairs are found by that token, the one that the
+    fewest sets have, and compared exactly. So a story in thousands of titles that differ in a number costs one pair of cores, and
+    each of its titles as many comparisons as there are sets with its number.
     """
     trusted = F.col("source").isin(*[name for name, (_, tier) in vocab.SOURCES.items() if tier == "trusted"])
-    by_source = news.groupBy("title", "source", trusted.alias("trusted")).agg(F.min("doc_id").alias("first"))
-    titles = by_source.groupBy("title").agg(F.collect_list(F.struct("first", F.col("source").alias("other"), "trusted")).alias("told"))
-    titles = titles.withColumn("toks", tx.title_tokens(F.col("title")))
-    found = similar_titles(titles, wide).select(F.col("left.title").alias("title"), "jaccard", F.explode("right.told").alias("t"))
-    found = found.groupBy("title", "t.other").agg(F.min("t.first").alias("first"), F.min(F.when((F.col("jaccard") >= narrow) & F.col("t.trusted"), F.col("t.first"))).alias("trusted_first"))
-    return found.groupBy("title").agg(F.collect_list(F.struct("first", "other", "trusted_first")).alias("told"))
+    told = news.groupBy("title", "source", trusted.alias("trusted")).agg(F.min("doc_id").alias("first")).withColumn("toks", F.array_sort(tx.title_tokens(F.col("title"))))
+    sets = token_sets(told)
+    firsts = lambda sure: (F.min("first").alias("first"), F.min(F.when(sure & F.col("trusted"), F.col("first"))).alias("trusted_first"))
+
+    by_core = sets.select(F.col("core").alias("o_core"), F.inline("told")).groupBy("o_core", "other", "trusted").agg(F.min("first").alias("first"))
+    sure = _alike(F.col("shared"), F.size("core") + 1, F.size("o_core") + 1, narrow)
+    of_cores = core_pairs(sets, wide).join(by_core, "o_core").groupBy("core", "other").agg(*firsts(sure))
+
+    here, there = sets.select("toks", "told", F.col("rare").alias("tok")), sets.select(F.col("toks").alias("o_toks"), F.col("told").alias("o_told"), F.explode("toks").alias("tok"))
+    met = here.join(there, "tok").withColumn("shared", F.size(F.array_intersect("toks", "o_toks")))
+    alike = lambda least: _alike(F.col("shared"), F.size("toks"), F.size("o_toks"), least)
+    ways = F.array(F.struct("toks", F.col("o_told").alias("told")), F.struct(F.col("o_toks").alias("toks"), "told"))
+    met = met.filter(alike(wide)).select(alike(narrow).alias("sure"), F.explode(ways).alias("way")).select("sure", "way.toks", F.inline("way.told"))
+    of_sets = met.groupBy("toks", "other").agg(*firsts(F.col("sure")))
+
+    every = of_sets.unionByName(sets.select("toks", "core").join(of_cores, "core").drop("core"))
+    found = every.groupBy("toks", "other").agg(F.min("first").alias("first"), F.min("trusted_first").alias("trusted_first"))
+    found = found.groupBy("toks").agg(F.collect_list(F.struct("first", "other", "trusted_first")).alias("told"))
+    return told.select("title", "toks").distinct().join(found, "toks").select("title", "told")
 
 
 def corroboration(news: DataFrame) -> DataFrame:
