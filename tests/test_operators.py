@@ -2,8 +2,10 @@
 
 import datetime as dt
 import random
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilflow.functions import editorial as ed
@@ -269,3 +271,20 @@ def test_related_of_a_large_pool_in_few_signatures(spark):
     assert sorted(got["f000001"]) == [(1, "f019997", 5), (2, "f019993", 5), (3, "f019989", 5), (4, "f019985", 5)]
     assert sorted(got["f019997"]) == [(1, "f019993", 5), (2, "f019989", 5), (3, "f019985", 5), (4, "f019981", 5)]
     assert sorted(got["f000000"]) == [(1, "f019996", 4), (2, "f019992", 4), (3, "f019988", 4), (4, "f019984", 4)]
+
+
+def test_summaries_of_messages_keep_what_is_frequent(spark):
+    """Parts of skewed and even messages: bounded summaries merge, in any grouping, into one that holds each message above its share."""
+    draw = random.Random(2)
+    words = [f"m{int(draw.paretovariate(0.6))}" for _ in range(3000)] + [f"rare{i}" for i in range(2000)]
+    draw.shuffle(words)
+    true = {w: words.count(w) for w in set(words)}
+    rows = spark.createDataFrame([(i % 5, w) for i, w in enumerate(words)], "part int, message string")
+    k = 10
+    one = [health.heavy(rows.filter(F.col("part") == p), k).withColumn("part", F.lit(p)) for p in range(5)]
+    join = lambda parts: health.heavy_merged(reduce(DataFrame.unionByName, parts), k)
+    for merged in (join(one), join([join(one[:2]).withColumn("part", F.lit(0)), join(one[2:]).withColumn("part", F.lit(1))]), health.heavy(rows, k)):
+        got = {r["message"]: (r["n"], r["lost"]) for r in merged.collect()}
+        assert len(got) <= k and all(lost <= len(words) / (k + 1) and true[m] - lost <= n <= true[m] for m, (n, lost) in got.items())
+        assert {m for m, n in true.items() if n > len(words) / (k + 1)} <= set(got)
+    assert health.heavy(rows.limit(0)).count() == 0 and health.heavy_merged(one[0].limit(0)).count() == 0

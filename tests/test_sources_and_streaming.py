@@ -111,6 +111,14 @@ def test_snapshot_log_and_keys(spark, tmp_path):
     assert tables.read_snapshot(spark, str(tmp_path / "bad.json")).count() == 0
     (tmp_path / "log.jsonl").write_text('{"fingerprint": "a", "locale": "en"}\nnot json\n{"fingerprint": "b", "locale": "ua"}\n')
     assert tables.read_log(spark, str(tmp_path / "log.jsonl"), "fingerprint string, locale string").count() == 2
+    rows, rejects = tables.split_snapshot(spark, str(tmp_path / "*s*.json"))
+    (tmp_path / "null.json").write_text('{"items": null}')
+    assert rows.count() == 1 and [tuple(r)[1:] for r in rejects.collect()] == [("no fingerprint", 1)]
+    assert [tuple(r)[1:] for r in tables.split_snapshot(spark, str(tmp_path / "[bn]*.json"))[1].collect()] == [("broken", 1)] * 2
+    (tmp_path / "log.jsonl").write_text('{"fingerprint": "a", "locale": "en"}\nnot json\n\n  \n[1]\n"text"\n{"fingerprint": {"x": 1}}\n{"fingerprint": "b"}\n{"fingerprint": "c"\nnull\n')
+    rows, rejects = tables.split_log(spark, str(tmp_path / "log.jsonl"), "fingerprint string, locale string, n int")
+    lines = sorted(r["line"] for r in rejects.collect())
+    assert rows.count() + len(lines) == 8 and '{"fingerprint": "c"' in lines and {r["fingerprint"] for r in rows.collect()} >= {"a", "b"} and all(r["file"].endswith("log.jsonl") for r in rejects.collect())
     keys = spark.createDataFrame([("a:uk",), ("b",), ("c:en",)], "key string")
     assert [tuple(r)[1:] for r in tables.post_keys(keys).orderBy("key").collect()] == [("a", "ua"), ("b", "en"), ("c", "en")]
 

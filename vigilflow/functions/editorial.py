@@ -188,6 +188,16 @@ def iso_time(ts: Column) -> Column:
     return F.concat(base, F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)), F.lit("+00:00"))
 
 
+def public() -> list[Column]:
+    """The 18 fields of an item that others see: scores of three digits, times as text."""
+    short = ("threat_score", "category_confidence", "audience_relevance_score", "actionability_score", "source_credibility_score")
+    names = (
+        "title", "source", "url", "published_at", "raw_content", "threat_score", "language", "original_language", "category", "category_confidence", "affected_platforms", "audience_targets",
+        "audience_relevance_score", "actionability_level", "actionability_score", "source_tier", "source_credibility_score", "corroborating_sources",
+    )
+    return [iso_time(F.col(c)).alias(c) if c == "published_at" else F.round(c, 3).alias(c) if c in short else F.col(c) for c in names]
+
+
 def target_fingerprint(text: Column) -> Column:
     """The last fingerprint of 16 hex digits in an id or a link, else null."""
     return F.try_element_at(F.regexp_extract_all(F.trim(text), F.lit(r"\b([0-9a-f]{16})\b"), F.lit(1)), F.lit(-1))

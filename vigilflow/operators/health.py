@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SUMS = ("cycles_seen", "cycles_empty", "total_fetched", "total_relevant", "cred_n")
@@ -63,3 +63,26 @@ def rejection_counters(messages: DataFrame) -> DataFrame:
 
 def top_messages(messages: DataFrame, n: int = 10) -> DataFrame:
     return messages.groupBy("message").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "message").limit(n)
+
+
+def heavy(messages: DataFrame, k: int = 50) -> DataFrame:
+    """(message, n, lost): a summary of frequent messages in k rows at most (Misra and Gries), however many there are.
+
+    n is too small by lost at most, and a message that isn't in the summary occurs lost times at most; lost is at most the number of
+    messages / (k + 1). So every message above that share is in it.
+    """
+    return _trimmed(messages.groupBy("message").agg(F.count("*").alias("n")), F.lit(0).cast("long"), k)
+
+
+def heavy_merged(parts: DataFrame, k: int = 50, part: str = "part") -> DataFrame:
+    """One summary of several (part, message, n, lost), with the bounds of one that saw all messages."""
+    lost = parts.groupBy(part).agg(F.max("lost").alias("lost")).agg(F.coalesce(F.sum("lost"), F.lit(0)))
+    return _trimmed(parts.groupBy("message").agg(F.sum("n").alias("n")), lost.scalar(), k)
+
+
+def _trimmed(counts: DataFrame, before: Column, k: int) -> DataFrame:
+    """The k most frequent messages, less the count of the next one, which is lost to all. Only k + 1 rows meet in one task."""
+    first = counts.orderBy(F.desc("n"), "message").limit(k + 1).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "message")))
+    cut = F.coalesce(F.max(F.when(F.col("place") == k + 1, F.col("n"))).over(Window.partitionBy()), F.lit(0))
+    rows = first.withColumns({"cut": cut, "_so_far": before})
+    return rows.filter((F.col("place") <= k) & (F.col("n") > F.col("cut"))).select("message", (F.col("n") - F.col("cut")).alias("n"), (F.col("_so_far") + F.col("cut")).alias("lost"))

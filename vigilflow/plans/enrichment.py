@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigilflow.functions import editorial as ed
 from vigilflow.functions import lexicon as lx
 from vigilflow.functions import text as tx
 from vigilflow.functions import vocab
@@ -11,6 +12,7 @@ from vigilflow.operators import enrich, store
 from vigilflow.plans.common import CLASSIFIED_SQL, RELEVANCE_SQL, SCORED_SQL, SIGNALS_SQL, STORIES_SQL, TEXT_SQL, clean_sql, cycle_sql, news, with_sql
 from vigilflow.registry import query
 from vigilflow.session import spread, table, written
+from vigilflow.sources import tables
 from vigilflow.streaming import cycle
 from vigilflow.sources.news import NEWS_SQL, NOW, hits_sql, language_sql, title_tokens_sql, tokens_sql
 
@@ -215,3 +217,35 @@ def ingest_cycle_store(spark, sf_dir):
     known, rows = _cycle(spark, sf_dir)
     merged = store.merge_file(known, rows.select("fingerprint", "doc_id", "title", "category", "source_tier", "threat_score", "tags"))
     return merged.select("fingerprint", "title", "category", "source_tier", F.round("threat_score", 6).alias("threat_score"), "is_new")
+
+
+_PUBLIC_SQL = """fingerprint, title, source, url, strftime(published_at, '%Y-%m-%dT%H:%M:%S+00:00') AS published_at, raw_content, round(threat_score, 3) AS threat_score, language, language AS original_language, category,
+  round(category_confidence, 3) AS category_confidence, array_to_string(affected_platforms, '|') AS affected_platforms, array_to_string(audience_targets, '|') AS audience_targets, round(audience_relevance_score, 3) AS audience_relevance_score,
+  actionability_level, round(actionability_score, 3) AS actionability_score, source_tier, round(source_credibility_score, 3) AS source_credibility_score, array_to_string(corroborating_sources, '|') AS corroborating_sources"""
+_LISTS = ("affected_platforms", "audience_targets", "corroborating_sources")
+
+
+def _of_cycle(spark, sf_dir):
+    """The cycle's rows, one a fingerprint, as the store takes them in: all columns of an item."""
+    known, rows = _cycle(spark, sf_dir)
+    return store.merge_file(rows.limit(0).select("doc_id", *cycle.COLUMNS), rows).drop("is_new")
+
+
+_STORED_SQL = f"""{CYCLE_SQL},
+stored AS (SELECT * REPLACE (max(threat_score) OVER (PARTITION BY fingerprint) AS threat_score), list_sort(list_distinct(list(category) OVER (PARTITION BY fingerprint))) AS tags FROM scored QUALIFY doc_id = min(doc_id) OVER (PARTITION BY fingerprint))"""
+
+
+@query("cycle_public_items", with_sql(_STORED_SQL, f"SELECT {_PUBLIC_SQL} FROM stored"))
+def cycle_public_items(spark, sf_dir):
+    """All 18 public fields of the items that a cycle stores."""
+    rows = _of_cycle(spark, sf_dir).select("fingerprint", *ed.public())
+    return rows.withColumns({c: F.array_join(c, "|") for c in _LISTS})
+
+
+@query("cycle_stored_json", with_sql(_STORED_SQL, f"SELECT {_PUBLIC_SQL}, CAST(extract('day' FROM TIMESTAMP '{NOW}') AS INTEGER) AS fetched_day, array_to_string(tags, '|') AS tags FROM stored"))
+def cycle_stored_json(spark, sf_dir):
+    """Items of a cycle as JSON text and back through the schema of the store: all 21 fields."""
+    items = _of_cycle(spark, sf_dir).select(F.to_json(F.struct(*cycle.COLUMNS)).alias("value"))
+    rows, _ = tables.parse_log(items, tables.ITEM)
+    rows = tables.with_defaults(rows).select("fingerprint", *ed.public(), F.dayofmonth("fetched_at").alias("fetched_day"), F.array_join("tags", "|").alias("tags"))
+    return rows.withColumns({c: F.array_join(c, "|") for c in _LISTS})

@@ -10,7 +10,8 @@ from vigilflow.plans import seeded
 from vigilflow.plans.common import CLASSIFIED_SQL, SCORED_SQL, SIGNALS_SQL, clean_sql, news, with_sql
 from vigilflow.plans.seeded import ITEMS_SQL
 from vigilflow.registry import query
-from vigilflow.session import spread, table
+from vigilflow.session import spread, table, written_text
+from vigilflow.sources import tables
 from vigilflow.sources.news import NEWS_SQL, NOW, array_sql, quoted
 
 LEVEL_SQL = "CASE {} WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END"
@@ -345,6 +346,45 @@ def top_failures(spark, sf_dir):
     return health.top_messages(_messages(spark, sf_dir), 3)
 
 
+_REASONS_SQL = "SELECT doc_id, 'post opens with ' || lower(regexp_extract(text, '[A-Za-z]+')) AS message FROM documents WHERE text IS NOT NULL"
+
+
+def _reasons(spark, sf_dir):
+    """Messages of very many kinds: the first word of each document."""
+    first = F.lower(F.regexp_extract("text", "[A-Za-z]+", 0))
+    return spread(table(spark, sf_dir, "documents")).filter("text is not null").select("doc_id", F.concat(F.lit("post opens with "), first).alias("message"))
+
+
+def _heavy_sql(rows: str, k: int) -> str:
+    """Of (message, n): the k most frequent, less the next one."""
+    return f"(SELECT message, n - cut AS n, cut FROM (SELECT *, row_number() OVER (ORDER BY n DESC, encode(message)) AS place, coalesce(nth_value(n, {k + 1}) OVER (ORDER BY n DESC, encode(message) ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS cut FROM {rows}) WHERE place <= {k} AND n > cut)"
+
+
+_PARTS_SQL = " UNION ALL ".join(f"SELECT {p} AS part, * FROM {_heavy_sql(f'(SELECT message, count(*) AS n FROM reasons WHERE doc_id % 3 = {p} GROUP BY 1)', 20)}" for p in range(3))
+
+
+@query("heavy_failures", f"""WITH reasons AS ({_REASONS_SQL}), parts AS ({_PARTS_SQL}), lost AS (SELECT coalesce(sum(cut), 0) AS before FROM (SELECT part, max(cut) AS cut FROM parts GROUP BY part)),
+  merged AS (SELECT message, sum(n) AS n FROM parts GROUP BY 1) SELECT message, CAST(n AS BIGINT) AS n, CAST(before + cut AS BIGINT) AS lost FROM {_heavy_sql('merged', 20)}, lost""")
+def heavy_failures(spark, sf_dir):
+    """Frequent messages of three parts, each kept as a summary of 20 rows, merged."""
+    rows = _reasons(spark, sf_dir)
+    parts = [health.heavy(rows.filter(F.col("doc_id") % 3 == p), 20).withColumn("part", F.lit(p)) for p in range(3)]
+    return health.heavy_merged(parts[0].unionByName(parts[1]).unionByName(parts[2]), 20)
+
+
+@query("log_rejects", """SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'broken' WHEN o_orderkey % 11 = 0 THEN 'wrong type' ELSE 'row' END AS kind, count(*) AS n, CAST(sum(CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 THEN o_custkey ELSE 0 END) AS BIGINT) AS customers FROM orders GROUP BY 1""")
+def log_rejects(spark, sf_dir):
+    """Orders as lines of a log, some of them cut or of a wrong type: written to files, read back as rows and rejects."""
+    key = F.col("o_orderkey")
+    line = F.to_json(F.struct("o_orderkey", "o_custkey", "o_orderstatus"))
+    lines = table(spark, sf_dir, "orders").select(F.when(key % 7 == 0, F.substring(line, F.lit(1), F.length(line) - 3)).when(key % 11 == 0, F.replace(line, F.lit('"o_custkey":'), F.lit('"o_custkey":"x'))).otherwise(line).alias("value"))
+    lines = lines.select(F.regexp_replace("value", r'("o_custkey":"x[0-9]+)', '$1"').alias("value"))
+    rows, rejects = tables.split_log(spark, written_text(lines, "log"), "o_orderkey long, o_custkey long, o_orderstatus string")
+    whole = rows.agg(F.lit("row").alias("kind"), F.count("*").alias("n"), F.coalesce(F.sum("o_custkey"), F.lit(0)).alias("customers"))
+    kinds = rejects.groupBy(F.when(F.endswith("line", F.lit("}")), "wrong type").otherwise("broken").alias("kind")).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("customers"))
+    return whole.unionByName(kinds)
+
+
 @query("cycle_counters", with_sql(SCORED_SQL, "SELECT count(*) AS fetched, count(*) FILTER (WHERE category <> 'other') AS categorized, count(*) FILTER (WHERE len(audience_targets) > 0) AS audience_tagged, count(*) FILTER (WHERE actionability_level <> 'informational') AS actionable, count(*) FILTER (WHERE source_tier = 'trusted') AS trusted FROM scored"))
 def cycle_counters(spark, sf_dir):
     rows = enrich.scored(news(spark, sf_dir), NOW)

@@ -75,6 +75,13 @@ def written(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_text(lines, name: str) -> str:
+    """The folder of text files to which the one column of lines was written."""
+    path = f"{work_folder(lines.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return path
+
+
 def once(build: Callable) -> Callable:
     """A builder of (spark, folder) whose plan, not its rows, is made once a session: planning takes as long as a small query."""
     made: WeakKeyDictionary = WeakKeyDictionary()

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from typing import TypeVar
 from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilflow.sources.commits import Commits
 
@@ -52,15 +53,52 @@ def with_defaults(items: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.when(F.col(c) == "uk", "ua").otherwise(F.col(c)) for c in ("language", "original_language")})
 
 
+#: Where a line or file that doesn't parse is kept.
+BROKEN = "_broken"
+
+
+def _parsed(text: Column, schema: str) -> Column:
+    """A JSON object by a schema; BROKEN holds the text of one that doesn't fit it."""
+    return F.from_json(text, f"{schema}, {BROKEN} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
+
+
+def parse_log(lines: DataFrame, schema: str, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of lines of JSON: every line that isn't blank is in one of them. rejects has the other columns and the line."""
+    text = F.col(column)
+    read = lines.filter(F.trim(text) != "").withColumn("_row", _parsed(text, schema))
+    broken = F.col("_row").isNull() | F.col(f"_row.{BROKEN}").isNotNull() | ~F.startswith(F.ltrim(text), F.lit("{"))
+    names = T.StructType.fromDDL(schema).names
+    return read.filter(~broken).select(*[F.col(f"_row.{c}").alias(c) for c in names]), read.filter(broken).drop("_row").withColumnRenamed(column, "line")
+
+
+def split_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of the files of a JSON-lines log; rejects (file, line)."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return parse_log(lines, schema)
+
+
+def split_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(items, rejects) of {"items": [...]} files, read through an explicit schema with defaults for what is missing.
+
+    rejects (file, reason, n): a file that isn't such an object (broken, 1), and items without a fingerprint (no fingerprint, n).
+    """
+    schema = f"items array<struct<{', '.join(x.replace(' ', ':', 1) for x in ITEM.split(', '))}>>"
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), _parsed(F.col("value"), schema).alias("whole"))
+    broken = F.col("whole").isNull() | F.col(f"whole.{BROKEN}").isNotNull() | F.col("whole.items").isNull()
+    items = files.filter(~broken).select("file", F.explode("whole.items").alias("i"))
+    nameless = items.filter("i.fingerprint is null").groupBy("file").agg(F.count("*").alias("n")).select("file", F.lit("no fingerprint").alias("reason"), "n")
+    rejects = files.filter(broken).select("file", F.lit("broken").alias("reason"), F.lit(1).cast("long").alias("n")).unionByName(nameless)
+    return with_defaults(items.select("i.*").filter("fingerprint is not null")), rejects
+
+
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """{"items": [...]} files through an explicit schema; items without fingerprint go, a broken file reads as empty."""
-    whole = spark.read.schema(f"items array<struct<{', '.join(x.replace(' ', ':', 1) for x in ITEM.split(', '))}>>").option("multiLine", True).json(path)
-    return with_defaults(whole.select(F.explode("items").alias("i")).select("i.*").filter("fingerprint is not null"))
+    """The items of split_snapshot()."""
+    return split_snapshot(spark, path)[0]
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON-lines log; lines that don't parse are skipped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """The rows of split_log()."""
+    return split_log(spark, path, schema)[0]
 
 
 def append_log(rows: DataFrame, path: str) -> None:
