@@ -235,6 +235,26 @@ def validate_post(spark, sf_dir):
     return rows.select("fingerprint", "locale", render.failure_reason(F.col("locale")).alias("reason"))
 
 
+_UA_TITLES = {0: " ", 1: "Nobody translated this headline", 2: "Новина про банки"}
+_UA_WHY = {3: f"Клієнти ризикують {ev.RUSSISMS[1]}", 4: "Клієнти ризикують 漢字", 5: ev.CLICHES_UA[1]}
+
+
+@query("validate_post_ua", with_sql(ITEMS_SQL, f"""SELECT fingerprint, locale, CASE WHEN k = 0 THEN 'empty title' WHEN k = 1 THEN 'title is not in target language ''ua'': ' || chr(39) || {quoted(_UA_TITLES[1])} || chr(39)
+  WHEN k = 7 THEN 'short_summary is not in target language ''ua''' WHEN k = 8 THEN 'empty affected_users list' WHEN k = 5 THEN 'AI cliché detected: ' || chr(39) || {quoted(ev.CLICHES_UA[1])} || chr(39)
+  WHEN k = 3 THEN 'Russism stem in UA output: ' || chr(39) || list_filter({array_sql(ev.RUSSISMS)}, lambda s: contains(lower({quoted(_UA_WHY[3])}), s))[1] || chr(39) WHEN k = 4 THEN 'Foreign-script character in UA output: ''漢'''
+  WHEN k = 6 THEN 'duplicate entries in what_not_to_do' END AS reason FROM (SELECT fingerprint, locale, doc_id // 4 % 9 AS k FROM posts WHERE locale = 'ua')"""))
+def validate_post_ua(spark, sf_dir):
+    """Ukrainian posts, a ninth each with a fault of its own, and a ninth without."""
+    k = F.floor(F.col("doc_id") / 4) % 9
+    rows = seeded.posts(spark, sf_dir).filter("locale = 'ua'").withColumns({
+        "title": F.when(k == 0, _UA_TITLES[0]).when(k == 1, _UA_TITLES[1]).otherwise(_UA_TITLES[2]), "short_summary": F.when(k == 7, "An English summary of it").otherwise(F.col("short_summary")),
+        "why_it_matters": F.when(k == 3, _UA_WHY[3]).when(k == 4, _UA_WHY[4]).when(k == 5, _UA_WHY[5]).otherwise("Клієнти втрачають гроші"), "detail_body": F.lit(""), "what_to_do": F.array(F.lit("Оновіть програму")),
+        "what_not_to_do": F.when(k == 6, F.array(F.lit("Не платіть."), F.lit("не  ПЛАТІТЬ"))).otherwise(F.array(F.lit("Не платіть."))), "affected_users": F.when(k == 8, F.array(F.lit(" "))).otherwise(F.array(F.lit("Усі"))), "source_title": F.col("title"),
+    })
+    rows = render.with_tokens(rows, summary_tokens=F.col("short_summary"), why_tokens=F.col("why_it_matters"), source_tokens=F.lit("Нуль один два три чотири п'ять шість"))
+    return rows.select("fingerprint", "locale", render.failure_reason(F.col("locale")).alias("reason"))
+
+
 _POOL = {"phishing": ["Do not click links", "Do not reply", "Do not pay"], "scam": ["Do not call back", "Do not share codes", "Do not hurry"]}
 _TABLES = copy.CopyTables(avoids=_POOL, hints={"windows": ["Run Windows Update", "Open Windows Security"]}, why={"default|fyi": ["Worth knowing."], "default|urgent": ["Act now.", "It spreads."], "scam|soon": ["Money is at stake."]})
 _SEED = "(('0x' || substr(fingerprint, 1, 8))::BIGINT + {})"
@@ -256,10 +276,82 @@ def card_lists(spark, sf_dir):
     return seeded.items(spark, sf_dir).select("fingerprint", F.array_join(copy.what_not_to_do(_TABLES), "|").alias("avoid"), copy.why_it_matters(_TABLES).alias("why"))
 
 
-@query("rule_based_cards")
+_CARDS = copy.CopyTables(
+    actions={"breach": ["Change the password", "Read the notice", "Watch your statements", "Close old accounts", "Ask what leaked"], "scam": ["Hang up", "Call back yourself"]}, avoids=_POOL,
+    hints={"windows": ["Run Windows Update", "Open Windows Security"], "chrome": ["Restart Chrome"]}, why=_TABLES.why,
+)
+
+
+def _rotated_sql(pool: str, n: int, salt: int = 0) -> str:
+    start = f"({_SEED.format(salt * 0x9E3779B9)} % greatest(len({pool}), 1))"
+    return f"(CASE WHEN len({pool}) <= {n} THEN {pool} ELSE list_concat({pool}, {pool})[{start} + 1 : {start} + {n}] END)"
+
+
+def _case_sql(column: str, values: dict, other: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {quoted(k)} THEN {array_sql(v) if isinstance(v, list) else quoted(v)}" for k, v in values.items()) + f" ELSE {other} END"
+
+
+def _joined_sql(names: str, last: str) -> str:
+    """One, two or more names in a row; last stands before the last one."""
+    return f"CASE WHEN len({names}) = 1 THEN {names}[1] ELSE array_to_string({names}[1 : len({names}) - 1], ', ') || {quoted(last)} || {names}[len({names})] END"
+
+
+def _once_sql(names: str) -> str:
+    """The first of each name, in order."""
+    return f"list_filter({names}, lambda x, i: list_position({names}, x) = i)"
+
+
+def _labels_sql(pattern: str, group: int, label: str) -> str:
+    return f"list_transform(list_distinct(regexp_extract_all(raw_content, '{pattern}', {group})), lambda x: {label})"
+
+
+_REFERENCES_SQL = f"""list_concat(list_concat({_labels_sql(r'(?i)\bCVE-(\d{4}-\d{4,7})\b', 1, "'CVE-' || x")}, {_labels_sql(r'(?i)\bCERT-UA#(\d+)\b', 1, "'CERT-UA#' || x")}),
+  list_concat({_labels_sql(r'\bAA\d{2}-\d{2,3}[A-Za-z]?\b', 0, "'CISA ' || x")}, {_labels_sql(r'(?i)\bADV\d{6}\b', 0, 'upper(x)')}))"""
+
+
+def _cards_sql(language: str) -> str:
+    """One language's cards, put together anew from the facts of an item."""
+    verbs, urgent, nouns, platform, audiences, labels, actions, conjunction = copy.WORDS[language]
+    head, tail = platform.split("{platforms}")
+    target = f"CASE WHEN len(names) > 0 THEN {quoted(head)} || {_joined_sql('names', f' {conjunction} ')} || {quoted(tail)} ELSE coalesce({_case_sql('targets[1]', audiences, 'NULL')}, '') END"
+    told = f"list_transform(targets, lambda a: {_case_sql('a', labels, 'array_to_string(list_transform(string_split(a, chr(95)), lambda w: upper(w[1]) || w[2:]), chr(32))')})"
+    who = f"CASE WHEN len(names) BETWEEN 1 AND 2 THEN [{_joined_sql('names', ' and ')} || ' users'] WHEN len(names) > 2 THEN [{_joined_sql('names', ', and ')} || ' users'] ELSE [] END"
+    hints = f"list_filter(list_transform(names, lambda p: {_case_sql('lower(p)', _CARDS.hints, 'NULL')}), lambda h: h IS NOT NULL)[1]"
+    return f"""SELECT fingerprint, '{language}' AS locale, title, source || ' ' || CASE WHEN actionability_level = 'urgent_action' THEN {quoted(urgent)} ELSE {_rotated_sql(array_sql(verbs), 1, 42)}[1] END || ' ' || {_case_sql('category', nouns, quoted(nouns['default']))} || {target} || '.' AS short_summary,
+  CASE WHEN actionability_level = 'urgent_action' THEN CASE WHEN threat_score >= 50 THEN 'Critical' ELSE 'High' END WHEN actionability_level = 'recommended_action' THEN CASE WHEN threat_score >= 50 THEN 'High' ELSE 'Medium' END WHEN threat_score >= 30 THEN 'Medium' ELSE 'Low' END AS threat_level,
+  CASE WHEN category = 'scam' AND bucket = 'soon' THEN 'Money is at stake.' WHEN bucket = 'urgent' THEN {_rotated_sql("['Act now.', 'It spreads.']", 1)}[1] ELSE 'Worth knowing.' END AS why_it_matters,
+  array_to_string(CASE WHEN len(users) > 0 THEN users ELSE ['Anyone following cybersecurity news'] END, '|') AS affected_users,
+  array_to_string(CASE WHEN hint IS NOT NULL AND NOT list_contains(acts, hint) THEN list_concat([hint], acts[1:2]) ELSE acts END, '|') AS what_to_do,
+  array_to_string({_rotated_sql('(' + _case_sql('category', _POOL, '[]') + ')', 2, 1)}, '|') AS what_not_to_do,
+  round(greatest(0.0, least(1.0, actionability_score * 0.6::DOUBLE + least(threat_score / 100.0, 1.0) * 0.3::DOUBLE + source_credibility_score * 0.1::DOUBLE)), 3) AS emotional_weight,
+  CAST(greatest(15, least(45, len(list_filter(regexp_split_to_array(raw_content, '\\s+'), lambda w: w <> '')) // 3)) AS INTEGER) AS reading_time_seconds,
+  array_to_string(list_sort(list_distinct({_REFERENCES_SQL})), '|') AS labels, 'rule_based' AS generated_by
+FROM (SELECT *, {_once_sql(f'list_concat({who}, {told})')} AS users, {_rotated_sql('(' + _case_sql('category', _CARDS.actions, array_sql(actions)) + ')', 3)} AS acts, {_rotated_sql(f'({hints})', 1)}[1] AS hint,
+  CASE WHEN actionability_level = 'urgent_action' THEN 'urgent' WHEN actionability_level = 'recommended_action' OR threat_score >= 50 THEN 'soon' ELSE 'fyi' END AS bucket FROM carded)"""
+
+
+_CARDED_SQL = f"""{ITEMS_SQL},
+carded AS (SELECT *, CASE doc_id % 5 WHEN 0 THEN [] WHEN 1 THEN list_sort(list_distinct(list_concat(affected_platforms, ['Chrome', 'Windows']))) ELSE affected_platforms END AS names,
+  CASE doc_id % 7 WHEN 0 THEN [] WHEN 1 THEN ['space_pilots'] WHEN 2 THEN list_concat(audience_targets, ['developers']) ELSE audience_targets END AS targets FROM items)"""
+
+
+def _card_items(spark, sf_dir):
+    """Items with no to four platforms, and with no, unknown and repeated audiences."""
+    d, none = F.col("doc_id"), F.array().cast("array<string>")
+    more = F.array_sort(F.array_union("affected_platforms", F.array(F.lit("Chrome"), F.lit("Windows"))))
+    return seeded.items(spark, sf_dir).withColumns({
+        "affected_platforms": F.when(d % 5 == 0, none).when(d % 5 == 1, more).otherwise(F.col("affected_platforms")),
+        "audience_targets": F.when(d % 7 == 0, none).when(d % 7 == 1, F.array(F.lit("space_pilots"))).when(d % 7 == 2, F.concat("audience_targets", F.array(F.lit("developers")))).otherwise(F.col("audience_targets")),
+    })
+
+
+@query("rule_based_cards", with_sql(_CARDED_SQL, f"{_cards_sql('en')} UNION ALL {_cards_sql('ua')}"))
 def rule_based_cards(spark, sf_dir):
-    """Whole cards; their parts have oracles of their own: editorial_brief, card_lists, threat_level, emotional_weight, reading_time, extract_references."""
-    return copy.cards(seeded.items(spark, sf_dir), _TABLES)
+    """Whole cards in both languages; lists as text, references by their labels."""
+    items = _card_items(spark, sf_dir)
+    rows = copy.cards(items, _CARDS, "en").unionByName(copy.cards(items, _CARDS, "ua"))
+    rows = rows.withColumns({c: F.array_join(c, "|") for c in ("affected_users", "what_to_do", "what_not_to_do")})
+    return rows.withColumn("labels", F.array_join(F.array_sort(F.transform("references", lambda r: r["label"])), "|")).drop("references")
 
 
 _CONTEXT = [("breach", "en", "why", "Leaked data stays leaked."), ("breach", "en", "who", "Anyone with an account."), ("ransomware", "ua", "why", "Файли втрачено.")]
