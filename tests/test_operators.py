@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 from functools import reduce
 
 import pytest
@@ -45,8 +46,8 @@ def test_vocabularies_are_whole():
 
 
 @pytest.mark.parametrize("title, category", [
-    ("New ransomware family discovered, classified as malware", "ransomware"), ("Zero-day vulnerability in Chrome under active exploitation", "zero-day"),
-    ("New cafe opens in downtown San Francisco", "other"), ("Виявлено нову фішингову кампанію проти українських банків", "phishing"),
+    ("Fresh ransomware strain is sold as malware", "ransomware"), ("Firefox zero-day vulnerability used in active exploitation", "zero-day"),
+    ("Library extends its opening hours on Sundays", "other"), ("Шахраї запустили фішингову розсилку від імені пошти", "phishing"),
 ])
 def test_category(spark, title, category):
     row = classify(spark, title)[0]
@@ -54,7 +55,7 @@ def test_category(spark, title, category):
 
 
 @pytest.mark.parametrize("title, kept", [
-    ("Acme Inc raises $50M Series B funding round", False), ("Top 10 best antivirus tools for 2026", False), ("After ransomware breach, Acme Inc raises $50M to rebuild security", True),
+    ("Volta Ltd closes a Series A funding round of $12M", False), ("Best 7 antivirus tools of the year", False), ("Hit by a ransomware breach, Volta Ltd raises $20M to rebuild security", True),
 ])
 def test_relevance(spark, title, kept):
     rows = enrich.with_text(items(spark, [(title, "x", 0, "")]))
@@ -62,25 +63,25 @@ def test_relevance(spark, title, kept):
 
 
 def test_platforms(spark):
-    linux, apple = classify(spark, "Salinux Corp announces partnership", "iPad and iPhone hit by zero-click iOS exploit")
+    linux, apple = classify(spark, "Belinuxa Foods opens a plant", "Zero-click iOS exploit reaches iPhone and iPad owners")
     assert linux["affected_platforms"] == [] and apple["affected_platforms"] == ["iOS"]
 
 
 def test_audience(spark):
-    dev, corp = classify(spark, "Kubernetes remote code execution exploited", "Oracle breach")
+    dev, corp = classify(spark, "Remote code execution in Kubernetes exploited by bots", "Breach at Oracle")
     assert {"developers", "sysadmins"} <= set(dev["audience_targets"])
     assert "enterprise" in corp["audience_targets"] and "normal_users" not in corp["audience_targets"]
 
 
 def test_actionability(spark):
-    urgent, soon, fyi = classify(spark, "Breach: enable 2FA immediately", "Chrome vulnerability: patch available", "Theoretical attack in a research paper")
+    urgent, soon, fyi = classify(spark, "Bank breach: change passwords and enable 2FA immediately", "Firefox vulnerability: patch available", "Researchers show a theoretical attack")
     assert urgent["actionability_level"] == "urgent_action" and urgent["actionability_score"] >= 0.7
     assert soon["actionability_level"] == "recommended_action" and 0.4 <= soon["actionability_score"] < 0.7
     assert fyi["actionability_level"] == "informational"
 
 
 def test_scores_are_metamorphic(spark):
-    title = "Ransomware gang exploits zero-day in hospital systems"
+    title = "Botnet crew turns router zero-day on port operators"
     fresh, stale = (r["threat_score"] for r in enrich.scored(items(spark, [(title, "a", 0, ""), ("Cafe opens", "b", 0, ""), (title + " again and again but different words everywhere here", "a", 72, "")]), NOW).filter("doc_id <> 1").orderBy("doc_id").collect())
     assert fresh > stale
     crowd = enrich.scored(items(spark, [(title, s, 0, "") for s in ("BleepingComputer", "The Hacker News", "Some Blog")]), NOW).orderBy("doc_id").collect()
@@ -104,6 +105,26 @@ def test_cleaning(one):
     assert one(tx.safe_text(F.col("t")), t=" é &amp; \x07x\n y ") == "é & x y"
 
 
+def test_junk_patterns_are_tried_where_they_may_match():
+    """The words that a pattern needs never keep it from a text that it matches, whatever the case and its odd letters."""
+    draw = random.Random(11)
+    odd = {"s": "sSſ", "k": "kKK", "i": "iIı"}
+    lines = (
+        "Subscribe to us now", "Sign up for our newsletter", "Join our newsletter today", "Subscribe for more", "Share this article", "Share on Facebook", "Follow us on Twitter", "Read more about it", "Read also: x", "See related stories", "Continue reading", "Click here to read",
+        "Related articles: one", "Advertisement", "Sponsored content", "Ad: buy", "© 2024 us", "Copyright 2024 us", "All rights reserved", "Tags: one, two", "Tag : one", "Categories: a", "Category: a", "Filed under: x", "Posted in news", "Leave a comment", "Comments are closed",
+        "Image source: us", "Photo credit: me", "Підпишіться на нас", "Читайте також: це", "Пов'язані матеріали", "Поширити у Telegram",
+    )
+    matched = set()
+    for needs, pattern in zip(vocab.JUNK_NEEDS, vocab.JUNK, strict=True):
+        rule = re.compile(pattern, re.IGNORECASE | re.MULTILINE)
+        for text in [line for line in lines for _ in range(30)]:
+            spelt = "".join(draw.choice(odd.get(c.lower(), c.lower() + c.upper())) for c in text)
+            if rule.search(spelt):
+                matched.add(pattern)
+                assert tx.may_hold(tx.fold(spelt), needs), (pattern, spelt)
+    assert len(matched) >= 20
+
+
 def test_language(one):
     for text, want in (("abc", "unknown"), ("plain english", "en"), ("привет друзья", "other"), ("їжак під ґанком", "ua")):
         assert one(tx.detect_language(F.col("t")), t=text) == want

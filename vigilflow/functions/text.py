@@ -107,6 +107,16 @@ def safe_text(text: Column) -> Column:
     return of(text)
 
 
+def fold(text: str) -> str:
+    """Letters as patterns that don't mind the case take them: also the long s, the Kelvin sign and the i without a dot."""
+    return text.casefold().replace("ı", "i")
+
+
+def may_hold(folded: str, needs: tuple[str, ...]) -> bool:
+    """Whether a folded text has the words of any of the needs of a junk pattern."""
+    return any(all(word in folded for word in n.split("&")) for n in needs)
+
+
 def safe_body(text: Column) -> Column:
     """clean_body() of safe_text(), in one Arrow function: a junk pattern is tried only on texts that hold a word that it needs."""
     @F.arrow_udf("string")
@@ -117,9 +127,9 @@ def safe_body(text: Column) -> Column:
 
         def one(value: str | None) -> str:
             body = _safe(value)
-            lower = body.lower()
+            folded = fold(body)
             for needs, pattern in rules:
-                if any(all(word in lower for word in n.split("&")) for n in needs):
+                if may_hold(folded, needs):
                     body = pattern.sub(" ", body)
             body = re.sub(r"\s+", " ", body).strip()
             if len(body) <= MAX_BODY:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vigilflow.functions import lexicon as lx
 from vigilflow.functions import text as tx
 from vigilflow.functions import vocab
-from vigilflow.session import show_workers
+from vigilflow.session import show_workers, written
 
 ALL_TERMS = tuple(dict.fromkeys((*vocab.STRONG, *vocab.MEDIUM, *vocab.WEAK)))
 SIGNALS = (
@@ -182,11 +182,14 @@ def stories(news: DataFrame, wide: float = 0.2, narrow: float = 0.25) -> DataFra
     alike already all sets of the one are alike all of the other: each source's first row of a core stands for them. What
     cores leave open is a rare token of one set in the other: those pairs are found by that token, the one that the
     fewest sets have, and compared exactly. So a story in thousands of titles that differ in a number costs one pair of cores, and
-    each of its titles as many comparisons as there are sets with its number.
+    each of its titles as many comparisons as there are sets with its number. Distinct titles and their sets are written to the
+    shared folder as the plan is made.
     """
     trusted = F.col("source").isin(*[name for name, (_, tier) in vocab.SOURCES.items() if tier == "trusted"])
     told = news.groupBy("title", "source", trusted.alias("trusted")).agg(F.min("doc_id").alias("first")).withColumn("toks", F.array_sort(tx.title_tokens(F.col("title"))))
-    sets = token_sets(told)
+    # Both are read several times below, and what news comes from may be dear.
+    told = written(told, "stories-told")
+    sets = written(token_sets(told), "stories-sets")
     firsts = lambda sure: (F.min("first").alias("first"), F.min(F.when(sure & F.col("trusted"), F.col("first"))).alias("trusted_first"))
 
     by_core = sets.select(F.col("core").alias("o_core"), F.inline("told")).groupBy("o_core", "other", "trusted").agg(F.min("first").alias("first"))
