@@ -53,6 +53,25 @@ def test_decontaminate(docs, empty, items):
     assert decontaminate.matches(docs, items.limit(0)).count() == 0 and decontaminate.clean(docs, items.limit(0)).count() == len(ROWS)
 
 
+def test_windows_of_a_long_text_are_fingerprinted_in_runs(monkeypatch):
+    """Fingerprints are those of each window alone, whatever the run; memory of a text of two million shingles stays bounded."""
+    import tracemalloc
+
+    draw = np.random.default_rng(2)
+    hashes = draw.integers(0, 1 << 63, 4000).astype(np.uint64)
+    starts = np.unique(draw.integers(0, 3900, 900))
+    alone = np.concatenate([decontaminate.simhash(hashes[s : s + 60], np.zeros(1, np.int64), 60) for s in starts])
+    monkeypatch.setattr(decontaminate, "RUN", 128)
+    assert (decontaminate.simhash(hashes, starts, 60) == alone).all() and len(decontaminate.simhash(hashes, starts[:0], 60)) == 0
+    monkeypatch.undo()
+    long = draw.integers(0, 1 << 63, 2_000_000).astype(np.uint64)
+    tracemalloc.start()
+    assert len(decontaminate.simhash(long, np.arange(0, 2_000_000 - 60), 60)) == 2_000_000 - 60
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150e6
+
+
 def test_decontaminate_blocks_agree(docs, items):
     one = {tuple(r) for r in decontaminate.matches(docs, items).collect()}
     assert {tuple(r) for r in decontaminate.matches(docs, items, block_items=1).collect()} == one

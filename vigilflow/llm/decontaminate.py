@@ -34,17 +34,24 @@ from vigilflow.llm.passages import KnownShingles, windows
 SIMILARITY = 0.8
 BLOCKS, RADIUS = 4, 19
 BLOCK_ITEMS = 5000
+#: Shingles over which windows begin that are fingerprinted at a time.
+RUN = 1 << 15
 _BITS = 64 // BLOCKS
 
 
 def simhash(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """64-bit fingerprints of the windows hashes[s : s + length]: each bit is the sign of its sum."""
-    low, high = int(starts.min()), int(starts.max()) + length
-    bits = np.unpackbits(hashes[low:high].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
-    total = np.zeros((high - low + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=total[1:])
-    sums = total[starts - low + length] - total[starts - low]
-    return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).reshape(-1)
+    """64-bit fingerprints of the windows hashes[s : s + length], starts rising: each bit is the sign of its sum. Memory follows RUN and length, not the text."""
+    out, i = [np.zeros(0, np.uint64)], 0
+    while i < len(starts):
+        j = int(np.searchsorted(starts, starts[i] + RUN))
+        low, high = int(starts[i]), int(starts[j - 1]) + length
+        bits = np.unpackbits(hashes[low:high].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
+        total = np.zeros((high - low + 1, 64), np.int32)
+        np.cumsum(bits, axis=0, out=total[1:])
+        sums = total[starts[i:j] - low + length] - total[starts[i:j] - low]
+        out.append(np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).reshape(-1))
+        i = j
+    return np.concatenate(out)
 
 
 class HammingIndex:
@@ -115,11 +122,13 @@ class Benchmark:
             starts = windows(hit, length, least) if least <= length else np.zeros(0, np.int64)
             if not len(starts):
                 continue
-            for w, i in zip(*index.near(simhash(hashes, starts, length)), strict=True):
-                item, start = own[i], int(starts[w])
-                value = shingles.weighted_jaccard(hashes[start : start + length], self.items[item])
-                if value >= self.similarity and value > best.get(item, (0.0, 0))[0]:
-                    best[item] = (value, start)
+            for first in range(0, len(starts), RUN):
+                some = starts[first : first + RUN]
+                for w, i in zip(*index.near(simhash(hashes, some, length)), strict=True):
+                    item, start = own[i], int(some[w])
+                    value = shingles.weighted_jaccard(hashes[start : start + length], self.items[item])
+                    if value >= self.similarity and value > best.get(item, (0.0, 0))[0]:
+                        best[item] = (value, start)
         return best
 
 
@@ -179,10 +188,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The rows of docs, all columns, that hold no item: each block is one more filter on the scan, without a shuffle."""
+    """The rows of docs, all columns, that hold no item: a block is a filter on the scan, without a shuffle. What a block leaves is written before the next one, so a plan holds one."""
     limit_batches(docs.sparkSession)
     columns = docs.columns
-    for block in _blocks(benchmark, item_col, item_text, block_items):
+    for n, block in enumerate(_blocks(benchmark, item_col, item_text, block_items)):
+        if n:
+            docs = written(docs, "clean")
         mark = F.size(_matcher(Benchmark([t for _, t in block], similarity))(normalized(F.col(text_col))))
         docs = docs.withColumn("__leaks", mark).filter("__leaks = 0").select(*columns)
     return docs
