@@ -88,3 +88,7 @@ AUDIENCE_NAMES_UA = {
 
 ACTIONS_UA = ('Прочитайте оригінальну статтю для деталей', 'Встановлюйте патчі та оновлення, щойно їх випустить вендор')
 
+# Whom a card concerns, by platforms, and where nothing tells.
+USERS_OF = ' users'
+
+ANYONE = 'Anyone following cybersecurity news'

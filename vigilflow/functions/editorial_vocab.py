@@ -206,3 +206,12 @@ PROMPT_AUDIENCES = {
     "general": "Anyone following cybersecurity",
 }
 PROMPT_CLOSE = "\nProduce the structured threat post."
+
+# Headings of the prompts.
+PROMPT_STYLE = "STYLE NOTES:\n"
+PROMPT_GUIDANCE = "EXTRA GUIDANCE:\n"
+PROMPT_TEMPLATE = "TEMPLATE_ID: "
+PROMPT_LANGUAGE = "OUTPUT_LANGUAGE: "
+PROMPT_FACTS = "SOURCE METADATA\n"
+PROMPT_TITLE = "\nSOURCE ARTICLE\nTitle: "
+PROMPT_TEXT = "\nBody:\n"

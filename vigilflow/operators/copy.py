@@ -77,11 +77,11 @@ def brief(language: str = "en") -> Column:
 
 def affected_users(language: str = "en") -> Column:
     names, labels = F.col("affected_platforms"), WORDS[language][5]
-    who = F.when(F.size(names) > 0, F.concat(F.when(F.size(names) <= 2, _names(names, "and")).otherwise(F.concat(F.array_join(F.slice(names, F.lit(1), F.size(names) - 1), ", "), F.lit(", and "), F.element_at(names, -1))), F.lit(" users")))
+    who = F.when(F.size(names) > 0, F.concat(F.when(F.size(names) <= 2, _names(names, "and")).otherwise(F.concat(F.array_join(F.slice(names, F.lit(1), F.size(names) - 1), ", "), F.lit(", and "), F.element_at(names, -1))), F.lit(cv.USERS_OF)))
     table = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
     told = F.transform("audience_targets", lambda a: F.coalesce(F.try_element_at(table, a), F.initcap(F.replace(a, F.lit("_"), F.lit(" ")))))
     every = F.array_distinct(F.concat(F.filter(F.array(who), lambda x: x.isNotNull()), told))
-    return F.when(F.size(every) > 0, every).otherwise(F.array(F.lit("Anyone following cybersecurity news")))
+    return F.when(F.size(every) > 0, every).otherwise(F.array(F.lit(cv.ANYONE)))
 
 
 def what_to_do(tables: CopyTables, language: str = "en", n: int = 3) -> Column:

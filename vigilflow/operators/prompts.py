@@ -36,8 +36,8 @@ class Rules:
 
 def system_prompt(template: str, persona: Persona, rules: Rules, language: str) -> str:
     """What a template and a language say; the same text for every item of both."""
-    parts = [persona.persona, f"STYLE NOTES:\n{persona.style_notes}", f"EXTRA GUIDANCE:\n{persona.extra_guidance}" if persona.extra_guidance else "", rules.shared, rules.directive]
-    return "\n\n".join([p for p in parts if p] + ["\n".join((f"TEMPLATE_ID: {template}", f"OUTPUT_LANGUAGE: {language}", rules.form))])
+    parts = [persona.persona, f"{ev.PROMPT_STYLE}{persona.style_notes}", f"{ev.PROMPT_GUIDANCE}{persona.extra_guidance}" if persona.extra_guidance else "", rules.shared, rules.directive]
+    return "\n\n".join([p for p in parts if p] + ["\n".join((f"{ev.PROMPT_TEMPLATE}{template}", f"{ev.PROMPT_LANGUAGE}{language}", rules.form))])
 
 
 def user_prompt(language: str, reminder: str = "") -> Column:
@@ -55,8 +55,8 @@ def user_prompt(language: str, reminder: str = "") -> Column:
         "target_audience_label": F.coalesce(F.try_element_at(labels, F.col("audience")), F.replace("audience", F.lit("_"), F.lit(" "))),
     }
     told = [part for name, value in facts.items() for part in (F.lit(f"- {name}: "), value, F.lit("\n"))]
-    article = [F.lit("\nSOURCE ARTICLE\nTitle: "), F.col("title"), F.lit("\nBody:\n"), ed.source_excerpt(F.col("raw_content")), F.lit("\n")]
-    return F.concat(F.lit("SOURCE METADATA\n"), *told, *article, F.when(own != language, reminder).otherwise(""), F.lit(ev.PROMPT_CLOSE))
+    article = [F.lit(ev.PROMPT_TITLE), F.col("title"), F.lit(ev.PROMPT_TEXT), ed.source_excerpt(F.col("raw_content")), F.lit("\n")]
+    return F.concat(F.lit(ev.PROMPT_FACTS), *told, *article, F.when(own != language, reminder).otherwise(""), F.lit(ev.PROMPT_CLOSE))
 
 
 def prompts(items: DataFrame, personas: dict[str, Persona], rules: Rules, language: str = "en", preferred: str | None = None) -> DataFrame:

@@ -15,6 +15,22 @@ FACT_LABELS = {
 }
 
 
+# What a failed check says; counters go by how it begins.
+REASONS = {
+    "empty": "empty {}",
+    "empty_list": "empty {} list",
+    "language": "{} is not in target language ",
+    "level": "hallucinated threat_level: ",
+    "echo": "summary echoes title verbatim",
+    "duplicates": "duplicate entries in {}",
+    "cliche": "AI cliché detected: ",
+    "russism": "Russism stem in UA output: ",
+    "foreign": "Foreign-script character in UA output: ",
+    "fluff": "editorial fluff persisted in {}",
+    "copy": "{} reads as a near-copy of source",
+}
+
+
 def references(text: Column) -> Column:
     """array<struct<type, label, url>> of the advisory ids in a text, in order of kind, each label once."""
     text = F.coalesce(text, F.lit(""))
@@ -148,15 +164,16 @@ def failure_reason(language: Column) -> Column:
     fluffy = lambda c: F.when(language == "ua", ed.contains_fluff(c, "ua")).when(language == "en", ed.contains_fluff(c, "en")).otherwise(False)
     copied = lambda c: near_copy(F.col(c), F.col("source_tokens")) >= 0.25
     in_ua = language == "ua"
+    says = lambda reason, field="": F.lit(REASONS[reason].format(field))
     return F.coalesce(
-        F.when(title == "", "empty title"), F.when(summary == "", "empty short_summary"), F.when(why == "", "empty why_it_matters"),
-        F.when(tx.wrong_script(title, language), F.concat(F.lit("title is not in target language "), quoted(language), F.lit(": "), quoted(F.substring(title, 1, 80)))),
-        F.when(tx.wrong_script(summary, language), F.concat(F.lit("short_summary is not in target language "), quoted(language))),
-        F.when(~F.trim("threat_level").isin("Critical", "High", "Medium", "Low"), F.concat(F.lit("hallucinated threat_level: "), quoted(F.trim("threat_level")))),
-        F.when(F.size(do) == 0, "empty what_to_do list"), F.when(F.size(users) == 0, "empty affected_users list"), F.when(echo, "summary echoes title verbatim"),
-        F.when(has_duplicates(do), "duplicate entries in what_to_do"), F.when(has_duplicates(avoid), "duplicate entries in what_not_to_do"),
-        F.concat(F.lit("AI cliché detected: "), quoted(ed.cliche(blob))),
-        F.when(in_ua, F.concat(F.lit("Russism stem in UA output: "), quoted(ed.russism(blob)))), F.when(in_ua, F.concat(F.lit("Foreign-script character in UA output: "), quoted(ed.foreign_character(blob)))),
-        *[F.when(fluffy(F.col(c)), f"editorial fluff persisted in {c}") for c in ("short_summary", "why_it_matters", "detail_body")],
-        F.when(copied("summary_tokens"), "short_summary reads as a near-copy of source"), F.when(copied("why_tokens"), "why_it_matters reads as a near-copy of source"),
+        F.when(title == "", says("empty", "title")), F.when(summary == "", says("empty", "short_summary")), F.when(why == "", says("empty", "why_it_matters")),
+        F.when(tx.wrong_script(title, language), F.concat(says("language", "title"), quoted(language), F.lit(": "), quoted(F.substring(title, 1, 80)))),
+        F.when(tx.wrong_script(summary, language), F.concat(says("language", "short_summary"), quoted(language))),
+        F.when(~F.trim("threat_level").isin("Critical", "High", "Medium", "Low"), F.concat(says("level"), quoted(F.trim("threat_level")))),
+        F.when(F.size(do) == 0, says("empty_list", "what_to_do")), F.when(F.size(users) == 0, says("empty_list", "affected_users")), F.when(echo, says("echo")),
+        F.when(has_duplicates(do), says("duplicates", "what_to_do")), F.when(has_duplicates(avoid), says("duplicates", "what_not_to_do")),
+        F.concat(says("cliche"), quoted(ed.cliche(blob))),
+        F.when(in_ua, F.concat(says("russism"), quoted(ed.russism(blob)))), F.when(in_ua, F.concat(says("foreign"), quoted(ed.foreign_character(blob)))),
+        *[F.when(fluffy(F.col(c)), says("fluff", c)) for c in ("short_summary", "why_it_matters", "detail_body")],
+        F.when(copied("summary_tokens"), says("copy", "short_summary")), F.when(copied("why_tokens"), says("copy", "why_it_matters")),
     )

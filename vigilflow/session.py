@@ -82,16 +82,26 @@ def written_text(lines, name: str) -> str:
     return path
 
 
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of a folder's files: another tuple after any change of them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files, found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def once(build: Callable) -> Callable:
-    """A builder of (spark, folder) whose plan, not its rows, is made once a session: planning takes as long as a small query."""
+    """A builder of (spark, folder) whose plan, not its rows, is made once for a state of the folder's documents: planning takes as long as a small query."""
     made: WeakKeyDictionary = WeakKeyDictionary()
 
     @wraps(build)
     def get(spark: SparkSession, sf_dir: str):
-        own = made.setdefault(spark, {})
-        if sf_dir not in own:
-            own[sf_dir] = build(spark, sf_dir)
-        return own[sf_dir]
+        own, state = made.setdefault(spark, {}), _state(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+        if own.get(sf_dir, (None,))[0] != state:
+            own[sf_dir] = state, build(spark, sf_dir)
+        return own[sf_dir][1]
 
     return get
 
