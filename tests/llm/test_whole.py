@@ -95,3 +95,20 @@ def test_one_version_a_notice(spark, before):
     texts += [(v, " ".join(f"w{i}" for i in range(before)) + f" Distributed under the GNU General Public License, version {v}. And so on it goes.") for v in (1, 2, 3)]
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
     assert sorted((r["doc_id"], r["license"]) for r in licenses.scan(docs).collect()) == [(i, f"GPL-{v}.0") for i, (v, _) in enumerate(texts)]
+
+
+def test_numbers_in_everyday_phrases():
+    """Cue words of four languages, near and farther off; a number that nothing announces, dates and amounts stay out."""
+    from vigilflow.llm import pii
+
+    found = lambda t: [t[a:b] for a, b, _ in pii.all_spans(t, pii.fitted(), pii.base_spans(t))]
+    announced = {
+        "my telephone number for urgent enquiries is 415 555 1234": ["415 555 1234"], "Ph: 020 7946 0958": ["020 7946 0958"], "ring 020 7946 0958 today": ["020 7946 0958"], "Telefon: 030 1234567": ["030 1234567"],
+        "teléfono 91 123 45 67": ["91 123 45 67"], "call us toll free at 1-800-555-0199": ["1-800-555-0199"], "call 415.555.2671 or 415.555.2672": ["415.555.2671", "415.555.2672"], "Téléphone : 01 23 45 67 89": ["01 23 45 67 89"],
+        "Rufen Sie uns an unter 030 123 4567": ["030 123 4567"], "llámame al 612 345 678": ["612 345 678"], "my mobile is 555-867-5309, thanks": ["555-867-5309"], "Fax 212-555-0187": ["212-555-0187"], "appelez le 01 98 76 54 32": ["01 98 76 54 32"],
+        "Handy: 0171 234 5678": ["0171 234 5678"], "text or call 646 555 0101 after six": ["646 555 0101"],
+    }
+    missed = [t for t, spans in announced.items() if found(t) != spans]
+    assert len(missed) <= 1, [(t, found(t)) for t in missed]
+    plain = ("The meeting was on 2024-05-12 at noon", "We sold 1,234,567 units", "Order 48213 was shipped", "In 1998 and 2003 and 2011", "Call me before 2024-05-12", "version 3.14.15 is out", "He called in 1987", "Serial 123 456 7890 is printed below", "pages 112-118")
+    assert not [(t, found(t)) for t in plain if found(t)]

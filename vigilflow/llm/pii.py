@@ -6,7 +6,7 @@ by scans that are linear in the text. Their spans always stay.
 What they don't take is read by the field: zones around other digit runs, and around spelled-out addresses
 ("name at host dot com", with or without brackets), are cut into tokens, and every run of at most MAX_TOKENS
 tokens, and a spelled-out address of any length, is a candidate segment of each kind. A segment's score is a weighted sum of features of the whole span (digits, groups,
-separators, Luhn check, cue words before it); dynamic programming chooses segments and kinds jointly. The
+separators, Luhn check, cue words in the CUE_WINDOW words before it); dynamic programming chooses segments and kinds jointly. The
 weights are fitted here, by gradient ascent on the log-likelihood (forward and backward sums over all
 segmentations) of sentences that are generated with known spans. A segment is added only if it overlaps no
 base span.
@@ -18,6 +18,7 @@ be null; extra columns are ignored; offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from bisect import bisect_right
@@ -92,8 +93,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-# Zones that the field reads: digit groups with one or two separators, as many as there are, and spelled-out
-# addresses. A group that a letter follows isn't part of a zone; the groups before it are.
+# Zones that the field reads: digit groups with one or two separators, as many as there are, of four digits or more together, and
+# spelled-out addresses. A group that a letter follows isn't part of a zone; the groups before it are.
 _NUMBERS = re.compile(r"(?<![\w@.])\+?\(?[0-9]++(?![\w@])(?:[\x20().,/-]{1,2}[0-9]++(?![\w@]))*+")
 _AT, _DOT = r"[ ]?[\[({][ ]?at[ ]?[\])}][ ]?", r"(?:[ ]?[\[({][ ]?dot[ ]?[\])}][ ]?|[ ]dot[ ])"
 _HOST = r"[A-Za-z0-9-]++"
@@ -104,22 +105,35 @@ _BARE_AT = re.compile(r"([A-Za-z0-9_]+)[ ]at[ ]", re.IGNORECASE)
 #: Words before a bare "at" that are no mailbox: "visit us at example dot com".
 _PROSE = frozenset("us me him her them it look visit available found find more read here online hosted published live located see meet meeting start starts based site website page is are be was were arrive stay posted shop join and or out up down back there stop sold buy".split())
 _TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")
-_CUES = {
-    "phone": re.compile(r"(?:phones?|call|tel|telephone|mobile|cell|fax|dial|whatsapp|sms)\W{0,6}(?:me |us )?(?:at |on |no\.? |number )?(?:is |are )?\W{0,3}$", re.IGNORECASE),
-    "card": re.compile(r"(?:card|visa|mastercard|amex|credit|debit|cc)\W{0,6}(?:no\.? |number )?(?:is )?\W{0,3}$", re.IGNORECASE),
-    "ip": re.compile(r"(?:ip|ipv4|host|address|server|addr)\W{0,6}(?:is )?\W{0,3}$", re.IGNORECASE),
-    "email": re.compile(r"(?:e-?mail|mail|contact|write|reach)\W{0,6}(?:me |us )?(?:at |to )?\W{0,3}$", re.IGNORECASE),
-}
-N_FEATURES = 32
+#: Words that announce a kind in English, German, French and Spanish: beginnings, or whole words where they end in a dot.
+CUE_WORDS = {
+    "email": ("mail", "email", "courriel", "correo", "contact", "kontakt", "write.", "reach", "schreib", "écri", "escrib"),
+    "ip": ("ip.", "ipv4", "host", "server", "serveur", "servidor", "address", "addr.", "adresse", "direcci"),
+    "card": ("card", "karte", "kreditkarte", "carte", "tarjeta", "visa.", "mastercard", "amex", "credit", "kredit", "crédit", "debit", "cc."),
+    "phone": ("phone", "tel.", "telep", "telef", "teléf", "télép", "ph.", "call", "mobil", "móvil", "cell", "handy", "fax", "dial", "ring.", "whatsapp", "sms.", "hotline", "anruf", "ruf", "durchwahl", "llam", "llám", "appel", "portable"),
+}
+#: A cue is one of the last CUE_WINDOW words before a place, in its sentence and in the last CUE_CHARS characters; near, if it is one of the last NEAR.
+CUE_WINDOW, NEAR, CUE_CHARS = 8, 2, 160
+_LETTERS = re.compile(r"[^\W\d_]+[0-9]?")
+_SENTENCE = re.compile(r"[\n!?]|\.\s+(?=[A-ZÀ-Þ])")
+_CUE_OF = re.compile("|".join(f"(?P<{kind}>{'|'.join(w[:-1] + '$' if w.endswith('.') else w for w in words)})" for kind, words in CUE_WORDS.items()))
+N_FEATURES = 40
 
 
 def cues(before: str) -> list[bool]:
-    """Which kinds the words before a place announce."""
-    return [bool(_CUES[kind].search(before)) for kind in KINDS]
-
-
-def features(span: str, near: list[bool], head: list[bool], address: bool) -> np.ndarray:
-    """Of a whole candidate span, the cues before it, those before the first token that is read with it (of a list), and whether it is a whole spelled-out address."""
+    """Which kind the nearest cue word before a place announces: a flag for each kind if it is near, then one for each if it is farther off."""
+    flags = [False] * (2 * len(KINDS))
+    for m in _SENTENCE.finditer(before):
+        before = before[m.end() - len(m.string) :] if m.end() < len(m.string) else ""
+    for n, word in enumerate(reversed(_LETTERS.findall(before)[-CUE_WINDOW:])):
+        if m := _CUE_OF.match(word.lower()):
+            flags[KINDS.index(m.lastgroup) + (0 if n < NEAR else len(KINDS))] = True
+            break
+    return flags
+
+
+def features(span: str, near: list[bool], head: list[bool], address: bool, around: tuple[str, str] = ("", "")) -> np.ndarray:
+    """Of a whole candidate span, the cues before it (cues()), those before the first token that is read with it (of a list), whether it is a whole spelled-out address, and the two characters before and after it."""
     digits, groups = _only_digits(span), re.findall(r"[0-9]+", span)
     n, sizes = len(digits), [len(g) for g in groups]
     f = np.zeros(N_FEATURES)
@@ -133,7 +147,7 @@ def features(span: str, near: list[bool], head: list[bool], address: bool) -> np
     f[7] = n > 16
     f[8] = 12 <= n <= 19 and luhn(digits)
     f[9] = len(groups) == 4 and all(s <= 3 and int(g) <= 255 for s, g in zip(sizes, groups, strict=True))
-    f[10] = sizes in ([3, 3, 4], [3, 4], [1, 3, 3, 4])
+    f[10] = sizes in ([3, 3, 4], [3, 4], [1, 3, 3, 4], [3, 4, 4], [3, 7], [2, 3, 2, 2], [2, 2, 2, 2, 2], [5, 6], [4, 3, 3])
     f[11] = sizes in ([4, 4, 4, 4], [4, 6, 5])
     f[12] = span.count("(") == span.count(")") == 1
     f[13] = len({c for c in span if c in " -./,"}) > 1
@@ -143,9 +157,16 @@ def features(span: str, near: list[bool], head: list[bool], address: bool) -> np
     f[17] = address
     f[18] = len(groups) == 1
     f[19] = not (span[:1].isalnum() or span[:1] in ("(", "+")) or not span[-1:].isalnum()
-    f[20:24] = near
+    f[20:24] = near[:4]
+    f[32:36] = near[4:]
     f[24] = span[:1] == "+"
-    f[25:29] = head
+    f[25:29] = [a or b for a, b in zip(head[:4], head[4:], strict=True)]
+    # A number that goes on to the left or the right of the span, by a sign or by a blank.
+    left, right = around
+    f[36] = left[:1].isdigit() and left[1:] in ("-", ".", "/")
+    f[37] = left[:1].isdigit() and left[1:] == " "
+    f[38] = right[:1] in ("-", ".", "/") and right[1:].isdigit()
+    f[39] = right[:1] == " " and right[1:].isdigit()
     bare = _BARE_AT.search(span)
     f[29] = bare is not None
     f[30] = bare is not None and bare[1].lower() in _PROSE
@@ -167,8 +188,10 @@ class SemiMarkovField:
         whole = (0, len(tokens)) if runs[-1][1] == len(tokens) and _SPELLED.fullmatch(text, tokens[0][0], tokens[-1][1]) else None
         if whole and len(tokens) > MAX_TOKENS:
             runs.append(whole)
-        near = {i: cues(text[max(0, tokens[i][0] - 24) : tokens[i][0]]) for i in {0, *(i for i, _ in runs)}}
-        rows = [features(text[tokens[i][0] : tokens[j - 1][1]], near[i], near[0], (i, j) == whole) for i, j in runs]
+        near = {i: cues(text[max(0, tokens[i][0] - CUE_CHARS) : tokens[i][0]]) for i in {0, *(i for i, _ in runs)}}
+        span = lambda i, j: (tokens[i][0], tokens[j - 1][1])
+        around = lambda a, b: (text[max(0, a - 2) : a], text[b : b + 2])
+        rows = [features(text[slice(*span(i, j))], near[i], near[0], (i, j) == whole, around(*span(i, j))) for i, j in runs]
         return runs, np.array(rows)
 
     def best(self, tokens: list[tuple[int, int]], text: str) -> list[tuple[int, int, int]]:
@@ -195,30 +218,41 @@ class SemiMarkovField:
                 j -= 1
         return out[::-1]
 
-    def gradient(self, runs: list[tuple[int, int]], rows: np.ndarray, gold: set[tuple[int, int, int]], n: int) -> tuple[np.ndarray, float]:
+    def gradient(self, zone: LabelledZone) -> tuple[np.ndarray, float]:
         """Of the log-likelihood of one labelled zone: observed less expected features."""
-        scores = rows @ self.weights.T
-        alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-        alpha[0] = beta[n] = 0.0
-        whole = np.logaddexp.reduce(scores, axis=1)
-        by_end: list[list[int]] = [[] for _ in range(n + 1)]
-        by_start: list[list[int]] = [[] for _ in range(n + 1)]
-        for r, (i, j) in enumerate(runs):
-            by_end[j].append(r)
-            by_start[i].append(r)
+        scores = zone.rows @ self.weights.T
+        best = scores.max(axis=1)
+        whole = (best + np.log(np.exp(scores - best[:, None]).sum(axis=1))).tolist()
+        n, outside = zone.n, self.outside
+        alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
         for j in range(1, n + 1):
-            alpha[j] = np.logaddexp.reduce([alpha[j - 1] + self.outside, *[alpha[runs[r][0]] + whole[r] for r in by_end[j]]])
+            alpha[j] = _log_sum([alpha[j - 1] + outside, *[alpha[i] + whole[r] for r, i in zone.by_end[j]]])
         for i in range(n - 1, -1, -1):
-            beta[i] = np.logaddexp.reduce([beta[i + 1] + self.outside, *[beta[runs[r][1]] + whole[r] for r in by_start[i]]])
-        starts, ends = np.array([i for i, _ in runs]), np.array([j for _, j in runs])
-        chance = np.exp(alpha[starts][:, None] + scores + beta[ends][:, None] - alpha[n])
-        observed = np.zeros_like(chance)
+            beta[i] = _log_sum([beta[i + 1] + outside, *[beta[j] + whole[r] for r, j in zone.by_start[i]]])
+        before, after = np.array(alpha), np.array(beta)
+        chance = np.exp(before[zone.starts][:, None] + scores + after[zone.ends][:, None] - alpha[n])
+        expected = np.exp(before[:-1] + outside + after[1:] - alpha[n]).sum()
+        return (zone.observed - chance).T @ zone.rows, (n - zone.covered) - expected
+
+
+def _log_sum(values: list[float]) -> float:
+    top = max(values)
+    return top + math.log(sum(math.exp(v - top) for v in values))
+
+
+class LabelledZone:
+    """A zone's candidate segments and features, by where they begin and end, and which of them are true."""
+
+    def __init__(self, runs: list[tuple[int, int]], rows: np.ndarray, gold: set[tuple[int, int, int]], n: int):
+        self.rows, self.n = rows, n
+        self.starts, self.ends = np.array([i for i, _ in runs]), np.array([j for _, j in runs])
+        self.by_end: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        self.by_start: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
         for r, (i, j) in enumerate(runs):
-            for kind in range(len(KINDS)):
-                observed[r, kind] = (i, j, kind) in gold
-        covered = sum(j - i for i, j, _ in gold)
-        expected = np.exp(alpha[:-1] + self.outside + beta[1:] - alpha[n]).sum()
-        return (observed - chance).T @ rows, (n - covered) - expected
+            self.by_end[j].append((r, i))
+            self.by_start[i].append((r, j))
+        self.observed = np.array([[(i, j, kind) in gold for kind in range(len(KINDS))] for i, j in runs], float)
+        self.covered = sum(j - i for i, j, _ in gold)
 
 
 def _examples(n: int = 240, seed: int = 5) -> list[tuple[str, list[tuple[str, str]]]]:
@@ -255,6 +289,23 @@ def _examples(n: int = 240, seed: int = 5) -> list[tuple[str, list[tuple[str, st
         phone = r.choice([f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"+{d(2)}-{d(2)}-{d(4)}-{d(3)}"])
         sign = r.choice([f"+{d(r.randint(1, 6))}", f"+{r.randint(1, 99)}.{d(2)}", f"+{r.randint(1, 99)},{d(3)}", f"+{d(2)}, {d(2)}, {d(1)}"])
         out.append((f"{word()} {phone if i % 2 else sign} {word()}", [(phone, "phone")] if i % 2 else []))
+    shapes = [(3, 3, 4), (1, 3, 3, 4), (3, 4, 4), (3, 7), (2, 3, 2, 2), (2, 2, 2, 2, 2), (5, 6), (4, 3, 3)]
+    for i in range(n):  # numbers after cue words of all languages, some words between them; numbers of the same shapes without; other numbers after cues
+        kind = r.choice(KINDS[1:]) if i % 4 == 3 else "phone"
+        cue = r.choice([w.rstrip(".") + ("" if w.endswith(".") else r.choice(["", "", "s", "er", "ono"])) for w in CUE_WORDS[kind]])
+        between = " ".join(word() for _ in range(r.choice([0, 0, 1, 2, 3, 5])))
+        lead = f"{word()} {cue}{r.choice([':', '', ''])} {between}{' ' if between else ''}{r.choice(['', '', 'is ', 'at ', 'no. '])}"
+        number = r.choice(" -. ").join(d(k) for k in r.choice(shapes))
+        date = r.choice([f"{d(4)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{r.randint(1, 28):02d}/{r.randint(1, 12):02d}/{d(4)}", d(r.randint(4, 6)), f"{r.randint(1, 999)},{d(3)},{d(3)}"])
+        if i % 4 == 0:
+            out.append((f"{lead}{number} {word()}", [(number, "phone")]))
+        elif i % 4 == 1:
+            out.append((f"{word()} {word()} {number} {word()}", []))
+        elif i % 4 == 2:
+            out.append((f"{lead}{date} {word()}", []))
+        else:
+            made = makers[kind]()[1]
+            out.append((f"{lead}{made} {word()}", [(made, kind)]))
     for i in range(n // 2):  # addresses with a bare "at", and prose that reads like them
         host = f"{word()}{r.choice([' dot ', ' (dot) '])}{r.choice(['com', 'org', 'net'])}"
         address = f"{word()} at {host}"
@@ -315,12 +366,12 @@ def fitted(steps: int = 120) -> SemiMarkovField:
                 inside = [t for t, (i, j) in enumerate(tokens) if i >= a and j <= a + len(span)]
                 if inside and tokens[inside[0]][0] == a and tokens[inside[-1]][1] == a + len(span) and (len(inside) <= MAX_TOKENS or kind == "email" and len(inside) == len(tokens)):
                     gold.add((inside[0], inside[-1] + 1, KINDS.index(kind)))
-            zones.append((*field.segments(tokens, text), gold, len(tokens)))
+            zones.append(LabelledZone(*field.segments(tokens, text), gold, len(tokens)))
     for step in range(steps):
         # A third of the zones in turn: every third step has seen all.
         total, outside, some = np.zeros_like(field.weights), 0.0, zones[step % 3 :: 3]
-        for runs, rows, gold, n in some:
-            g, o = field.gradient(runs, rows, gold, n)
+        for zone in some:
+            g, o = field.gradient(zone)
             total += g
             outside += o
         rate = 2.0 / (1 + step / 40)
