@@ -92,6 +92,54 @@ def test_blocks_of_a_group(spark, monkeypatch):
     test_near_dedup_chains_and_hot_groups(spark)
 
 
+def altered(rng, base, changes):
+    """base with that many of its words, apart from each other, replaced."""
+    out = list(base)
+    for at in rng.sample(range(2, len(base) - 2, 6), changes):
+        out[at] = f"w{rng.randrange(10**9)}"
+    return " ".join(out)
+
+
+def test_near_dedup_sends_a_group_of_near_copies_to_few_blocks(spark, monkeypatch):
+    """200 texts around one that they are copies of or nearly so, and 30 that are farther from it, in chunks of 20."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(104)]
+    texts = {0: " ".join(base)} | {i: altered(rng, base, 2 + i % 2) for i in range(1, 200)}
+    texts |= {i: altered(rng, base, 4) for i in range(200, 230)}
+    monkeypatch.setattr(near_dedup, "CHUNK_NODES", 20)
+    sent, plain = [], near_dedup._dealt
+
+    def counted(members, texts_of):
+        out = plain(members, texts_of)
+        parts = members.groupBy("label", "part").count().collect()
+        sent.append((out.count(), sum(r["count"] for r in parts), max(r["count"] for r in parts)))
+        return out
+
+    monkeypatch.setattr(near_dedup, "_dealt", counted)
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_classes(texts)
+    for rows, nodes, most in sent:
+        beside = nodes - most
+        # The largest component's nodes go to the chunks of the others; theirs to all chunks.
+        assert rows <= most * (beside / 20 + 1) + beside * (nodes / 20 + 2), (rows, nodes, most)
+
+
+def test_near_dedup_blocks_hold_every_pair_of_components_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK_NODES", 10)
+    # Two groups: one of components of 45, 30 and many single nodes, one of a single chunk.
+    part = {n: 0 if n < 45 else 1 if n < 75 else n for n in range(110)} | {n: n % 2 for n in range(200, 206)}
+    members = spark.createDataFrame([(n, n // 200, p) for n, p in part.items()], "node long, label long, part long")
+    texts = spark.createDataFrame([(n, "some words") for n in part], "node long, norm string")
+    blocks = collections.defaultdict(set)
+    for r in near_dedup._dealt(members, texts).collect():
+        blocks[r["label"], r["low"], r["high"]].add(r["node"])
+    met = {(a, b) for held in blocks.values() for a in held for b in held if a < b}
+    apart = {(a, b) for a in part for b in part if a < b and a // 200 == b // 200 and part[a] != part[b]}
+    assert apart <= met and all(a // 200 == b // 200 for a, b in met)
+    # No block is made of the chunks of one large component alone.
+    assert all(len({part[n] for n in held}) > 1 for held in blocks.values())
+
+
 def test_signatures_estimate_weighted_jaccard():
     r = np.random.default_rng(1)
     shared, a, b = (r.integers(0, 2**63, n, dtype=np.uint64) for n in (300, 60, 60))

@@ -11,10 +11,13 @@ a chance of (1 - 0.8**5)**25 = 5e-5.
 Texts that are equal after normalisation are one node, found by two 64-bit hashes before any comparison. Nodes of a
 band bucket aren't paired with each other: each is compared with one leader of its bucket, exactly, and
 links make components. A bucket that then holds nodes of more than one component is still open. In a small
-one (SMALL nodes or fewer) the nodes of different components are compared. Large ones that overlap make a
-group, and a group is compared in full, in blocks of bounded size: a block counts the shared shingles of all
-its texts by a matrix product and returns a spanning forest of the links, not the pairs. So no cap loses
-a link; a group of n texts is sent to n / CHUNK_NODES blocks each. Joins by a node or a leader with very many
+one (SMALL nodes or fewer) the nodes of different components are compared. In a large one, nodes outside its hub's
+component are compared with the hub, the node that shares most of the large buckets (where copies differ from one
+text and more from each other, that text). Large buckets that are open even then and overlap make a
+group, whose components are compared in full, in blocks of bounded size: a block counts the shared shingles of all
+its texts by a matrix product and returns a spanning forest of the links, not the pairs. Two chunks of one
+component make no block. So no cap loses a link; a component of n texts that r others are left beside is sent
+to r / CHUNK_NODES blocks. Joins by a node or a leader with very many
 rows are plain joins that adaptive execution splits; sums by them are taken in each task first. Nothing but row
 counts reaches the driver.
 
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilflow.llm import shingles
@@ -202,20 +205,35 @@ def linked_block(nodes: np.ndarray, sets: list[np.ndarray], similarity: float, c
     return [(int(nodes[r]), int(nodes[i])) for i, r in enumerate(root) if r != i]
 
 
-def _block_links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) inside groups: members has rows (node, label), label naming the group.
+def _dealt(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(label, low, high, node): the blocks of the groups, each between two chunks of a group, and the nodes of both.
 
-    Blocks are planned on rows without texts, as a group may hold very many; texts join last, by node. Each block
-    is a group of its own for the shuffle, whatever group it belongs to.
+    members has rows (node, label, part): label names the group, part the component that the node is in. A component
+    that fills more than one chunk has chunks of its own, which meet those of all others and not each other; the rest of
+    a group shares its chunks. Rows carry no texts, as a group may hold very many.
     """
+    fill = F.greatest(F.ceil(F.sum("size") / CHUNK_SHINGLES), F.ceil(F.count("*") / CHUNK_NODES)).cast("int").alias("own")
     weighed = written(texts.select("node", (F.length("norm") / 6).alias("size")).join(members, "node"), "dart-sizes")
-    sums = weighed.groupBy("label").agg(F.greatest(F.ceil(F.sum("size") / CHUNK_SHINGLES), F.ceil(F.count("*") / CHUNK_NODES)).cast("int").alias("chunks"))
-    rows = weighed.join(sums, "label").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")))
+    large = weighed.groupBy("label", "part").agg(fill).filter("own > 1").select("label", "part", F.lit(True).alias("large"))
+    pool = F.coalesce("large", F.lit(False))
+    pooled = weighed.join(large, ["label", "part"], "left").select("label", "node", "size", pool.alias("alone"), F.when(pool, F.col("part")).otherwise(0).alias("pool"))
+    pooled = written(pooled, "dart-pools")
+    # One row a pool: at most one for each CHUNK_NODES nodes or CHUNK_SHINGLES shingles of a group, and one more.
+    group = Window.partitionBy("label")
+    before = F.coalesce(F.sum("own").over(group.orderBy("alone", "pool").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = pooled.groupBy("label", "alone", "pool").agg(fill).withColumn("before", before).withColumn("chunks", F.sum("own").over(group))
+    rows = pooled.join(sums, ["label", "alone", "pool"]).withColumn("chunk", F.col("before") + F.pmod(F.xxhash64("node", F.lit(3)), F.col("own")))
     # A chunk meets every other once; alone in its group it meets itself.
-    others = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    dealt = rows.select("label", "node", "chunk", "chunks", others).filter((F.col("chunk") != F.col("other")) | (F.col("chunks") == 1))
-    dealt = written(dealt.select("label", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node"), "dart-blocks")
-    dealt = dealt.join(texts, "node").select("label", "low", "high", "node", "norm")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.filter((F.col("chunk") != F.col("other")) | (F.col("chunks") == 1))
+    rows = rows.filter(~F.col("alone") | (F.col("other") < F.col("before")) | (F.col("other") >= F.col("before") + F.col("own")))
+    return written(rows.select("label", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node"), "dart-blocks")
+
+
+def _block_links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components of a group (members as in _dealt). Texts join last, by node; each block is a group
+    of its own for the shuffle, whatever group it belongs to."""
+    dealt = _dealt(members, texts).join(texts, "node").select("label", "low", "high", "node", "norm")
 
     def links(table: pa.Table) -> pa.Table:
         nodes, texts_of = table.column("node").to_numpy(), table.column("norm").combine_chunks()
@@ -225,6 +243,22 @@ def _block_links(members: DataFrame, texts: DataFrame, similarity: float) -> Dat
     return dealt.groupBy("label", "low", "high").applyInArrow(links, "a long, b long")
 
 
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (bucket, node, n, leader, label) of buckets whose nodes are in more than one component."""
+    labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("bucket")
+    return written(labelled.join(mixed, "bucket"), "dart-open")
+
+
+def _hub_pairs(large: DataFrame) -> DataFrame:
+    """(a, b): each node of a large open bucket (b) with the bucket's hub (a), where their components differ."""
+    weighed = large.join(large.groupBy("node").agg(F.sum("n").alias("weight")), "node")
+    hub = F.max(F.struct("weight", "node", "label")).alias("hub")
+    hubs = weighed.groupBy("bucket").agg(hub).select("bucket", F.col("hub.node").alias("a"), F.col("hub.label").alias("of_a"))
+    # A hub that leads its bucket has met its nodes.
+    return large.join(hubs, "bucket").filter("label <> of_a and a <> leader").select("a", F.col("node").alias("b")).distinct()
+
+
 def _apart(signed: DataFrame, twins: DataFrame) -> DataFrame:
     """signed, where different texts that share a node get nodes of their own, by their second hash."""
     marked = signed.join(twins.select("node", F.lit(True).alias("twin")), "node", "left")
@@ -263,20 +297,23 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, ban
     tried = written(in_bucket.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "dart-pairs")
     edges = written(_verified(tried, texts, similarity), "dart-links")
     labels = _labels(edges)
-    labelled = in_bucket.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("bucket")
-    still = written(labelled.join(mixed, "bucket"), "dart-open")
+    still = _open(in_bucket, labels)
 
     few = still.filter(F.col("n") <= SMALL)
     left = few.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"))
     right = few.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
     pairs = left.join(right, "bucket").filter("a < b and label_a <> label_b").select("a", "b").distinct()
     untried = pairs.join(tried, ["a", "b"], "left_anti")
-    many = still.filter(F.col("n") > SMALL).select(F.col("leader").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
-    many = written(many, "dart-groups")
     more = _verified(untried, texts, similarity)
-    if not many.isEmpty():
-        more = more.union(_block_links(_labels(many), texts, similarity))
+    large = still.filter(F.col("n") > SMALL)
+    if not large.isEmpty():
+        edges = edges.union(written(_verified(written(_hub_pairs(large), "dart-pairs"), texts, similarity), "dart-links"))
+        labels = _labels(edges)
+        large = _open(large.drop("label"), labels)
+        many = written(large.select(F.col("leader").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct(), "dart-groups")
+        if not many.isEmpty():
+            parts = large.select("node", F.col("label").alias("part")).distinct()
+            more = more.union(_block_links(_labels(many).join(parts, "node"), texts, similarity))
     more = written(more, "dart-links")
     if not more.isEmpty():
         labels = _labels(edges.union(more))
