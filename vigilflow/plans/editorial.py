@@ -96,12 +96,25 @@ def merge_references(spark, sf_dir):
     return seeded.items(spark, sf_dir).select("fingerprint", F.array_join(F.transform(refs, lambda r: F.concat_ws("|", r["type"], r["label"], r["url"])), " ").alias("refs"))
 
 
-@query("filter_references", with_sql(ITEMS_SQL, "SELECT fingerprint, CASE WHEN doc_id % 2 = 0 THEN 'CVE-2024-1111' ELSE 'plain' END AS refs FROM items"))
+_REFERENCES_SQL = """SELECT fingerprint, array_to_string(list_transform(list_filter(refs,
+  lambda r: regexp_extract(lower(r.url), '^https://(?:www[.])?([^/]+)', 1) <> 'news.test'
+    AND len(list_filter(regexp_extract_all(upper(r.label), 'CVE-[0-9]{4}-[0-9]{4,7}|KB[0-9]{6,}'), lambda x: NOT contains(upper(r.url), x))) = 0), lambda r: r.label), '|') AS refs
+FROM (SELECT fingerprint, list_transform(range(0, 6), lambda j: {'label': ['CVE-2024-', 'Note cve-2024-', 'plain '][j % 3 + 1] || (1000 + (doc_id * 7 + j) % 5) || CASE WHEN j = 4 THEN ' KB12' || (1000 + (doc_id + j) % 5) ELSE '' END,
+  'url': ['https://n.test/', 'https://WWW.News.test/', 'https://a.news.test/'][(doc_id + j) % 3 + 1] || 'CVE-2024-' || (1000 + (doc_id * 3 + j * j) % 5) || '/kb12' || (1000 + doc_id % 5)}) AS refs FROM items)"""
+
+
+@query("filter_references", with_sql(ITEMS_SQL, _REFERENCES_SQL))
 def filter_references(spark, sf_dir):
     """References to the source's own host go, and those whose label names an id that the url lacks."""
-    ref = lambda label, url: F.struct(F.lit("cve").alias("type"), F.lit(label).alias("label"), F.lit(url).alias("url"))
-    even = F.array(ref("CVE-2024-1111", "https://n.test/CVE-2024-1111"), ref("CVE-2024-2222", "https://n.test/"), ref("own", "https://www.news.test/x"))
-    refs = F.when(F.col("doc_id") % 2 == 0, even).otherwise(F.array(ref("plain", "https://n.test/")))
+    d, pick = F.col("doc_id"), lambda values, at: F.get(F.array(*(F.lit(x) for x in values)), at.cast("int"))
+    number = lambda n: (1000 + n % 5).cast("string")
+
+    def ref(j):
+        label = F.concat(pick(("CVE-2024-", "Note cve-2024-", "plain "), j % 3), number(d * 7 + j), F.when(j == 4, F.concat(F.lit(" KB12"), number(d + j))).otherwise(""))
+        url = F.concat(pick(("https://n.test/", "https://WWW.News.test/", "https://a.news.test/"), (d + j) % 3), F.lit("CVE-2024-"), number(d * 3 + j * j), F.lit("/kb12"), number(d))
+        return F.struct(F.lit("cve").alias("type"), label.alias("label"), url.alias("url"))
+
+    refs = F.transform(F.sequence(F.lit(0), F.lit(5)), ref)
     kept = ed.verified_ids(render.drop_source_refs(refs, F.lit("https://news.test/1")))
     return seeded.items(spark, sf_dir).select("fingerprint", F.array_join(F.transform(kept, lambda r: r["label"]), "|").alias("refs"))
 
