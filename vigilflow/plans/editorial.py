@@ -232,9 +232,12 @@ def language_resolve(spark, sf_dir):
     return seeded.items(spark, sf_dir).select("fingerprint", ed.resolve_language(override, F.lit(None).cast("string"), F.col("language")).alias("language"))
 
 
-@query("platform_names", with_sql(ITEMS_SQL, "SELECT fingerprint, CASE len(affected_platforms) WHEN 1 THEN affected_platforms[1] ELSE affected_platforms[1] || ' and ' || affected_platforms[2] END AS names FROM items"))
+@query("platform_names", with_sql(ITEMS_SQL, """SELECT fingerprint, array_to_string(names[1:len(names) - 1], ', ') || CASE WHEN len(names) > 1 THEN ' and ' ELSE '' END || coalesce(names[len(names)], '') AS names
+FROM (SELECT fingerprint, (affected_platforms || audience_targets)[1:doc_id % 5] AS names FROM items)"""))
 def platform_names(spark, sf_dir):
-    return seeded.items(spark, sf_dir).select("fingerprint", render.platform_list(F.col("affected_platforms")).alias("names"))
+    """The first none to four of an item's platforms and audiences, as a phrase."""
+    names = F.slice(F.concat("affected_platforms", "audience_targets"), F.lit(1), (F.col("doc_id") % 5).cast("int"))
+    return seeded.items(spark, sf_dir).select("fingerprint", render.platform_list(names).alias("names"))
 
 
 @query("validate_post", with_sql(ITEMS_SQL, f"""SELECT fingerprint, locale, CASE WHEN doc_id % 8 = 0 THEN 'empty title' WHEN doc_id % 8 = 1 THEN 'hallucinated threat_level: ''Severe''' WHEN len(what_to_do) = 0 THEN 'empty what_to_do list' WHEN doc_id % 8 = 2 THEN 'duplicate entries in what_to_do' WHEN doc_id % 8 = 6 THEN 'AI cliché detected: ' || chr(39) || {quoted(ev.CLICHES_EN[2])} || chr(39) WHEN doc_id % 8 = 4 THEN 'why_it_matters reads as a near-copy of source' END AS reason FROM posts WHERE locale = 'en'"""))
