@@ -2,8 +2,10 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
+from vigilflow import registry
 from vigilflow.functions import editorial as ed
 from vigilflow.functions import editorial_vocab as ev
 from vigilflow.operators import enrich, provider
@@ -81,3 +83,18 @@ def test_source_body_is_cut_where_a_text_pauses(spark):
     assert got == {
         0: "short", 1: None, 2: "a" * 1000 + "\n\n[…truncated]", 3: ("a. " * 400).rstrip() + " […truncated]", 4: "a" * 1100 + "! […truncated]", 5: "é" * 1200 + "… […truncated]", 6: "a" * 1200,
     }
+
+
+def test_source_excerpt_matches_its_sql_at_line_ends(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    line = "w" * 1199
+    texts = [line + "\n" + "b" * 90, line[1:] + "\n " + "b" * 90, line[1:] + " \n" + "b" * 90, line[1:] + "\u00a0 " + "b" * 90, line[1:] + "\t " + "b" * 90, "a" * 900 + "!\n" + "b" * 900, "a" * 900 + "?\n" + "b" * 900,
+        "a" * 900 + ".\n" + "b" * 900, "a" * 900 + " \n\n\n" + "b" * 900, "a" * 900 + "\t\n\n" + "b" * 900, "a" * 838 + ". " + "b" * 900, "a" * 840 + ". " + "b" * 900, "a" * 1199 + ". b", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["excerpt"] for r in registry.QUERIES["source_excerpt"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(con.sql(registry.ORACLES["source_excerpt"]).fetchall())
+    # A prompt loses all white space before a cut.
+    cut = spark.createDataFrame([(texts[0],)], "t string").select(ed.source_excerpt(F.col("t"))).first()[0]
+    assert cut == line + "… […truncated]"

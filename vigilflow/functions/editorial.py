@@ -144,9 +144,9 @@ def post_title(title: Column) -> Column:
     return F.concat(trim_at_word(whole, 120), F.when(F.length(whole) > 120, "…").otherwise(""))
 
 
-def source_excerpt(text: Column, limit: int = ev.PROMPT_BODY) -> Column:
+def source_excerpt(text: Column, limit: int = ev.PROMPT_BODY, ends: tuple[str, ...] = ev.PROMPT_ENDS, blank: str = r"(?U)\s") -> Column:
     """A body of at most limit characters: cut at the last paragraph that ends in its last 30 %, else after the last sentence there
-    (marks in the order of PROMPT_ENDS), else at the limit; cut bodies say so."""
+    (marks in the order of ends), else at the limit; what is blank before a cut goes, and cut bodies say so."""
     head, least = F.substring(text, 1, limit), int(limit * 0.7)
     tail = F.substring(text, least + 1, limit - least)
 
@@ -155,8 +155,8 @@ def source_excerpt(text: Column, limit: int = ev.PROMPT_BODY) -> Column:
         behind = F.instr(F.reverse(tail), mark[::-1])
         return F.when(behind > 0, F.lit(limit) - behind - len(mark) + 1)
 
-    trimmed = lambda c: F.regexp_replace(c, r"(?U)\s+$", "")
-    paragraph, sentence = last("\n\n"), F.coalesce(*[last(mark) for mark in ev.PROMPT_ENDS])
+    trimmed = lambda c: F.regexp_replace(c, rf"{blank}+\z", "")
+    paragraph, sentence = last("\n\n"), F.coalesce(*[last(mark) for mark in ends])
     cut = F.when(paragraph.isNotNull(), F.concat(trimmed(F.substring(head, F.lit(1), paragraph)), F.lit(f"\n\n{ev.PROMPT_CUT}")))
     cut = cut.when(sentence.isNotNull(), F.concat(F.substring(head, F.lit(1), sentence + 1), F.lit(f" {ev.PROMPT_CUT}")))
     return F.when(F.length(text) > limit, cut.otherwise(F.concat(trimmed(head), F.lit(f"… {ev.PROMPT_CUT}")))).otherwise(text)
