@@ -48,3 +48,25 @@ def test_enrichment_reads_text_once_and_few_columns(spark):
     plan = registry.QUERIES["relevance_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and plan.count("ArrowEvalPython [") == 1
     assert "Cartesian" not in registry.QUERIES["cross_source_bonus"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+@pytest.mark.parametrize("name", ["cycle_public_items"])
+def test_batches_are_bounded(spark, name):
+    """A query of these settings alone must bound what a Python worker gets at once, also when its plan was made before."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    @F.arrow_udf("struct<n:long,bytes:long>")
+    def seen(texts: pa.Array) -> pa.Array:
+        return pa.array([{"n": len(texts), "bytes": texts.nbytes}] * len(texts), pa.struct([("n", pa.int64()), ("bytes", pa.int64())]))
+
+    for _ in range(2):
+        for key in BATCH:
+            spark.conf.unset(key)
+        registry.QUERIES[name](spark, SF)
+        most = lambda rows, length: spark.range(0, rows, 1, 1).select(seen(F.repeat(F.lit("x"), F.lit(length) + (F.col("id") % 2).cast("int"))).alias("s")).agg(F.max("s.n"), F.max("s.bytes")).first()
+        assert most(3000, 10)[0] <= 500
+        assert most(300, 100_000)[1] <= 5_000_000

@@ -12,6 +12,9 @@ from weakref import WeakKeyDictionary
 
 from pyspark.sql import SparkSession
 
+#: Rows and bytes of one Arrow batch of news: what a Python worker holds at a time, whatever the size of its task.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -35,11 +38,14 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def show_workers(spark: SparkSession) -> None:
-    """Tell Python workers where this package lies, for sessions that weren't started beside it (a cluster has it by --py-files)."""
+    """Tell Python workers where this package lies, for sessions that weren't started beside it (a cluster has it by --py-files), and bound
+    the batches that they get. The bounds stay in the session, as frames are evaluated later."""
     root, environment = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
@@ -98,6 +104,7 @@ def once(build: Callable) -> Callable:
 
     @wraps(build)
     def get(spark: SparkSession, sf_dir: str):
+        show_workers(spark)
         own, state = made.setdefault(spark, {}), _state(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
         if own.get(sf_dir, (None,))[0] != state:
             own[sf_dir] = state, build(spark, sf_dir)
