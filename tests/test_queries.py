@@ -53,7 +53,7 @@ def test_enrichment_reads_text_once_and_few_columns(spark):
 BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
 
 
-@pytest.mark.parametrize("name", ["cycle_public_items", "normalize_news", "cycle_counters"])
+@pytest.mark.parametrize("name", ["cycle_public_items", "normalize_news", "cycle_counters", "threat_score"])
 def test_batches_are_bounded(spark, name):
     """A query of these settings alone must bound what a Python worker gets at once, also when its plan was made before."""
     import pyarrow as pa
