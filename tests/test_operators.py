@@ -279,6 +279,19 @@ def test_a_story_in_many_titles_makes_no_pairs_of_titles(spark):
     assert {r["n_sources"] for r in enrich.corroboration(news).select("n_sources").distinct().collect()} == {7}
 
 
+def test_stories_are_joined_by_shuffle(spark):
+    """Titles, their sets and what comes of them grow with the news and pack so well that Spark takes them for small: none may be broadcast, only the table of sources is."""
+    told = spark.range(400).selectExpr("array('bank', 'files', concat('case', id div 4)) as toks", "concat('s', id % 4) as source", "false as trusted", "id as first")
+    news = items(spark, [(f"Bank loses files after ransomware attack case{i // 4}", s, i, "") for i, s in enumerate([*list(vocab.SOURCES)[:4]] * 20)])
+    joins = {}
+    for name, rows, n in (("sets", enrich.token_sets(told), 100), ("scored", enrich.scored(news, NOW), 80)):
+        assert len(rows.collect()) == n
+        joins[name] = set(re.findall(r"(\w+Join) \[(\w+)#", rows._jdf.queryExecution().executedPlan().toString()))
+    assert joins["sets"] == {("SortMergeJoin", "tok")}
+    assert ("BroadcastHashJoin", "source") in joins["scored"] and ("SortMergeJoin", "tok") in joins["scored"]
+    assert {on for kind, on in joins["scored"] if kind != "SortMergeJoin"} == {"source"}
+
+
 def test_related_of_a_large_pool_in_few_signatures(spark):
     """20,000 items of four signatures: each item gets the newest of its own one, and no pair of items is made."""
     pool = spark.range(20_000).select(

@@ -142,6 +142,12 @@ def _alike(shared: Column, a: Column, b: Column, least: float, least_shared: int
     return (shared >= least_shared) & (shared / (a + b - shared) >= least)
 
 
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """Rows that grow with the news, as the right side of a join by shuffle whatever Spark takes their size for: it goes by files and shuffles as they
+    are packed, and lists of titles and sources unpack to a hundred times that, in the driver first where they are broadcast."""
+    return rows.hint("merge")
+
+
 def token_sets(told: DataFrame) -> DataFrame:
     """(toks, told, rare, core) of rows (toks, source, trusted, first): the distinct token sets of two tokens or more.
 
@@ -152,7 +158,7 @@ def token_sets(told: DataFrame) -> DataFrame:
     sets = sets.groupBy("toks").agg(F.collect_list(F.struct("first", F.col("source").alias("other"), "trusted")).alias("told"))
     each = sets.select("toks", "told", F.explode("toks").alias("tok"))
     often = each.groupBy("tok").agg(F.count("*").alias("n"))
-    ranked = each.join(often, "tok").groupBy("toks").agg(F.any_value("told").alias("told"), F.array_sort(F.collect_list(F.struct("n", "tok"))).alias("ranked"))
+    ranked = each.join(_shuffled(often), "tok").groupBy("toks").agg(F.any_value("told").alias("told"), F.array_sort(F.collect_list(F.struct("n", "tok"))).alias("ranked"))
     names = F.transform("ranked", lambda r: r["tok"])
     return ranked.select("toks", "told", names[0].alias("rare"), F.slice(names, F.lit(2), F.size(names)).alias("core"))
 
@@ -167,7 +173,7 @@ def core_pairs(sets: DataFrame, least: float, least_shared: int = 2) -> DataFram
     size = F.size("core") + 1
     need = F.greatest(F.lit(least_shared), F.ceil(size * least - 1e-9))
     index = cores.select("core", F.explode(F.slice("core", F.lit(1), F.greatest(F.lit(0), size - need).cast("int"))).alias("tok"))
-    both = index.join(index.withColumnRenamed("core", "o_core"), "tok").withColumn("_both", F.array_intersect("core", "o_core"))
+    both = index.join(_shuffled(index.withColumnRenamed("core", "o_core")), "tok").withColumn("_both", F.array_intersect("core", "o_core"))
     both = both.filter(F.get("_both", F.lit(0)) == F.col("tok")).withColumn("shared", F.size("_both"))
     return both.filter(_alike(F.col("shared"), size, F.size("o_core") + 1, least, least_shared)).select("core", "o_core", "shared")
 
@@ -194,26 +200,26 @@ def stories(news: DataFrame, wide: float = 0.2, narrow: float = 0.25) -> DataFra
 
     by_core = sets.select(F.col("core").alias("o_core"), F.inline("told")).groupBy("o_core", "other", "trusted").agg(F.min("first").alias("first"))
     sure = _alike(F.col("shared"), F.size("core") + 1, F.size("o_core") + 1, narrow)
-    of_cores = core_pairs(sets, wide).join(by_core, "o_core").groupBy("core", "other").agg(*firsts(sure))
+    of_cores = core_pairs(sets, wide).join(_shuffled(by_core), "o_core").groupBy("core", "other").agg(*firsts(sure))
 
     here, there = sets.select("toks", "told", F.col("rare").alias("tok")), sets.select(F.col("toks").alias("o_toks"), F.col("told").alias("o_told"), F.explode("toks").alias("tok"))
-    met = here.join(there, "tok").withColumn("shared", F.size(F.array_intersect("toks", "o_toks")))
+    met = here.join(_shuffled(there), "tok").withColumn("shared", F.size(F.array_intersect("toks", "o_toks")))
     alike = lambda least: _alike(F.col("shared"), F.size("toks"), F.size("o_toks"), least)
     ways = F.array(F.struct("toks", F.col("o_told").alias("told")), F.struct(F.col("o_toks").alias("toks"), "told"))
     met = met.filter(alike(wide)).select(alike(narrow).alias("sure"), F.explode(ways).alias("way")).select("sure", "way.toks", F.inline("way.told"))
     of_sets = met.groupBy("toks", "other").agg(*firsts(F.col("sure")))
 
-    every = of_sets.unionByName(sets.select("toks", "core").join(of_cores, "core").drop("core"))
+    every = of_sets.unionByName(sets.select("toks", "core").join(_shuffled(of_cores), "core").drop("core"))
     found = every.groupBy("toks", "other").agg(F.min("first").alias("first"), F.min("trusted_first").alias("trusted_first"))
     found = found.groupBy("toks").agg(F.collect_list(F.struct("first", "other", "trusted_first")).alias("told"))
-    return told.select("title", "toks").distinct().join(found, "toks").select("title", "told")
+    return told.select("title", "toks").distinct().join(_shuffled(found), "toks").select("title", "told")
 
 
 def corroboration(news: DataFrame) -> DataFrame:
     """(doc_id, n_sources, corroborating_sources): how many other sources tell the same story, and the trusted ones, in order of their first row."""
     rest = F.filter(F.coalesce("told", F.array().cast("array<struct<first:bigint,other:string,trusted_first:bigint>>")), lambda s: s["other"] != F.col("source"))
     sure = F.transform(F.filter(rest, lambda s: s["trusted_first"].isNotNull()), lambda s: F.struct(s["trusted_first"].alias("first"), s["other"].alias("other")))
-    own = news.select("doc_id", "title", "source").join(stories(news), "title", "left")
+    own = news.select("doc_id", "title", "source").join(_shuffled(stories(news)), "title", "left")
     return own.select("doc_id", F.size(rest).cast("long").alias("n_sources"), F.transform(F.array_sort(sure), lambda s: s["other"]).alias("corroborating_sources"))
 
 
@@ -241,7 +247,7 @@ def bonus(n: Column) -> Column:
 def scored(news: DataFrame, now: str, half_life: float = 12.0) -> DataFrame:
     """classified() with credibility, corroboration and threat_score. The rows of news are one batch: all of them count as told."""
     hits = F.col("hits")
-    rows = with_profile(classified(news)).join(corroboration(news), "doc_id")
+    rows = with_profile(classified(news)).join(_shuffled(corroboration(news)), "doc_id")
     rows = rows.withColumn("source_credibility_score", credibility(F.col("base_score"), hits, F.size("corroborating_sources")))
     rows = rows.withColumn("source_tier", tier(F.col("source_credibility_score")))
     raw = (keyword_component(hits) + severity_component(hits)) * recency(F.col("published_at"), F.to_timestamp(F.lit(now)), half_life) + bonus(F.col("n_sources"))
